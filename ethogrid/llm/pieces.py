@@ -3,11 +3,11 @@
 The automaton's output links list every piece that ends at a position; each relaxes the best score
 there, so one pass finds the segmentation with the highest sum of piece scores (among equal sums,
 the one whose last piece is longest, position by position). Characters that no piece covers cost
-`unknown` and are written as byte pieces. White space is written as the meta symbol U+2581, and one
-is put before the text, as the model's own settings say. No piece holds a meta symbol after another
+`unknown` and are written as byte pieces. The pieces' meta symbol U+2581 stands for a blank, and one
+is put before the text, as the model's own settings say. No piece holds a blank after another
 character (checked when the model is read; if one did, texts would be encoded whole), so a text
-falls into chunks, each a run of meta symbols and the characters after it, that are encoded by
-themselves; equal chunks of a batch are encoded once. Memory is bounded by a batch and its chunks.
+falls into chunks, each a run of blanks and the bytes after it, that are encoded by themselves;
+equal chunks of a batch are encoded once. Memory is bounded by a batch and its chunks.
 
 Decoding is exact: decode(encode(text)) == text for every text, white space,
 control and astral characters included; a U+2581 of the text itself is encoded by its bytes. Null texts give null ids and null back, empty texts an empty list and ''.
@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,102 +54,135 @@ class Vocabulary:
         return cls(tuple(m.id_to_piece(i) for i in ids), scores, normal, m.piece_to_id("<0x00>"), min(s for s, ok in zip(scores, normal, strict=True) if ok) - 10.0)
 
 
-#: Stands for a META of the text while it is encoded: a lone surrogate, which no valid text holds.
-OWN = "\udfff"
-#: Parts chunks that the automaton reads in a row.
-PART = "\udffe"
+class Automaton:
+    """An Aho-Corasick automaton over byte strings with all its moves in one table."""
+
+    def __init__(self, patterns: dict[bytes, int]):
+        children: list[dict[int, int]] = [{}]
+        parent, symbol, depth, output = [0], [0], [0], [-1]
+        for pattern, value in patterns.items():
+            state = 0
+            for byte in pattern:
+                after = children[state].get(byte)
+                if after is None:
+                    after = children[state][byte] = len(children)
+                    children.append({})
+                    parent.append(state)
+                    symbol.append(byte)
+                    depth.append(depth[state] + 1)
+                    output.append(-1)
+                state = after
+            output[state] = value
+        self.output = np.array(output, np.int32)
+        parent, symbol, depth = np.array(parent), np.array(symbol), np.array(depth)
+        n = len(depth)
+        self.move = np.zeros((n, 256), np.int32)
+        self.move[parent[1:], symbol[1:]] = np.arange(1, n)
+        fail = np.zeros(n, np.int64)
+        #: The nearest shorter suffix's state that has an output; 0 where there is none.
+        self.link = np.zeros(n, np.int32)
+        for d in range(1, int(depth.max()) + 1):
+            level = np.flatnonzero(depth == d)
+            if d > 1:
+                fail[level] = self.move[fail[parent[level]], symbol[level]]
+            suffix = fail[level]
+            self.link[level] = np.where(self.output[suffix] >= 0, suffix, self.link[suffix])
+            own = self.move[level]
+            self.move[level] = np.where(own > 0, own, self.move[suffix])
 
 
 class Codec(dict):
     """Encoder and decoder of one vocabulary; as a dict, the chunks seen so far, about `memory` at most."""
 
-    def __init__(self, vocabulary: Vocabulary, memory: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, memory: int = 400_000):
         super().__init__()
         self.v, self.memory = vocabulary, memory
-        self.automaton = ahocorasick.Automaton()
-        own = [t for t, ok in zip(vocabulary.texts, vocabulary.normal, strict=True) if ok]
-        for i, (text, ok) in enumerate(zip(vocabulary.texts, vocabulary.normal, strict=True)):
-            if ok:
-                self.automaton.add_word(text, i)
-        self.automaton.make_automaton()
-        self.scores = np.array([*vocabulary.scores, vocabulary.unknown])  # the last is no piece's: an unknown character
-        self.widths = np.array([*map(len, vocabulary.texts), 1], np.int64)
-        whole = any(META in t.lstrip(META) for t in own)
-        self.chunks = re.compile(".+" if whole else f"{META}+[^{META}]*", re.DOTALL).findall
         byte = lambda i: bytes([i - vocabulary.bytes_at]) if 0 <= i - vocabulary.bytes_at < 256 else b""
         raw = [t.replace(META, " ").encode() if ok else byte(i) for i, (t, ok) in enumerate(zip(vocabulary.texts, vocabulary.normal, strict=True))]
+        own = {r: i for i, (r, ok) in enumerate(zip(raw, vocabulary.normal, strict=True)) if ok}
+        self.automaton = Automaton(own)
+        self.scores = np.array([*vocabulary.scores, vocabulary.unknown])
+        self.chunks = re.compile(b".+" if any(b" " in r.lstrip(b" ") for r in own) else b" +[^ ]*", re.DOTALL).findall
         self.table = np.frombuffer(b"".join(raw), np.uint8)
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
 
-    def viterbi(self, chunks: list[str]) -> list[bytes]:
-        """Ids (as 32-bit integers) of the best segmentation of each chunk, all chunks in one pass.
+    def viterbi(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids (as 32-bit integers) of the best segmentation of each chunk; the longest chunks come first.
 
-        The automaton runs over the chunks in a row, parted by a character that no piece holds, and
-        lists the pieces that end at each position; positions are then relaxed in order, those of
-        all chunks that are as far from their chunk's start together.
+        All chunks step through the automaton together. At each position the output links are
+        followed, and every piece that ends there relaxes the best score.
         """
-        text = PART.join(chunks)
-        sizes = np.array([len(c) for c in chunks], np.int64)
-        first = np.cumsum(sizes + 1) - sizes - 1
-        at = np.repeat(first, sizes)
-        every = np.arange(len(at)) + np.repeat(np.arange(len(chunks)), sizes) + 1  # each position but the chunks' starts
-        found = np.fromiter((x for hit in self.automaton.iter(text) for x in hit), np.int64).reshape(-1, 2)
-        end = np.concatenate([every, found[:, 0] + 1])
-        piece = np.concatenate([np.full(len(every), len(self.v.texts)), found[:, 1]])
-        width = self.widths[piece]
-        start_of = np.zeros(len(text) + 2, np.int64)
-        start_of[every] = at
-        far = end - start_of[end]
-        order = np.lexsort((piece != len(self.v.texts), width, end, far))
-        end, piece, width, far = end[order], piece[order], width[order], far[order]
-        score = self.scores[piece]
-        best = np.zeros(len(text) + 2)
-        back = np.zeros(len(text) + 2, np.int64)
-        bounds = np.searchsorted(far, np.arange(1, far[-1] + 2))
-        new = np.concatenate([[True], end[1:] != end[:-1]])
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            total = best[end[low:high] - width[low:high]] + score[low:high]
-            group = np.flatnonzero(new[low:high])
-            top = np.maximum.reduceat(total, group)
-            hit = np.flatnonzero(total == np.repeat(top, np.diff(np.append(group, high - low))))
-            best[end[low:high][group]] = top
-            back[end[low:high][hit]] = piece[low:high][hit]  # of equal ones the last, which is the longest, stays
-        now, alive = first + sizes, np.arange(len(chunks))
+        sizes = np.array([len(c) for c in chunks])
+        n, most = len(chunks), int(sizes[0])
+        grid = np.zeros((most, n), np.uint8)
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        owner = np.repeat(np.arange(n), sizes)
+        grid[np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner] = data
+        move, link, output, unknown = self.automaton.move, self.automaton.link, self.automaton.output, len(self.v.texts)
+        best = np.full((most + 1, n), -1e18)
+        best[0] = 0
+        back, step = np.full((most + 1, n), unknown, np.int32), np.zeros((most + 1, n), np.int16)
+        state, begun = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        for k in range(most):
+            alive = int(np.searchsorted(-sizes, -k, "left"))
+            byte = grid[k, :alive]
+            begun[:alive] = np.where((byte & 0xC0) != 0x80, k, begun[:alive])  # where this character begins
+            now = state[:alive] = move[state[:alive], byte]
+            top, now = best[k + 1], np.where(output[now] >= 0, now, link[now])
+            at = np.flatnonzero(now)
+            while len(at):
+                here = now[at]
+                piece = output[here]
+                total = best[k + 1 - self.sizes[piece], at] + self.scores[piece]
+                better = total > top[at]
+                won = at[better]
+                top[won], back[k + 1, won], step[k + 1, won] = total[better], piece[better], self.sizes[piece[better]]
+                now[at] = link[here]
+                at = at[now[at] > 0]
+            whole = np.ones(alive, bool)
+            if k + 1 < most:
+                whole = ((grid[k + 1, :alive] & 0xC0) != 0x80) | (sizes[:alive] == k + 1)
+            total = np.where(whole, best[begun[:alive], np.arange(alive)] + self.v.unknown, -1e18)
+            won = np.flatnonzero(total > top[:alive])
+            top[won], back[k + 1, won], step[k + 1, won] = total[won], unknown, (k + 1 - begun[:alive])[won]
+        place, alive = sizes.copy(), np.arange(n)
         owners, ids, places = [], [], []
         while len(alive):
-            last = back[now[alive]]
             owners.append(alive)
-            ids.append(last)
-            places.append(now[alive] - 1)
-            now[alive] -= self.widths[last]
-            alive = alive[now[alive] > first[alive]]
+            ids.append(back[place[alive], alive])
+            places.append(place[alive])
+            place[alive] -= step[place[alive], alive]
+            alive = alive[place[alive] > 0]
         owner, piece, place = (np.concatenate(x)[::-1] for x in (owners, ids, places))
         order = np.argsort(owner, kind="stable")
         owner, piece, place = owner[order], piece[order], place[order]
-        bounds = np.searchsorted(owner, np.arange(len(chunks) + 1))
-        odd = set(owner[piece == len(self.v.texts)].tolist())
-        data = piece.astype(np.int32)
-        return [self._with_bytes(data[low:high], text, place[low:high]) if k in odd else data[low:high].tobytes() for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-
-    def _with_bytes(self, ids: np.ndarray, text: str, place: np.ndarray) -> bytes:
+        bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        odd = set(owner[piece == unknown].tolist())
+        flat = piece.astype(np.int32).tobytes()
+        return [
+            flat[4 * bounds[k] : 4 * bounds[k + 1]] if k not in odd else self._with_bytes(chunks[k], piece[bounds[k] : bounds[k + 1]], place[bounds[k] : bounds[k + 1]])
+            for k in range(n)
+        ]
+
+    def _with_bytes(self, chunk: bytes, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """Ids in which an unknown character is written as its bytes."""
         out: list[int] = []
-        for i, k in zip(ids.tolist(), place.tolist(), strict=True):
-            out += [i] if i < len(self.v.texts) else [self.v.bytes_at + b for b in (META if text[k] == OWN else text[k]).encode()]
+        low = 0
+        for i, high in zip(ids.tolist(), ends.tolist(), strict=True):
+            out += [i] if i < len(self.v.texts) else [self.v.bytes_at + b for b in chunk[low:high]]
+            low = high
         return np.array(out, np.int32).tobytes()
 
-    def encode(self, texts: list[str | None], group: int = 20_000) -> list[bytes | None]:
-        """The ids of each text as 32-bit integers; chunks that weren't seen before are encoded together."""
+    def encode(self, texts: list[bytes | None], cells: int = 1 << 18) -> list[bytes | None]:
+        """The ids of each UTF-8 text as 32-bit integers; chunks that weren't seen before are encoded together."""
         if len(self) > self.memory:
             self.clear()
-        parts = [None if t is None else self.chunks(META + t.replace(META, OWN).replace(" ", META)) if t else [] for t in texts]
-        new = list(set().union(*(x for x in parts if x)) - self.keys())
-        new.sort(key=len)
+        parts = [None if t is None else self.chunks(b" " + t) if t else [] for t in texts]
+        new = sorted(set().union(*(x for x in parts if x)) - self.keys(), key=len, reverse=True)
         low = 0
         while low < len(new):
-            high = min(low + group, len(new))
-            while high > low + 1 and len(new[high - 1]) * (high - low) > 1_000_000:
-                high = low + (high - low) // 2
+            high = low + max(1, cells // len(new[low]))
             self.update(zip(new[low:high], self.viterbi(new[low:high]), strict=True))
             low = high
         return [None if x is None else b"".join(map(self.__getitem__, x)) for x in parts]
@@ -183,7 +215,7 @@ def _encoder(model: bytes, round_trip: bool):
         codec = Codec(Vocabulary.read(model))
         for batch in batches:
             column = batch.column("text")
-            ids = [i for low in range(0, len(column), 512) for i in codec.encode(column.slice(low, 512).to_pylist())]
+            ids = [i for low in range(0, len(column), 512) for i in codec.encode(column.slice(low, 512).cast(pa.binary()).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(i) // 4 if i else 0 for i in ids])])
             values = np.frombuffer(b"".join(i for i in ids if i), np.int32)
             null = np.array([i is None for i in ids], bool)
@@ -233,12 +265,3 @@ def encode_pieces(documents: DataFrame, model: bytes | None = None, check: bool
 def decode_pieces(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
     """doc_id and decoded of every row of ids."""
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decoder(model or read_model()), "doc_id long, decoded string")
-
-
-def encoded_digest(documents: DataFrame, model: bytes | None = None) -> DataFrame:
-    """doc_id, n_pieces, n_bytes_pieces (byte fallbacks), ids_hash and exact of every document."""
-    fallback = F.filter("ids", lambda i: i.between(3, 258))
-    return encode_pieces(documents, model).select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.coalesce(F.size(fallback), F.lit(0)).cast("long").alias("n_byte_pieces"), F.xxhash64("ids").alias("ids_hash"), "exact",
-    )

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ethogrid.session import table
 
+from .licenses import license_scan
 from .mixing import mix
+from .pieces import encode_pieces
 from .quality import quality_rules
 from .toxicity import toxicity
 
@@ -19,6 +21,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +36,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_mix_sources": op4_mix_sources,
+    "op6_license_scan": op6_license_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}
