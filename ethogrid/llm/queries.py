@@ -10,6 +10,7 @@ from .licenses import license_scan
 from .mixing import mix
 from .pieces import encode_pieces
 from .quality import quality_rules
+from .suffixes import substring_dedup
 from .toxicity import toxicity
 
 
@@ -29,6 +30,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +43,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}
