@@ -135,10 +135,22 @@ def train(positive: list[bytes], negative: list[bytes], p: Params) -> tuple[np.n
     """(weight of each hashed subsequence, bias): a squared-hinge machine on Nyström features, by Newton steps."""
     marks = positive[: p.landmarks] + negative[: p.landmarks]
     index, weight = _features(marks, p)
-    phi = np.zeros((len(marks), 1 << p.bits), np.float32)
-    for k in range(len(marks)):
-        np.add.at(phi[k], index[k], weight[k])
-    kernel = lambda words: np.concatenate([np.einsum("lij,ij->il", phi[:, i[c : c + 256]], w[c : c + 256]) for i, w in [_features(words, p)] for c in range(0, len(words), 256)])
+    used = np.unique(index[weight > 0])  # no other subsequence adds to a kernel value
+    phi = np.zeros((len(marks), len(used) + 1), np.float32)
+
+    def placed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        i, w = _features(words, p)
+        at = np.minimum(np.searchsorted(used, i), len(used) - 1)
+        return np.where((used[at] == i) & (w > 0), at, len(used)), w
+
+    for k, (i, w) in enumerate(zip(*placed(marks), strict=True)):
+        np.add.at(phi[k], i, w)
+    phi[:, -1] = 0
+
+    def kernel(words: list[bytes]) -> np.ndarray:
+        parts = [placed(words[c : c + 64]) for c in range(0, len(words), 64)]
+        return np.concatenate([np.einsum("lij,ij->il", phi[:, i], w.astype(np.float32)) for i, w in parts]).astype(float)
+
     values, vectors = np.linalg.eigh(kernel(marks) + 1e-3 * np.eye(len(marks)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     x = np.column_stack([kernel(positive + negative) @ root, np.ones(len(positive) + len(negative))])
@@ -147,14 +159,16 @@ def train(positive: list[bytes], negative: list[bytes], p: Params) -> tuple[np.n
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
-    for _ in range(30):
+    for turn in range(30):
         active = y * (x @ w) < 1
         xa = x[active]
         new = np.linalg.solve(ridge + (xa * share[active, None]).T @ xa, (xa * share[active, None]).T @ y[active])
         if np.allclose(new, w, atol=1e-8):
             break
-        w = 0.5 * (w + new) if _ > 10 else new
-    return (root @ w[:-1] @ phi).astype(np.float32), float(w[-1])
+        w = 0.5 * (w + new) if turn > 10 else new
+    beta = np.zeros(1 << p.bits, np.float32)
+    beta[used] = (root @ w[:-1] @ phi)[:-1]
+    return beta, float(w[-1])
 
 
 def calibrate(evidence: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
