@@ -8,12 +8,17 @@ from ethogrid.session import table
 
 from .licenses import license_scan
 from .mixing import mix
+from .neardup import near_duplicates
 from .pieces import encode_pieces
 from .quality import quality_rules
 from .suffixes import substring_dedup
 from .toxicity import toxicity
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +44,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_mix_sources": op4_mix_sources,
     "op6_license_scan": op6_license_scan,
