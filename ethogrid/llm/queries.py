@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ethogrid.session import table
 
+from .additive import nearest
+from .chat import link_tools
 from .licenses import license_scan
 from .mixing import mix
 from .neardup import near_duplicates
@@ -13,12 +15,17 @@ from .pieces import encode_pieces
 from .quality import quality_rules
 from .suffixes import substring_dedup
 from .toxicity import toxicity
+from .urlfilter import url_filter
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +34,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tools(table(spark, sf_dir, "conversations"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -39,17 +50,40 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_mix_sources": op4_mix_sources,
+    "op5_chat_tools": op5_chat_tools,
     "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_additive_search": op10_additive_search,
+}
+#: Where SQL can say what a query returns; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op10_additive_search": """
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        ), norms AS (
+            SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda s, x: s + x)) AS n FROM good
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda s, x: s + x) / (q.n * c.n) AS score
+            FROM norms q JOIN norms c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM pairs QUALIFY rank <= 5
+    """,
 }
-ORACLE: dict[str, str] = {}
