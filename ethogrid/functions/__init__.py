@@ -1 +1,134 @@
+"""Column functions: text, time, geometry and label arithmetic, all evaluated by the JVM."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "wmv", "flv", "mkv")
+
+
+def strip_extension(name: Column) -> Column:
+    """Without what follows the last dot."""
+    return F.regexp_replace(name, r"\.[^.]+$", "")
+
+
+def base_name(name: Column) -> Column:
+    """Up to the first dot."""
+    return F.split_part(name, F.lit("."), F.lit(1))
+
+
+def extension(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+
+
+def is_video(name: Column) -> Column:
+    return extension(name).isin(*VIDEO_EXTENSIONS)
+
+
+def natural_key(text: Column, width: int = 20) -> Column:
+    """A key that sorts runs of digits by value: each run is padded with zeros (runs of up to `width` digits)."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+
+def hex_channel(color: Column, channel: int) -> Column:
+    """0-255 value of a channel (0 red, 1 green, 2 blue) of a color written #rrggbb."""
+    return F.conv(F.substring(color, 2 + 2 * channel, 2), 16, 10).cast("int")
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    return F.bround(x, digits)
+
+
+def frame_ms(frame: Column, fps_num: int, fps_den: int = 1) -> Column:
+    """Whole milliseconds at which a frame starts."""
+    return F.floor(frame * (1000 * fps_den) / F.lit(fps_num)).cast("long")
+
+
+def timestamp_text(ms: Column) -> Column:
+    """HH:MM:SS,mmm of whole milliseconds."""
+    whole = lambda n: F.floor(ms / n)
+    return F.format_string("%02d:%02d:%02d,%03d", whole(3_600_000), whole(60_000) % 60, whole(1000) % 60, ms % 1000)
+
+
+def turn_angle(cx: Column, cy: Column, px: Column, py: Column) -> Column:
+    """Degrees by which to turn so that the point (px, py) lies above the centre."""
+    return F.degrees(F.atan2(py - cy, px - cx)) - 90
+
+
+def padded(low: Column, high: Column, factor: float = 1.05) -> tuple[Column, Column]:
+    """A range widened about its middle."""
+    middle, half = (low + high) / 2, (high - low) / 2 * factor
+    return middle - half, middle + half
+
+
+def reflected(i: Column, n: Column) -> Column:
+    """An index mirrored at both ends into [0, n)."""
+    period = F.greatest(2 * (n - 1), F.lit(1))
+    m = F.pmod(i, period)
+    return F.when(n <= 1, 0).when(m < n, m).otherwise(period - m)
+
+
+def clamped(i: Column, n: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(i, n - 1))
+
+
+def resized(h: Column, w: Column, long_side: int) -> tuple[Column, Column]:
+    """(height, width) scaled so that the longer side is long_side; halves round up."""
+    scale = F.lit(float(long_side)) / F.greatest(h, w)
+    return F.floor(h * scale + 0.5).cast("int"), F.floor(w * scale + 0.5).cast("int")
+
+
+def restricted(h: Column, w: Column, longest: int, step: int = 16, align: bool = True) -> tuple[Column, Column]:
+    """(height, width) with the longer side at most `longest`, snapped to multiples of step (plus one if align)."""
+    scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(h, w))
+    more = 1 if align else 0
+    snap = lambda x: (half_even((x * scale - more) / step) * step + more).cast("int")
+    return snap(h), snap(w)
+
+
+def engine_of(object_id: Column, most: int = 10) -> tuple[Column, Column]:
+    """(engine number, local id from 1) of an object id from 1."""
+    return F.floor((object_id - 1) / most).cast("int"), ((object_id - 1) % most + 1).cast("int")
+
+
+def palette_channel(index: Column, channel: int) -> Column:
+    """A channel of the colour-map entry: bits channel, channel+3, ... of the index, highest first."""
+    bits = [F.shiftleft(F.shiftright(index, 3 * k + channel).bitwiseAND(F.lit(1)), 7 - k) for k in range(8)]
+    total = bits[0]
+    for b in bits[1:]:
+        total = total.bitwiseOR(b)
+    return total
+
+
+def logit(p: Column, eps: float = 1e-5) -> Column:
+    q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+    return F.ln(q / (1 - q))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def one_hot(label: Column, classes: int) -> Column:
+    """An array of 0 and 1 with places 0 .. classes."""
+    return F.transform(F.sequence(F.lit(0), F.lit(classes)), lambda i: (i == label).cast("int"))
+
+
+def warmup_rate(step: Column, base: float, warm: int, total: int, power: float = 0.9, least: float = 1e-5) -> Column:
+    """A learning rate that rises linearly for `warm` steps and then falls by a polynomial."""
+    rising = F.lit(base) * step / warm
+    share = (step - warm) / F.lit(float(max(total - warm, 1)))
+    return F.when(step < warm, rising).otherwise(F.greatest(F.lit(base) * F.pow(1 - share, power), F.lit(least)))
+
+
+def seeded(key: Column, n: Column | int, salt: int = 0) -> Column:
+    """A number below n that looks random, the same in any engine: key * 2654435761 + salt, modulo a prime, modulo n."""
+    mixed = F.pmod(F.pmod(key, F.lit(4_294_967_291)) * F.lit(265_443_576) + F.lit(salt * 40_503 + 12_345), F.lit(4_294_967_291))
+    return F.pmod(mixed, n if isinstance(n, Column) else F.lit(n))
+
+
+def usable_vector(v: Column) -> Column:
+    """Whether a vector is there and all its elements are numbers."""
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))

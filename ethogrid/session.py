@@ -34,9 +34,18 @@ def checkpointing(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint, which survives lost executors."""
-    checkpointing(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows with their lineage cut by a reliable checkpoint, which survives lost executors.
+
+    The shuffle files that made them are deleted once the checkpoint is written.
+    """
+    spark = checkpointing(df.sparkSession)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
