@@ -1 +1,192 @@
+"""Tables from and to the files of a project.
 
+Videos need a decoder, which is a plug-in; frames come from `.npy` stacks by a Python data source.
+Masks, labels and latents are parquet tables; `.npz` files are read through Spark's binary reader, so
+they may lie in any store.
+"""
+
+from __future__ import annotations
+
+import io
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from ethogrid import functions as E
+
+CONFIG = "project_name string, source array<string>, observer_dim int, latent map<string,string>"
+LATENT_NAME = r"^(.*)_ROI_(\d+)_(rotation_)?latent\.npz$"
+
+
+def projects(spark: SparkSession, path: str) -> DataFrame:
+    """Project configurations; fields that a new project lacks are null. Files that don't parse give no row."""
+    rows = spark.read.schema(CONFIG + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.where("_bad is null and project_name is not null").drop("_bad")
+
+
+def project_videos(configs: DataFrame) -> DataFrame:
+    """project_name, video of every registered video, and 'All' first where a project has any."""
+    listed = configs.select("project_name", F.explode(F.array_sort("source")).alias("video"))
+    return listed.select("project_name", F.lit(1).alias("place"), "video").unionByName(listed.select("project_name").distinct().select("project_name", F.lit(0).alias("place"), F.lit("All").alias("video")))
+
+
+def latent_catalog(configs: DataFrame) -> DataFrame:
+    """project_name, ordinal, video, roi, kind and file of the latents a project lists, in its order."""
+    rows = configs.select("project_name", F.posexplode(F.map_entries("latent")).alias("ordinal", "entry"))
+    part = lambda i: F.regexp_extract("entry.key", LATENT_NAME, i)
+    kind = F.when(part(3) == "", "plain").otherwise("rotation")
+    return rows.select("project_name", "ordinal", F.col("entry.value").alias("video"), part(2).cast("int").alias("roi"), kind.alias("kind"), F.col("entry.key").alias("file"))
+
+
+def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+
+def read_latents(spark: SparkSession, path: str) -> DataFrame:
+    """video, roi, kind, frame, latent of `.npz` files; rows that hold NaN are null. Files without `latent` give no rows."""
+    named = binary_files(spark, path, "*_latent.npz").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in batch.itertuples(index=False):
+                with np.load(io.BytesIO(content)) as data:
+                    x = data["latent"].astype("float32") if "latent" in data.files else np.zeros((0, 0), "float32")
+                for low in range(0, len(x), 1024):
+                    part = x[low : low + 1024]
+                    yield pd.DataFrame({"name": name, "frame": range(low, low + len(part)), "latent": [None if np.isnan(v).any() else v.tolist() for v in part]})
+
+    rows = named.select("name", "content").mapInPandas(load, "name string, frame long, latent array<float>")
+    part = lambda i: F.regexp_extract("name", LATENT_NAME, i)
+    return rows.select(part(1).alias("video"), part(2).cast("int").alias("roi"), F.when(part(3) == "", "plain").otherwise("rotation").alias("kind"), "frame", "latent")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """video, frame, height, width, mask of label `.npz` files at <video>/<frame>.npz, in natural order of their keys;
+    files that lack a key are skipped."""
+    files = binary_files(spark, path, "*.npz").select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("video"), F.regexp_extract("path", r"(\d+)\.npz$", 1).alias("n"), "content")
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for video, n, content in batch.itertuples(index=False):
+                with np.load(io.BytesIO(content)) as data:
+                    if {"frame", "mask"} <= set(data.files) and n:
+                        mask = data["mask"].astype("uint8")
+                        out.append((video, int(n), *mask.shape, mask.tobytes()))
+            yield pd.DataFrame(out, columns=["video", "frame", "height", "width", "mask"])
+
+    rows = files.mapInPandas(load, "video string, frame long, height int, width int, mask binary")
+    return rows.orderBy(E.natural_key(F.col("video")), "frame")
+
+
+def mask_pixels(masks: DataFrame) -> DataFrame:
+    """video, frame, roi, y, x of the labelled pixels of dense masks; the background is left out."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for video, frame, h, w, mask in batch.itertuples(index=False):
+                grid = np.frombuffer(mask, np.uint8).reshape(h, w)
+                y, x = np.nonzero(grid)
+                yield pd.DataFrame({"video": video, "frame": frame, "roi": grid[y, x].astype("int64"), "y": y, "x": x})
+
+    return masks.select("video", "frame", "height", "width", "mask").mapInPandas(spread, "video string, frame long, roi long, y long, x long")
+
+
+def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Upsert by key: the row with the highest version of each key."""
+    columns = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), version).alias("row")).select(*keys, "row.*")
+
+
+def without(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """Labels less those named "<frame>, <video>" in shown.name."""
+    parts = F.split("name", ", ", 2)
+    gone = shown.select(parts[0].cast("long").alias("frame"), parts[1].alias("video"))
+    return rows.join(gone, ["video", "frame"], "left_anti")
+
+
+def register(known: DataFrame, offered: DataFrame) -> DataFrame:
+    """known videos and those offered whose base name isn't there; of equal names the first path."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    fresh = offered.where(E.is_video(F.col("path"))).groupBy(name.alias("video")).agg(F.min("path").alias("path"))
+    return known.unionByName(fresh.join(known, "video", "left_anti"))
+
+
+def write_csv(rows: DataFrame, path: str, index: str | None = None) -> None:
+    """CSV with a header; `index` names a column to put first, as row number exports do."""
+    columns = ([index] if index else []) + [c for c in rows.columns if c != index]
+    rows.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_latents(rows: DataFrame, path: str) -> None:
+    """Latents by video, roi and kind; only the partitions that are written are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video", "roi", "kind").parquet(path)
+
+
+def write_srt(texts: DataFrame, path: str) -> None:
+    """One text file a video: partitions by base name."""
+    texts.select(E.base_name(F.col("video").cast("string")).alias("name"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def write_annotations(rows: DataFrame, path: str) -> None:
+    """Mask annotations as JSON lines, run lengths included."""
+    rows.write.mode("overwrite").json(path)
+
+
+class FrameStacks(DataSource):
+    """`.npy` stacks of frames (frame, height, width, channel) as rows; a partition is a range of frames.
+
+    Options: path (a folder that the driver and the executors see), frames (a partition's frames, 256),
+    first and last (a range of frames to read). The file is mapped, so only the pages read are loaded.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "frame_stacks"
+
+    def schema(self) -> str:
+        return "video string, frame long, height int, width int, channels int, pixels binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _StackReader(self.options)
+
+
+class _StackReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.size = options["path"], int(options.get("frames", 256))
+        self.first, self.last = int(options.get("first", 0)), int(options.get("last", 1 << 60))
+
+    def partitions(self) -> list[InputPartition]:
+        import glob
+
+        out = []
+        for file in sorted(glob.glob(f"{self.path}/*.npy")):
+            n = np.load(file, mmap_mode="r").shape[0]
+            low, high = self.first, min(n, self.last + 1)
+            out += [InputPartition((file, a, min(a + self.size, high))) for a in range(low, high, self.size)]
+        return out or [InputPartition(None)]
+
+    def read(self, partition: InputPartition):
+        if partition.value is None:
+            return
+        file, low, high = partition.value
+        stack, video = np.load(file, mmap_mode="r"), file.rpartition("/")[2].removesuffix(".npy")
+        for frame in range(low, high):
+            pixels = np.ascontiguousarray(stack[frame])
+            h, w, c = pixels.shape
+            yield video, frame, h, w, c, pixels.tobytes()
+
+
+def parse_steps(text: str) -> list[dict]:
+    """A pipeline configuration: a JSON object or a list of objects; anything else raises ValueError."""
+    said = json.loads(text)
+    steps = said if isinstance(said, list) else [said]
+    if not steps or not all(isinstance(s, dict) for s in steps):
+        raise ValueError("a configuration is an object or a list of objects")
+    return steps
