@@ -2,11 +2,14 @@
 
 A text's set is its distinct shingles of `words` words (with fewer words, the whole sequence). Texts
 with equal sets are one class, named by its smallest doc_id. A class's sketch holds the `k` smallest
-hash values of its set. Inverted lists of retained values bring classes together: of two sets with
-the wanted similarity at least `overlap` sketch values are common (but for one pair in 1e11; for
-sketches that hold their whole set the bound is exact), so it is enough that each class is listed
-under the rarest k - overlap + 1 of its values. Values that one class alone has count among the
-rarest and need no list, and common ones are reached only by texts that have nothing rarer.
+hash values of its set. Inverted lists bring classes together. Single shingles are shared by chance
+ever more often as a corpus grows, so lists are kept of neighbouring retained values (in the order of
+the hash): a value that one of two sets lacks parts at most two neighbours, so similar sets have many
+such pairs in common (`common`, but for one pair of texts in 1e8; for sketches that hold their whole
+set the bound (2s - 1) n - 1 is exact), and unrelated texts next to none. It is enough that a class is
+listed under the rarest of its pairs, as many as leave fewer than `common` out. Pairs that one class
+alone has count among the rarest and need no list, and a class with fewer than `common` others leaves
+before lists are made.
 
 Within the lists no pair is emitted. In each round a list has a hub (first its smallest member, then
 the component that most of its members have reached) against which its other members are held, in
@@ -35,20 +38,25 @@ from pyspark.sql import functions as F
 from ethogrid.session import cut
 
 from . import _bytes as B
+from . import _shared as shared_values
 
 
 @dataclass(frozen=True)
 class Params:
     words: int = 2
     percent: int = 80
-    k: int = 64
-    #: Common sketch values of similar sets: fewer than 28 of 64 have probability 1e-11 at 80 %.
-    overlap: int = 28
+    k: int = 128
+    #: Pairs of neighbours that sketches of similar sets have in common: if the 128 smallest values of the union hold
+    #: at most 53 that one set lacks (all but one pair in 1e8 at 80 %, fewer above), at least 127 - 2 * 53.
+    common: int = 21
     #: Estimated similarity under which a pair is not verified: 0.8 less six deviations of the estimate.
-    least: float = 0.5
+    least: float = 0.58
     rounds: int = 3
     #: Members of a block of a hub's group.
     block: int = 512
+    #: Buckets of classes at least, and classes in a bucket.
+    buckets: int = 48
+    bucket: int = 8_192
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +122,44 @@ def _sets(p: Params):
     return run
 
 
-def _values(batches):
-    """(value, rep, n) of every sketch value."""
-    for batch in batches:
-        column = batch.column("sketch").cast(pa.large_binary())
-        sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) // 8
-        value = np.frombuffer(b"".join(column.to_pylist()), np.int64)
-        rep, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("rep", "n"))
-        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(rep), pa.array(n)], ["value", "rep", "n"])
+def _neighbours(column) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of neighbouring values, their numbers) of binary rows of sorted values."""
+    rows = column.to_pylist()
+    value, sizes = np.frombuffer(b"".join(rows), np.uint64), np.array([len(x) // 8 for x in rows], np.int64)
+    inner = np.ones(max(len(value) - 1, 0), bool)
+    ends = np.cumsum(sizes)
+    inner[ends[(ends > 0) & (ends < len(value))] - 1] = False
+    return B.pair(value[:-1], value[1:])[inner], np.maximum(sizes - 1, 0)
+
+
+def needed(n: np.ndarray, p: Params) -> np.ndarray:
+    """How many pairs of neighbours a sketch of a set of n has in common with that of any similar set."""
+    whole = -(-(n * (2 * p.percent - 100) - 100) // 100)
+    return np.maximum(np.where(n * 100 < p.k * p.percent, whole, p.common), 1)
+
+
+def _offer(shards: int):
+    def run(batches):
+        for batch in batches:
+            value, sizes = _neighbours(batch.column("sketch"))
+            yield shared_values.pack(np.repeat(batch.column("bucket").to_numpy(), sizes), value, np.repeat(batch.column("rep").to_numpy(), sizes), shards)
+
+    return run
+
+
+def _keep(shards: int, p: Params):
+    """(value, rep, n, alone) of the shared values of the classes that have few enough unshared ones."""
+
+    def run(key: tuple[pa.Scalar, ...], reps: pa.Table, answers: pa.Table) -> pa.Table:
+        value, sizes = _neighbours(reps.column("sketch"))
+        shared = shared_values.among(shared_values.unpack(answers), value, shards)
+        rep, n = reps.column("rep").to_numpy(), reps.column("n").to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        alone = sizes - np.bincount(row[shared], minlength=len(sizes))
+        fit = shared & ((sizes - alone >= needed(n, p))[row])
+        return pa.table({"value": value[fit].view(np.int64), "rep": rep[row[fit]], "n": n[row[fit]], "alone": alone[row[fit]]})
+
+    return run
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -229,18 +267,18 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     sketched = cut(rows.mapInArrow(_sketcher(p), "doc_id long, n long, k1 long, k2 long, sketch binary"))
     some = sketched.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = some.join(classes.hint("merge"), ["k1", "k2", "n"]).where("doc_id = rep").select("rep", "n", "sketch")
-    values = reps.mapInArrow(_values, "value long, rep long, n long")
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    size, by_rep = F.least("n", F.lit(p.k)), Window.partitionBy("rep", "n")
-    wanted = F.when(F.col("n") * 100 < p.k * p.percent, F.ceil(F.col("n") * p.percent / 100)).otherwise(p.overlap)
-    lists = (
-        values.join(shared.hint("merge"), "value")
-        .withColumn("rank", F.row_number().over(by_rep.orderBy("df", "value")) + size - F.count("*").over(by_rep))  # values of one class come first
-        .where(F.col("rank") <= size - wanted + 1)
-        .select("value", "rep")
-    )
-    lists = cut(lists)
+    shards = max(p.buckets, -(-classes.count() // p.bucket))
+    reps = some.join(classes.hint("merge"), ["k1", "k2", "n"]).where("doc_id = rep")
+    reps = cut(reps.select("rep", "n", "sketch", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("long").alias("bucket")))
+    answers = shared_values.shared(reps.select("rep", "bucket", "sketch").mapInArrow(_offer(shards), shared_values.SCHEMA))
+    values = reps.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_keep(shards, p), "value long, rep long, n long, alone long")
+    values = cut(values)
+    counts = values.groupBy("value").agg(F.count("*").alias("df"))
+    size, by_rep = F.least("n", F.lit(p.k)) - 1, Window.partitionBy("rep", "n")
+    whole = F.ceil((F.col("n") * (2 * p.percent - 100) - 100) / 100)
+    wanted = F.greatest(F.when(F.col("n") * 100 < p.k * p.percent, whole).otherwise(p.common), F.lit(1))
+    ranked = values.join(counts.hint("merge"), "value").withColumn("rank", F.row_number().over(by_rep.orderBy("df", "value")) + F.col("alone"))
+    lists = cut(ranked.where((F.col("rank") <= size - wanted + 1) & (F.col("df") > 1)).select("value", "rep"))
     sets = rows.join(lists.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").mapInArrow(_sets(p), "rep long, all binary")
     sets = cut(sets)
     links = spark.createDataFrame([], "a long, b long")

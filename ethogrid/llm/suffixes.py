@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from ethogrid.session import cut
 
 from . import _bytes as B
+from . import _shared as shared_values
 
 
 @dataclass(frozen=True)
@@ -94,15 +95,6 @@ def _ids(column) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ~column.is_null().to_numpy(zero_copy_only=False)
 
 
-def _shard(seed: np.ndarray, shards: int) -> np.ndarray:
-    return (seed % np.uint64(shards)).astype(np.int64)
-
-
-def _brief(seed: np.ndarray) -> np.ndarray:
-    """31 bits of a seed besides those that tell its shard."""
-    return (seed >> np.uint64(33)).astype(np.uint32)
-
-
 def _seeds(shards: int, p: Params):
     """Step 1, on texts: (shard, bucket, values); a value is 31 bits of a seed and whether several documents hold it."""
 
@@ -118,41 +110,11 @@ def _seeds(shards: int, p: Params):
             if not parts:
                 continue
             bucket, seed, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            shard, value = _shard(seed, shards), _brief(seed)
-            order = np.lexsort((doc, value, shard, bucket))
-            bucket, shard, value, doc = bucket[order], shard[order], value[order], doc[order]
-            if not len(doc):
-                continue
-            block = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (shard[1:] != shard[:-1])])
-            new = block | np.concatenate([[True], value[1:] != value[:-1]])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(doc)) - 1
-            out = (value[first] << np.uint32(1)) | (doc[first] != doc[last]).astype(np.uint32)
-            at = np.flatnonzero(block[first])
-            stop = np.append(at[1:], len(first))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[first][at]), pa.array(bucket[first][at]), pa.array([out[i:j].tobytes() for i, j in zip(at, stop, strict=True)], pa.binary())], ["shard", "bucket", "data"]
-            )
+            yield shared_values.pack(bucket, seed, doc, shards)
 
     return run
 
 
-def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Step 1, on shards: each bucket's values that several documents hold."""
-    buckets = table.column("bucket").to_numpy()
-    parts = [np.frombuffer(x, np.uint32) for x in table.column("data").to_pylist()]
-    every = np.concatenate(parts)
-    value = np.sort(every >> np.uint32(1))
-    twice = np.unique(np.concatenate([value[1:][value[1:] == value[:-1]], every[every & np.uint32(1) == 1] >> np.uint32(1)]))
-    owner = np.repeat(buckets, [len(x) for x in parts])
-    hit = np.isin(every >> np.uint32(1), twice)
-    owner, value = B.distinct(owner[hit], every[hit] >> np.uint32(1))
-    at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-    stop = np.append(at[1:], len(owner)) if len(owner) else []
-    data = [value[i:j].tobytes() for i, j in zip(at, stop, strict=True)]
-    return pa.table({"bucket": pa.array([owner[i] for i in at], pa.int64()), "shard": pa.array([key[0].as_py()] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
-
-
 @dataclass
 class Surroundings:
     """The shared anchors of a bucket's texts, and their distinct surroundings.
@@ -174,19 +136,15 @@ class Surroundings:
 
 def surroundings(texts: pa.Table, shared: pa.Table, shards: int, p: Params) -> Surroundings:
     ids, there = _ids(texts.column("doc_id"))
-    known = [np.zeros(0, np.uint64)]
-    for shard, data in zip(shared.column("shard").to_pylist(), shared.column("data").to_pylist(), strict=True):
-        known.append(np.frombuffer(data, np.uint32).astype(np.uint64) | (np.uint64(shard) << np.uint64(31)))
-    known = np.sort(np.concatenate(known))
+    known = shared_values.unpack(shared)
     slices, rows = [], []
     for low, high, buf, offsets in B.slices(texts.column("text")):
         a = anchors(buf, offsets, p)
         slices.append((low, high, buf, offsets))
         if not len(known) or not len(a.place):
             continue
-        shard = _shard(a.seed, shards)
-        code = _brief(a.seed).astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(31))
-        ok = there[low:high][a.text] & (known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+        shard = shared_values.shard_of(a.seed, shards)
+        ok = there[low:high][a.text] & shared_values.among(known, a.seed, shards)
         first, last = a.first[ok], a.last[ok]
         content = B.pair(B.fingerprint(a.sums, first, last + p.length), a.seed[ok] + (a.place[ok] - first).astype(np.uint64))
         rows.append((np.full(len(first), len(slices) - 1), first, last, ids[low:high][a.text[ok]], shard[ok], content))
@@ -354,7 +312,7 @@ def substring_dedup(documents: DataFrame, p: Params = Params(), carry: tuple[str
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(key), F.lit(shards)).cast("long").alias("bucket"), *carry)
     plain = texts.select("doc_id", "text", "bucket")
     found = plain.mapInArrow(_seeds(shards, p), "shard long, bucket long, data binary")
-    shared = cut(found.groupBy("shard").applyInArrow(_shared, "bucket long, shard long, data binary"))
+    shared = cut(shared_values.shared(found))
     by_bucket = texts.groupBy("bucket")
     sent = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(_sender(shards, p), "shard long, bucket long, docs binary, sizes binary, data binary")
     masks = sent.groupBy("shard").applyInArrow(_matcher(p), "bucket long, shard long, data binary")
