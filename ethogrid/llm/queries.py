@@ -72,6 +72,42 @@ QUERIES = {
 }
 #: Where SQL can say what a query returns; the others are tested against brute force.
 ORACLE: dict[str, str] = {
+    "op4_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                   (coalesce(doc_id, -1) % 2147483647 * 48271 + 1) % 2147483647 AS once FROM documents
+        ), b AS (SELECT *, (xor(once, once >> 13) % 2147483647 * 69621 + 977) % 2147483647 % 1024 AS bin FROM d
+        ), placed AS (
+            SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY bin, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM b
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM d GROUP BY source
+        ), w AS (SELECT *, number % 3 + 1 AS weight, 3 * ss AS cap FROM s
+        ), f AS (
+            SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                   sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after, sum(ss) OVER () AS total FROM w
+        ), l AS (SELECT *, CAST(total - before AS DOUBLE) / CAST(after AS DOUBLE) AS level FROM f
+        ), t AS (
+            SELECT *, CASE WHEN cap <= weight * level THEN CAST(cap AS DOUBLE) ELSE weight * max(CASE WHEN cap > weight * level THEN level END) OVER () END AS target FROM l
+        ), q AS (SELECT *, CAST(least(round(target), cap) AS BIGINT) AS quota, CAST(ceil(ss / 256) AS BIGINT) AS blocks FROM t
+        ), r AS (SELECT *, CASE WHEN ss > 0 THEN quota // ss ELSE 0 END AS whole FROM q
+        ), x AS (SELECT *, quota - whole * ss AS rest, least(CAST(ceil((quota - whole * ss) / 256) AS BIGINT), blocks) AS tail FROM r
+        ), g AS (
+            SELECT *, whole * blocks + tail AS slots, CASE WHEN tail > 0 THEN rest - (tail - 1) * 256 ELSE 256 END AS cut, greatest(blocks - 1, 1) AS n FROM x
+        ), k AS (SELECT *, unnest(range(0, slots)) AS k FROM g
+        ), slot AS (
+            SELECT number, CASE WHEN k % blocks = blocks - 1 THEN blocks - 1 ELSE
+                     (k % blocks * CASE WHEN n % 104395301 <> 0 THEN 104395301 WHEN n % 122949823 <> 0 THEN 122949823 ELSE 132276037 END + (k // blocks + number) * 7919) % n END AS block,
+                   CASE WHEN k = slots - 1 THEN cut ELSE 256 END AS take FROM k
+        ), piece AS (
+            SELECT number, doc_id, start, size, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block
+            FROM placed p JOIN s ON p.source IS NOT DISTINCT FROM s.source WHERE size > 0
+        ), taken AS (
+            SELECT number, start, sum(greatest(0, least(least(start + size - piece.block * 256, 256), take) - greatest(start - piece.block * 256, 0))) AS taken
+            FROM piece JOIN slot USING (number, block) GROUP BY number, start
+        )
+        SELECT p.doc_id, p.source, p.size, g.ss AS source_size, g.target, CAST(CASE WHEN p.size > 0 THEN coalesce(taken.taken, 0) ELSE 0 END AS BIGINT) AS taken
+        FROM placed p JOIN g ON p.source IS NOT DISTINCT FROM g.source LEFT JOIN taken ON taken.number = g.number AND taken.start = p.start
+    """,
     "op10_additive_search": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
