@@ -16,7 +16,8 @@ the component that most of its members have reached) against which its other mem
 blocks: sketch overlaps first, then the similarity of the union's sketch, then the exact one on full
 sets, and one link joins a member to a hub that is connected already. Hub members then leave the
 list, as all their pairs are decided, and a list ends when its members are in one component. What
-`rounds` rounds leave over is decided pair by pair.
+`rounds` rounds leave over is held against each other in blocks of the texts that lists connect;
+pairs are formed inside tasks only, and a block gives at most one link for two components it joins.
 
 Components are the smallest labels spread over links, with checkpoints. Nothing but counts and
 flags reaches the driver.
@@ -51,8 +52,8 @@ class Params:
     common: int = 21
     #: Estimated similarity under which a pair is not verified: 0.8 less six deviations of the estimate.
     least: float = 0.58
-    rounds: int = 3
-    #: Members of a block of a hub's group.
+    rounds: int = 2
+    #: Members of a block.
     block: int = 512
     #: Buckets of classes at least, and classes in a bucket.
     buckets: int = 48
@@ -222,6 +223,55 @@ def _judge(p: Params):
     return run
 
 
+def _judge_rest(p: Params):
+    """Links between the members of two blocks (or of one), of which no two labels are joined twice."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        rep, label, block = (table.column(c).to_numpy().copy() for c in ("rep", "label", "own"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("all").to_pylist()]
+        sketches = np.full((len(sets), p.k), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for row, s in enumerate(sets):
+            sketches[row, : min(len(s), p.k)] = s[: p.k]
+        sizes = np.array([len(s) for s in sets])
+        flat = sketches.ravel()
+        order = np.argsort(flat, kind="stable")
+        postings, owner = flat[order], order // p.k
+        out: list[tuple[int, int]] = []
+        for r, a in enumerate(sets):
+            low, high = np.searchsorted(postings, a[: p.k]), np.searchsorted(postings, a[: p.k], "right")
+            count = high - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            overlap = np.bincount(owner[at], minlength=len(sets))
+            mine = (rep > rep[r]) & (label != label[r]) & ((block != block[r]) if i != j else True)  # labels join as links are found
+            near = np.flatnonzero((overlap > 0) & mine & (100 * np.minimum(sizes, len(a)) >= p.percent * np.maximum(sizes, len(a))))
+            if not len(near):
+                continue
+            estimate = _estimates(a[: p.k], sketches[near], sizes[near], p)
+            for h in near[np.argsort(-estimate, kind="stable")][: int((estimate >= p.least).sum())]:
+                if label[h] != label[r] and similar(a, sets[h], p.percent):
+                    label[label == label[h]] = label[r]
+                    out.append((int(rep[r]), int(rep[h])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return run
+
+
+def _rest(lists: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links among the members of what is left of the lists, block by block of the texts that lists connect."""
+    known = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = known.groupBy("value").agg(F.min("rep").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    known = cut(known.join(mixed.hint("merge"), "value"))
+    members = known.select("rep", "label").distinct()
+    group = components(known.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    placed = members.join(group.select("rep", F.col("label").alias("group")).hint("merge"), "rep")
+    size = placed.groupBy("group").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
+    placed = placed.join(size.hint("merge"), "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    spread = placed.select("group", "rep", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    return spread.join(sets.hint("merge"), "rep").groupBy("group", "i", "j").applyInArrow(_judge_rest(p), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """rep and the smallest rep that links (a, b) reach from it, for every rep that has a link."""
     both = cut(links.select(F.col("a").alias("rep"), F.col("b").alias("to")).union(links.select("b", "a")).distinct())
@@ -288,20 +338,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         links = cut(links.union(found))
         labels = components(links)
         lists = left
-    known = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    one, two = known.alias("x"), known.alias("y")
-    pairs = (
-        one.join(two.hint("merge"), (F.col("x.value") == F.col("y.value")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.rep") < F.col("y.rep")))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    )
-    left_sets, right_sets = sets.select(F.col("rep").alias("a"), F.col("all").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("all").alias("sb"))
-
-    def verify(batches):
-        for batch in batches:
-            ok = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), p.percent) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    rest = pairs.join(left_sets.hint("merge"), "a").join(right_sets.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    rest = _rest(lists, labels, sets, p)
     labels = components(links.union(rest))
     named = classes.join(labels, "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     return (
