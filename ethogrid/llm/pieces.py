@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._memory import release
 
 META = "▁"
 #: Where the public tokenizers lie on this machine, unless a path is given.
@@ -94,7 +95,7 @@ class Automaton:
 class Codec(dict):
     """Encoder and decoder of one vocabulary; as a dict, the chunks seen so far, about `memory` at most."""
 
-    def __init__(self, vocabulary: Vocabulary, memory: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, memory: int = 150_000):
         super().__init__()
         self.v, self.memory = vocabulary, memory
         byte = lambda i: bytes([i - vocabulary.bytes_at]) if 0 <= i - vocabulary.bytes_at < 256 else b""
@@ -212,10 +213,11 @@ def _lists(column: pa.ListArray, part: int = 2_000_000) -> Iterator[tuple[int, i
 
 def _encoder(model: bytes, round_trip: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         codec = Codec(Vocabulary.read(model))
-        for batch in batches:
+        for batch in (whole.slice(low, 1024) for whole in batches for low in range(0, len(whole), 1024)):  # small rows out
             column = batch.column("text")
-            ids = [i for low in range(0, len(column), 512) for i in codec.encode(column.slice(low, 512).cast(pa.binary()).to_pylist())]
+            ids = [i for low in range(0, len(column), 256) for i in codec.encode(column.slice(low, 256).cast(pa.binary()).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(i) // 4 if i else 0 for i in ids])])
             values = np.frombuffer(b"".join(i for i in ids if i), np.int32)
             null = np.array([i is None for i in ids], bool)

@@ -38,6 +38,7 @@ from ethogrid.session import cut
 
 from . import _bytes as B
 from . import _shared as shared_values
+from ._memory import release
 
 
 @dataclass(frozen=True)
@@ -177,6 +178,7 @@ def _sender(shards: int, p: Params):
     """Step 2, on buckets: (shard, bucket, docs, sizes, data) of the distinct surroundings."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, shared: pa.Table) -> pa.Table:
+        release()
         s = surroundings(texts, shared, shards, p)
         out, size = _pieces(s, p)
         at = np.flatnonzero(np.concatenate([[True], s.shard[1:] != s.shard[:-1]])) if len(s.shard) else np.zeros(0, np.int64)
@@ -294,6 +296,7 @@ def _cutter(shards: int, p: Params, carry: tuple[str, ...], with_text: bool):
             columns["kept"] += [kept[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         numbers = {c: pa.array(np.concatenate([np.zeros(0, np.int64), *columns[c]]), pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}
         out = {"doc_id": texts.column("doc_id"), **numbers, "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in columns["kept"]], pa.string())}
+        release()
         if with_text:
             out["text"] = pa.array([x.decode("utf-8", "ignore") for x in columns["kept"]], pa.string())
         return pa.table(out | {c: texts.column(c) for c in carry})
