@@ -129,9 +129,34 @@ def layout(edges: pd.DataFrame, start: np.ndarray, epochs: int = 200, rate: floa
     return y
 
 
-def transformed(near: DataFrame, embedding: DataFrame, key: str = "id") -> DataFrame:
-    """key and e: the neighbours' coordinates weighted by inverse distance; near has key, neighbour, d2, embedding has id, e."""
-    w = 1 / (F.sqrt("d2") + 1e-9)
-    parts = near.join(embedding.select(F.col("id").alias("neighbour"), "e"), "neighbour").select(key, w.alias("w"), F.posexplode("e").alias("place", "v"))
-    means = parts.groupBy(key, "place").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "mean"))), lambda x: x["mean"]).alias("e"))
+def transformed(rows: DataFrame, marks: pd.DataFrame, k: int, key: str = "id", vector: str = "v", fixed: bool = False) -> DataFrame:
+    """key and e of every row: the coordinates of its k nearest landmarks, weighted by inverse distance.
+
+    marks has key, vector and e of a bounded number of landmarks. A row meets all of them, in blocks, and is not
+    its own neighbour unless no other landmark is there; ties go to the smaller key. With `fixed`, landmarks keep
+    their own e.
+    """
+    marks = marks.sort_values(key, kind="stable")
+    ids, v, e = marks[key].to_numpy(np.int64), np.stack(marks[vector].to_numpy()).astype(float), np.stack(marks["e"].to_numpy()).astype(float)
+
+    def place(own: np.ndarray, x: np.ndarray) -> np.ndarray:
+        d2 = np.zeros((len(x), len(ids)))
+        for j in range(v.shape[1]):
+            step = x[:, j, None] - v[None, :, j]
+            d2 += step * step
+        same = own[:, None] == ids
+        if len(ids) > 1:
+            d2[same] = np.inf
+        near = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        w = 1 / (np.sqrt(np.take_along_axis(d2, near, axis=1)) + 1e-9)
+        out = (w[:, :, None] * e[near]).sum(axis=1) / w.sum(axis=1)[:, None]
+        return np.where(same.any(axis=1)[:, None], e[same.argmax(axis=1)], out) if fixed else out
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, len(batch), 64):
+                part = batch.iloc[low : low + 64]
+                out = place(part["key"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(float))
+                yield pd.DataFrame({key: part["key"].to_numpy(np.int64), "e": list(out)})
+
+    return rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).mapInPandas(run, f"{key} long, e array<double>")

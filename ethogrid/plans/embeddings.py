@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,31 +174,28 @@ def pca_embedding(t: Tables) -> DataFrame:
 LANDMARKS = 2_000
 
 
-def _landmark_layout(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all vectors, landmark vectors, landmark embedding)."""
-    rows = vectors_of(t).select(F.col("vec_id").alias("id"), "v")
+def _landmark_layout(t: Tables) -> tuple[DataFrame, pd.DataFrame]:
+    """(all usable vectors, the landmarks' id, v and embedding e)."""
+    rows = vectors_of(t).select(F.col("vec_id").alias("id"), "v").where(F.col("id").isNotNull() & E.usable_vector(F.col("v")))
     marks = rows.orderBy(E.seeded(F.col("id") + 1, 1 << 30), "id").limit(LANDMARKS)
     mean, axes = latents.principal_axes(marks, "v", 2)
-    start = latents.projected(marks, "id", "v", mean, axes).toPandas()
     edges = latents.fuzzy_weights(graph.knn(marks, 15)).toPandas()
-    place = {i: k for k, i in enumerate(start["id"])}
+    found = marks.toPandas()
+    place = {i: k for k, i in enumerate(found["id"])}
     edges["a"], edges["b"] = edges["a"].map(place), edges["b"].map(place)
-    y = np.stack(start["e"].to_numpy())
+    y = (np.stack(found["v"].to_numpy()) - mean) @ axes.T
     done = latents.layout(edges, y / max(np.abs(y).max(), 1e-9) * 10, epochs=100)
-    embedding = t.spark.createDataFrame([(int(i), [float(c) for c in p]) for i, p in zip(start["id"], done, strict=True)], "id long, e array<double>")
-    return rows, marks, embedding
+    return rows, found.assign(e=list(done))
 
 
 @query()
 def umap_embedding(t: Tables) -> DataFrame:
     """A layout of the fuzzy neighbour graph of the landmarks."""
-    return _landmark_layout(t)[2]
+    marks = _landmark_layout(t)[1]
+    return t.spark.createDataFrame([(int(i), [float(c) for c in e]) for i, e in zip(marks["id"], marks["e"], strict=True)], "id long, e array<double>")
 
 
 @query()
 def embedding_transform(t: Tables) -> DataFrame:
     """Every vector placed by its nearest landmarks."""
-    rows, marks, embedding = _landmark_layout(t)
-    near = graph.knn(rows, 16)
-    near = near.join(marks.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
-    return latents.transformed(near, embedding)
+    return latents.transformed(*_landmark_layout(t), 16)
