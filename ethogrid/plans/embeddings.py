@@ -175,10 +175,10 @@ LANDMARKS = 2_000
 
 
 def _landmark_layout(t: Tables) -> tuple[DataFrame, pd.DataFrame]:
-    """(all usable vectors, the landmarks' id, v and embedding e)."""
+    """(all usable vectors, the landmarks' id, v and embedding e). The start is the main axes of all vectors."""
     rows = vectors_of(t).select(F.col("vec_id").alias("id"), "v").where(F.col("id").isNotNull() & E.usable_vector(F.col("v")))
     marks = rows.orderBy(E.seeded(F.col("id") + 1, 1 << 30), "id").limit(LANDMARKS)
-    mean, axes = latents.principal_axes(marks, "v", 2)
+    mean, axes = latents.principal_axes(rows, "v", 2)
     edges = latents.fuzzy_weights(graph.knn(marks, 15)).toPandas()
     found = marks.toPandas()
     place = {i: k for k, i in enumerate(found["id"])}
@@ -190,9 +190,8 @@ def _landmark_layout(t: Tables) -> tuple[DataFrame, pd.DataFrame]:
 
 @query()
 def umap_embedding(t: Tables) -> DataFrame:
-    """A layout of the fuzzy neighbour graph of the landmarks."""
-    marks = _landmark_layout(t)[1]
-    return t.spark.createDataFrame([(int(i), [float(c) for c in e]) for i, e in zip(marks["id"], marks["e"], strict=True)], "id long, e array<double>")
+    """A layout of the landmarks' fuzzy neighbour graph, and all other vectors placed by their nearest landmarks."""
+    return latents.transformed(*_landmark_layout(t), 16, fixed=True)
 
 
 @query()

@@ -9,7 +9,7 @@ from ethogrid.plans import embeddings
 from ethogrid.plans.catalogue import QUERIES
 
 
-@pytest.mark.parametrize("name", ["embedding_transform"])
+@pytest.mark.parametrize("name", ["embedding_transform", "umap_embedding"])
 def test_more_vectors_than_landmarks(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(embeddings, "LANDMARKS", 20)
     x = np.random.default_rng(3).normal(size=(300, 4))
