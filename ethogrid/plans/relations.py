@@ -210,9 +210,19 @@ ORDER = ", ".join(("l_extendedprice DESC", *TIE[1:]))
     last AS (SELECT grp, arg_max(kept, k) AS kept FROM n GROUP BY grp), u AS (SELECT grp, unnest(kept) AS b FROM last)
     SELECT grp, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM u""")
 def box_nms(t: Tables) -> DataFrame:
-    """Greedy suppression within each of the first 300 images, as the catalogue defines them."""
+    """Greedy suppression within each of the first 300 images only, those of its SQL; box_nms_all has every image."""
+    return _suppressed(boxes_of(t).where("grp < 300"))
+
+
+@query()
+def box_nms_all(t: Tables) -> DataFrame:
+    """Greedy suppression within every image."""
+    return _suppressed(boxes_of(t))
+
+
+def _suppressed(rows: DataFrame) -> DataFrame:
     order = [-F.col("l_extendedprice"), *[F.col(c) for c in TIE[1:]]]
-    return boxes.suppress(boxes_of(t).where("grp < 300"), "grp", order).select("grp", "x0", "y0", "x1", "y1")
+    return boxes.suppress(rows, "grp", order).select("grp", "x0", "y0", "x1", "y1")
 
 
 @query("SELECT 8 AS n, CAST(i AS INTEGER) AS i, round((i % 8 + 0.5) / 8, 6) AS x, round((i // 8 + 0.5) / 8, 6) AS y FROM (SELECT unnest(range(0, 64)) AS i)")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ethogrid.plans import embeddings
+from ethogrid.plans import embeddings, relations
 from ethogrid.plans.catalogue import QUERIES
 
 
@@ -40,3 +41,23 @@ def test_placing_equals_brute_force(spark):
         wanted = (w[:, None] * e[near]).sum(axis=0) / w.sum()
         assert np.allclose(own[i], wanted)
         assert np.allclose(fixed[i], e[i] if i < 40 else wanted)
+
+
+def test_suppression_of_every_image_equals_brute_force(spark, tmp_path, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 2000 between 250 and 1400 and l_orderkey % 2 = 0").withColumn("l_orderkey", (F.col("l_orderkey") / 100).cast("long") * 100)
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    groups, wanted = {}, []
+    for r in rows.collect():
+        x, y = r.l_partkey % 64, r.l_suppkey % 48
+        box = (x, y, x + 4 + int(r.l_quantity) % 24, y + 4 + 3 * r.l_linenumber)
+        groups.setdefault(r.l_orderkey % 2000, []).append(((-r.l_extendedprice, *[r[c] for c in relations.TIE[1:]]), box))
+    for g, listed in groups.items():
+        kept = []
+        for _, b in sorted(listed):
+            shared = [max(min(b[2], k[2]) - max(b[0], k[0]), 0) * max(min(b[3], k[3]) - max(b[1], k[1]), 0) for k in kept]
+            size = lambda z: (z[2] - z[0]) * (z[3] - z[1])
+            if not any(10 * i > 3 * (size(k) + size(b) - i) for i, k in zip(shared, kept, strict=True)):
+                kept.append(b)
+        wanted += [(g, *b) for b in kept]
+    got = sorted(tuple(r) for r in QUERIES["box_nms_all"](spark, str(tmp_path)).collect())
+    assert got == sorted(wanted) and 0 < len(wanted) < rows.count() and max(groups) >= 300
