@@ -1,7 +1,7 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Two multinomials over hashed word unigrams and bigrams are estimated: one from documents that
-labellers trust (a bounded sample), one from every document of the corpus. A document's score is
+labellers trust (all of them), one from every document of the corpus. A document's score is
 the mean over its n-grams of log p_target - log p_raw, so long and short texts compare. Every
 document is judged by the same threshold, which is a quantile of the trusted documents' own
 scores (each half of them scored by the other half's model); nothing is drawn at random.
@@ -32,13 +32,11 @@ IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 @dataclass(frozen=True)
 class Params:
     buckets: int = 1 << 16
-    #: At most so many trusted documents are read, those with the smallest hashed ids.
-    trusted_rows: int = 20_000
     #: Strength of the raw corpus as the prior of the target's counts, as a share of these.
     prior: float = 0.5
     #: The threshold lies below the trusted documents' scores, but for this share of them ...
     tail: float = 0.02
-    #: ... and by this much more, so that clean documents outside the sample stay.
+    #: ... and by this much more, so that clean documents that nobody labelled stay.
     margin: float = 0.1
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -53,23 +51,25 @@ def _grams(buf: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarr
     return np.concatenate([text, text[1:][same]]), (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _counter(p: Params):
+def _counter(p: Params, halves: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(p.buckets, np.int64)
+        total = np.zeros((2, p.buckets), np.int64)
         for batch in batches:
-            for _, _, buf, offsets in B.slices(batch.column("text")):
-                total += np.bincount(_grams(buf, offsets, p.buckets)[1], minlength=p.buckets)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
+            half = batch.column("half").to_numpy(zero_copy_only=False) if halves else np.zeros(batch.num_rows, np.int64)
+            for low, _, buf, offsets in B.slices(batch.column("text")):
+                text, bucket = _grams(buf, offsets, p.buckets)
+                total += np.bincount(half[low + text] * p.buckets + bucket, minlength=2 * p.buckets).reshape(2, -1)
+        half, bucket = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(bucket), pa.array(total[half, bucket])], ["half", "bucket", "n"])
 
     return count
 
 
-def _counts(texts: DataFrame, p: Params) -> np.ndarray:
-    """Counts of all n-grams by bucket; each task sends at most one row a bucket."""
-    rows = texts.select("text").mapInArrow(_counter(p), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(p.buckets)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+def _counts(texts: DataFrame, p: Params, halves: bool = False) -> np.ndarray:
+    """Counts of all n-grams by half (the first, if there are none) and bucket; each task sends at most one row for each."""
+    rows = texts.select("text", *["half"] * halves).mapInArrow(_counter(p, halves), "half long, bucket long, n long").groupBy("half", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, p.buckets))
+    out[rows["half"].to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return out
 
 
@@ -125,31 +125,44 @@ def _scorer(ratio: np.ndarray, p: Params, wanted: str, with_text: bool = False):
     return score
 
 
+def _crossed(ratios: list[np.ndarray], p: Params):
+    """doc_id and score of each text, by the ratio of the half it isn't in."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.column("half").to_numpy(zero_copy_only=False)
+            for low, high, buf, offsets in B.slices(batch.column("text")):
+                text, bucket = _grams(buf, offsets, p.buckets)
+                value = np.where(half[low + text] == 0, ratios[1][bucket], ratios[0][bucket])
+                size = np.bincount(text, minlength=high - low)
+                found = np.bincount(text, value, minlength=high - low) / np.maximum(size, 1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(found)], ["doc_id", "score"])
+
+    return score
+
+
 def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, threshold). Raw counts cover all documents; the target at most p.trusted_rows."""
-    trusted = (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.trusted_rows)
-    )
-    ids = [r.doc_id for r in trusted.collect()]
-    raw = _counts(documents, p)
-    if not ids or not raw.sum():
-        return np.zeros(p.buckets), -np.inf
-    rows = [(i, k % 2) for k, i in enumerate(ids)]
-    picked = documents.select("doc_id", "text").join(F.broadcast(documents.sparkSession.createDataFrame(rows, "doc_id long, half int")), "doc_id")
-    halves = [picked.where(F.col("half") == k) for k in (0, 1)]
-    targets = [_counts(x, p) for x in halves]
-    if not sum(targets).sum():
-        return np.zeros(p.buckets), -np.inf
+    """(log ratio of each bucket, threshold). Raw counts cover all documents; target and threshold all trusted ones."""
+    nothing = np.zeros(p.buckets), -np.inf
+    raw = _counts(documents, p)[0]
+    if not raw.sum():
+        return nothing
+    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    targets = _counts(rows.join(trusted.hint("merge"), "doc_id"), p, halves=True)
+    if not targets.sum():
+        return nothing
     p_raw = (raw + 1) / (raw.sum() + p.buckets)
 
     def ratio(target: np.ndarray) -> np.ndarray:
         strength = p.prior * max(target.sum(), 1)
         return np.log((target + strength * p_raw) / (target.sum() + strength)) - np.log(p_raw)
 
-    # each half is scored by the other, as documents outside the sample will be
-    own = [x.mapInArrow(_scorer(ratio(t), p, "score"), "doc_id long, half int, score double").select("score").toPandas()["score"].to_numpy() for x, t in zip(halves, reversed(targets), strict=True)]
-    return ratio(sum(targets)), float(np.quantile(np.concatenate(own), p.tail)) - p.margin
+    # each half is scored by the other, as documents that nobody labelled will be; texts are scored where they lie and
+    # only scores are dealt out; a rank is off by a millionth of the rows at most
+    own = rows.mapInArrow(_crossed([ratio(t) for t in targets], p), "doc_id long, score double").join(trusted.hint("merge"), "doc_id")
+    low = own.agg(F.percentile_approx("score", p.tail, 1_000_000).alias("low")).first().low
+    return ratio(targets.sum(axis=0)), float(low) - p.margin
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, p: Params = Params(), carry: tuple[str, ...] = ()) -> DataFrame:

@@ -154,6 +154,23 @@ def test_quality_separates_at_larger_scale(spark):
     assert means[1] > means[0] + 0.2
 
 
+def test_quality_counts_every_trusted_row(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    # a batch of trusted rows beyond 20000, of which only those with the largest hashed ids hold a word of their own
+    ids = spark.range(24_000).orderBy(F.xxhash64("id"), "id").toPandas()["id"]
+    rows = pd.DataFrame({"doc_id": ids, "text": ["alpha beta gamma"] * 20_000 + ["delta epsilon zeta"] * 4_000})
+    other = pd.DataFrame({"doc_id": range(100_000, 110_000), "text": ["alpha delta noise junk"] * 10_000})
+    documents = spark.createDataFrame(pd.concat([rows, other]))
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": ids, "quality": 1, "toxic": 0}))
+    p = quality.Params()
+    ratio, _ = quality.fit(documents, labels, p)
+    buf = np.frombuffer(b"epsilon", np.uint8)
+    _, bucket = quality._grams(buf, np.array([0, len(buf)]), p.buckets)
+    assert ratio[bucket[0]] > 0
+
+
 def test_quality_of_odd_rows(odd, none, labels):
     rows = quality.quality_rules(odd, labels).collect()
     assert len(rows) == odd.count()
