@@ -149,16 +149,22 @@ def _offer(shards: int):
 
 
 def _keep(shards: int, p: Params):
-    """(value, rep, n, alone) of the shared values of the classes that have few enough unshared ones."""
+    """(value, rep, part, n, alone) of the shared values of the classes that have few enough unshared ones.
+
+    Rows that repeat a rep's sketch count once; `part` tells the sets of one rep apart."""
 
     def run(key: tuple[pa.Scalar, ...], reps: pa.Table, answers: pa.Table) -> pa.Table:
+        first: dict[tuple, int] = {}
+        for k, x in enumerate(zip(*(reps.column(c).to_pylist() for c in ("rep", "n", "sketch")), strict=True)):
+            first.setdefault(x, k)
+        reps = reps.take(pa.array(list(first.values()), pa.int64()))
         value, sizes = _neighbours(reps.column("sketch"))
         shared = shared_values.among(shared_values.unpack(answers), value, shards)
         rep, n = reps.column("rep").to_numpy(), reps.column("n").to_numpy()
         row = np.repeat(np.arange(len(sizes)), sizes)
         alone = sizes - np.bincount(row[shared], minlength=len(sizes))
         fit = shared & ((sizes - alone >= needed(n, p))[row])
-        return pa.table({"value": value[fit].view(np.int64), "rep": rep[row[fit]], "n": n[row[fit]], "alone": alone[row[fit]]})
+        return pa.table({"value": value[fit].view(np.int64), "rep": rep[row[fit]], "part": row[fit], "n": n[row[fit]], "alone": alone[row[fit]]})
 
     return run
 
@@ -321,10 +327,10 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     reps = some.join(classes.hint("merge"), ["k1", "k2", "n"]).where("doc_id = rep")
     reps = cut(reps.select("rep", "n", "sketch", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("long").alias("bucket")))
     answers = shared_values.shared(reps.select("rep", "bucket", "sketch").mapInArrow(_offer(shards), shared_values.SCHEMA))
-    values = reps.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_keep(shards, p), "value long, rep long, n long, alone long")
+    values = reps.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_keep(shards, p), "value long, rep long, part long, n long, alone long")
     values = cut(values)
     counts = values.groupBy("value").agg(F.count("*").alias("df"))
-    size, by_rep = F.least("n", F.lit(p.k)) - 1, Window.partitionBy("rep", "n")
+    size, by_rep = F.least("n", F.lit(p.k)) - 1, Window.partitionBy("rep", "part")
     whole = F.ceil((F.col("n") * (2 * p.percent - 100) - 100) / 100)
     wanted = F.greatest(F.when(F.col("n") * 100 < p.k * p.percent, whole).otherwise(p.common), F.lit(1))
     ranked = values.join(counts.hint("merge"), "value").withColumn("rank", F.row_number().over(by_rep.orderBy("df", "value")) + F.col("alone"))

@@ -68,6 +68,21 @@ def test_near_duplicates_of_a_hub_and_of_a_chain(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, p).collect()} == wanted
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    rows, times = [], []
+    for k in range(8):  # rows 0 and 1 are similar; 2 and 3 share rarer values with 0, but are not similar to it
+        base = [f"f{k}w{i}" for i in range(61)]
+        swap = lambda w, at, s: [f"{s}{k}y{i}" if i in at else x for i, x in enumerate(w)]
+        third = swap(base, range(31, 55, 4), "c")
+        for j, (w, m) in enumerate([(base, 40), (swap(base, (5, 15, 25), "b"), 40), (third, 1), (swap(third, (58,), "d"), 1)]):
+            rows.append((10 * k + j, " ".join(w)))
+            times += [rows[-1]] * m
+    wanted = linked(shingle_sets(rows, 2))
+    assert all(wanted[10 * k + 1] == 10 * k != wanted[10 * k + 2] for k in range(8))
+    got = neardup.near_duplicates(spark.createDataFrame(times, "doc_id long, text string")).collect()
+    assert len(got) == len(times) and {r.doc_id: r.component_id for r in got} == wanted
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect()]
     assert len(rows) == odd.count()
