@@ -74,6 +74,14 @@ def union_latents(t: Tables) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query()
+def union_latents_all(t: Tables) -> DataFrame:
+    """Batches of even and odd numbers joined by column name, so that every vector is in one; missing columns are null."""
+    odd = F.coalesce(F.col("vec_id") % 2 != 0, F.lit(True))
+    a, b = t.embeddings.where(~odd).select("vec_id", "label", F.lit("a").alias("part")), t.embeddings.where(odd).select("vec_id", F.lit("b").alias("part"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query(GOOD + """, e AS (SELECT vec_id, label, unnest(v[1:4]) AS x, unnest(range(0, 4)) AS class FROM good), m AS (SELECT label, class, avg(1 / (1 + exp(-x * 4))) AS p FROM e GROUP BY ALL)
     SELECT label, CAST(arg_max(class, (p, -class)) AS INTEGER) AS class, round(max(p), 6) AS probability FROM m GROUP BY label""")
 def prob_mean_argmax(t: Tables) -> DataFrame:

@@ -141,6 +141,15 @@ def preprocess_geometry(t: Tables) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, round(degrees(atan2(l_suppkey % 48 - 24, l_partkey % 64 - 32)) - 90, 6) AS angle FROM lineitem WHERE l_suppkey % 48 <> 24""")
 def tail_angle(t: Tables) -> DataFrame:
-    """Degrees by which to turn a frame so that a point lies above its centre."""
-    rows = t.lineitem.where("l_suppkey % 48 <> 24")
+    """Degrees by which to turn a frame so that a point lies above its centre; level points are left out, as in its SQL."""
+    return _turned(t.lineitem.where("l_suppkey % 48 <> 24"))
+
+
+@query()
+def tail_angle_all(t: Tables) -> DataFrame:
+    """The same for every point: -90 for level ones to the right and for the centre itself, 90 for those to the left."""
+    return _turned(t.lineitem)
+
+
+def _turned(rows: DataFrame) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.round(E.turn_angle(F.lit(32), F.lit(24), F.col("l_partkey") % 64, F.col("l_suppkey") % 48), 6).alias("angle"))
