@@ -11,20 +11,20 @@ listed under the rarest of its pairs, as many as leave fewer than `common` out.
 alone has count among the rarest and need no list, and a class with fewer than `common` others leaves
 before lists are made.
 
-Within the lists no pair is emitted. In each round a list has a hub (first its smallest member, then
-the component that most of its members have reached) against which its other members are held, in
-blocks: sketch overlaps first, then the similarity of the union's sketch, then the exact one on full
-sets, and one link joins a member to a hub that is connected already. Hub members then leave the
-list, as all their pairs are decided, and a list ends when its members are in one component. What
-`rounds` rounds leave over is held against each other in blocks of the texts that lists connect;
-pairs are formed inside tasks only, and a block gives at most one link for two components it joins.
-
-Components are the smallest labels spread over links, with checkpoints. Nothing but counts and
-flags reaches the driver.
-
-Null and empty texts have an empty set, link to nothing and stay. Rows without doc_id link to nothing,
-stay, and have no component. Rows that share a doc_id are one document: its texts' links count for
-all of them. Every input row gives one row.
+Within the lists no pair is emitted. A list's hub is its member with the smallest hash, and members of all lists
+with one hub form its group; texts that share many lists share few hubs, so groups hold each text a few times. A
+group is dealt into blocks, each with the hub. Inside a block the sketches' inverted lists give the overlaps, the
+similarity of the union's sketch filters, the exact one on full sets verifies, and one link is kept for two trees
+it joins. For groups of several blocks, members that are not in the group's commonest component are then held
+against all its blocks; so links are never missed for a group's size, and a group that its hub connects costs its
+length. Members that are similar to nothing cost a group's blocks squared.
+
+Components are found by contraction, with checkpoints. Nothing but counts and flags reaches the driver.
+
+Null and empty texts have an empty set, link to nothing and stay. Rows without doc_id link to nothing, stay, and
+have no component. Rows that share a doc_id are one document: its texts' links count for all of them. Every input
+row gives one row, an empty table none. Very long texts are hashed whole, as a block of their own. Only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -52,9 +52,10 @@ class Params:
     common: int = 21
     #: Estimated similarity under which a pair is not verified: 0.8 less six deviations of the estimate.
     least: float = 0.58
-    rounds: int = 2
     #: Members of a block.
     block: int = 512
+    #: Links of a task that finds components.
+    links: int = 1 << 20
     #: Buckets of classes at least, and classes in a bucket.
     buckets: int = 48
     bucket: int = 8_192
@@ -169,184 +170,213 @@ def _keep(shards: int, p: Params):
     return run
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets have the similarity, exactly."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _estimates(a: np.ndarray, others: np.ndarray, sizes: np.ndarray, p: Params) -> np.ndarray:
-    """The similarity of a set with others, from the k smallest values of each union; rows of `others` are padded sketches."""
-    both = np.concatenate([np.broadcast_to(a, (len(others), len(a))), others], axis=1)
-    both.sort(axis=1)
-    twin = both[:, 1:] == both[:, :-1]
-    pad = both == np.uint64(0xFFFFFFFFFFFFFFFF)
-    new = np.concatenate([np.ones((len(both), 1), bool), ~twin], axis=1) & ~pad
-    rank = np.cumsum(new, axis=1)
-    union = np.minimum(rank[:, -1], p.k)
-    common = (twin & (rank[:, 1:] <= p.k) & ~pad[:, 1:]).sum(axis=1)
-    return common / np.maximum(union, 1)
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, rows) of the sets, by value."""
+    value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(value, kind="stable")
+    return value[order], row[order]
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], least: int = 64, part: int = 1 << 22) -> np.ndarray:
+    """How many values each set of `one` has in common with each of `two`, from inverted lists of both.
+
+    Lists with `least` pairs or more are counted by products of 0/1 matrices, the others pair by pair, in parts.
+    """
+    (va, ra), (vb, rb) = _flat(one), _flat(two)
+    names = np.intersect1d(va, vb)
+    at, bt = np.isin(va, names), np.isin(vb, names)
+    ca, ra, cb, rb = np.searchsorted(names, va[at]), ra[at], np.searchsorted(names, vb[bt]), rb[bt]
+    na, nb = np.bincount(ca, minlength=len(names)), np.bincount(cb, minlength=len(names))
+    heavy = na * nb >= least
+    out = np.zeros(len(one) * len(two), np.int64)
+    few = np.flatnonzero(~heavy[ca])
+    times, begin = nb[ca[few]], (np.cumsum(nb) - nb)[ca[few]]
+    done = np.concatenate([[0], np.cumsum(times)])
+    for low in np.arange(0, done[-1], part):
+        i, j = np.searchsorted(done, [low, min(low + part, done[-1])])
+        n = times[i:j]
+        other = np.repeat(begin[i:j] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out += np.bincount(np.repeat(ra[few[i:j]], n) * len(two) + rb[other], minlength=len(out))
+    out = out.reshape(len(one), len(two))
+    place = np.cumsum(heavy) - 1
+    ca, ra, cb, rb = place[ca[heavy[ca]]], ra[heavy[ca]], place[cb[heavy[cb]]], rb[heavy[cb]]
+    for low in range(0, int(heavy.sum()), 2048):
+        sides = []
+        for c, r, n in ((ca, ra, len(one)), (cb, rb, len(two))):
+            i, j = np.searchsorted(c, [low, low + 2048])
+            m = np.zeros((n, 2048), np.float32)
+            m[r[i:j], c[i:j] - low] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def similar_pairs(one: list[np.ndarray], two: list[np.ndarray], p: Params) -> np.ndarray:
+    """A row (i, j) for every pair of similar sets, exactly.
+
+    The sketches' inverted lists give the overlaps; the union's sketch, all values up to the smaller of both sketches'
+    ends, gives an estimate, and where some pass, the full sets' lists give the similarities.
+    """
+    sizes = [np.array([len(s) for s in x]) for x in (one, two)]
+    low, high = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+    sketches = [[s[: p.k] for s in x] for x in (one, two)]
+    last = [np.array([s[-1] if len(s) == p.k else 0xFFFFFFFFFFFFFFFF for s in x], np.uint64) for x in sketches]
+    overlap = overlaps(*sketches)
+    fits = (overlap > 0) & (100 * low >= p.percent * high)
+    if fits.any():
+        inside = [np.stack([np.searchsorted(s, ends, "right") for s in x]) for x, ends in zip(sketches, last[::-1], strict=True)]
+        fits &= overlap >= p.least * (inside[0] + inside[1].T - overlap)
+    if not fits.any():
+        return np.zeros((0, 2), np.int64)
+    rows, columns = (np.flatnonzero(fits.any(axis=k)) for k in (1, 0))
+    both = overlaps([one[k] for k in rows], [two[k] for k in columns])
+    i, j = np.nonzero(fits[np.ix_(rows, columns)] & (100 * both >= p.percent * ((low + high)[np.ix_(rows, columns)] - both)))
+    return np.column_stack([rows[i], columns[j]])
+
+
+def _sets_of(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in table.column("all").to_pylist()]
+
+
+def trees(a: np.ndarray, b: np.ndarray, by_hash: bool = False) -> pa.Table:
+    """A spanning forest of links: each end beside the root of its tree, the smallest by number or by hash."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if by_hash:
+        by = np.argsort(B.mix(names.view(np.uint64)), kind="stable")
+        place = np.empty(len(names), np.int64)
+        place[by] = np.arange(len(names))
+        names, ends = names[by], place[ends]
+    a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(names))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    child = np.flatnonzero(root != np.arange(len(names)))
+    return pa.table({"a": names[child], "b": names[root[child]]})
 
 
 def _judge(p: Params):
-    """Links of a group's members to its hub; the hub's rows are of one component, so one link is enough."""
+    """A forest of the links within a block of a hub's group, or between loose members of one block and all of another."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rep, is_hub = table.column("rep").to_numpy(), table.column("is_hub").to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("all").to_pylist()]
-        hub, rest = np.flatnonzero(is_hub), np.flatnonzero(~is_hub)
-        out: list[tuple[int, int]] = []
-        if len(hub) and len(rest):
-            sketches = np.full((len(hub), p.k), 0xFFFFFFFFFFFFFFFF, np.uint64)
-            for row, h in enumerate(hub):
-                s = sets[h][: p.k]
-                sketches[row, : len(s)] = s
-            sizes = np.array([len(sets[h]) for h in hub])
-            flat = sketches.ravel()
-            order = np.argsort(flat, kind="stable")
-            postings, owner = flat[order], order // p.k
-            for r in rest:
-                a = sets[r]
-                # inverted lists of the hub's sketches count the overlaps
-                low, high = np.searchsorted(postings, a[: p.k]), np.searchsorted(postings, a[: p.k], "right")
-                count = high - low
-                at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-                overlap = np.bincount(owner[at], minlength=len(hub))
-                near = np.flatnonzero((overlap > 0) & (100 * np.minimum(sizes, len(a)) >= p.percent * np.maximum(sizes, len(a))))
-                near = near[rep[hub[near]] != rep[r]]
-                if not len(near):
-                    continue
-                estimate = _estimates(a[: p.k], sketches[near], sizes[near], p)
-                for h in near[np.argsort(-estimate, kind="stable")][: int((estimate >= p.least).sum())]:
-                    if similar(a, sets[hub[h]], p.percent):
-                        out.append((int(rep[r]), int(rep[hub[h]])))
-                        break
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        label, sets = table.column("label").to_numpy(), _sets_of(table)
+        if "asks" in table.column_names:
+            asks = table.column("asks").to_numpy(zero_copy_only=False)
+            one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+        else:
+            one = two = np.arange(len(sets))
+        if not len(one) or not len(two):
+            return trees(label[:0], label[:0])
+        pairs = similar_pairs([sets[k] for k in one], [sets[k] for k in two], p)
+        return trees(label[one[pairs[:, 0]]], label[two[pairs[:, 1]]])
 
     return run
 
 
-def _judge_rest(p: Params):
-    """Links between the members of two blocks (or of one), of which no two labels are joined twice."""
+def _forest(by_hash: bool):
+    """A spanning forest of a partition's links."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        rep, label, block = (table.column(c).to_numpy().copy() for c in ("rep", "label", "own"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("all").to_pylist()]
-        sketches = np.full((len(sets), p.k), 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for row, s in enumerate(sets):
-            sketches[row, : min(len(s), p.k)] = s[: p.k]
-        sizes = np.array([len(s) for s in sets])
-        flat = sketches.ravel()
-        order = np.argsort(flat, kind="stable")
-        postings, owner = flat[order], order // p.k
-        out: list[tuple[int, int]] = []
-        for r, a in enumerate(sets):
-            low, high = np.searchsorted(postings, a[: p.k]), np.searchsorted(postings, a[: p.k], "right")
-            count = high - low
-            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            overlap = np.bincount(owner[at], minlength=len(sets))
-            mine = (rep > rep[r]) & (label != label[r]) & ((block != block[r]) if i != j else True)  # labels join as links are found
-            near = np.flatnonzero((overlap > 0) & mine & (100 * np.minimum(sizes, len(a)) >= p.percent * np.maximum(sizes, len(a))))
-            if not len(near):
-                continue
-            estimate = _estimates(a[: p.k], sketches[near], sizes[near], p)
-            for h in near[np.argsort(-estimate, kind="stable")][: int((estimate >= p.least).sum())]:
-                if label[h] != label[r] and similar(a, sets[h], p.percent):
-                    label[label == label[h]] = label[r]
-                    out.append((int(rep[r]), int(rep[h])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+    def run(batches):
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if len(b)]
+        if parts:
+            yield from trees(*(np.concatenate(x) for x in zip(*parts, strict=True)), by_hash).to_batches()
 
     return run
 
 
-def _rest(lists: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Links among the members of what is left of the lists, block by block of the texts that lists connect."""
-    known = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = known.groupBy("value").agg(F.min("rep").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    known = cut(known.join(mixed.hint("merge"), "value"))
-    members = known.select("rep", "label").distinct()
-    group = components(known.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    placed = members.join(group.select("rep", F.col("label").alias("group")).hint("merge"), "rep")
-    size = placed.groupBy("group").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
-    placed = placed.join(size.hint("merge"), "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    spread = placed.select("group", "rep", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    return spread.join(sets.hint("merge"), "rep").groupBy("group", "i", "j").applyInArrow(_judge_rest(p), "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """rep and the smallest rep that links (a, b) reach from it, for every rep that has a link."""
-    both = cut(links.select(F.col("a").alias("rep"), F.col("b").alias("to")).union(links.select("b", "a")).distinct())
-    labels = both.groupBy("rep").agg(F.least(F.min("to"), F.col("rep")).alias("label"))
-    while True:
-        labels = cut(labels)
-        heard = both.join(labels.select(F.col("rep").alias("to"), "label"), "to").groupBy("rep").agg(F.min("label").alias("heard"))
-        hop = labels.select(F.col("rep").alias("label"), F.col("label").alias("beyond"))
-        lower = labels.join(heard, "rep").join(hop, "label").select("rep", F.least("label", "heard", "beyond").alias("new"), F.col("label").alias("old"))
-        lower = cut(lower)
-        if lower.where("new < old").isEmpty():
-            return labels
-        labels = lower.select("rep", F.col("new").alias("label"))
-
-
-def _round(lists: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(links found between the lists' hubs and their other members, what is left of the lists)."""
-    known = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    counts = known.groupBy("value", "label").agg(F.count("*").alias("members"))
-    hubs = counts.groupBy("value").agg(F.max(F.struct("members", (-F.col("label")).alias("neg"))).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    marked = cut(known.join(hubs.select("value", (-F.col("top.neg")).alias("hub")).hint("merge"), "value"))
-    group = marked.select("hub", "rep", (F.col("label") == F.col("hub")).alias("is_hub")).groupBy("hub", "rep").agg(F.max("is_hub").alias("is_hub"))
-    size = group.groupBy("hub").agg(
-        F.ceil(F.sum(F.col("is_hub").cast("int")) / p.block).alias("hub_blocks"), F.ceil(F.sum((~F.col("is_hub")).cast("int")) / p.block).alias("rest_blocks")
-    )
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+def components(links: DataFrame, p: Params = Params()) -> DataFrame:
+    """rep and label, the smallest rep that links (a, b) reach, for every rep that isn't that itself.
+
+    Links are contracted to forests inside partitions, of which there are as few as hold `links` links each; one
+    partition's forest is the answer. While there are several, every text points to the neighbour with the smallest
+    hash, and on to that one's own choice; texts are then replaced by what they point to, equal links become one and
+    those inside a text vanish. So links get fewer by a factor a round, whatever the shape of the components.
+    """
+    order = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id"))
+    edges = cut(links.where("a <> b").mapInArrow(_forest(True), "a long, b long"))
+    found = None
+    while (tasks := -(-edges.count() // p.links)) > 1:
+        edges = cut(edges.coalesce(tasks).mapInArrow(_forest(True), "a long, b long").distinct())
+        both = edges.union(edges.select("b", "a"))
+        points = both.groupBy(F.col("a").alias("rep")).agg(F.min(order("b")).alias("low"))
+        points = points.select("rep", F.least("low", order("rep"))["id"].alias("to"))
+        beyond = points.select(F.col("rep").alias("to"), F.col("to").alias("label"))
+        points = cut(points.join(beyond, "to").select("rep", "label"))
+        edges = cut(replaced(replaced(edges, "a", points), "b", points).where("a <> b").distinct())
+        found = points if found is None else replaced(found, "label", points)
+    roots = cut(edges.coalesce(1).mapInArrow(_forest(False), "a long, b long").select(F.col("a").alias("rep"), F.col("b").alias("label")))
+    if found is None:
+        return roots
+    # texts that vanished on the way have the label of what they were replaced by
+    found = replaced(found, "label", roots)
+    first = found.groupBy("label").agg(F.min("rep").alias("first"))
+    named = found.join(first, "label").select("rep", F.least("first", "label").alias("label"))
+    return cut(named.unionByName(first.select(F.col("label").alias("rep"), F.least("first", "label").alias("label"))).distinct())
+
+
+def replaced(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """The rows with what labels (rep, label) say in the place of the column's values."""
+    named = labels.select(F.col("rep").alias(column), F.col("label").alias("_new"))
+    return rows.join(named, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(*rows.columns)
+
+
+def _across(placed: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links between the blocks of groups that have several: members outside a group's commonest label against all."""
+    known = placed.where("blocks > 1").select("hub", "rep", "own", "blocks", F.col("rep").alias("label"))
+    known = cut(replaced(known, "label", labels))
+    counts = known.groupBy("hub", "label").agg(F.count("*").alias("members"))
+    open_ = counts.groupBy("hub").agg(F.max(F.struct("members", "label")).alias("top"), F.sum("members").alias("all"), F.count("*").alias("labels"))
+    open_ = open_.where("labels > 1").select("hub", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.members")) / p.block).alias("others"))
+    known = known.join(open_, "hub")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    dealt = (
-        group.join(size.hint("merge"), "hub")
-        .select("hub", "rep", "is_hub", F.when(F.col("is_hub"), own("hub_blocks")).alias("i"), F.when(~F.col("is_hub"), own("rest_blocks")).alias("j"), "hub_blocks", "rest_blocks")
-        .select("hub", "rep", "is_hub", "j", "rest_blocks", F.explode(F.when(F.col("is_hub"), F.array("i")).otherwise(every("hub_blocks"))).alias("i"))
-        .select("hub", "rep", "is_hub", "i", F.explode(F.when(F.col("is_hub"), every("rest_blocks")).otherwise(F.array("j"))).alias("j"))
-    )
-    links = dealt.join(sets.hint("merge"), "rep").groupBy("hub", "i", "j").applyInArrow(_judge(p), "a long, b long")
-    left = marked.where(F.col("label") != F.col("hub")).select("value", "rep")
-    return links, left
+    pool = known.select("hub", "rep", "label", F.lit(False).alias("asks"), F.col("own").alias("i"), F.explode(every("others")).alias("j"))
+    asks = known.where("label <> top").withColumn("j", F.pmod(F.xxhash64("rep"), F.col("others")))
+    asks = asks.select("hub", "rep", "label", F.lit(True).alias("asks"), F.explode(every("blocks")).alias("i"), "j")
+    return pool.unionByName(asks).join(sets, "rep").groupBy("hub", "i", "j").applyInArrow(_judge(p), "a long, b long")
+
+
+def _same_document(some: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes of doc_ids that stand for several texts; None without such doc_ids."""
+    key = F.struct("k1", "k2", "n")
+    several = cut(some.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id"))
+    if several.isEmpty():
+        return None
+    return some.join(several, "doc_id").join(classes, ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(rows.mapInArrow(_sketcher(p), "doc_id long, n long, k1 long, k2 long, sketch binary"))
     some = sketched.where("n > 0 and doc_id is not null")
-    classes = cut(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
+    classes = cut(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     shards = max(p.buckets, -(-classes.count() // p.bucket))
-    reps = some.join(classes.hint("merge"), ["k1", "k2", "n"]).where("doc_id = rep")
-    reps = cut(reps.select("rep", "n", "sketch", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("long").alias("bucket")))
+    reps = classes.select("rep", "n", "sketch", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("long").alias("bucket"))
     answers = shared_values.shared(reps.select("rep", "bucket", "sketch").mapInArrow(_offer(shards), shared_values.SCHEMA))
     values = reps.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_keep(shards, p), "value long, rep long, part long, n long, alone long")
     values = cut(values)
-    counts = values.groupBy("value").agg(F.count("*").alias("df"))
+    # each list's length, and its hub: the member with the smallest hash, so that lists of like members have like hubs
+    counts = values.groupBy("value").agg(F.count("*").alias("df"), F.min(F.struct(F.xxhash64("rep").alias("hash"), "rep")).alias("low"))
     size, by_rep = F.least("n", F.lit(p.k)) - 1, Window.partitionBy("rep", "part")
     whole = F.ceil((F.col("n") * (2 * p.percent - 100) - 100) / 100)
     wanted = F.greatest(F.when(F.col("n") * 100 < p.k * p.percent, whole).otherwise(p.common), F.lit(1))
-    ranked = values.join(counts.hint("merge"), "value").withColumn("rank", F.row_number().over(by_rep.orderBy("df", "value")) + F.col("alone"))
-    lists = cut(ranked.where((F.col("rank") <= size - wanted + 1) & (F.col("df") > 1)).select("value", "rep"))
-    sets = rows.join(lists.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").mapInArrow(_sets(p), "rep long, all binary")
-    sets = cut(sets)
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "rep long, label long")
-    for _ in range(p.rounds):
-        found, left = _round(lists, labels, sets, p)
-        links = cut(links.union(found))
-        labels = components(links)
-        lists = left
-    rest = _rest(lists, labels, sets, p)
-    labels = components(links.union(rest))
-    named = classes.join(labels, "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
+    ranked = values.join(counts, "value").withColumn("rank", F.row_number().over(by_rep.orderBy("df", "value")) + F.col("alone"))
+    listed = ranked.where((F.col("rank") <= size - wanted + 1) & (F.col("df") > 1)).select(F.col("low.rep").alias("hub"), "rep")
+    group = cut(listed.distinct())
+    members = group.groupBy("hub").agg((F.ceil((F.count("*") + 1) / p.block)).alias("blocks"))
+    placed = group.where("hub <> rep").join(members, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    placed = placed.unionByName(members.select("hub", F.col("hub").alias("rep"), "blocks", F.lit(0).cast("long").alias("own")))
+    placed = cut(placed)
+    sets = rows.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
+    sets = cut(sets.mapInArrow(_sets(p), "rep long, all binary"))
+    inside = placed.select("hub", "rep", F.explode(F.when(F.col("hub") == F.col("rep"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("i"))
+    links = inside.join(sets, "rep").withColumnRenamed("rep", "label").groupBy("hub", "i").applyInArrow(_judge(p), "a long, b long")
+    same = _same_document(some, classes)
+    labels = components(links if same is None else links.unionByName(same), p)
+    across = components(_across(placed, labels, sets, p), p)
+    named = replaced(replaced(classes.select("k1", "k2", "n", F.col("rep").alias("label")), "label", labels), "label", across)
     return (
         sketched.select("doc_id", "n", "k1", "k2")
         .join(named, ["k1", "k2", "n"], "left")
