@@ -4,15 +4,15 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 doc_id. The suffix arrays are sparse: among the `seed`-byte strings of each window of `length` bytes
 the one with the smallest fingerprint is the window's anchor, so equal windows have equal anchors at
 equal places and only suffixes near anchors need to meet. The work is dealt by anchor string, in
-shards. Suffixes are ordered by the fingerprints of their first `length` bytes, which brings equal
-prefixes together as well as the alphabet would.
+shards. Suffixes are in the order of their first `length` bytes, and only equal bytes count as equal.
 
 1. Anchors of every document are sent to their shard as 4-byte values, which tells those that more
    than one document holds (or seems to hold; chance hits do no harm).
 2. For these, each bucket of documents sends every distinct surrounding, in bytes, with its smallest
-   document, to the shard. A shard takes them in batches of rising doc_id. A batch gets its suffix
-   array, is merge-scanned against the levels of the index (all smaller documents) and becomes the
-   lowest level; levels of like size are merged, so n batches leave about log n levels.
+   document, to the shard. Of surroundings with equal bytes the smallest document's stands for all.
+   A shard takes them in batches of rising doc_id. A batch gets its suffix array, is merge-scanned
+   against the levels of the index (all smaller documents) for common prefixes of `length` bytes and
+   becomes the lowest level; levels of like size are merged, so n batches leave about log n levels.
 3. Each bucket gets its surroundings' windows back as bit masks and cuts its documents.
 
 A string that very many documents hold is one value a bucket in step 1 and one surrounding a bucket
@@ -21,7 +21,9 @@ the input and hold about `target` bytes of text each. Nothing is taken from the
 
 Null texts are empty; texts under `length` bytes lose nothing. Rows without doc_id lose nothing and
 no other row loses by them. Rows with one doc_id count as one document: they lose nothing to each
-other. Repeated rows give equal results, one for each row.
+other. Repeated rows give equal results, one for each row. An empty table gives no rows. Very long
+texts are worked on whole, in one task each. Of the other columns only those to carry are read, so
+they may have any name but those of the result.
 """
 
 from __future__ import annotations
@@ -198,27 +200,91 @@ def _sender(shards: int, p: Params):
     return run
 
 
+def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a number, so that numbers are in the order of the bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | data[at + k].astype(np.uint64)
+    return out
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes that begin at `at`, by their first `length` bytes; which differ there from the one before).
+
+    Eight bytes decide at first, and eight more each time for suffixes that are still alike, whose common prefix is
+    thus known to grow; what remains alike has `length` bytes in common. Ties keep their order. Runs that are sorted
+    already, as two levels beside each other are, are merged and not sorted anew.
+    """
+    key = _words_at(data, at)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(at), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    for step in [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        alike = ~new
+        alike[:-1] |= alike[1:]
+        tied = np.flatnonzero(alike)
+        if not len(tied):
+            break
+        run, sub = np.cumsum(new)[tied], order[tied]
+        key = _words_at(data, at[sub] + step)
+        by = np.lexsort((key, run))
+        order[tied], key = sub[by], key[by]
+        new[tied[1:]] |= (run[1:] == run[:-1]) & (key[1:] != key[:-1])
+    return order, new
+
+
 class Levels:
-    """A logarithmic family of sorted arrays: each is at least twice as long as the next."""
+    """A logarithmic family of sparse suffix arrays, each at least twice as long as the next: bytes, and places in order.
+
+    A level's suffixes differ from each other, and from those of other levels, in their first `length` bytes.
+    """
+
+    def __init__(self, length: int):
+        self.length, self.arrays = length, []
 
-    def __init__(self):
-        self.arrays: list[np.ndarray] = []
+    def _merged(self, one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, at = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1] + len(one[0])])
+        return data, at, *suffix_order(data, at, self.length)
 
-    def holds(self, values: np.ndarray) -> np.ndarray:
-        """Which of the sorted values are in some level, by merging with each."""
-        found = np.zeros(len(values), bool)
+    def holds(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the batch's suffixes, sorted and distinct, some level has: each level is merged with the batch and scanned."""
+        found = np.zeros(len(at), bool)
         for level in self.arrays:
-            at = np.searchsorted(level, values)
-            found |= level[np.minimum(at, len(level) - 1)] == values
+            _, _, order, new = self._merged(level, (data, at))
+            second = order[1:][~new[1:]]  # of two suffixes that are alike the level's comes first
+            found[second - len(level[1])] = True
         return found
 
-    def add(self, values: np.ndarray) -> None:
-        if len(values):
-            self.arrays.append(values)
-        while len(self.arrays) > 1 and len(self.arrays[-2]) < 2 * len(self.arrays[-1]):
-            top = np.concatenate([self.arrays.pop(), self.arrays.pop()])
-            top.sort(kind="stable")
-            self.arrays.append(top)
+    def add(self, data: np.ndarray, at: np.ndarray) -> None:
+        if len(at):
+            self.arrays.append((data, at))
+        while len(self.arrays) > 1 and len(self.arrays[-2][1]) < 2 * len(self.arrays[-1][1]):
+            top, under = self.arrays.pop(), self.arrays.pop()
+            data, at, order, _ = self._merged(under, top)
+            self.arrays.append((data, at[order]))
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces of the data one after another, where each begins there)."""
+    start = np.cumsum(size) - size
+    return data[np.repeat(begin - start, size) + np.arange(int(size.sum()))], start
+
+
+def _twins(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each piece, the piece with equal bytes that has the smallest document (ties: that comes first)."""
+    sums = B.prefix(data)
+    name = B.pair(B.fingerprint(sums, begin, begin + size), size.astype(np.uint64))
+    order = np.lexsort((doc, name))
+    like = np.flatnonzero(name[order][1:] == name[order][:-1]) + 1
+    if len(like):  # fingerprints propose, bytes decide
+        n = size[order[like]]
+        (one, start), (two, _) = _gathered(data, begin[order[like]], n), _gathered(data, begin[order[like - 1]], n)
+        like = like[np.logical_and.reduceat(one == two, start)]
+    first = np.arange(len(order))
+    first[like] = 0
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(first)]
+    return out
 
 
 def _matcher(p: Params):
@@ -231,29 +297,30 @@ def _matcher(p: Params):
         data = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()])
         begin = np.cumsum(size) - size
         masks = np.zeros(len(doc), np.uint32)
-        order = np.argsort(doc, kind="stable")
-        fresh = np.flatnonzero(np.concatenate([[True], doc[order][1:] != doc[order][:-1]]))  # a document stays in one batch
-        bytes_before = (np.cumsum(size[order]) - size[order])[fresh]
+        twin = _twins(data, begin, size, doc)
+        masks[doc > doc[twin]] = 0xFFFFFFFF  # a smaller document has all of the piece
+        own = np.flatnonzero(twin == np.arange(len(doc)))
+        own = own[np.argsort(doc[own], kind="stable")]
+        fresh = np.flatnonzero(np.concatenate([[True], doc[own][1:] != doc[own][:-1]]))  # a document stays in one batch
+        bytes_before = (np.cumsum(size[own]) - size[own])[fresh]
         starts = fresh[np.flatnonzero(np.concatenate([[True], bytes_before[1:] // p.batch != bytes_before[:-1] // p.batch]))]
-        levels = Levels()
-        for low, high in zip(starts, np.append(starts[1:], len(order)), strict=True):
-            mine = order[low:high]
-            n = size[mine]
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            sums = B.prefix(data[np.repeat(begin[mine], n) + inner])
-            windows = n - p.length + 1
+        levels = Levels(p.length)
+        for low, high in zip(starts, np.append(starts[1:], len(own)), strict=True):
+            mine = own[low:high]
+            part, start = _gathered(data, begin[mine], size[mine])
+            windows = size[mine] - p.length + 1
             owner = np.repeat(np.arange(len(mine)), windows)
             step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            at = (np.cumsum(n) - n)[owner] + step
-            suffix = B.fingerprint(sums, at, at + p.length)
-            array = np.argsort(suffix, kind="stable")  # stable: documents rise within equal suffixes
-            suffix, owner, step = suffix[array], owner[array], step[array]
-            new = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]]))
-            run_of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(suffix))))
-            known = levels.holds(suffix[new])
-            gone = known[run_of] | (doc[mine][owner] > doc[mine][owner[new]][run_of])
+            at = start[owner] + step
+            order, new = suffix_order(part, at, p.length)  # stable: documents rise within equal suffixes
+            owner, step, at = owner[order], step[order], at[order]
+            first = np.flatnonzero(new)
+            run_of = np.cumsum(new) - 1
+            known = levels.holds(part, at[first])
+            gone = known[run_of] | (doc[mine][owner] > doc[mine][owner[first]][run_of])
             np.bitwise_or.at(masks, mine[owner[gone]], np.uint32(1) << step[gone].astype(np.uint32))
-            levels.add(suffix[new][~known])
+            levels.add(part, at[first][~known])
+        masks[doc == doc[twin]] = masks[twin][doc == doc[twin]]
         bounds = np.cumsum([0, *map(len, blocks)])
         data = [masks[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table({"bucket": table.column("bucket"), "shard": pa.array([key[0].as_py()] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})

@@ -41,7 +41,7 @@ def linked(sets, percent=80):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("words", [5])
+@pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates_equal_brute_force(documents, texts, words):
     sets = shingle_sets(texts.items(), words)
     wanted = linked(sets)
@@ -64,7 +64,7 @@ def test_near_duplicates_of_a_hub_and_of_a_chain(spark):
         rows.append((i, " ".join(chain)))
     wanted = linked(shingle_sets(rows, 2))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    p = neardup.Params(rounds=1, block=16)
+    p = neardup.Params(block=16, links=8)
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, p).collect()} == wanted
 
 
@@ -122,15 +122,29 @@ def test_substrings_of_odd_rows(odd, none, spark):
     assert sorted(map(tuple, suffixes.substring_dedup(df).collect()), key=repr) == brute_spans(rows)
 
 
-def test_levels_stay_logarithmic():
-    levels, rng = suffixes.Levels(), np.random.default_rng(0)
-    seen = np.zeros(0, np.uint64)
-    for _ in range(200):
-        new = np.setdiff1d(rng.integers(0, 1 << 40, 50).astype(np.uint64), seen)
-        assert not levels.holds(new).any()
-        levels.add(new)
-        seen = np.concatenate([seen, new])
-    assert len(levels.arrays) <= 12 and levels.holds(np.sort(seen)).all()
+def test_suffix_order_is_that_of_the_bytes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[1000:1500] = data[2000:2500]
+    at = rng.permutation(len(data) - 50)
+    order, new = suffixes.suffix_order(data, at, 50)
+    got = [bytes(data[k : k + 50]) for k in at[order]]
+    assert got == sorted(got) and new.tolist() == [True] + [x != y for x, y in zip(got, got[1:], strict=False)]
+
+
+def test_levels_stay_logarithmic_and_find_what_they_hold():
+    levels, rng, seen = suffixes.Levels(12), np.random.default_rng(0), set()
+    for _ in range(100):
+        data = rng.integers(97, 100, 60).astype(np.uint8)
+        order, new = suffixes.suffix_order(data, np.arange(49), 12)
+        at = np.arange(49)[order][new]
+        words = [bytes(data[k : k + 12]) for k in at]
+        known = levels.holds(data, at)
+        assert known.tolist() == [w in seen for w in words]
+        seen |= set(words)
+        levels.add(data, at[~known])
+    sizes = [len(at) for _, at in levels.arrays]
+    assert sum(sizes) == len(seen) and len(sizes) <= 12 and all(x >= 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
 
 
 def base_quality(t):
