@@ -4,24 +4,25 @@ Each source's documents, in a pseudorandom order, form one stream of words that
 of `block` words; a document may span blocks. Sources weigh 1, 2, 3, repeating, in the order of
 their names, and share all words by weight; a source stops at `most` times its size and the rest
 is shared anew (closed form: sources ordered by size over weight fill up first). The output is a
-sequence of slots, one block each, in shards of `shard` slots. A pseudorandom permutation of the
-slots over the sources' exact quotas draws each shard's source counts: multinomial counts that are
-conditioned on the totals, so that no source drifts from its target. Slot k of a source with B
-blocks is block perm(k mod B) of pass k div B, by a pseudorandom affine permutation of the block
-numbers that is keyed by source and pass. Slots join blocks by source and block number. The last
-slot of a source is cut, so a source gives its target to within one word; as no pass repeats
-a block, no document is taken more than `most` times.
-
-Nothing is keyed by source alone but sums: streams are numbered in `bins` bins of documents within
-a source, so a source with most of the rows is spread over tasks. Null and empty texts have size 0
-and are taken 0 times. The null source comes last. Repeated rows are documents of their own; rows
-with equal doc_id are told apart by their texts, and fully equal ones stand next to each other. The permutations'
-64-bit products allow 6.9e10 blocks; beyond 1.7e13 words, raise `block`.
+sequence of slots, one block each, in shards of `shard` slots. Every source's slots are dealt over the
+output by a pseudorandom permutation of all slots (a Feistel network with cycle walking), which draws
+each shard's source counts: multinomial draws under the condition that the totals are the sources'
+quotas (multivariate hypergeometric ones), as free draws would drift from the targets. Slot k of a
+source with B blocks is block perm(k mod B) of pass k div B, by such a permutation of the source's
+block numbers that is keyed by source and pass. Slots join blocks by source and block number. The
+last slot of a source is cut, so a source gives its target to within one word; as no pass repeats a
+block, no document is taken more than `most` times.
+
+Nothing is keyed by source alone but sums: streams are numbered in bins of documents within a source,
+`bins` of them or more, so that they hold about `bin` rows at most; so a source with most of the rows is
+spread over tasks. Null and empty texts have size 0 and are taken 0 times. An empty table gives no rows.
+Very long texts span many blocks. Only the named columns are read, so others may have any name. The null source comes last. Repeated rows are documents of their own; rows
+with equal doc_id are told apart by their texts, and fully equal ones stand next to each other.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ class Params:
     most: int = 3
     weights: tuple[int, ...] = (1, 2, 3)
     bins: int = 1024
+    bin: int = 65_536
     prime: int = 2_147_483_647
 
 
@@ -48,6 +50,11 @@ def _scatter(x: Column, salt: int, p: Params) -> Column:
     return step(once.bitwiseXOR(F.shiftright(once, 13)), 69_621, 977)
 
 
+def bins(documents: DataFrame, p: Params) -> Params:
+    """The parameters with as many bins as the rows ask for."""
+    return replace(p, bins=max(p.bins, -(-documents.count() // p.bin)))
+
+
 def sized(documents: DataFrame, p: Params = Params(), carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, bin, a text fingerprint for ties, and the columns to carry."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
@@ -99,15 +106,38 @@ def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
 
-#: Primes for the affine permutations (fixed values); the first that doesn't divide the count is used.
-PRIMES = (104_395_301, 122_949_823, 132_276_037)
+#: Rounds of a permutation, and steps after which a place has come back into range (as the tests' SQL has them).
+ROUNDS, STEPS = 3, 64
+
+
+def _drawn(x: Column, k: int, p: Params) -> Column:
+    """A number below 2 ** 28 that looks random, for the k-th half of a round; x stands in it once, as expressions nest."""
+    prime = F.lit(p.prime)
+    once = F.pmod(F.pmod(x * 31 + F.col("_key") * 7_919 + k * 104_729, prime) * 48_271, prime)
+    return F.shiftright(F.pmod(F.shiftright(once, 7) * 69_621 + 977, prime), 3)
+
+
+def _shuffled(i: Column, p: Params) -> Column:
+    """One pass of a Feistel network with the key `_key` over a grid of `_a` * `_b` cells."""
+    left, right = F.pmod(i, F.col("_a")), F.floor(i / F.col("_a"))
+    for k in range(ROUNDS):
+        left = F.pmod(left + _drawn(right, 2 * k + 1, p), F.col("_a"))
+        right = F.pmod(right + _drawn(left, 2 * k + 2, p), F.col("_b"))
+    return right * F.col("_a") + left
+
 
+def permuted(rows: DataFrame, name: str, i: Column, n: Column, key: Column, p: Params) -> DataFrame:
+    """The rows with a column `name`: the place of i among n, 0 <= i < n, by a pseudorandom permutation keyed by key.
 
-def _permuted(i: Column, n: Column, key: Column) -> Column:
-    """The place of i among n, 0 <= i < n, by an affine permutation keyed by key."""
-    a, b, c = (F.lit(x).cast("long") for x in PRIMES)
-    factor = F.when(n % a != 0, a).when(n % b != 0, b).otherwise(c)
-    return F.pmod(i * factor + key * 7_919, n)
+    The grid has less than root n cells beyond n; a place there is shuffled on until it is in range, which takes
+    `STEPS` steps for no place of a small n, and for one with a chance under n ** -STEPS/2 of a large one.
+    """
+    rows = rows.withColumns({"_i": i.cast("long"), "_n": n.cast("long"), "_key": key.cast("long")})
+    rows = rows.withColumn("_a", F.ceil(F.sqrt(F.col("_n").cast("double")))).withColumn("_b", F.ceil(F.col("_n") / F.col("_a")))
+    rows = rows.withColumn("_to", _shuffled(F.col("_i"), p))
+    inside = lambda x: x < F.col("_n")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("_to"), lambda x, _: F.when(inside(x), x).otherwise(_shuffled(x, p)))
+    return rows.withColumn(name, F.when(inside(F.col("_to")), F.col("_to")).otherwise(walked)).drop("_i", "_n", "_key", "_a", "_b", "_to")
 
 
 def slots(goals: DataFrame, p: Params = Params(), chunk: int = 1 << 16) -> DataFrame:
@@ -117,23 +147,29 @@ def slots(goals: DataFrame, p: Params = Params(), chunk: int = 1 << 16) -> DataF
     """
     k, n = F.col("k"), F.col("blocks")
     full = n - 1  # the last block may be short and is the last of every pass
-    turn = F.col("k") % n
-    return (
+    rows = (
         goals.where("slots > 0")
         .select("number", "blocks", "slots", "cut", "first_slot", "all_slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk})")).alias("chunk"))
         .repartition("number", "chunk")
         .select("*", F.explode(F.expr(f"sequence(chunk * {chunk}, least((chunk + 1) * {chunk}, slots) - 1)")).alias("k"))
         .withColumn("pass", F.expr("k div blocks"))
-        .withColumn("turn", turn)
-        .withColumn("block", F.when(F.col("turn") == full, full).otherwise(_permuted(F.col("turn"), F.greatest(full, F.lit(1)), F.col("pass") + F.col("number"))))
-        .withColumn("slot", _permuted(F.col("first_slot") + k, F.col("all_slots"), F.lit(1).cast("long")))
-        .select(
-            F.expr(f"slot div {p.shard}").alias("shard"), "slot", "number", "pass", "block",
-            F.when(k == F.col("slots") - 1, F.col("cut")).otherwise(F.lit(p.block).cast("long")).alias("take"),
-        )
+        .withColumn("turn", k % n)
+    )
+    # the last turn has no other place, so it stands alone in a range of one
+    last = F.col("turn") == full
+    rows = permuted(rows, "inner", F.when(last, 0).otherwise(F.col("turn")), F.when(last, 1).otherwise(full), F.col("pass") * 1_009 + F.col("number"), p)
+    rows = permuted(rows, "slot", F.col("first_slot") + k, F.col("all_slots"), F.lit(-1), p)
+    return rows.select(
+        F.expr(f"slot div {p.shard}").alias("shard"), "slot", "number", "pass", F.when(last, full).otherwise(F.col("inner")).alias("block"),
+        F.when(k == F.col("slots") - 1, F.col("cut")).otherwise(F.lit(p.block).cast("long")).alias("take"),
     )
 
 
+def shard_counts(goals: DataFrame, p: Params = Params()) -> DataFrame:
+    """shard, number and n: the drawn number of slots of each source in each output shard."""
+    return slots(goals, p).groupBy("shard", "number").agg(F.count("*").alias("n"))
+
+
 def placed(rows: DataFrame, sizes: DataFrame, goals: DataFrame, p: Params = Params(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row, as sized() gives them, with its place in its source's stream: number, bin, nth and start, in words."""
     ordered = Window.partitionBy("source", "bin").orderBy("doc_id", "tie", "size")
@@ -180,6 +216,7 @@ def mixed_blocks(stream: DataFrame, goals: DataFrame, p: Params = Params()) -> D
 
 def mix(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row: how many words of it the mix takes."""
+    p = bins(documents, p)
     sizes = cut(sized(documents, p))
     goals = cut(targets(sizes, p))
     stream = placed(sizes, sizes, goals, p)
@@ -195,6 +232,7 @@ def mixed_documents(documents: DataFrame, p: Params = Params()) -> DataFrame:
     A pass that takes a document whole gives its text as it stands; else the taken runs of words,
     each with the white space after it, in the text's order. Documents that no pass takes go.
     """
+    p = bins(documents, p)
     sizes = cut(sized(documents, p))
     goals = cut(targets(sizes, p))
     texts = placed(sized(documents, p, ("text", "lang")), sizes, goals, p, ("text", "lang"))

@@ -73,7 +73,7 @@ QUERIES = {
 #: Where SQL can say what a query returns; the others are tested against brute force.
 ORACLE: dict[str, str] = {
     "op4_mix_sources": r"""
-        WITH d AS (
+        WITH RECURSIVE d AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                    (coalesce(doc_id, -1) % 2147483647 * 48271 + 1) % 2147483647 AS once FROM documents
         ), b AS (SELECT *, (xor(once, once >> 13) % 2147483647 * 69621 + 977) % 2147483647 % 1024 AS bin FROM d
@@ -94,10 +94,21 @@ ORACLE: dict[str, str] = {
         ), g AS (
             SELECT *, whole * blocks + tail AS slots, CASE WHEN tail > 0 THEN rest - (tail - 1) * 256 ELSE 256 END AS cut, greatest(blocks - 1, 1) AS n FROM x
         ), k AS (SELECT *, unnest(range(0, slots)) AS k FROM g
+        ), walk AS (
+            SELECT number, k, blocks, slots, cut, k // blocks * 1009 + number AS key, CASE WHEN k % blocks = blocks - 1 THEN 1 ELSE n END AS m,
+                   CAST(ceil(sqrt(m)) AS BIGINT) AS a, CAST(ceil(m / a) AS BIGINT) AS b, CASE WHEN k % blocks = blocks - 1 THEN 0 ELSE k % blocks END AS v, 0 AS steps FROM k
+            UNION ALL
+            SELECT number, k, blocks, slots, cut, key, m, a, b, r3 * a + l3 AS v, steps + 1 FROM (
+            SELECT *, v % a AS l0, v // a AS r0,
+                   (l0 + (((((r0 * 31 + key * 7919 + 1 * 104729) % 2147483647 * 48271 % 2147483647) >> 7) * 69621 + 977) % 2147483647 >> 3)) % a AS l1,
+                   (r0 + (((((l1 * 31 + key * 7919 + 2 * 104729) % 2147483647 * 48271 % 2147483647) >> 7) * 69621 + 977) % 2147483647 >> 3)) % b AS r1,
+                   (l1 + (((((r1 * 31 + key * 7919 + 3 * 104729) % 2147483647 * 48271 % 2147483647) >> 7) * 69621 + 977) % 2147483647 >> 3)) % a AS l2,
+                   (r1 + (((((l2 * 31 + key * 7919 + 4 * 104729) % 2147483647 * 48271 % 2147483647) >> 7) * 69621 + 977) % 2147483647 >> 3)) % b AS r2,
+                   (l2 + (((((r2 * 31 + key * 7919 + 5 * 104729) % 2147483647 * 48271 % 2147483647) >> 7) * 69621 + 977) % 2147483647 >> 3)) % a AS l3,
+                   (r2 + (((((l3 * 31 + key * 7919 + 6 * 104729) % 2147483647 * 48271 % 2147483647) >> 7) * 69621 + 977) % 2147483647 >> 3)) % b AS r3
+            FROM walk WHERE steps = 0 OR v >= m)
         ), slot AS (
-            SELECT number, CASE WHEN k % blocks = blocks - 1 THEN blocks - 1 ELSE
-                     (k % blocks * CASE WHEN n % 104395301 <> 0 THEN 104395301 WHEN n % 122949823 <> 0 THEN 122949823 ELSE 132276037 END + (k // blocks + number) * 7919) % n END AS block,
-                   CASE WHEN k = slots - 1 THEN cut ELSE 256 END AS take FROM k
+            SELECT number, CASE WHEN k % blocks = blocks - 1 THEN blocks - 1 ELSE v END AS block, CASE WHEN k = slots - 1 THEN cut ELSE 256 END AS take FROM walk WHERE steps > 0 AND v < m
         ), piece AS (
             SELECT number, doc_id, start, size, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block
             FROM placed p JOIN s ON p.source IS NOT DISTINCT FROM s.source WHERE size > 0

@@ -352,3 +352,19 @@ def test_toxicity_of_odd_rows(odd, none, labels):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     assert toxicity.toxicity(none, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.0}
+
+
+def test_shuffled_places_are_a_permutation_and_shards_are_drawn(spark):
+    from pyspark.sql import functions as F
+
+    p = mixing.Params()
+    places = lambda n, key: mixing.permuted(spark.range(n), "to", F.col("id"), F.lit(n), F.lit(key), p)
+    for n in (1, 2, 3, 5, 17, 1000, 20_001):
+        assert sorted(r.to for r in places(n, 5).collect()) == list(range(n))
+    n = 400_000  # shards of 1024 slots, 30 % of one source: the counts vary as draws without replacement do
+    rows = places(n, -1).where("id < 120000").groupBy(F.expr("to div 1024").alias("shard")).count().where(f"shard < {n // 1024}")
+    counts = np.array([r["count"] for r in rows.collect()])
+    assert abs(counts.mean() - 1024 * 0.3) < 3 and 0.7 < counts.var() / (1024 * 0.21) < 1.3
+    # two passes of one source are in different orders
+    a, b = ([r.to for r in places(1000, key).orderBy("id").collect()] for key in (1, 2))
+    assert sum(x == y for x, y in zip(a, b, strict=True)) < 20 and abs(np.corrcoef(a, b)[0, 1]) < 0.15
