@@ -132,3 +132,102 @@ def seeded(key: Column, n: Column | int, salt: int = 0) -> Column:
 def usable_vector(v: Column) -> Column:
     """Whether a vector is there and all its elements are numbers."""
     return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+
+
+def usable_number(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x)
+
+
+def mean_of_numbers(x: Column, empty: float | None = 0.0) -> Column:
+    """The mean of what is a number; `empty` where nothing is."""
+    mean = F.avg(F.when(usable_number(x), x))
+    return mean if empty is None else F.coalesce(mean, F.lit(empty))
+
+
+def mask_name(image: Column) -> Column:
+    """The name of an image's mask file."""
+    return F.regexp_replace(image, r"(?i)\.jpe?g$", ".png")
+
+
+def project_name(entered: Column, now: Column) -> Column:
+    """What was entered, or a name made of the time."""
+    return F.when(F.length(F.coalesce(entered, F.lit(""))) > 0, entered).otherwise(F.date_format(now, "yyyy-MM-dd-HH-mm-ss'-Project'"))
+
+
+def pts_frame(pts: Column, base_num: Column, base_den: Column, rate_num: Column, rate_den: Column) -> Column:
+    """The frame at a presentation time, which is counted in units of a time base; whole numbers throughout."""
+    return F.floor(pts * base_num * rate_num / (base_den * rate_den)).cast("long")
+
+
+def from_pixel(pixel: Column, size: int, low: Column, high: Column) -> Column:
+    """The place on an axis from low to high that a pixel of an image of `size` pixels shows."""
+    return low + (high - low) * pixel / F.lit(float(size))
+
+
+def standardised(value: Column, mean: float, spread: float, scale: float = 255.0) -> Column:
+    """A channel's value, scaled to one, less its mean and over its spread."""
+    return (value / F.lit(scale) - F.lit(mean)) / F.lit(spread)
+
+
+def softmax(x: Column) -> Column:
+    """An array of shares of exp(x); the largest element is taken off first, so nothing overflows."""
+    raised = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
+    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+
+
+def attention(scores: Column, k: int) -> Column:
+    """Shares of the k largest scores, 0 for the others; of equal ones the first count."""
+    placed = F.transform(scores, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
+    top = F.slice(F.array_sort(placed), 1, k)
+    shares = softmax(F.transform(top, lambda r: -r["x"]))
+    found = F.map_from_arrays(F.transform(top, lambda r: r["i"]), shares)
+    return F.transform(scores, lambda x, i: F.coalesce(F.element_at(found, i), F.lit(0.0)))
+
+
+def upserted(entries: Column, key: Column, value: Column) -> Column:
+    """A map with the key set to the value; null counts as an empty map. The new entry comes last."""
+    others = F.map_filter(entries, lambda k, _: k != key)
+    return F.when(entries.isNull(), F.create_map(key, value)).otherwise(F.map_concat(others, F.create_map(key, value)))
+
+
+def chunks_of(x: Column) -> Column:
+    """The characters of a signed number in the compressed run-length format: five bits each, lowest first, and a sixth that
+    says that more follow; the bits end when sign and rest agree."""
+    bits = lambda k: F.shiftright(x, 5 * k)
+    low = lambda k: bits(k).bitwiseAND(F.lit(31).cast("long"))
+    more = lambda k: F.when(low(k) >= 16, bits(k + 1) != -1).otherwise(bits(k + 1) != 0)
+    out, going = F.lit(""), F.lit(True)
+    for k in range(7):  # counts stay below 2 ** 34
+        char = F.char(low(k) + F.when(more(k), 32).otherwise(0) + 48)
+        out = F.concat(out, F.when(going, char).otherwise(F.lit("")))
+        going = going & more(k)
+    return out
+
+
+def compressed_counts(counts: Column) -> Column:
+    """Run-length counts as one string: from the fourth count on, the difference from the one two places before."""
+    delta = F.transform(counts, lambda x, i: F.when(i > 2, x - F.get(counts, i - 2)).otherwise(x).cast("long"))
+    return F.array_join(F.transform(delta, chunks_of), "")
+
+
+def shown_mode(mode: Column, image: Column, overlay: Column, mask: Column) -> Column:
+    """What a viewer shows: the image, the overlay or the mask; null for other modes."""
+    return F.when(mode == "image", image).when(mode == "overlay", overlay).when(mode == "mask", mask)
+
+
+def without_unused(logit: Column, identity: Column, objects: Column) -> Column:
+    """A logit, or one that never wins for identities beyond the number of objects."""
+    return F.when(identity > objects, F.lit(-1e10)).otherwise(logit)
+
+
+def partner(key: Column, n: Column | int, salt: int = 0) -> Column:
+    """A number below n that looks random and isn't key, for key below n; key itself where n is 1."""
+    size = n if isinstance(n, Column) else F.lit(n)
+    return F.pmod(key + 1 + seeded(key, F.greatest(size - 1, F.lit(1)), salt), size)
+
+
+def shuffled_id(group: Column, object_id: Column, most: int) -> Column:
+    """The object's id after a rotation and reflection of 1 .. most that its group's key picks; the background stays 0."""
+    turn, mirror = seeded(group, most, 1), seeded(group, 2, 2)
+    moved = F.pmod(F.when(mirror == 0, object_id - 1).otherwise(most - object_id) + turn, F.lit(most)) + 1
+    return F.when(object_id == 0, F.lit(0)).otherwise(moved)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +41,33 @@ def crop_boxes(images: DataFrame, layers: int, overlap: float) -> DataFrame:
     return full.unionByName(crops)
 
 
-def suppress(boxes: DataFrame, group: str, order: list[Column], numerator: int = 3, denominator: int = 10) -> DataFrame:
+def _kept(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Which boxes greedy suppression keeps, in the order given."""
+    size, open_ = (x1 - x0) * (y1 - y0), np.ones(len(x0), bool)
+    for k in range(len(x0)):
+        if open_[k]:
+            rest = np.flatnonzero(open_[k + 1 :]) + k + 1
+            wide = np.minimum(x1[k], x1[rest]) - np.maximum(x0[k], x0[rest])
+            high = np.minimum(y1[k], y1[rest]) - np.maximum(y0[k], y0[rest])
+            inter = np.maximum(wide, 0) * np.maximum(high, 0)
+            open_[rest[denominator * inter > numerator * (size[k] + size[rest] - inter)]] = False
+    return open_
+
+
+def suppress(boxes: DataFrame, group: str, order: list[Column], numerator: int = 3, denominator: int = 10, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """The boxes that greedy suppression keeps: best first, dropped if they overlap a kept one by more than the share.
 
-    boxes has group, x0, y0, x1, y1 (whole numbers); order must be total. A group's boxes are folded
-    in the JVM; the overlap test is exact in whole numbers.
+    boxes has group, x0, y0, x1, y1 (whole numbers); order must be total. A group is an image, whose proposals are
+    bounded by the model that makes them; it is sorted and folded in one Arrow group, with whole numbers.
     """
     names = [f"o{i}" for i in range(len(order))]
-    rows = boxes.select(group, "x0", "y0", "x1", "y1", *[c.alias(n) for c, n in zip(order, names, strict=True)])
-    ordered = F.array_sort(F.collect_list(F.struct(*names, "x0", "y0", "x1", "y1")))
+    sides = ["x0", "y0", "x1", "y1"]
+    rows = boxes.select(group, *[F.col(c).cast("long").alias(c) for c in sides], *carry, *[c.alias(n) for c, n in zip(order, names, strict=True)])
 
-    def overlaps(a: Column, b: Column) -> Column:
-        inter = F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0)) * F.greatest(F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]), F.lit(0))
-        size = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
-        return denominator * inter > numerator * (size(a) + size(b) - inter)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(n, "ascending") for n in names])
+        keep = _kept(*(table.column(c).to_numpy() for c in sides), numerator, denominator)
+        return table.filter(pa.array(keep)).drop_columns(names)
 
-    listed = rows.groupBy(group).agg(ordered.alias("all"))
-    kept = F.aggregate("all", F.filter("all", lambda z: F.lit(False)), lambda acc, b: F.when(F.exists(acc, lambda k: overlaps(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    return listed.select(group, F.inline(kept))
+    out = rows.drop(*names)
+    return rows.groupBy(group).applyInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in out.dtypes))

@@ -5,27 +5,81 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethogrid.session import cut
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and the smallest node that links (a, b) reach from it, for every node that has a link.
+def trees(a: np.ndarray, b: np.ndarray, by_hash: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(children, roots): each end of the links a, b that isn't the smallest of its tree, by number or by hash, beside that."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if by_hash:
+        x = names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        by = np.argsort((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9), kind="stable")
+        place = np.empty(len(names), np.int64)
+        place[by] = np.arange(len(names))
+        names, ends = names[by], place[ends]
+    a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(names))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    child = np.flatnonzero(root != np.arange(len(names)))
+    return names[child], names[root[child]]
 
-    In each round a node takes the smallest label of its neighbours and of its own label's node, so
-    paths shorten by halves; rounds end when none changes. Lineage is cut by checkpoints.
+
+def _forest(by_hash: bool):
+    """A spanning forest of a partition's links."""
+
+    def run(batches):
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if len(b)]
+        if parts:
+            child, root = trees(*(np.concatenate(x) for x in zip(*parts, strict=True)), by_hash)
+            yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], ["a", "b"])
+
+    return run
+
+
+def replaced(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """The rows with what labels (node, label) say in the place of the column's values."""
+    named = labels.select(F.col("node").alias(column), F.col("label").alias("_new"))
+    return rows.join(named, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(*rows.columns)
+
+
+def components(links: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """node and label, the smallest node that links (a, b; whole numbers) reach, for every node that isn't that itself.
+
+    Links are contracted to forests inside partitions, of which there are as few as hold `most` links each; one
+    partition's forest is the answer. While there are several, every node points to the neighbour with the smallest
+    hash, and on to that one's own choice; nodes are then replaced by what they point to, equal links become one and
+    those inside a node vanish. So links get fewer by a factor a round, whatever the shape of the components.
     """
-    both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")))
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("heard"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        lower = cut(labels.join(heard, "node").join(hop, "label").select("node", F.least("label", "heard", "beyond").alias("new"), F.col("label").alias("old")))
-        labels = lower.select("node", F.col("new").alias("label"))
-        if lower.where("new < old").isEmpty():
-            return labels
+    order = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id"))
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    edges = cut(links.where("a <> b").mapInArrow(_forest(True), "a long, b long"))
+    found = None
+    while (tasks := -(-edges.count() // most)) > 1:
+        edges = cut(edges.coalesce(tasks).mapInArrow(_forest(True), "a long, b long").distinct())
+        both = edges.union(edges.select("b", "a"))
+        points = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("low"))
+        points = points.select("node", F.least("low", order("node"))["id"].alias("to"))
+        beyond = points.select(F.col("node").alias("to"), F.col("to").alias("label"))
+        points = cut(points.join(beyond, "to").select("node", "label"))
+        edges = cut(replaced(replaced(edges, "a", points), "b", points).where("a <> b").distinct())
+        found = points if found is None else replaced(found, "label", points)
+    roots = cut(edges.coalesce(1).mapInArrow(_forest(False), "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("label")))
+    if found is None:
+        return roots
+    # nodes that vanished on the way have the label of what they were replaced by
+    found = replaced(found, "label", roots)
+    first = found.groupBy("label").agg(F.min("node").alias("first"))
+    named = found.join(first, "label").select("node", F.least("first", "label").alias("label"))
+    return cut(named.unionByName(first.select(F.col("label").alias("node"), F.least("first", "label").alias("label"))).distinct())
 
 
 def squared_distance(a: list[Column], b: list[Column]) -> Column:
@@ -66,16 +120,56 @@ def dbscan(points: DataFrame, axes: list[str], eps: float, least: int = 5, key:
     return found.select(F.col("a").alias(key), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def knn(points: DataFrame, k: int, vector: str = "v", key: str = "id", blocks: int = 8) -> DataFrame:
+def _packed(key: str, vector: str):
+    """A block of points in one row: keys and vectors, in the order of the keys."""
+
+    def run(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
+        keys, rows = table.column(key).to_numpy().astype(np.int64), table.column(vector).combine_chunks()
+        return pa.table({"block": pa.array([group[0].as_py()], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "data": pa.array([rows.values.to_numpy(zero_copy_only=False).astype(float).tobytes()], pa.binary())})
+
+    return run
+
+
+def _nearest_of(k: int, chunk: int = 256):
+    """The k nearest of each point of one block within another; sums run in the order of the elements."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, other = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["others"], np.int64)
+                x, y = np.frombuffer(row["data"]).reshape(len(own), -1), np.frombuffer(row["other_data"]).reshape(len(other), -1).T.copy()
+                width = min(k + 1, len(other))
+                for low in range(0, len(own), chunk):
+                    part, names = x[low : low + chunk], own[low : low + chunk]
+                    d2 = np.zeros((len(part), len(other)))
+                    for j in range(y.shape[0]):
+                        step = part[:, j, None] - y[j]
+                        d2 += step * step
+                    d2[names[:, None] == other] = np.inf
+                    edge = np.partition(d2, width - 1, axis=1)[:, width - 1 : width]
+                    i, j = np.nonzero((d2 <= edge) & np.isfinite(d2))
+                    i, j = (v[np.lexsort((other[j], d2[i, j], i))] for v in (i, j))
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = i[rank < k], j[rank < k]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(other[j]), pa.array(d2[i, j])], ["a", "b", "d2"])
+
+    return run
+
+
+def knn(points: DataFrame, k: int, vector: str = "v", key: str = "id", block: int = 2_048) -> DataFrame:
     """key, rank, neighbour, d2: the k nearest of every point, exactly, itself left out; ties go to the smaller key.
 
-    Points are dealt to blocks and every pair of blocks meets in a group of its own, so no task holds
-    more than two blocks; each group sends k rows a point. The block number should grow with the input.
+    Points are packed in blocks of about `block`, and every pair of blocks meets in a task; it sends k rows a point.
+    Exact neighbours cost the square of the number of points; `within` and the additive search are the ways beyond it.
+    Vectors are of one length, with whole-number keys.
     """
-    own = points.select(F.col(key).alias("a"), F.col(vector).alias("va"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    other = points.select(F.col(key).alias("b"), F.col(vector).alias("vb"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = own.join(other, ["i", "j"]).where("a <> b").select("a", "b", "i", "j", d2.alias("d2"))
-    near = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("d2", "b"))
-    few = pairs.withColumn("r", near("a", "i", "j")).where(F.col("r") <= k)
-    return few.withColumn("rank", near("a")).where(F.col("rank") <= k).select(F.col("a").alias(key), "rank", F.col("b").alias("neighbour"), "d2")
+    blocks = max(1, -(-points.count() // block))
+    dealt = points.select(F.col(key).cast("long").alias(key), vector, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    packed = cut(dealt.groupBy("block").applyInArrow(_packed(key, vector), "block long, keys binary, data binary"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    others = packed.select(F.col("block").alias("other"), F.col("keys").alias("others"), F.col("data").alias("other_data"))
+    pairs = packed.select("keys", "data", every.alias("other")).join(others.hint("merge"), "other")
+    found = pairs.mapInArrow(_nearest_of(k), "a long, b long, d2 double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias(key), "rank", F.col("b").alias("neighbour"), "d2")

@@ -160,3 +160,36 @@ def transformed(rows: DataFrame, marks: pd.DataFrame, k: int, key: str = "id", v
                 yield pd.DataFrame({key: part["key"].to_numpy(np.int64), "e": list(out)})
 
     return rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).mapInPandas(run, f"{key} long, e array<double>")
+
+
+def most_variable(rows: DataFrame, vector: str, most: int | None = None) -> DataFrame:
+    """place and variance of the elements that vary most: as many as there are rows less one, or `most`; ties to the smaller place."""
+    spread = rows.select(F.posexplode(vector).alias("place", "x")).groupBy("place").agg(F.var_pop("x").alias("variance"), F.count("*").alias("n"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("variance"), "place")  # one row for each element of a vector
+    ranked = spread.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= (F.lit(most) if most else F.col("n") - 1)).select("place", "variance", F.col("rank").cast("int").alias("rank"))
+
+
+def cleared(clusters: DataFrame) -> DataFrame:
+    """Every bin back in the first cluster, but for those without vectors."""
+    return clusters.withColumn("cluster", F.when(F.col("cluster") == -1, -1).otherwise(0))
+
+
+def split(current: DataFrame, local: DataFrame, focus: int) -> DataFrame:
+    """bin, cluster after a cluster is split: local clusters get the next free numbers, in their order; noise keeps the parent.
+
+    current and local have bin and cluster; only bins of the focus count in local.
+    """
+    top = current.agg(F.max("cluster").alias("top"))
+    parts = local.where("cluster >= 0").select("cluster").distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")))
+    fresh = parts.join(top.hint("broadcast")).select("cluster", (F.col("top") + F.col("place")).alias("new"))  # one row
+    named = local.join(fresh, "cluster").select("bin", "new")
+    joined = current.join(named, "bin", "left")
+    return joined.select("bin", F.when(F.col("cluster") == focus, F.coalesce("new", "cluster")).otherwise(F.col("cluster")).cast("int").alias("cluster"))
+
+
+def renamed(meta: DataFrame, cluster: int, name: str) -> DataFrame:
+    """meta (cluster, name) with a cluster's name changed; a name that another cluster has, or an empty one, is refused."""
+    if not name or not meta.where((F.col("name") == name) & (F.col("cluster") != cluster)).isEmpty():
+        raise ValueError(f"name is empty or in use: {name!r}")
+    return meta.withColumn("name", F.when(F.col("cluster") == cluster, F.lit(name)).otherwise(F.col("name")))

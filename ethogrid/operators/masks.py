@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethogrid.operators.graph import components
+from ethogrid.operators.boxes import suppress
+from ethogrid.operators.graph import trees
+from ethogrid.session import cut
 
 
 def runs_of(pixels: DataFrame) -> DataFrame:
@@ -52,21 +56,32 @@ def decode(encoded: DataFrame, height: int) -> DataFrame:
     return spots.select("frame", "roi", (F.col("position") % height).alias("y"), F.expr(f"position div {height}").alias("x"))
 
 
+def _parted(table: pa.Table) -> pa.Table:
+    """The runs of one mask with their component."""
+    table = table.sort_by([("y", "ascending"), ("x0", "ascending")])
+    y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    left = x0.min(initial=0)
+    width = int(x1.max(initial=0) - left) + 2
+    begin, end = y * width + x0 - left, y * width + x1 - left
+    # runs of the next row that begin at this one's end at the latest and end at its begin at the earliest
+    low, high = np.searchsorted(end, begin + width), np.searchsorted(begin, end + width, "right")
+    n = np.maximum(high - low, 0)
+    one, two = np.repeat(np.arange(len(y)), n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    component = np.arange(len(y))
+    child, root = trees(one, two)
+    component[child] = root
+    return table.append_column("component", pa.array((component + 1).astype(np.int32)))
+
+
 def components_of(runs: DataFrame) -> DataFrame:
     """runs with `component`: 8-connected parts of each mask, numbered by their first run in raster order.
 
-    Runs touch if they lie in neighbouring rows and their spans, widened by one, overlap: an equality
-    join on (frame, roi, row) with the span test inside, then smallest labels spread over touches.
+    Runs touch if they lie in neighbouring rows and their spans, widened by one, overlap. A mask's runs are no more
+    than its image has pixels, so each mask is folded by itself, in one Arrow group.
     """
-    order = Window.partitionBy("frame", "roi").orderBy("y", "x0")
-    numbered = runs.withColumn("n", F.row_number().over(order)).withColumn("id", F.concat_ws("/", "frame", "roi", F.lpad(F.col("n").cast("string"), 10, "0")))
-    a, b = numbered.alias("a"), numbered.withColumn("above", F.col("y") + 1).alias("b")
-    touch = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1"))
-    same = (F.col("a.frame") == F.col("b.frame")) & (F.col("a.roi") == F.col("b.roi")) & (F.col("a.y") == F.col("b.above"))
-    links = a.join(b, same & touch).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    labels = components(links)
-    named = numbered.join(labels, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("label", "id"))
-    return named.select("frame", "roi", "y", "x0", "x1", F.substring_index("root", "/", -1).cast("int").alias("component"))
+    rows = runs.select("frame", "roi", "y", "x0", "x1")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
+    return rows.groupBy("frame", "roi").applyInArrow(_parted, schema + ", component int")
 
 
 def part_sizes(parts: DataFrame) -> DataFrame:
@@ -108,7 +123,8 @@ def fill_holes(runs: DataFrame, height: int, width: int, least: int) -> DataFram
 
 def clean(runs: DataFrame, height: int, width: int, least: int) -> DataFrame:
     """Holes filled, islands dropped, and per mask whether it is unchanged (score 1) or not (score 0)."""
-    done = drop_islands(components_of(fill_holes(runs, height, width, least)), least)
+    runs = cut(runs)
+    done = cut(drop_islands(components_of(fill_holes(runs, height, width, least)), least))
     shape = lambda r, c: r.groupBy("frame", "roi").agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias(c))
     judged = shape(done, "now").join(shape(runs, "was"), ["frame", "roi"], "left").select("frame", "roi", F.coalesce(F.col("now") == F.col("was"), F.lit(False)).cast("int").alias("score"))
     return done.join(judged, ["frame", "roi"])
@@ -134,3 +150,63 @@ def overlaid(under: DataFrame, over: DataFrame) -> DataFrame:
     keys = ["frame", "y", "x"]
     both = under.withColumnRenamed("roi", "below").join(over.withColumnRenamed("roi", "above"), keys, "full")
     return both.select(*keys, F.coalesce(F.nullif("above", F.lit(0)), "below").alias("roi"))
+
+
+def recleaned(runs: DataFrame, scores: DataFrame, height: int, width: int, least: int) -> DataFrame:
+    """The cleaned masks that suppression of their boxes keeps within each frame, unchanged masks before changed ones.
+
+    scores has frame, roi and score, a total order within a frame together with roi.
+    """
+    done = cut(clean(runs, height, width, least))
+    framed = boxes(done).join(done.select("frame", "roi", "score").distinct(), ["frame", "roi"]).join(scores.withColumnRenamed("score", "own"), ["frame", "roi"])
+    rows = framed.select("frame", "roi", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("right") + 1).alias("x1"), (F.col("bottom") + 1).alias("y1"), "score", "own")
+    kept = suppress(rows, "frame", [-F.col("score"), -F.col("own"), F.col("roi")], carry=["roi"])
+    return done.join(kept.select("frame", "roi"), ["frame", "roi"])
+
+
+def contour(pixels: DataFrame) -> DataFrame:
+    """The pixels of each mask that have a side which no pixel of the mask shares: each pixel calls on its four neighbours."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])
+    calls = pixels.select("frame", "roi", "y", "x", F.explode(steps).alias("step"))
+    own = (F.col("step.dy") == 0) & (F.col("step.dx") == 0)
+    calls = calls.select("frame", "roi", (F.col("y") + F.col("step.dy")).alias("y"), (F.col("x") + F.col("step.dx")).alias("x"), own.cast("int").alias("own"))
+    met = calls.groupBy("frame", "roi", "y", "x").agg(F.max("own").alias("own"), F.count("*").alias("n"))
+    return met.where("own = 1 and n < 5").select("frame", "roi", "y", "x")
+
+
+def closest(points: DataFrame, x: float, y: float) -> DataFrame:
+    """The point of each mask that is closest to (x, y); of equally close ones the first in raster order."""
+    d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    return points.groupBy("frame", "roi").agg(F.min(F.struct(d2.alias("d2"), "y", "x")).alias("at")).select("frame", "roi", "at.y", "at.x", "at.d2")
+
+
+def blocks(pixels: DataFrame, side: int) -> DataFrame:
+    """How many pixels of each mask lie in each block of side by side pixels."""
+    return pixels.groupBy("frame", "roi", F.floor(F.col("y") / side).alias("by"), F.floor(F.col("x") / side).alias("bx")).agg(F.count("*").alias("n"))
+
+
+def large_enough(pixels: DataFrame, least: int) -> DataFrame:
+    """The masks with more than `least` pixels, and how many they have."""
+    return pixels.groupBy("frame", "roi").agg(F.count("*").alias("area")).where(F.col("area") > least)
+
+
+def scaled(pixels: DataFrame, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
+    """Pixels of a resized image, each with the label of the pixel that its upper left corner falls on.
+
+    A pixel goes to all places whose own source it is: rows ceil(y * new / old) up to ceil((y + 1) * new / old) - 1.
+    """
+    span = lambda c, old, new: F.expr(f"sequence(ceil({c} * {new} / {old}), ceil(({c} + 1) * {new} / {old}) - 1)")
+    there = lambda c, old, new: F.expr(f"ceil(({c} + 1) * {new} / {old}) > ceil({c} * {new} / {old})")
+    rows = pixels.where(there("y", height, new_height) & there("x", width, new_width))
+    rows = rows.select("frame", "roi", F.explode(span("y", height, new_height)).alias("y"), "x")
+    return rows.select("frame", "roi", "y", F.explode(span("x", width, new_width)).alias("x"))
+
+
+def moved_back(runs: DataFrame, left: F.Column, top: F.Column) -> DataFrame:
+    """Runs of a crop in the image's own coordinates."""
+    return shifted(runs, left, top)
+
+
+def painted(clicks: DataFrame) -> DataFrame:
+    """frame, y, x, roi: pixels of the ROIs of a session, in which a later ROI paints over earlier ones."""
+    return clicks.groupBy("frame", "y", "x").agg(F.max("roi").alias("roi"))

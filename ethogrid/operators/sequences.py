@@ -58,3 +58,56 @@ def dense_span(seen: DataFrame, frames: DataFrame) -> DataFrame:
     """The rows of frames between a sequence's first and last labelled frame, both included."""
     span = seen.groupBy("sequence").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
     return frames.join(span, "sequence").where((F.col("frame") >= F.col("first")) & (F.col("frame") <= F.col("last"))).drop("first", "last")
+
+
+def reversed_half(frames: DataFrame) -> DataFrame:
+    """frames (sequence, frame) with `place`: their order, turned round for the half of the sequences that a hash picks."""
+    last = F.max("frame").over(Window.partitionBy("sequence"))
+    turned = E.seeded(F.col("sequence") + 1, 2, 7) == 1
+    return frames.select("*", turned.alias("reversed"), F.when(turned, last - F.col("frame")).otherwise(F.col("frame")).alias("place"))
+
+
+def reference_frame(frames: DataFrame, least: int) -> DataFrame:
+    """sequence, frame, good: a frame with more than `least` foreground pixels that a hash picks; where none has, the one
+    that would be tried last. frames has sequence, frame, pixels."""
+    key = E.seeded(F.col("sequence") * 1_009 + F.col("frame") + 1, 1 << 30, 3)
+    good = F.col("pixels") > least
+    best = F.min_by(F.struct("frame", good.alias("good")), F.struct(~good, F.when(good, key).otherwise(-key), "frame"))
+    return frames.groupBy("sequence").agg(best.alias("at")).select("sequence", "at.frame", "at.good")
+
+
+def samples(clips: DataFrame, seen: DataFrame) -> DataFrame:
+    """sequence, objects, obj_num, complete of each clip: its objects, the largest object number, and whether the first
+    step's frame (the reference) shows all of them. clips has sequence, step, index; seen has sequence, frame, object."""
+    found = clips.join(seen, (clips["sequence"] == seen["sequence"]) & (clips["index"] == seen["frame"])).select(clips["sequence"], "step", "object")
+    by = found.groupBy("sequence").agg(F.collect_set("object").alias("all"), F.collect_set(F.when(F.col("step") == 0, F.col("object"))).alias("reference"))
+    return by.select("sequence", F.size("all").alias("objects"), F.array_max("all").alias("obj_num"), contained(F.col("all"), F.col("reference")).alias("complete"))
+
+
+def repeated(sequences: DataFrame, times: int) -> DataFrame:
+    """sequences with `item`: each stands `times` times, at item numbers that agree modulo their number. sequences has number."""
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))  # the catalogue of sequences, not their frames
+    return sequences.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("turn")).withColumn("item", F.col("turn") * F.col("n") + F.col("number")).drop("n")
+
+
+def by_step(frames: DataFrame, batch: int) -> DataFrame:
+    """step, sample and frame of frames stacked step by step: `frame` counts batch samples of the first step, then the next."""
+    return frames.select("frame", F.floor(F.col("frame") / batch).alias("step"), (F.col("frame") % batch).alias("sample"))
+
+
+def with_truth(predicted: DataFrame, percent: int = 20) -> DataFrame:
+    """predicted (sample, label, truth) with `used`: the truth for the share of samples that a hash picks."""
+    return predicted.withColumn("used", F.when(E.seeded(F.col("sample") + 1, 100, 5) < percent, F.col("truth")).otherwise(F.col("label")))
+
+
+def some_objects(objects: DataFrame, most: int) -> DataFrame:
+    """At most `most` objects of each sequence, those whose hash comes first."""
+    order = Window.partitionBy("sequence").orderBy(E.seeded(F.col("object") + 1, 1 << 30, 9), "object")
+    return objects.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def sparse_frames(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sequence, frame of every frame that shows an object; sequence, frame of the first ones, which have labels).
+    objects has sequence, object and frames, an array."""
+    shown = objects.select("sequence", F.explode("frames").alias("frame")).distinct()
+    return shown, objects.select("sequence", F.array_min("frames").alias("frame")).where("frame is not null").distinct()

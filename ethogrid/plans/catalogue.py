@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, frames, masks, relations, streams  # noqa: F401  they register their queries
+from . import embeddings, frames, masks, pixels, projects, relations, streams, training  # noqa: F401  they register their queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -67,15 +67,8 @@ def window_concat(t: Tables) -> DataFrame:
     return bins.select("video", "bin", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), "cluster")
 
 
-@query("SELECT vec_id, label, 'a' AS part FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, NULL, 'b' FROM embeddings WHERE vec_id % 3 = 0")
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label END AS label, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS part FROM embeddings")
 def union_latents(t: Tables) -> DataFrame:
-    """Batches joined by column name; missing columns are null."""
-    a, b = t.embeddings.where("vec_id % 2 = 0").select("vec_id", "label", F.lit("a").alias("part")), t.embeddings.where("vec_id % 3 = 0").select("vec_id", F.lit("b").alias("part"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
-@query()
-def union_latents_all(t: Tables) -> DataFrame:
     """Batches of even and odd numbers joined by column name, so that every vector is in one; missing columns are null."""
     odd = F.coalesce(F.col("vec_id") % 2 != 0, F.lit(True))
     a, b = t.embeddings.where(~odd).select("vec_id", "label", F.lit("a").alias("part")), t.embeddings.where(odd).select("vec_id", F.lit("b").alias("part"))

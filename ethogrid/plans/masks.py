@@ -11,7 +11,7 @@ from ethogrid.operators import kinematics, masks, metrics
 from .registry import Tables, query
 
 HEIGHT, WIDTH = 32, 50
-PIXELS = """WITH RECURSIVE px AS (
+PIXELS = """WITH RECURSIVE px AS MATERIALIZED (
     SELECT frame, y, x, min(roi) AS roi FROM (
         SELECT l_orderkey % 200 AS frame, 1 + l_linenumber % 2 AS roi, l_suppkey % 32 AS y, unnest([l_partkey % 48, l_partkey % 48 + 1, l_partkey % 48 + 2]) AS x FROM lineitem) GROUP BY ALL
 ), isl AS (SELECT *, x - row_number() OVER (PARTITION BY frame, roi, y ORDER BY x) AS island FROM px
@@ -86,7 +86,8 @@ def flip_columns(t: Tables) -> DataFrame:
 
 
 @query(PIXELS + """, a AS (SELECT frame, y, x, roi FROM px WHERE roi = 1 OR x % 3 = 0), b AS (SELECT frame, y, x, CASE WHEN x % 5 = 0 THEN 0 ELSE roi + 10 END AS roi FROM px WHERE y % 2 = 0)
-    SELECT coalesce(a.frame, b.frame) AS frame, coalesce(a.y, b.y) AS y, coalesce(a.x, b.x) AS x, coalesce(nullif(b.roi, 0), a.roi) AS roi FROM a FULL JOIN b ON a.frame = b.frame AND a.y = b.y AND a.x = b.x""")
+    , layers AS (SELECT frame, y, x, roi AS below, CAST(NULL AS INTEGER) AS above FROM a UNION ALL SELECT frame, y, x, CAST(NULL AS INTEGER), roi FROM b)
+    SELECT frame, y, x, coalesce(nullif(max(above), 0), max(below)) AS roi FROM layers GROUP BY frame, y, x""")
 def overlay_coalesce(t: Tables) -> DataFrame:
     """A new layer over a prediction."""
     px = pixels_of(t)
@@ -139,15 +140,10 @@ def preprocess_geometry(t: Tables) -> DataFrame:
     return masks.cropped(moved, 15, 6, 20, 20).select("frame", "roi", "y", "x0", "x1")
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(degrees(atan2(l_suppkey % 48 - 24, l_partkey % 64 - 32)) - 90, 6) AS angle FROM lineitem WHERE l_suppkey % 48 <> 24""")
+@query("SELECT l_orderkey, l_linenumber, round(degrees(atan2(l_suppkey % 48 - 24, l_partkey % 64 - 32)) - 90, 6) AS angle FROM lineitem")
 def tail_angle(t: Tables) -> DataFrame:
-    """Degrees by which to turn a frame so that a point lies above its centre; level points are left out, as in its SQL."""
-    return _turned(t.lineitem.where("l_suppkey % 48 <> 24"))
-
-
-@query()
-def tail_angle_all(t: Tables) -> DataFrame:
-    """The same for every point: -90 for level ones to the right and for the centre itself, 90 for those to the left."""
+    """Degrees by which to turn a frame so that a point lies above its centre; -90 for level ones to the right and for the
+    centre itself, 90 for those to the left."""
     return _turned(t.lineitem)
 
 

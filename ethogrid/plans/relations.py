@@ -201,7 +201,7 @@ def sample_indices(t: Tables) -> DataFrame:
 ORDER = ", ".join(("l_extendedprice DESC", *TIE[1:]))
 
 
-@query("WITH RECURSIVE " + BOX[5:] + f""", small AS (SELECT * FROM box WHERE grp < 300), r AS (SELECT grp, x0, y0, x1, y1, row_number() OVER (PARTITION BY grp ORDER BY {ORDER}) AS k FROM small),
+@query("WITH RECURSIVE " + BOX[5:] + f""", r AS MATERIALIZED (SELECT grp, x0, y0, x1, y1, row_number() OVER (PARTITION BY grp ORDER BY {ORDER}) AS k FROM box),
     n AS (SELECT r.grp, r.k, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM r WHERE k = 1
         UNION ALL SELECT r.grp, r.k, CASE WHEN len(list_filter(n.kept, lambda b: 10 * greatest(least(b.x1, r.x1) - greatest(b.x0, r.x0), 0) * greatest(least(b.y1, r.y1) - greatest(b.y0, r.y0), 0)
             > 3 * ((b.x1 - b.x0) * (b.y1 - b.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - greatest(least(b.x1, r.x1) - greatest(b.x0, r.x0), 0) * greatest(least(b.y1, r.y1) - greatest(b.y0, r.y0), 0)))) > 0
@@ -210,12 +210,6 @@ ORDER = ", ".join(("l_extendedprice DESC", *TIE[1:]))
     last AS (SELECT grp, arg_max(kept, k) AS kept FROM n GROUP BY grp), u AS (SELECT grp, unnest(kept) AS b FROM last)
     SELECT grp, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM u""")
 def box_nms(t: Tables) -> DataFrame:
-    """Greedy suppression within each of the first 300 images only, those of its SQL; box_nms_all has every image."""
-    return _suppressed(boxes_of(t).where("grp < 300"))
-
-
-@query()
-def box_nms_all(t: Tables) -> DataFrame:
     """Greedy suppression within every image."""
     return _suppressed(boxes_of(t))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import io
 import json
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,6 +106,95 @@ def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), version).alias("row")).select(*keys, "row.*")
 
 
+def scalars(rows: DataFrame) -> DataFrame:
+    """video, key, value: the newest scalar of each video and key. rows has version as well."""
+    return newest(rows, ["video", "key"], "version")
+
+
+def project_folders(spark: SparkSession, path: str) -> DataFrame:
+    """project and config of every folder under the path that holds a config.json, sorted; only names are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "config.json").option("recursiveFileLookup", True).load(path)
+    return found.select(F.regexp_extract("path", r"([^/]+)/config\.json$", 1).alias("project"), F.col("path").alias("config")).orderBy("project")
+
+
+def create_project(spark: SparkSession, path: str, name: str) -> str:
+    """The folder of a new project, with its configuration; one that exists is refused."""
+    target, files = _folder(spark, path, name)
+    if files.exists(target):
+        raise FileExistsError(target.toString())
+    spark.createDataFrame([(json.dumps({"project_name": name}),)], "value string").coalesce(1).write.text(target.toString() + "/config.json")
+    return target.toString()
+
+
+def delete_project(spark: SparkSession, path: str, name: str, confirm: str) -> None:
+    """Remove a project's folder; the name must be given twice, and the folder must hold a configuration."""
+    target, files = _folder(spark, path, name)
+    if confirm != name:
+        raise ValueError("the project's name has to be confirmed")
+    config = spark._jvm.org.apache.hadoop.fs.Path(target.toString() + "/config.json")
+    if not files.exists(config):
+        raise FileNotFoundError(config.toString())
+    files.delete(target, True)
+
+
+def _folder(spark: SparkSession, path: str, name: str):
+    if not name or "/" in name or name in {".", ".."}:
+        raise ValueError(f"not a project name: {name!r}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def split_names(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct names in a split file, one a line, without blanks around them, sorted."""
+    return spark.read.text(path).select(F.trim("value").alias("sequence")).where("sequence <> ''").distinct().orderBy("sequence")
+
+
+def image_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp")) -> DataFrame:
+    """path, length and content of a folder's images; sub-folders are left out, and files without bytes."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(path)
+    return rows.where(E.extension(F.col("path")).isin(*extensions) & (F.col("length") > 0)).select("path", "length", "content")
+
+
+def constant_frames(spark: SparkSession, sequences: int, frames: int, value: int = 0) -> DataFrame:
+    """sequence, frame, value: constant frames for smoke tests."""
+    rows = spark.range(sequences * frames)
+    return rows.select(F.expr(f"id div {frames}").alias("sequence"), (F.col("id") % frames).alias("frame"), F.lit(value).alias("value"))
+
+
+def frame_counts(frames: DataFrame) -> DataFrame:
+    """video, n: one more than the last frame before the first that can't be decoded. frames has video, frame, ok."""
+    bad = F.min(F.when(~F.coalesce("ok", F.lit(False)), F.col("frame")))
+    return frames.groupBy("video").agg(F.coalesce(bad, F.max("frame") + 1).alias("n"))
+
+
+def palette_png(mask: np.ndarray, palette: np.ndarray) -> bytes:
+    """A mask of small whole numbers as a PNG of indexed colours; palette has red, green, blue of each number."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w = mask.shape
+    lines = np.zeros((h, w + 1), np.uint8)  # each line begins with its filter, none
+    lines[:, 1:] = mask
+    head = struct.pack(">IIBBBBB", w, h, 8, 3, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"PLTE", palette.astype(np.uint8).tobytes()) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def palette_mask(png: bytes) -> np.ndarray:
+    """The numbers of an indexed PNG as palette_png writes it: eight bits, lines without a filter."""
+    at, data, shape = 8, b"", (0, 0)
+    while at < len(png):
+        size, kind = struct.unpack(">I4s", png[at : at + 8])
+        body = png[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            shape = struct.unpack(">II", body[:8])[::-1]
+            if body[8:13] != bytes([8, 3, 0, 0, 0]):
+                raise ValueError("not an indexed image of eight bits")
+        data += body if kind == b"IDAT" else b""
+        at += size + 12
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape[0], shape[1] + 1)
+    if lines[:, 0].any():
+        raise ValueError("lines are filtered")
+    return lines[:, 1:]
+
+
 def without(rows: DataFrame, shown: DataFrame) -> DataFrame:
     """Labels less those named "<frame>, <video>" in shown.name."""
     parts = F.split("name", ", ", 2)

@@ -94,7 +94,7 @@ def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 3)).round(3)
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
-    got = {(r.id, r["rank"]): r.neighbour for r in graph.knn(df, 4, blocks=3).collect()}
+    got = {(r.id, r["rank"]): r.neighbour for r in graph.knn(df, 4, block=20).collect()}
     for i in range(60):
         d = ((x - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
@@ -136,3 +136,106 @@ def test_momentum_mean(spark):
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r.label for r in graph.components(links).collect()} == {0}
+
+
+def test_components_by_rounds_of_contraction(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(120)]
+    roots = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        roots[max(a, b)] = min(a, b)
+    wanted = {x: find(x) for x in roots if find(x) != x}
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(8)
+    for most in (1 << 20, 16):
+        got = {r.node: r.label for r in graph.components(links, most).collect()}
+        assert {x: y for x, y in got.items() if x != y} == wanted
+
+
+def test_compressed_run_lengths(spark):
+    def brute(counts):
+        out = ""
+        for i, c in enumerate(counts):
+            x = c - counts[i - 2] if i > 2 else c
+            while True:
+                low, x = x & 31, x >> 5
+                more = x != -1 if low & 16 else x != 0
+                out += chr(48 + low + (32 if more else 0))
+                if not more:
+                    break
+        return out
+
+    lists = [[0, 1, 3], [5, 100, 2, 7, 99999, 3, 1, 1], [16, 32, 31, 15, 47, 1 << 20], []]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(lists)], "i int, c array<long>").select("i", E.compressed_counts(F.col("c")).alias("s")).collect()
+    assert {r.i: r.s for r in rows} == {i: brute(c) for i, c in enumerate(lists)}
+
+
+def test_suppression_again_after_cleaning(spark):
+    grids = (["111111......", "1.1111......", "111111......"], ["11111.......", "11111.......", "11111......."], ["......1111..", "......1111..", "............"])
+    rows = [(0, roi + 1, y, x) for roi, grid in enumerate(grids) for y, line in enumerate(grid) for x, c in enumerate(line) if c == "1"]
+    px = spark.createDataFrame(rows, "frame long, roi long, y long, x long")
+    scores = spark.createDataFrame([(0, 1, 9.0), (0, 2, 5.0), (0, 3, 1.0)], "frame long, roi long, score double")
+    kept = masks.recleaned(masks.runs_of(px), scores, 3, 12, 2).select("roi", "score").distinct().collect()
+    # the first mask had a hole, so it gives way to the second, which it overlaps, in spite of its higher score
+    assert sorted(tuple(r) for r in kept) == [(2, 1), (3, 1)]
+
+
+def test_small_regions_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    h, w, least = 14, 17, 5
+    grids = {(f, r): rng.random((h, w)) < 0.55 for f in range(3) for r in (1, 2)}
+
+    def parts(grid):
+        seen, out = np.zeros_like(grid), []
+        for y, x in zip(*np.nonzero(grid), strict=True):
+            if not seen[y, x]:
+                seen[y, x], todo, part = True, [(y, x)], []
+                while todo:
+                    a, b = todo.pop()
+                    part.append((a, b))
+                    for c in range(max(a - 1, 0), min(a + 2, h)):
+                        for d in range(max(b - 1, 0), min(b + 2, w)):
+                            if grid[c, d] and not seen[c, d]:
+                                seen[c, d] = True
+                                todo.append((c, d))
+                out.append(part)
+        return out
+
+    wanted = set()
+    for (f, r), grid in grids.items():
+        filled = grid.copy()
+        for part in parts(~grid):
+            if len(part) < least:
+                for y, x in part:
+                    filled[y, x] = True
+        found = parts(filled)
+        large = [p for p in found if len(p) >= least] or [max(found, key=len)]
+        same = {p for part in large for p in part} == set(zip(*np.nonzero(grid), strict=True))
+        wanted |= {(f, r, int(y), int(x), int(same)) for part in large for y, x in part}
+    px = spark.createDataFrame([(f, r, int(y), int(x)) for (f, r), g in grids.items() for y, x in zip(*np.nonzero(g), strict=True)], "frame long, roi long, y long, x long")
+    done = masks.clean(masks.runs_of(px), h, w, least)
+    assert {(p.frame, p.roi, p.y, p.x, p.score) for p in done.select("frame", "roi", "score", "y", F.explode(F.expr("sequence(x0, x1 - 1)")).alias("x")).collect()} == wanted
+
+
+def test_renaming_refuses_used_names(spark):
+    import pytest
+
+    meta = spark.createDataFrame([(0, "walk"), (1, "rest")], "cluster int, name string")
+    assert {r.name for r in latents.renamed(meta, 1, "rear").collect()} == {"walk", "rear"}
+    for name in ("walk", ""):
+        with pytest.raises(ValueError):
+            latents.renamed(meta, 1, name)
+
+
+def test_counts_before_the_first_bad_frame(spark):
+    from ethogrid import sources
+
+    rows = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("a", 2, True), ("b", 0, True), ("b", 1, True)], "video string, frame long, ok boolean")
+    assert {r.video: r.n for r in sources.frame_counts(rows).collect()} == {"a": 1, "b": 2}
+    assert sources.constant_frames(spark, 2, 3, 7).count() == 6

@@ -126,3 +126,39 @@ def test_tracking_fold(spark, folder, start, stop, order):
     frames, masks = frames_and_masks(spark, folder)
     got = {r.frame: max(r.mask) for r in pixels.tracked(frames, masks.where("frame = 0"), Echo, start, stop).collect()}
     assert [got[f] for f in order] == [1, 2, 3]
+
+
+def test_projects_come_and_go(spark, tmp_path):
+    sources.create_project(spark, str(tmp_path), "one")
+    sources.create_project(spark, str(tmp_path), "two")
+    with pytest.raises(FileExistsError):
+        sources.create_project(spark, str(tmp_path), "one")
+    with pytest.raises(ValueError):
+        sources.delete_project(spark, str(tmp_path), "one", "")
+    with pytest.raises(ValueError):
+        sources.create_project(spark, str(tmp_path), "../x")
+    assert sorted(r.project_name for r in sources.projects(spark, f"{tmp_path}/*/config.json").collect()) == ["one", "two"]
+    sources.delete_project(spark, str(tmp_path), "one", "one")
+    assert sorted(r.project_name for r in sources.projects(spark, f"{tmp_path}/*/config.json").collect()) == ["two"]
+
+
+def test_folders_splits_and_images(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / "p" / name).mkdir(parents=True)
+        (tmp_path / "p" / name / "config.json").write_text("{}")
+    assert [r.project for r in sources.project_folders(spark, str(tmp_path / "p")).collect()] == ["a", "b"]
+    (tmp_path / "split.txt").write_text("  dog \ncat\n\ndog\n")
+    assert [r.sequence for r in sources.split_names(spark, str(tmp_path / "split.txt")).collect()] == ["cat", "dog"]
+    images = tmp_path / "images"
+    (images / "sub").mkdir(parents=True)
+    for name in ("x.PNG", "y.txt", "sub/z.png"):
+        (images / name).write_bytes(b"1")
+    (images / "empty.png").write_bytes(b"")
+    assert [r.path.rpartition("/")[2] for r in sources.image_files(spark, str(images)).collect()] == ["x.PNG"]
+
+
+def test_palette_images_round_trip():
+    mask = np.random.default_rng(0).integers(0, 9, (5, 7)).astype(np.uint8)
+    palette = np.arange(30).reshape(10, 3)
+    png = sources.palette_png(mask, palette)
+    assert png.startswith(b"\x89PNG") and (sources.palette_mask(png) == mask).all()

@@ -59,13 +59,13 @@ def test_suppression_of_every_image_equals_brute_force(spark, tmp_path, sf_dir):
             if not any(10 * i > 3 * (size(k) + size(b) - i) for i, k in zip(shared, kept, strict=True)):
                 kept.append(b)
         wanted += [(g, *b) for b in kept]
-    got = sorted(tuple(r) for r in QUERIES["box_nms_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["box_nms"](spark, str(tmp_path)).collect())
     assert got == sorted(wanted) and 0 < len(wanted) < rows.count() and max(groups) >= 300
 
 
 def test_every_vector_is_in_a_batch(spark, sf_dir):
     ids = sorted(r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect())
-    rows = QUERIES["union_latents_all"](spark, sf_dir).collect()
+    rows = QUERIES["union_latents"](spark, sf_dir).collect()
     assert sorted(r.vec_id for r in rows) == ids and {(r.part, r.vec_id % 2, r.label is None) for r in rows} == {("a", 0, False), ("b", 1, True)}
 
 
@@ -73,4 +73,4 @@ def test_level_points_have_an_angle(spark, tmp_path):
     points = [(40, 24, -90.0), (20, 24, 90.0), (32, 24, -90.0), (32, 30, 0.0), (32, 20, -180.0)]
     rows = [(k, 1, x, y) for k, (x, y, _) in enumerate(points)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert {r.l_orderkey: r.angle for r in QUERIES["tail_angle_all"](spark, str(tmp_path)).collect()} == {k: a for k, (_, _, a) in enumerate(points)}
+    assert {r.l_orderkey: r.angle for r in QUERIES["tail_angle"](spark, str(tmp_path)).collect()} == {k: a for k, (_, _, a) in enumerate(points)}
