@@ -89,6 +89,97 @@ def test_chat_keeps_every_message(spark, sf_dir):
     assert sorted((r.conv_id, r.turn, json.loads(r.json)["content"]) for r in rows) == sorted((r.conv_id, r.turn, r.text) for r in talks.collect())
 
 
+def test_chat_bears_odd_json(spark):
+    texts = [
+        '{"tool_call_id":"a","content":1e400}', '{"tool_call_id":"a","content":-1e999}', '{"tool_call_id":"a","content":"\\ud800"}', '{"tool_call_id":"\\udfff"}',
+        '{"tool_calls":[{"id":"a","name":"\\ud83d","arguments":{}}]}', '{"tool_call_id":"a","content":' + "[" * 5000 + "]" * 5000 + "}", '{"tool_call_id":"a","content":' + "9" * 5000 + "}",
+        '{"tool_calls":[{"id":"b","name":"search","arguments":"{\\"query\\":1e999}"}]}', '{"tool_calls":{}}', '{"tool_calls":[1]}', "{", "{}", '{"tool_call_id":null}', "x" * 300_000,
+    ]
+    rows = chat.link_tools(spark.createDataFrame([(1, k, None, t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()
+    assert len(rows) == len(texts)
+    kinds = {r.turn: (r.kind, r.error) for r in rows}
+    assert {k for k, v in kinds.items() if v[0] != "message"} == {7} and kinds[7] == ("call", "$: not JSON")
+    assert all(json.loads(r.json)["content"] == texts[r.turn] for r in rows if r.kind == "message")
+
+
+def test_chat_turns_of_any_sign(spark):
+    turns = [None, -(1 << 63), -5, -1, 0, 3, (1 << 63) - 1]
+    rows = chat.link_tools(spark.createDataFrame([(1, t, "user", str(t)) for t in reversed(turns)], "conv_id long, turn long, role string, text string")).collect()
+    assert [r.turn for r in sorted(rows, key=lambda r: r.order_key)] == turns
+
+
+def test_chat_orders_as_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for conv in range(40):
+        names = [f"c{k}" for k in range(int(rng.integers(1, 12)))]
+        for turn in range(int(rng.integers(1, 25))):
+            if rng.random() < 0.5:
+                said = []
+                for _ in range(int(rng.integers(1, 3))):
+                    asks = [str(x) for x in rng.choice([*names, "gone"], int(rng.integers(0, 3)))]
+                    said.append((str(rng.choice(names)), "search", {"query": [{"$result": a} for a in asks]}))
+                rows.append((conv, turn, "assistant", call(*said)))
+            else:
+                rows.append((conv, turn, "tool", result(str(rng.choice(names)), turn)))
+    # one chain of calls, each of which asks for the result of the one before
+    rows += [(99, 2 * k, "assistant", call((f"c{k}", "search", {"query": {"$result": f"c{k - 1}"} if k else "x"}))) for k in range(1500)]
+    rows += [(99, 2 * k + 1, "tool", result(f"c{k}", k)) for k in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn, r.item): (r.kind, r.call_id, r.status, r.order_key) for r in chat.link_tools(df, bucket=64).collect()}
+
+    firsts, asks = {}, {}
+    for conv, turn, _, text in rows:
+        said = json.loads(text)
+        items = [("result", said["tool_call_id"], [])] if "tool_call_id" in said else [("call", c["id"], sorted(chat._asked(c["arguments"]))) for c in said["tool_calls"]]
+        for item, (kind, i, wanted) in enumerate(items):
+            if (conv, kind, i) not in firsts:
+                firsts[conv, kind, i] = (turn, item)
+                asks[conv, kind, i] = [("result", w) for w in wanted] if kind == "call" else []
+    for (conv, kind, i), wanted in asks.items():
+        if kind == "result" and (conv, "call", i) in firsts:
+            wanted.append(("call", i))
+    place, grown = {}, True
+    missing = {n for n in firsts if n[1] == "call" and any((n[0], "call", w) not in firsts or (n[0], "result", w) not in firsts for _, w in asks[n])}
+    while grown:  # until nothing new can stand
+        grown = False
+        for n, (turn, _) in firsts.items():
+            waits = [(n[0], *w) for w in asks[n]]
+            if n not in place and all(w in place for w in waits):
+                last = max((place[w] for w in waits), default=(-1, 0))
+                place[n] = (turn, 0) if turn > last[0] else (last[0], last[1] + 1)
+                grown = True
+    for (conv, turn, item), (kind, i, status, key) in got.items():
+        n = (conv, kind, i)
+        if firsts[n] != (turn, item):
+            assert status == "duplicate"
+            continue
+        answered = (conv, "result" if kind == "call" else "call", i) in firsts
+        wanted = "waiting" if n in missing else "cyclic" if n not in place else "linked" if answered else "unanswered" if kind == "call" else "orphan"
+        assert status == wanted, n
+    for conv in {c for c, _, _ in got}:
+        by_key = sorted((key, turn, item, kind, i) for (c, turn, item), (kind, i, _, key) in got.items() if c == conv)
+        wanted = sorted((*(place.get((conv, kind, i), (turn, 0)) if firsts[conv, kind, i] == (turn, item) else (turn, 0)), turn, item) for _, turn, item, kind, i in by_key)
+        assert [(turn, item) for _, turn, item, _, _ in by_key] == [(turn, item) for _, _, turn, item in wanted]
+    assert max(d for _, d in place.values()) >= 1
+
+
+def test_schemas_with_unknown_keywords_are_refused(spark):
+    df = spark.createDataFrame([(1, 1, "user", "hi")], "conv_id long, turn long, role string, text string")
+    for schema in ({"$ref": "#/x"}, {"properties": {"a": {"patternProperties": {}}}}, {"items": [1]}, {"type": "text"}, {"anyOf": [{"if": True}]}):
+        with pytest.raises(ValueError):
+            chat.link_tools(df, {"t": schema})
+
+
+@pytest.mark.parametrize(("value", "schema", "bad"), [
+    (True, {"enum": [1]}, "$: not in enum"), (1.0, {"enum": [1]}, None), (1, {"const": True}, "$: not const"), (5, {"exclusiveMaximum": 3}, "$: out of range"), (3, {"exclusiveMinimum": 3}, "$: out of range"),
+    (0.3, {"multipleOf": 0.1}, None), (7, {"multipleOf": 2}, "$: not a multiple"), ("abc", {"pattern": "^b"}, "$: pattern"), ([1, 1.0], {"uniqueItems": True}, "$: repeated items"), ([1, True], {"uniqueItems": True}, None),
+    (5, {"anyOf": [{"type": "string"}, {"minimum": 4}]}, None), (5, {"anyOf": [{"type": "string"}]}, "$: none of anyOf"), (5, {"oneOf": [{"minimum": 1}, {"minimum": 2}]}, "$: not one of oneOf"),
+    (5, {"allOf": [{"minimum": 1}, {"maximum": 4}]}, "$: out of range"), (5, {"not": {"type": "integer"}}, "$: excluded"), ({}, {"minProperties": 1}, "$: length")])
+def test_schema_keywords(value, schema, bad):
+    assert chat.violation(value, schema) == bad
+
+
 @pytest.mark.parametrize(("value", "schema", "bad"), [(1.0, {"type": "integer"}, None), (True, {"type": "number"}, "$: not number"), ([1, "a"], {"items": {"type": "integer"}}, "$[1]: not integer"), ({"a": {"b": 1}}, {"properties": {"a": {"additionalProperties": False}}}, "$.a.b: not allowed"), (7, {"maximum": 5}, "$: out of range"), (None, {"type": ["string", "null"]}, None)])
 def test_schemas(value, schema, bad):
     assert chat.violation(value, schema) == bad
