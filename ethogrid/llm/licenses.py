@@ -2,24 +2,30 @@
 
 Base: places where a short licence phrase's words stand in a row. Method: a positional index of
 licence notices. The words of all notices form a bounded vocabulary, whose inverse document
-frequencies are counted over all documents. The rare words are the highest of each notice
+frequencies are counted over all documents. Each text is read and normalised once; what is kept of it are
+its base columns, which of the vocabulary it has, and its words where it has all that the mandatory phrases of
+some notice need. The rare words are the highest of each notice
 without all of which no file can hold `share` of its weight. A file that has one is looked up in
 the postings (notice, position); hits that agree on the relative position of notice and file are
 summed, and where a rare word is among them, `share` of the notice's weight is reached and its
 mandatory phrases are complete, the notice's label is given. Nothing is lost by skipping the rest.
 
 Null and empty texts have no words, no labels and score 0. Texts with equal doc_id are told apart by
-their words; repeated rows get equal results, one for each row.
+their words; repeated rows get equal results, one for each row. An empty table gives no rows. Very long
+texts are scanned whole. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ethogrid.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,10 +81,23 @@ def _words(w: Column) -> Column:
     return F.split(F.trim(w), " ")
 
 
+def scanned(documents: DataFrame) -> DataFrame:
+    """doc_id, key, the base columns, present (the notices' words that a file has) and w of every file, by one look at each text.
+
+    w, the words themselves, is kept for files that have all words of the mandatory phrases of a notice; others fit none.
+    """
+    vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
+    files = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("w"))
+    files = _base(files.withColumn("present", F.array_intersect(_words(F.col("w")), vocabulary)))
+    needed = {tuple(sorted({w for phrase in phrases for w in phrase.split()})) for _, _, phrases in NOTICES}
+    has = lambda words: F.size(F.array_except(F.array(*[F.lit(w) for w in words]), "present")) == 0
+    able = reduce(lambda x, y: x | y, [has(words) for words in sorted(needed)])
+    return files.withColumn("key", F.xxhash64("w")).withColumn("w", F.when(able, F.col("w")))
+
+
 def idf(files: DataFrame) -> dict[str, float]:
     """The inverse document frequency of each word of the notices, over all files; a bounded result."""
-    vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
-    counted = files.select(F.explode(F.array_append(F.array_intersect(_words(F.col("w")), vocabulary), F.lit(""))).alias("word")).groupBy("word").count()
+    counted = files.select(F.explode(F.array_append("present", F.lit(""))).alias("word")).groupBy("word").count()
     n = {r["word"]: r["count"] for r in counted.collect()}
     return {w: math.log(1 + n.get("", 0) / (1 + n.get(w, 0))) for w in _vocabulary()}
 
@@ -126,7 +145,7 @@ def _matches(files: DataFrame, weights: dict[str, float], p: Params) -> DataFram
     # both sides have a row or two for each word of the notices, whatever the input
     index = F.broadcast(spark.createDataFrame(postings, "word string, notice int, place int, weight double"))
     known = F.broadcast(spark.createDataFrame(notices, "notice int, label string, places array<int>, mass double"))
-    able = files.where(F.arrays_overlap(_words(F.col("w")), F.array(*[F.lit(w) for w in sorted(rarest)])))
+    able = files.where(F.col("w").isNotNull() & F.arrays_overlap("present", F.array(*[F.lit(w) for w in sorted(rarest)])))
     spots = able.select("doc_id", "key", "w").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.posexplode(_words(F.col("w"))).alias("at", "word"))
     return (
         spots.where(F.col("word").isin(_vocabulary()))
@@ -146,9 +165,9 @@ def license_scan(documents: DataFrame, p: Params = Params()) -> DataFrame:
     score is 1 where a base phrase stands, else the highest share of a notice's weight that stands
     in place with its mandatory phrases, else 0.
     """
-    files = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("w")).withColumn("key", F.xxhash64("w"))
+    files = cut(scanned(documents))
     matches = _matches(files, idf(files), p).alias("m")
-    rows = _base(files).drop("w").alias("r")
+    rows = files.drop("w", "present").alias("r")
     joined = rows.join(matches, F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.key") == F.col("m.key")), "left")
     found = F.coalesce("found", F.array().cast("array<string>"))
     return joined.select(
