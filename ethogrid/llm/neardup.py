@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ethogrid.operators.graph import components, replaced, trees
 from ethogrid.session import cut
 
 from . import _bytes as B
@@ -238,25 +239,6 @@ def _sets_of(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in table.column("all").to_pylist()]
 
 
-def trees(a: np.ndarray, b: np.ndarray, by_hash: bool = False) -> pa.Table:
-    """A spanning forest of links: each end beside the root of its tree, the smallest by number or by hash."""
-    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    if by_hash:
-        by = np.argsort(B.mix(names.view(np.uint64)), kind="stable")
-        place = np.empty(len(names), np.int64)
-        place[by] = np.arange(len(names))
-        names, ends = names[by], place[ends]
-    a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(names))
-    while len(a):
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root != root[root]).any():
-            root = root[root]
-        a, b = root[a], root[b]
-        a, b = a[a != b], b[a != b]
-    child = np.flatnonzero(root != np.arange(len(names)))
-    return pa.table({"a": names[child], "b": names[root[child]]})
-
-
 def _judge(p: Params):
     """A forest of the links within a block of a hub's group, or between loose members of one block and all of another."""
 
@@ -267,61 +249,12 @@ def _judge(p: Params):
             one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
         else:
             one = two = np.arange(len(sets))
-        if not len(one) or not len(two):
-            return trees(label[:0], label[:0])
-        pairs = similar_pairs([sets[k] for k in one], [sets[k] for k in two], p)
-        return trees(label[one[pairs[:, 0]]], label[two[pairs[:, 1]]])
-
-    return run
-
-
-def _forest(by_hash: bool):
-    """A spanning forest of a partition's links."""
-
-    def run(batches):
-        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if len(b)]
-        if parts:
-            yield from trees(*(np.concatenate(x) for x in zip(*parts, strict=True)), by_hash).to_batches()
+        pairs = similar_pairs([sets[k] for k in one], [sets[k] for k in two], p) if len(one) and len(two) else np.zeros((0, 2), np.int64)
+        return pa.table(trees(label[one[pairs[:, 0]]], label[two[pairs[:, 1]]]), names=["a", "b"])
 
     return run
 
 
-def components(links: DataFrame, p: Params = Params()) -> DataFrame:
-    """rep and label, the smallest rep that links (a, b) reach, for every rep that isn't that itself.
-
-    Links are contracted to forests inside partitions, of which there are as few as hold `links` links each; one
-    partition's forest is the answer. While there are several, every text points to the neighbour with the smallest
-    hash, and on to that one's own choice; texts are then replaced by what they point to, equal links become one and
-    those inside a text vanish. So links get fewer by a factor a round, whatever the shape of the components.
-    """
-    order = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id"))
-    edges = cut(links.where("a <> b").mapInArrow(_forest(True), "a long, b long"))
-    found = None
-    while (tasks := -(-edges.count() // p.links)) > 1:
-        edges = cut(edges.coalesce(tasks).mapInArrow(_forest(True), "a long, b long").distinct())
-        both = edges.union(edges.select("b", "a"))
-        points = both.groupBy(F.col("a").alias("rep")).agg(F.min(order("b")).alias("low"))
-        points = points.select("rep", F.least("low", order("rep"))["id"].alias("to"))
-        beyond = points.select(F.col("rep").alias("to"), F.col("to").alias("label"))
-        points = cut(points.join(beyond, "to").select("rep", "label"))
-        edges = cut(replaced(replaced(edges, "a", points), "b", points).where("a <> b").distinct())
-        found = points if found is None else replaced(found, "label", points)
-    roots = cut(edges.coalesce(1).mapInArrow(_forest(False), "a long, b long").select(F.col("a").alias("rep"), F.col("b").alias("label")))
-    if found is None:
-        return roots
-    # texts that vanished on the way have the label of what they were replaced by
-    found = replaced(found, "label", roots)
-    first = found.groupBy("label").agg(F.min("rep").alias("first"))
-    named = found.join(first, "label").select("rep", F.least("first", "label").alias("label"))
-    return cut(named.unionByName(first.select(F.col("label").alias("rep"), F.least("first", "label").alias("label"))).distinct())
-
-
-def replaced(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """The rows with what labels (rep, label) say in the place of the column's values."""
-    named = labels.select(F.col("rep").alias(column), F.col("label").alias("_new"))
-    return rows.join(named, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(*rows.columns)
-
-
 def _across(placed: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """Links between the blocks of groups that have several: members outside a group's commonest label against all."""
     known = placed.where("blocks > 1").select("hub", "rep", "own", "blocks", F.col("rep").alias("label"))
@@ -374,8 +307,8 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     inside = placed.select("hub", "rep", F.explode(F.when(F.col("hub") == F.col("rep"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("i"))
     links = inside.join(sets, "rep").withColumnRenamed("rep", "label").groupBy("hub", "i").applyInArrow(_judge(p), "a long, b long")
     same = _same_document(some, classes)
-    labels = components(links if same is None else links.unionByName(same), p)
-    across = components(_across(placed, labels, sets, p), p)
+    labels = components(links if same is None else links.unionByName(same), p.links)
+    across = components(_across(placed, labels, sets, p), p.links)
     named = replaced(replaced(classes.select("k1", "k2", "n", F.col("rep").alias("label")), "label", labels), "label", across)
     return (
         sketched.select("doc_id", "n", "k1", "k2")
