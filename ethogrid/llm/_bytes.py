@@ -23,9 +23,12 @@ SLICE = 2 << 20
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all others."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @lru_cache(1)
@@ -58,6 +61,13 @@ def fingerprint(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * _power(pow(BASE, -1, 1 << 64), len(sums))[start])
 
 
+def fingerprints(sums: np.ndarray, length: int) -> np.ndarray:
+    """Those of every string of the length, by where it begins."""
+    out = sums[length:] - sums[:-length]
+    out *= _power(pow(BASE, -1, 1 << 64), len(sums))[: len(out)]
+    return mix(out)
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A fingerprint of an ordered pair of fingerprints."""
     return mix(a * np.uint64(0x9FB21C651E98DF25) + (b ^ np.uint64(0xD6E8FEB86659FD93)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable
 
 import pyarrow as pa
 
@@ -16,3 +17,24 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library: nothing to trim
+
+
+def released(run: Callable, sides: int) -> Callable:
+    """The function of a group (sides: its number of arguments, by which Spark tells their meaning), after which memory is freed."""
+    if sides == 2:
+
+        def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            try:
+                return run(key, table)
+            finally:
+                release()
+
+        return one
+
+    def two(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(key, left, right)
+        finally:
+            release()
+
+    return two

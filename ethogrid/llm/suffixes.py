@@ -40,7 +40,7 @@ from ethogrid.session import cut
 
 from . import _bytes as B
 from . import _shared as shared_values
-from ._memory import release
+from ._memory import released
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ class Params:
     target: int = 12 << 20
     least: int = 48
     #: Bytes of surroundings that make a batch of a shard.
-    batch: int = 1 << 20
+    batch: int = 4 << 20
 
 
 @dataclass
@@ -72,18 +72,20 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, p: Params) -> Anchors:
     none = np.zeros(0, np.int64)
     if n < p.length:
         return Anchors(sums, none, none, none, none, np.zeros(0, np.uint64))
-    at = np.arange(n - p.seed + 1)
-    seed = B.fingerprint(sums, at, at + p.seed)
+    seed = B.fingerprints(sums, p.seed)
     bits = np.uint64(max(n.bit_length(), 1))
-    low = (seed >> bits << bits) | at.astype(np.uint64)  # the leftmost of equal ones is the smallest
+    low = seed >> bits << bits
+    low |= np.arange(len(seed), dtype=np.uint64)  # the leftmost of equal ones is the smallest
     reach = 1
     while reach * 2 <= span:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
     low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
     sizes = np.diff(offsets)
-    end = np.repeat(offsets[1:], sizes)[: len(low)]
-    window = np.flatnonzero(np.arange(len(low)) + p.length <= end)
+    inside = np.ones(n, bool)  # but for windows that reach beyond their text
+    tails = np.minimum(sizes, p.length - 1)
+    inside[np.repeat(offsets[1:] - np.cumsum(tails), tails) + np.arange(int(tails.sum()))] = False
+    window = np.flatnonzero(inside[: len(low)])
     place = (low[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1])])) if len(place) else none
     text = np.searchsorted(offsets, window[new], "right") - 1
@@ -180,7 +182,6 @@ def _sender(shards: int, p: Params):
     """Step 2, on buckets: (shard, bucket, docs, sizes, data) of the distinct surroundings."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, shared: pa.Table) -> pa.Table:
-        release()
         s = surroundings(texts, shared, shards, p)
         out, size = _pieces(s, p)
         at = np.flatnonzero(np.concatenate([[True], s.shard[1:] != s.shard[:-1]])) if len(s.shard) else np.zeros(0, np.int64)
@@ -270,34 +271,53 @@ def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
     return data[np.repeat(begin - start, size) + np.arange(int(size.sum()))], start
 
 
-def _twins(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _parts(size: np.ndarray, part: int) -> list[tuple[int, int]]:
+    """(first, last + 1) of runs of pieces of about `part` bytes."""
+    ends = np.cumsum(size)
+    cuts = np.flatnonzero(np.diff(ends // part)) + 1
+    return list(zip([0, *cuts], [*cuts, len(size)], strict=True)) if len(size) else []
+
+
+def _twins(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, part: int) -> np.ndarray:
     """For each piece, the piece with equal bytes that has the smallest document (ties: that comes first)."""
-    sums = B.prefix(data)
-    name = B.pair(B.fingerprint(sums, begin, begin + size), size.astype(np.uint64))
+    name = np.zeros(len(size), np.uint64)
+    for i, j in _parts(size, part):
+        whole, start = _gathered(data, begin[i:j], size[i:j])
+        name[i:j] = B.pair(B.fingerprint(B.prefix(whole), start, start + size[i:j]), size[i:j].astype(np.uint64))
     order = np.lexsort((doc, name))
     like = np.flatnonzero(name[order][1:] == name[order][:-1]) + 1
-    if len(like):  # fingerprints propose, bytes decide
-        n = size[order[like]]
-        (one, start), (two, _) = _gathered(data, begin[order[like]], n), _gathered(data, begin[order[like - 1]], n)
-        like = like[np.logical_and.reduceat(one == two, start)]
+    same = np.ones(len(like), bool)
+    for i, j in _parts(size[order[like]], part):  # fingerprints propose, bytes decide
+        at, before = order[like[i:j]], order[like[i:j] - 1]
+        (one, start), (two, _) = _gathered(data, begin[at], size[at]), _gathered(data, begin[before], size[at])
+        same[i:j] = np.logical_and.reduceat(one == two, start)
     first = np.arange(len(order))
-    first[like] = 0
+    first[like[same]] = 0
     out = np.empty(len(order), np.int64)
     out[order] = order[np.maximum.accumulate(first)]
     return out
 
 
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers in all rows of a binary column, without a copy of one chunk; the rows' bounds in them)."""
+    rows = column.combine_chunks().cast(pa.large_binary())
+    rows = rows if isinstance(rows, pa.Array) else pa.concat_arrays(rows.chunks)
+    _, offsets, data = rows.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // width
+
+
 def _matcher(p: Params):
     """Step 2, on shards: for each bucket's entries, masks of the windows that a smaller document holds."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()]
-        doc = np.concatenate(blocks)
-        size = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("sizes").to_pylist()]).astype(np.int64)
-        data = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()])
+        doc, bounds = _flat(table.column("docs"), np.int64)
+        size = _flat(table.column("sizes"), np.uint8)[0].astype(np.int64)
+        data = _flat(table.column("data"), np.uint8)[0]
         begin = np.cumsum(size) - size
         masks = np.zeros(len(doc), np.uint32)
-        twin = _twins(data, begin, size, doc)
+        twin = _twins(data, begin, size, doc, p.batch)
         masks[doc > doc[twin]] = 0xFFFFFFFF  # a smaller document has all of the piece
         own = np.flatnonzero(twin == np.arange(len(doc)))
         own = own[np.argsort(doc[own], kind="stable")]
@@ -321,7 +341,6 @@ def _matcher(p: Params):
             np.bitwise_or.at(masks, mine[owner[gone]], np.uint32(1) << step[gone].astype(np.uint32))
             levels.add(part, at[first][~known])
         masks[doc == doc[twin]] = masks[twin][doc == doc[twin]]
-        bounds = np.cumsum([0, *map(len, blocks)])
         data = [masks[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table({"bucket": table.column("bucket"), "shard": pa.array([key[0].as_py()] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -363,7 +382,6 @@ def _cutter(shards: int, p: Params, carry: tuple[str, ...], with_text: bool):
             columns["kept"] += [kept[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         numbers = {c: pa.array(np.concatenate([np.zeros(0, np.int64), *columns[c]]), pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}
         out = {"doc_id": texts.column("doc_id"), **numbers, "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in columns["kept"]], pa.string())}
-        release()
         if with_text:
             out["text"] = pa.array([x.decode("utf-8", "ignore") for x in columns["kept"]], pa.string())
         return pa.table(out | {c: texts.column(c) for c in carry})
@@ -384,9 +402,9 @@ def substring_dedup(documents: DataFrame, p: Params = Params(), carry: tuple[str
     found = plain.mapInArrow(_seeds(shards, p), "shard long, bucket long, data binary")
     shared = cut(shared_values.shared(found))
     by_bucket = texts.groupBy("bucket")
-    sent = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(_sender(shards, p), "shard long, bucket long, docs binary, sizes binary, data binary")
-    masks = sent.groupBy("shard").applyInArrow(_matcher(p), "bucket long, shard long, data binary")
+    sent = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(released(_sender(shards, p), 3), "shard long, bucket long, docs binary, sizes binary, data binary")
+    masks = sent.groupBy("shard").applyInArrow(released(_matcher(p), 2), "bucket long, shard long, data binary")
     answers = shared.withColumn("kind", F.lit(1)).unionByName(masks.withColumn("kind", F.lit(2)))
     kinds = dict(documents.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(_cutter(shards, p, carry, with_text), schema)
+    return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(released(_cutter(shards, p, carry, with_text), 3), schema)
