@@ -24,11 +24,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates by five-word shingles."""
+    """The first document of each group of near-duplicates by five-word shingles.
+
+    Of rows with one doc_id the one with the smallest text stays (then by lang, source and n_chars), whatever order they
+    come in; rows without a doc_id stay.
+    """
     docs = docs.select(*COLUMNS)
     kept = neardup.near_duplicates(docs, neardup.Params(words=5)).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    named = docs.join(kept.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return named.select("doc_id", "row.*").unionByName(docs.where("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
