@@ -7,12 +7,14 @@ the one whose last piece is longest, position by position). Characters that no p
 is put before the text, as the model's own settings say. No piece holds a blank after another
 character (checked when the model is read; if one did, texts would be encoded whole), so a text
 falls into chunks, each a run of blanks and the bytes after it, that are encoded by themselves;
-equal chunks of a batch are encoded once. Memory is bounded by a batch and its chunks.
+equal chunks of a batch are encoded once. A long chunk, as of writing without blanks, is cut further between
+neighbouring characters that no piece holds together. Memory is bounded by a batch and its chunks.
 
 Decoding is exact: decode(encode(text)) == text for every text, white space,
 control and astral characters included; a U+2581 of the text itself is encoded by its bytes. Null texts give null ids and null back, empty texts an empty list and ''.
 Unlike the model's trainer, no normalisation or merging of blanks is done. Repeated rows give equal
-results, one for each row.
+results, one for each row. An empty table gives no rows. Only doc_id and text (or ids) are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from . import _bytes as B
 from ._memory import release
 
 META = "▁"
+#: Texts with a run like this hold long chunks.
+LONG = re.compile(rb"[^ ]{200}")
 #: Where the public tokenizers lie on this machine, unless a path is given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -104,10 +108,24 @@ class Codec(dict):
         self.automaton = Automaton(own)
         self.scores = np.array([*vocabulary.scores, vocabulary.unknown])
         self.chunks = re.compile(b".+" if any(b" " in r.lstrip(b" ") for r in own) else b" +[^ ]*", re.DOTALL).findall
+        points = [np.frombuffer(r.decode().encode("utf-32-le"), np.uint32).astype(np.uint64) for r in own]
+        #: Neighbouring characters of which some piece holds both; no piece crosses a place between others.
+        self.bonds = np.unique(np.concatenate([(x[:-1] << np.uint64(32)) | x[1:] for x in points]))
         self.table = np.frombuffer(b"".join(raw), np.uint8)
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
 
+    def pieced(self, chunk: bytes, least: int = 200) -> list[bytes]:
+        """A chunk cut where no piece can cross, if it is long; the best segmentations of its parts make that of the whole."""
+        if len(chunk) < least:
+            return [chunk]
+        x = np.frombuffer(chunk.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pair = (x[:-1] << np.uint64(32)) | x[1:]
+        at = np.minimum(np.searchsorted(self.bonds, pair), len(self.bonds) - 1)
+        size = 1 + (x >= 0x80) + (x >= 0x800) + (x >= 0x10000)
+        cuts = [0, *np.cumsum(size)[:-1][self.bonds[at] != pair].tolist(), len(chunk)]
+        return [chunk[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def viterbi(self, chunks: list[bytes]) -> list[bytes]:
         """Ids (as 32-bit integers) of the best segmentation of each chunk; the longest chunks come first.
 
@@ -180,6 +198,9 @@ class Codec(dict):
         if len(self) > self.memory:
             self.clear()
         parts = [None if t is None else self.chunks(b" " + t) if t else [] for t in texts]
+        for k, t in enumerate(texts):
+            if t and LONG.search(t):
+                parts[k] = [x for c in parts[k] for x in self.pieced(c)]
         new = sorted(set().union(*(x for x in parts if x)) - self.keys(), key=len, reverse=True)
         low = 0
         while low < len(new):

@@ -327,6 +327,17 @@ def test_pieces_are_the_best_segmentation(texts):
         assert abs(got + raw * codec.v.unknown - best[-1]) < 1e-6
 
 
+def test_long_runs_without_blanks_are_cut_where_no_piece_crosses():
+    codec = pieces.Codec(pieces.Vocabulary.read(pieces.read_model()))
+    rng = np.random.default_rng(6)
+    for alphabet in ("日本語の文字列処理東京大学", "абвгдежз", "abcdefghijklmnop", "🎈é日aб▁"):
+        chunk = (" " + "".join(rng.choice(list(alphabet), 700))).encode()
+        parts = codec.pieced(chunk)
+        assert b"".join(parts) == chunk
+        assert b"".join(codec.viterbi([x])[0] for x in parts) == codec.viterbi([chunk])[0]
+    assert len(codec.pieced((" " + "日本語の文字列処理" * 100).encode())) > 20
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")

@@ -204,10 +204,10 @@ def test_nearest_has_recall_and_exact_scores(spark):
 
 def test_nearest_of_odd_vectors(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (50, [1.0, None]), (None, [1.0, 1.0]), (100, [0.0, 1.0]), (6, [1.0, 0.1]), (7, [2.0, 0.2, 1.0]), (6, [1.0, 0.1]), (8, [float("inf"), 1.0]), (9, [])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (50, [1.0, None]), (None, [1.0, 1.0]), (100, [0.0, 1.0]), (6, [1.0, 0.1]), (7, [2.0, 0.2, 1.0]), (150, [0.0, 0.0, 2.0]), (6, [1.0, 0.1]), (8, [float("inf"), 1.0]), (9, [])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
     got = [(r.query_id, r["rank"], r.vec_id) for r in additive.nearest(df).collect()]
-    assert sorted(got) == [(0, 1, 1), (0, 2, 6), (0, 3, 100), (100, 1, 1), (100, 2, 6), (100, 3, 0)]
+    assert sorted(got) == [(0, 1, 1), (0, 2, 6), (0, 3, 100), (100, 1, 1), (100, 2, 6), (100, 3, 0), (150, 1, 7)]
     assert additive.nearest(df.limit(0)).count() == 0 and additive.nearest(df.where("vec_id = 0")).count() == 0
 
 
