@@ -12,14 +12,17 @@ among a query's nearest, as ties go to the smaller id. So a vector with a third
 entry. Codes are scanned in packed blocks, each against packed blocks of queries; every pair of
 blocks meets once, in as many tasks as there are pairs, and sends `shortlist` entries a query.
 
-Vectors that are null, empty, zero or hold null or non-finite components, rows without vec_id, and
-vectors of another length than most take no part. Of rows with one vec_id the smallest vector counts.
-Without at least two vectors the result is empty.
+Vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id take
+no part. Vectors of different lengths have no cosine: each length is searched by itself, with codebooks of
+its own. Of rows with one vec_id the smallest vector counts. Without at least two vectors of a length it gives no
+rows. Very long vectors make larger codebooks (`books` * `words` vectors). Only vec_id and embedding are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ from pyspark.sql import functions as F
 from ethogrid.session import cut
 
 
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
 @dataclass(frozen=True)
 class Params:
     books: int = 16
@@ -49,9 +55,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.where(~F.exists("v", odd) & F.exists("v", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (length.n if length else 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def train(sample: np.ndarray, p: Params) -> np.ndarray:
@@ -163,13 +167,17 @@ def _scanner(books: np.ndarray, p: Params):
 def nearest(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     """query_id, rank, vec_id and score: the p.near nearest found of every query, a row whose vec_id is divisible by p.every."""
     rows = cut(usable(vectors))
+    lengths = [r.n for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    parts = [_nearest(rows if len(lengths) == 1 else rows.where(F.size("v") == n), p) for n in lengths]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _nearest(rows: DataFrame, p: Params) -> DataFrame:
+    """The same among vectors of one length."""
     alike = Window.partitionBy("v").orderBy("vec_id")
     copies = rows.withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= p.near + 1)
     classes = cut(copies.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
     picked = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(p.sample).select("v").toArrow()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not picked.num_rows:
-        return vectors.sparkSession.createDataFrame([], schema)
     books = train(_matrix(picked.column("v").combine_chunks()), p)
     codes = classes.select(F.col("class_id").alias("vec_id"), "v").mapInArrow(_coder(books, p), "ids binary, codes binary, norms binary")
     queries = rows.where(F.col("vec_id") % p.every == 0)
