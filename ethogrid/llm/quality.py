@@ -8,7 +8,9 @@ scores (each half of them scored by the other half's model); nothing is drawn at
 
 Nulls and empty texts have no n-grams: their score is 0 and the method keeps them (the base
 rules fail them for having too few words). Repeated rows get equal results, one for each row.
-Without any trusted document no ratio exists: all scores are 0 and only the base rules decide.
+Without any trusted document no ratio exists: all scores are 0 and only the base rules decide. An empty table
+gives no rows. Very long texts are counted whole. Only doc_id, text (and of labels doc_id and quality) and what is
+to be carried are read, so other columns may have any name.
 """
 
 from __future__ import annotations

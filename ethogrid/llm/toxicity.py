@@ -14,7 +14,9 @@ expansion is folded into one weight per hashed subsequence; scoring is a table l
 Training rows are a bounded sample (Params.docs of each class, by hashed id) of the labelled rows
 whose crc32(doc_id) mod 3 is not 1; every document is scored on its whole text. Null and empty
 texts, and those without a word of three bytes, get the score of the lowest decision value. With no
-toxic or no clean training row the score is 0. Repeated rows get equal results, one for each row.
+toxic or no clean training row the score is 0. Repeated rows get equal results, one for each row. An empty table
+gives no rows. Very long texts are scored whole. Only doc_id and text (and of labels doc_id and toxic) are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations

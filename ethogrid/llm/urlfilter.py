@@ -8,11 +8,14 @@ hosts whose pages they block: what links to blocked hosts is distrusted. Both st
 of such pages and run `rounds` rounds. A host is blocked if its distrust exceeds `ratio` times its
 trust; a host that neither reaches is allowed.
 
-Scores are whole numbers, so the order of sums doesn't matter and reruns agree. Edges and scores are tables that are joined and summed, with
-partial sums before each shuffle, so a host with a third of all pages is one row a task.
+Scores are whole numbers, so the order of sums doesn't matter and reruns agree. Edges and scores are tables
+that are joined and summed, with partial sums before each shuffle, so in those a host with a third of all pages is
+one row a task. Pages get their host's verdict from a copy in each task while the scores of all hosts take `small`
+bytes at most, which is checked; beyond, by a join in which Spark splits partitions that a host swells.
 
 Null urls and those without '://' have an empty host and path, which no rule fits and which are
-allowed; such pages give no edges. Null html has no links. Repeated rows give equal results.
+allowed; such pages give no edges. Null html has no links. Repeated rows give equal results. An empty table gives
+no rows. Very long urls and pages are read whole. Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ class Params:
     ratio: int = 1
     #: The seeds' scores sum to about this.
     unit: int = 1 << 50
+    #: Bytes of all hosts' scores up to which they are sent to every task that reads pages; beyond, pages are dealt by host.
+    small: int = 8 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -110,6 +115,8 @@ def url_filter(pages: DataFrame, p: Params = Params()) -> DataFrame:
     scores = spread(edges(rows), seeds, p)
     trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
     by_host = F.when(distrust > p.ratio * trust, "block").otherwise("allow")
-    return ruled.drop("html").join(scores.hint("merge"), "host", "left").select(
+    size = scores.agg(F.sum(F.octet_length("host") + 64).alias("n")).first().n or 0
+    side = F.broadcast(scores) if size <= p.small else scores.hint("merge")
+    return ruled.drop("html").join(side, "host", "left").select(
         "page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )
