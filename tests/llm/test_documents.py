@@ -379,3 +379,71 @@ def test_shuffled_places_are_a_permutation_and_shards_are_drawn(spark):
     # two passes of one source are in different orders
     a, b = ([r.to for r in places(1000, key).orderBy("id").collect()] for key in (1, 2))
     assert sum(x == y for x, y in zip(a, b, strict=True)) < 20 and abs(np.corrcoef(a, b)[0, 1]) < 0.15
+
+
+def test_license_labels_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    filler = [f"word{k}" for k in range(60)] + ["the", "license", "software", "free", "public"]
+    rows = []
+    for k in range(150):
+        words = list(rng.choice(filler, int(rng.integers(0, 40))))
+        for _ in range(int(rng.integers(0, 3))):
+            notice = licenses.NOTICES[int(rng.integers(len(licenses.NOTICES)))][1].split()
+            notice = [str(rng.choice(filler)) if rng.random() < 0.15 else w for w in notice[int(rng.integers(0, 4)) :]]
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = notice
+        rows.append((k, " ".join(words)))
+    vocabulary = {w for _, text, _ in licenses.NOTICES for w in text.split()}
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    idf = {w: np.log(1 + len(rows) / (1 + df[w])) for w in vocabulary}
+    share = licenses.Params().share
+    wanted = {}
+    for k, t in rows:
+        w, found, best = t.split(), set(), 0.0
+        for label, text, phrases in licenses.NOTICES:
+            n = text.split()
+            mass = sum(idf[x] for x in n)
+            must = {i + d for ph in phrases for i in range(len(n)) if n[i : i + len(ph.split())] == ph.split() for d in range(len(ph.split()))}
+            for offset in range(-len(n), len(w)):
+                have = {i for i in range(len(n)) if 0 <= offset + i < len(w) and w[offset + i] == n[i]}
+                weight = sum(idf[n[i]] for i in have)
+                if weight >= share * mass - 1e-9 and must <= have:
+                    found.add(label)
+                    best = max(best, min(weight / mass, 1.0))
+        base = {x for ph, x in licenses.BASE.items() if f" {ph} " in f" {t} "}
+        wanted[k] = (",".join(sorted(base | found)), 1.0 if base else best)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in wanted.items()}
+    assert all(abs(got[k][1] - wanted[k][1]) < 1e-9 for k in wanted) and len({v[0] for v in wanted.values()}) > 8
+
+
+def test_quality_scores_equal_brute_force(spark, documents, texts, sf_dir):
+    """The ratio, the threshold and the verdict with a counter of n-grams in place of arrays of sums."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    p = quality.Params()
+    grams = {}
+    for i, t in texts.items():
+        w = WORD.findall((t or "").translate(AZ))
+        raw = np.frombuffer((" ".join(w)).encode(), np.uint8)
+        grams[i] = Counter(quality._grams(raw, np.array([0, len(raw)]), p.buckets)[1].tolist())
+        assert sum(grams[i].values()) == max(2 * len(w) - 1, 0)
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1} & set(texts)
+    half = {r.doc_id: r.half for r in documents.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) as half").collect()}
+    total = sum(grams.values(), Counter())
+    size = sum(total.values())
+
+    def model(ids):
+        target = sum((grams[i] for i in ids), Counter())
+        n = max(sum(target.values()), 1)
+        raw = lambda g: (total[g] + 1) / (size + p.buckets)
+        return lambda g: np.log((target[g] + p.prior * n * raw(g)) / (sum(target.values()) + p.prior * n)) - np.log(raw(g))
+
+    score = lambda i, ratio: sum(n * ratio(g) for g, n in grams[i].items()) / max(sum(grams[i].values()), 1)
+    halves = [model([i for i in trusted if half[i] == h]) for h in (0, 1)]
+    own = sorted(score(i, halves[1 - half[i]]) for i in trusted)
+    whole = model(trusted)
+    _, threshold = quality.fit(documents, labels)
+    assert abs(threshold - (own[max(int(np.ceil(p.tail * len(own))) - 1, 0)] - p.margin)) < 1e-9
+    for r in quality.quality_rules(documents, labels).collect():
+        assert abs(r.score - score(r.doc_id, whole)) < 1e-9
+        assert r.kept == (not r.base_failed and r.score >= threshold)

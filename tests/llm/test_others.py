@@ -239,3 +239,51 @@ def test_pipeline_stages_bear_odd_rows(spark, sf_dir, odd):
         assert stage(spark, none, sf_dir).count() == 0, name
     kept = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, odd, sf_dir).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [1, None, 3, 4, 5, 6, 7, 8]))
+
+
+def test_ranks_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    hosts = [f"{n}.org" for n in "abcdefghij"] + ["bad.net", "worse.net", "good.com", "www.a.org", "x.y.b.org"]
+    rows = []
+    for k in range(120):
+        path = "/es/" if rng.random() < 0.3 else "/p"
+        links = "".join(f'<a href="http://{h}/q">' for h in rng.choice(hosts, int(rng.integers(0, 5))))
+        rows.append((k, f"http://{rng.choice(hosts)}{path}", links))
+    p = urlfilter.Params()
+    got = {r.host: (r.trust, r.distrust, r.verdict) for r in urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).where("rule is null").collect()}
+
+    # the same in plain loops over a dense graph, in floating point
+    own, verdict = [], {h + p_: v for v, h, p_ in urlfilter.RULES}
+    for _, url, _ in rows:
+        host, _, rule = brute_rule(url)
+        own.append((host, verdict.get(rule)))
+    names = sorted({h for h, _ in own} | {brute_rule(x)[0] for _, _, html in rows for x in html.split('"')[1::2]} | {h.split(".", 1)[1] for h, _ in own if h.count(".") > 1})
+    place = {h: k for k, h in enumerate(names)}
+    edges = np.zeros((len(names), len(names)))
+    for (host, _), (_, _, html) in zip(own, rows, strict=True):
+        for target in {brute_rule(x)[0] for x in set(html.split('"')[1::2])}:
+            if target != host:
+                edges[place[host], place[target]] += 1
+        if host.count(".") > 1:
+            edges[place[host], place[host.split(".", 1)[1]]] += 1
+            edges[place[host.split(".", 1)[1]], place[host]] += 1
+
+    def rank(e, seeds):
+        out = e.sum(axis=1, keepdims=True)
+        move = np.divide(e, out, out=np.zeros_like(e), where=out > 0)
+        start = seeds / max(seeds.sum(), 1)
+        score = start
+        for _ in range(p.rounds):
+            score = start * (1 - p.passed / 100) + p.passed / 100 * score @ move
+        return score
+
+    seeds = {v: np.array([sum(1 for h, x in own if h == n and x == v) for n in names], float) for v in ("allow", "block")}
+    trust, distrust = rank(edges, seeds["allow"]), rank(edges.T, seeds["block"])
+    assert len(got) > 8 and {v for _, _, v in got.values()} == {"allow", "block"}
+    for host, (t, d, v) in got.items():
+        k = place[host]
+        assert abs(t / p.unit - trust[k]) < 1e-9 and abs(d / p.unit - distrust[k]) < 1e-9
+        assert v == ("block" if d > p.ratio * t else "allow")
+    # beyond the bound for copies, pages join their hosts' scores, with the same result
+    again = urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), urlfilter.Params(small=0))
+    assert {r.host: (r.trust, r.distrust, r.verdict) for r in again.where("rule is null").collect()} == got
