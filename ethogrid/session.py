@@ -26,10 +26,13 @@ def session(app: str = "ethogrid", cpus: int | str = "*", partitions: int = 8) -
 
 
 def checkpointing(spark: SparkSession) -> SparkSession:
-    """Make sure that checkpoint() has a folder: the cluster's, or a local one where none is set."""
+    """Make sure that checkpoint() has a folder: the cluster's, or a local one where all of Spark runs in this process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ethogrid-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ethogrid-ckpt-"))
     return spark
 
 
