@@ -18,7 +18,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at a time; one text may be longer.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
 
-def release() -> None:
+def release(cycles: bool = True) -> None:
     """Free what allocators keep for reuse."""
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -38,3 +39,15 @@ def released(run: Callable, sides: int) -> Callable:
             release()
 
     return two
+
+
+def freed(run: Callable) -> Callable:
+    """The function of a partition's batches, after which memory is freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release(cycles=False)
+
+    return whole

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from ethogrid.session import cut
 
+from ._memory import freed
+
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
@@ -179,13 +181,13 @@ def _nearest(rows: DataFrame, p: Params) -> DataFrame:
     classes = cut(copies.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
     picked = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(p.sample).select("v").toArrow()
     books = train(_matrix(picked.column("v").combine_chunks()), p)
-    codes = classes.select(F.col("class_id").alias("vec_id"), "v").mapInArrow(_coder(books, p), "ids binary, codes binary, norms binary")
+    codes = classes.select(F.col("class_id").alias("vec_id"), "v").mapInArrow(freed(_coder(books, p)), "ids binary, codes binary, norms binary")
     queries = rows.where(F.col("vec_id") % p.every == 0)
     n_blocks = max(1, -(-queries.count() // p.query_block))
     packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).groupBy("block").applyInArrow(_pack, "block long, queries binary, vectors binary")
     # packed blocks meet by number: a block of codes is sent once to each block of queries
     dealt = codes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    found = dealt.join(packed.hint("merge"), "block").mapInArrow(_scanner(books, p), "query_id long, class_id long, guess float")
+    found = dealt.join(packed.hint("merge"), "block").mapInArrow(freed(_scanner(books, p)), "query_id long, class_id long, guess float")
     best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "class_id")
     short = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= p.shortlist).select("query_id", "class_id")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))

@@ -41,6 +41,7 @@ from ethogrid.session import cut
 
 from . import _bytes as B
 from . import _shared as shared_values
+from ._memory import freed
 
 
 @dataclass(frozen=True)
@@ -282,12 +283,12 @@ def _same_document(some: DataFrame, classes: DataFrame) -> DataFrame | None:
 def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = cut(rows.mapInArrow(_sketcher(p), "doc_id long, n long, k1 long, k2 long, sketch binary"))
+    sketched = cut(rows.mapInArrow(freed(_sketcher(p)), "doc_id long, n long, k1 long, k2 long, sketch binary"))
     some = sketched.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     shards = max(p.buckets, -(-classes.count() // p.bucket))
     reps = classes.select("rep", "n", "sketch", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("long").alias("bucket"))
-    answers = shared_values.shared(reps.select("rep", "bucket", "sketch").mapInArrow(_offer(shards), shared_values.SCHEMA))
+    answers = shared_values.shared(reps.select("rep", "bucket", "sketch").mapInArrow(freed(_offer(shards)), shared_values.SCHEMA))
     values = reps.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_keep(shards, p), "value long, rep long, part long, n long, alone long")
     values = cut(values)
     # each list's length, and its hub: the member with the smallest hash, so that lists of like members have like hubs
@@ -303,7 +304,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     placed = placed.unionByName(members.select("hub", F.col("hub").alias("rep"), "blocks", F.lit(0).cast("long").alias("own")))
     placed = cut(placed)
     sets = rows.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
-    sets = cut(sets.mapInArrow(_sets(p), "rep long, all binary"))
+    sets = cut(sets.mapInArrow(freed(_sets(p)), "rep long, all binary"))
     inside = placed.select("hub", "rep", F.explode(F.when(F.col("hub") == F.col("rep"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("i"))
     links = inside.join(sets, "rep").withColumnRenamed("rep", "label").groupBy("hub", "i").applyInArrow(_judge(p), "a long, b long")
     same = _same_document(some, classes)

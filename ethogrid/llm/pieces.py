@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._memory import release
+from ._memory import freed, release
 
 META = "▁"
 #: Texts with a run like this hold long chunks.
@@ -282,9 +282,9 @@ def read_model(path: str = MODEL) -> bytes:
 def encode_pieces(documents: DataFrame, model: bytes | None = None, check: bool = True) -> DataFrame:
     """doc_id, ids and, with check, exact: whether decoding the ids gave the text back."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_encoder(model or read_model(), check), "doc_id long, ids array<int>" + ", exact boolean" * check)
+    return rows.mapInArrow(freed(_encoder(model or read_model(), check)), "doc_id long, ids array<int>" + ", exact boolean" * check)
 
 
 def decode_pieces(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
     """doc_id and decoded of every row of ids."""
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decoder(model or read_model()), "doc_id long, decoded string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(freed(_decoder(model or read_model())), "doc_id long, decoded string")

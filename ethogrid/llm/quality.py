@@ -23,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ethogrid.session import cut
+
 from . import _bytes as B
+from ._memory import freed
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -42,6 +45,8 @@ class Params:
     margin: float = 0.1
     min_words: int = 50
     max_repeat_percent: int = 50
+    #: Bytes of the trusted documents' ids up to which they are sent to every task; beyond, texts are joined to them.
+    small: int = 8 << 20
 
 
 def _grams(buf: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +74,7 @@ def _counter(p: Params, halves: bool):
 
 def _counts(texts: DataFrame, p: Params, halves: bool = False) -> np.ndarray:
     """Counts of all n-grams by half (the first, if there are none) and bucket; each task sends at most one row for each."""
-    rows = texts.select("text", *["half"] * halves).mapInArrow(_counter(p, halves), "half long, bucket long, n long").groupBy("half", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.select("text", *["half"] * halves).mapInArrow(freed(_counter(p, halves)), "half long, bucket long, n long").groupBy("half", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((2, p.buckets))
     out[rows["half"].to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return out
@@ -151,7 +156,9 @@ def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[
         return nothing
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
-    targets = _counts(rows.join(trusted.hint("merge"), "doc_id"), p, halves=True)
+    trusted = cut(trusted)
+    side = F.broadcast(trusted) if trusted.count() * 16 <= p.small else trusted.hint("merge")
+    targets = _counts(rows.join(side, "doc_id"), p, halves=True)
     if not targets.sum():
         return nothing
     p_raw = (raw + 1) / (raw.sum() + p.buckets)
@@ -162,7 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[
 
     # each half is scored by the other, as documents that nobody labelled will be; texts are scored where they lie and
     # only scores are dealt out; a rank is off by a millionth of the rows at most
-    own = rows.mapInArrow(_crossed([ratio(t) for t in targets], p), "doc_id long, score double").join(trusted.hint("merge"), "doc_id")
+    own = rows.mapInArrow(freed(_crossed([ratio(t) for t in targets], p)), "doc_id long, score double").join(side, "doc_id")
     low = own.agg(F.percentile_approx("score", p.tail, 1_000_000).alias("low")).first().low
     return ratio(targets.sum(axis=0)), float(low) - p.margin
 
@@ -174,7 +181,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, p: Params = Params(),
     others = [c for c in carry if c != "text"]
     schema = "doc_id long, " + "text string, " * ("text" in carry) + "".join(f"`{c}` {kinds[c]}, " for c in others)
     schema += "score double, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others).mapInArrow(_scorer(ratio, p, "all", "text" in carry), schema)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others).mapInArrow(freed(_scorer(ratio, p, "all", "text" in carry)), schema)
     failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

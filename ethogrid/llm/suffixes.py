@@ -40,7 +40,7 @@ from ethogrid.session import cut
 
 from . import _bytes as B
 from . import _shared as shared_values
-from ._memory import released
+from ._memory import freed, released
 
 
 @dataclass(frozen=True)
@@ -399,7 +399,7 @@ def substring_dedup(documents: DataFrame, p: Params = Params(), carry: tuple[str
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(key), F.lit(shards)).cast("long").alias("bucket"), *carry)
     plain = texts.select("doc_id", "text", "bucket")
-    found = plain.mapInArrow(_seeds(shards, p), "shard long, bucket long, data binary")
+    found = plain.mapInArrow(freed(_seeds(shards, p)), "shard long, bucket long, data binary")
     shared = cut(shared_values.shared(found))
     by_bucket = texts.groupBy("bucket")
     sent = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(released(_sender(shards, p), 3), "shard long, bucket long, docs binary, sizes binary, data binary")

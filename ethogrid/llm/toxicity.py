@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._memory import freed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -219,10 +220,10 @@ def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[
             return None
         beta, bias = train(positive, negative, p)
         schema = "toxic int, " + ", ".join(f"{c} double" for c in EVIDENCE)
-        best = texts.mapInArrow(_scored(beta, bias, p, True), schema + ", word binary").toPandas()
+        best = texts.mapInArrow(freed(_scored(beta, bias, p, True)), schema + ", word binary").toPandas()
         hard = [bytes(w) for w in best[(best.toxic == 0) & (best.value > -1)].sort_values(["value", "word"], ascending=[False, True]).word.dropna().drop_duplicates()][: p.words]
         beta, bias = train(positive, (hard[: p.landmarks // 2] + [w for w in negative + hard[p.landmarks // 2 :] if w not in set(positive)]), p)
-        best = texts.mapInArrow(_scored(beta, bias, p, False), schema).toPandas()
+        best = texts.mapInArrow(freed(_scored(beta, bias, p, False)), schema).toPandas()
         return beta, bias, *calibrate(best[list(EVIDENCE)].to_numpy(), best.toxic.to_numpy())
     finally:
         texts.unpersist()
@@ -236,7 +237,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> D
         scored = rows.select("doc_id", F.lit(0.0).alias("score"))
     else:
         beta, bias, coefficients, intercept = model
-        evidence = rows.mapInArrow(_scored(beta, bias, p, False), "doc_id long, " + ", ".join(f"{c} double" for c in EVIDENCE))
+        evidence = rows.mapInArrow(freed(_scored(beta, bias, p, False)), "doc_id long, " + ", ".join(f"{c} double" for c in EVIDENCE))
         logit = sum((float(w) * F.col(c) for w, c in zip(coefficients, EVIDENCE, strict=True)), F.lit(intercept))
         scored = evidence.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))

@@ -444,6 +444,7 @@ def test_quality_scores_equal_brute_force(spark, documents, texts, sf_dir):
     whole = model(trusted)
     _, threshold = quality.fit(documents, labels)
     assert abs(threshold - (own[max(int(np.ceil(p.tail * len(own))) - 1, 0)] - p.margin)) < 1e-9
+    assert abs(quality.fit(documents, labels, quality.Params(small=0))[1] - threshold) < 1e-12
     for r in quality.quality_rules(documents, labels).collect():
         assert abs(r.score - score(r.doc_id, whole)) < 1e-9
         assert r.kept == (not r.base_failed and r.score >= threshold)
