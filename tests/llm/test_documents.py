@@ -346,16 +346,62 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
 
 
+def _value(text: str, beta, bias, p):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    start, end, number, _ = toxicity.sentences(buf, np.array([0, len(buf)]), p)
+    return toxicity.decisions(buf, start, end, number, beta, bias, p)
+
+
 def test_toxicity_bears_gaps_and_stems():
     p = toxicity.Params()
     rng = np.random.default_rng(0)
-    plain = ["".join(rng.choice(list("aeinorstlh"), int(rng.integers(3, 9)))).encode() for _ in range(400)]
-    beta, bias = toxicity.train([b"worthless", b"disgusting", b"pathetic"], plain, p)
-    words = [b"wor*thless", b"w.o.r.t.h.l.e.s.s", b"disgustingly", b"threnore", b"anion"]
-    buf = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    value = toxicity.decisions(buf, ends - [len(w) for w in words], ends, beta, bias, p)
-    assert value[:3].min() > value[3:].max()
+    word = lambda: "".join(rng.choice(list("aeinorstlh"), int(rng.integers(3, 9))))
+    said = lambda *more: " ".join([word(), word(), *more, word()])
+    plain = [said(word()).encode() for _ in range(400)]
+    toxic = [said(w).encode() for w in ("worthless", "disgusting", "pathetic") for _ in range(20)]
+    beta, bias = toxicity.train(toxic, plain, np.ones(1 << p.bits, np.float32), p)
+    bad = [said(w) for w in ("wor*thless", "w.o.r.t.h.l.e.s.s", "w o r t h l e s s", "disgustingly")]
+    good = [said(w) for w in ("threnore", "anion")]
+    assert min(_value(s, beta, bias, p)[0] for s in bad) > max(_value(s, beta, bias, p)[0] for s in good)
+
+
+def test_toxicity_sentences():
+    p = toxicity.Params(width=3, long_word=8)
+    text = "one two. three\nfour five six seven! a b c d\n\xa0 x " + "y" * 20
+    buf = np.frombuffer(text.encode(), np.uint8)
+    start, end, number, owner = toxicity.sentences(buf, np.array([0, len(buf)]), p)
+    words = [bytes(buf[a:b]).decode() for a, b in zip(start, end, strict=True)]
+    assert list(zip(words, number.tolist(), strict=True)) == [
+        ("one", 0), ("two.", 0), ("three", 1), ("four", 2), ("five", 2), ("six", 2), ("seven!", 3), ("a b c d", 4), ("y" * 8, 5), ("y" * 8, 6), ("yyyy", 6),
+    ] and set(owner.tolist()) == {0}
+
+
+def test_toxicity_decisions_are_kernel_sums():
+    """The folded weights against the kernel as it is defined, subsequence by subsequence."""
+    p = toxicity.Params(bits=20)
+
+    def features(sentence):
+        words, out = [w for w in sentence.split() if len(w) >= 3], {}
+        for w in words:
+            mine = {}
+            for i in range(len(w)):
+                for b in range(2, p.span + 1):
+                    for a in range(1, b):
+                        if i + b < len(w):
+                            mine.setdefault((w[i], w[i + a], w[i + b]), []).append(p.decay ** (b - 2))
+                for n in p.runs:
+                    if i + n <= len(w):
+                        mine.setdefault(w[i : i + n], []).append(1.0)
+            norm = sum(x * x for v in mine.values() for x in v) ** 0.5
+            for k, v in mine.items():
+                out[k] = out.get(k, 0) + sum(v) / norm / len(words) ** 0.5
+        return out
+
+    one, other = "stupid clown worthless", "the clown cloned a worth"
+    wanted = sum(x * features(other).get(k, 0) for k, x in features(one).items())
+    _, index, weight = toxicity._features([one.encode()], np.ones(1 << p.bits, np.float32), p)
+    beta = np.bincount(index, weight, 1 << p.bits).astype(np.float32)
+    assert abs(_value(other, beta, 0.0, p)[0] - wanted) < 1e-3
 
 
 def test_toxicity_of_odd_rows(odd, none, labels):
