@@ -247,41 +247,53 @@ def _spread(said: list[bytes], n: int) -> list[bytes]:
 def train(positive: list[bytes], negative: list[bytes], rarity: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     """(weight of each hashed subsequence, bias): a squared-hinge machine on Nyström features, by Newton steps."""
     marks = _spread(positive, p.landmarks) + _spread(negative, p.landmarks)
-    number, index, weight = _features(marks, rarity, p)
+    by, index, weight = _features(marks, rarity, p)
     used = np.unique(index)  # no other subsequence adds to a kernel value
-    place = np.full(1 << p.bits, -1)
+    place = np.full(1 << p.bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    phi = np.zeros((len(used), len(marks)), np.float32)
-    np.add.at(phi, (place[index], number), weight)
+    by_at = place[index]
 
     def kernel(said: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(said), len(marks)))
-        for c in range(0, len(said), 128):
-            number, index, weight = _features(said[c : c + 128], rarity, p)
-            known = place[index] >= 0
-            number, at, weight = number[known], place[index[known]], weight[known]
-            if len(number):
-                first = np.flatnonzero(np.diff(number, prepend=-1))
-                out[c + number[first]] = np.add.reduceat(phi[at] * weight[:, None], first)
+        parts = [_features(said[c : c + 512], rarity, p) for c in range(0, len(said), 512)]
+        number = np.concatenate([(n + 512 * c).astype(np.int32) for c, (n, _, _) in enumerate(parts)])
+        at = np.concatenate([place[i] for _, i, _ in parts])
+        scale = np.concatenate([w.astype(np.float32) for _, _, w in parts])
+        del parts
+        number, at, scale = (x[at >= 0] for x in (number, at, scale))
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        cuts = np.append(first[:: 256], len(number))  # features of 256 sentences at a time
+        out = np.zeros((len(said), len(marks)), np.float32)
+        for m in range(0, len(marks), 64):
+            mine = (by >= m) & (by < m + 64)
+            phi = np.zeros((len(used), min(64, len(marks) - m)), np.float32)
+            np.add.at(phi, (by_at[mine], by[mine] - m), weight[mine])
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                here = first[np.searchsorted(first, low) : np.searchsorted(first, high)]
+                out[number[here], m : m + phi.shape[1]] = np.add.reduceat(phi[at[low:high]] * scale[low:high, None], here - low)
         return out
 
     values, vectors = np.linalg.eigh(kernel(marks) + 1e-3 * np.eye(len(marks)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    x = np.column_stack([kernel(positive + negative) @ root, np.ones(len(positive) + len(negative))])
+    x = np.empty((len(positive) + len(negative), len(marks) + 1), np.float32)
+    x[:, :-1], x[:, -1] = kernel(positive + negative) @ root.astype(np.float32), 1
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     share = np.repeat([p.cost / len(positive), p.cost / len(negative)], [len(positive), len(negative)]) * 100
     w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-3
     for turn in range(30):
-        active = y * (x @ w) < 1
-        xa = x[active]
-        new = np.linalg.solve(ridge + (xa * share[active, None]).T @ xa, (xa * share[active, None]).T @ y[active])
+        left, right = np.eye(len(w)), np.zeros(len(w))
+        left[-1, -1] = 1e-3
+        for c in range(0, len(x), 2048):
+            xa, ya, sa = x[c : c + 2048].astype(float), y[c : c + 2048], share[c : c + 2048]
+            sa = np.where(ya * (xa @ w) < 1, sa, 0.0)
+            xs = (xa * sa[:, None]).T
+            left += xs @ xa
+            right += xs @ ya
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = 0.5 * (w + new) if turn > 10 else new
     beta = np.zeros(1 << p.bits, np.float32)
-    beta[used] = phi @ (root @ w[:-1]) * rarity[used]
+    np.add.at(beta, index, weight * (root @ w[:-1])[by] * rarity[index])
     return beta, float(w[-1])
 
 
