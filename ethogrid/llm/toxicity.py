@@ -327,7 +327,7 @@ def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[
     if len({t for _, t, _ in picked}) < 2:
         return None
     ids = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int, aside boolean"))
-    texts = documents.select("doc_id", "text").join(ids, "doc_id").repartition(8, "doc_id").persist()
+    texts = documents.select("doc_id", "text").join(ids, "doc_id").repartition(8, "doc_id").coalesce(8).persist()
     try:
         seen = texts.where("not aside").select("toxic", "text")
         parts = seen.mapInArrow(freed(_means(p)), "toxic int, n long, total binary, square binary").collect()
