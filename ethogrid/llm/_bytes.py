@@ -98,12 +98,12 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[t
         low = high
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word: a run of bytes that aren't white space, within a text."""
+def words(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word: a run of bytes that aren't white space (or others outside words), within a text."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[buf]
+    inside = ~outside[buf]
     cut = np.zeros(len(buf) + 1, bool)
     cut[offsets] = True
     starts = inside.copy()
