@@ -25,6 +25,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,11 +44,19 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 BLANK, LETTER, NUMBER, OTHER = range(4)
 #: Code points below it are looked up in tables.
 KNOWN = 0x20000
-#: Bytes of text, and words, of a chunk; bytes of text of a row of codes; words of a bucket.
-CHUNK, LIST, PART, BUCKET = 1 << 25, 400_000, 1 << 21, 400_000
 ROW = "chunk long, part int, docs array<long>, n long, data binary"
 
 
+@dataclass(frozen=True)
+class Params:
+    """Bytes of text, and words, of a chunk; bytes of text of a row of codes; words of a bucket."""
+
+    chunk: int = 1 << 25
+    words: int = 400_000
+    part: int = 1 << 21
+    bucket: int = 400_000
+
+
 def read_tokenizer(path: str | None = None) -> bytes:
     """The tokenizer file's bytes, read by the driver; they travel with the tasks (some 2 MB)."""
     if path is None:
@@ -243,7 +252,7 @@ def _row(chunk: int, part: int, docs: list, n: int, data: bytes) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((chunk, part, docs, n, data), kinds, strict=True)], ["chunk", "part", "docs", "n", "data"])
 
 
-def _coded(raw: bytes):
+def _coded(raw: bytes, p: Params):
     """Texts as rows of codes (part 0, 1 ...) and, for each chunk, its list of words (part -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +265,14 @@ def _coded(raw: bytes):
             size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             low = 0
             while low < len(docs):
-                high = max(low + 1, int(np.searchsorted(np.cumsum(size[low:]), PART, "right")) + low)
+                high = max(low + 1, int(np.searchsorted(np.cumsum(size[low:]), p.part, "right")) + low)
                 found, counts = split.words([t or "" for t in column.slice(low, high - low).to_pylist()])
                 coded = found.dictionary_encode()
                 own = coded.dictionary.to_pylist()
                 codes = np.array([known.setdefault(w, len(known)) for w in own], np.uint32)[coded.indices.to_numpy()] if own else np.zeros(0, np.uint32)
                 yield _row(base | chunk, part, docs[low:high], len(codes), _packed(counts, codes))
                 held, part, low = held + int(size[low:high].sum()), part + 1, high
-                if held >= CHUNK or len(known) >= LIST:
+                if held >= p.chunk or len(known) >= p.words:
                     yield _row(base | chunk, -1, [], len(known), zlib.compress("\n".join(known).encode("utf-8", "surrogatepass"), 1))
                     chunk, held, part, known = chunk + 1, 0, 0, {}
         if part:
@@ -371,13 +380,13 @@ def _assembled(raw: bytes):
     return run
 
 
-def encode_words(documents: DataFrame, tokenizer: bytes | None = None) -> DataFrame:
+def encode_words(documents: DataFrame, tokenizer: bytes | None = None, p: Params = Params()) -> DataFrame:
     """doc_id, ids and decoded (the pieces of these ids, with a blank between) of every row of documents."""
     raw = tokenizer or read_tokenizer()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = cut(rows.mapInArrow(freed(_coded(raw)), ROW))
+    coded = cut(rows.mapInArrow(freed(_coded(raw, p)), ROW))
     lists = coded.where("part < 0")
-    buckets = max(1, -(-(lists.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    buckets = max(1, -(-(lists.agg(F.sum("n")).first()[0] or 0) // p.bucket))
     dealt = lists.select("chunk", "n", "data").mapInArrow(freed(_dealt(buckets)), "bucket long, chunk long, codes binary, words binary")
     answers = dealt.groupBy("bucket").applyInArrow(_encoded(raw), ROW)
     both = answers.unionByName(coded.where("part >= 0"))
