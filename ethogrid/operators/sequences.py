@@ -111,3 +111,33 @@ def sparse_frames(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     objects has sequence, object and frames, an array."""
     shown = objects.select("sequence", F.explode("frames").alias("frame")).distinct()
     return shown, objects.select("sequence", F.array_min("frames").alias("frame")).where("frame is not null").distinct()
+
+
+def reference_frames(seen: DataFrame) -> DataFrame:
+    """sequence, frame, fresh, objects: the frames that show an object for the first time, these objects, and how many the
+    sequence has shown so far. seen has sequence, frame, object; object 0 is the background."""
+    firsts = seen.where("object <> 0").groupBy("sequence", "object").agg(F.min("frame").alias("frame"))  # a row an object from here on
+    frames = firsts.groupBy("sequence", "frame").agg(F.array_sort(F.collect_list("object")).alias("fresh"))
+    so_far = Window.partitionBy("sequence").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return frames.select("sequence", "frame", "fresh", F.sum(F.size("fresh")).over(so_far).alias("objects"))
+
+
+def as_of(frames: DataFrame, references: DataFrame, block: int = 4096) -> DataFrame:
+    """frames with `reference` and `objects` of the last reference at or before each, null where none is.
+
+    frames has sequence and frame (once each); references sequence, frame, objects. The last reference is sought within
+    blocks of frames; the one that a block begins with comes from the references alone, so a long sequence isn't one task's.
+    """
+    part = lambda c: F.floor(F.col(c) / block)
+    known = references.select("sequence", F.col("frame").alias("at"), "objects", part("frame").alias("block"))
+    marked = frames.withColumn("block", part("frame")).join(known.withColumnRenamed("at", "frame"), ["sequence", "block", "frame"], "full")
+    given = F.when(F.col("objects").isNotNull(), F.struct(F.col("frame").alias("reference"), "objects"))
+    inside = Window.partitionBy("sequence", "block").orderBy("frame")
+    marked = marked.withColumn("own", F.last(given, True).over(inside))
+    ends = known.groupBy("sequence", "block").agg(F.max(F.struct(F.col("at").alias("reference"), "objects")).alias("end"))
+    every = frames.select("sequence", part("frame").alias("block")).distinct().join(ends, ["sequence", "block"], "full")
+    before = Window.partitionBy("sequence").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.withColumn("before", F.last("end", True).over(before)).select("sequence", "block", "before")
+    found = marked.join(carried, ["sequence", "block"], "left").withColumn("found", F.coalesce("own", "before"))
+    asked = frames.select(*[F.col(c) for c in ("sequence", "frame")])
+    return asked.join(found.select("sequence", "frame", F.col("found.reference").alias("reference"), F.col("found.objects").alias("objects")), ["sequence", "frame"])
