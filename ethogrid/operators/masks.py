@@ -164,20 +164,68 @@ def recleaned(runs: DataFrame, scores: DataFrame, height: int, width: int, least
     return done.join(kept.select("frame", "roi"), ["frame", "roi"])
 
 
-def contour(pixels: DataFrame) -> DataFrame:
-    """The pixels of each mask that have a side which no pixel of the mask shares: each pixel calls on its four neighbours."""
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])
-    calls = pixels.select("frame", "roi", "y", "x", F.explode(steps).alias("step"))
-    own = (F.col("step.dy") == 0) & (F.col("step.dx") == 0)
-    calls = calls.select("frame", "roi", (F.col("y") + F.col("step.dy")).alias("y"), (F.col("x") + F.col("step.dx")).alias("x"), own.cast("int").alias("own"))
-    met = calls.groupBy("frame", "roi", "y", "x").agg(F.max("own").alias("own"), F.count("*").alias("n"))
-    return met.where("own = 1 and n < 5").select("frame", "roi", "y", "x")
+#: Steps (dy, dx) to the neighbours, against the clock from the right.
+AROUND = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
+#: By which neighbours are there (a bit each) and which one a walk came from: the next one against the clock.
+TURN = np.array([[next(((back + k) % 8 for k in range(1, 9) if code >> (back + k) % 8 & 1), 0) for back in range(8)] for code in range(256)])
+
+
+def _outline(table: pa.Table) -> pa.Table:
+    """The chain of one part: its first pixel in raster order, then along the border until the walk would repeat itself."""
+    y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    top, left = y.min() - 1, x0.min() - 1
+    grid = np.zeros((y.max() - top + 2, x1.max() - left + 1), np.uint8)
+    for r, a, b in zip((y - top).tolist(), (x0 - left).tolist(), (x1 - left).tolist(), strict=True):
+        grid[r, a:b] = 1
+    width = grid.shape[1]
+    code = np.zeros(grid.shape, np.int64)
+    for k, (dy, dx) in enumerate(AROUND):
+        code |= np.roll(grid, (-dy, -dx), (0, 1)).astype(np.int64) << k  # the frame of zeros keeps sides apart
+    code, steps = code.ravel().tolist(), [dy * width + dx for dy, dx in AROUND]
+    at = begin = int(np.flatnonzero(grid)[0])
+    # nothing lies above or to the left of the first pixel: with the clock from the left, its first neighbour closes the chain
+    back = close = next((k for k in (3, 2, 1, 0, 7, 6, 5) if code[at] >> k & 1), -1)
+    spots, corners = [at], [True]
+    turn = TURN.tolist()
+    if back >= 0:
+        spots, corners = [], []
+        while True:
+            way = turn[code[at]][back]
+            spots.append(at)
+            corners.append(way != (back + 4) % 8)
+            at, back = at + steps[way], (way + 4) % 8
+            if at == begin and back == close:
+                break
+    place = np.array(spots)
+    n = len(place)
+    return pa.table({"frame": table.column("frame").take([0] * n), "roi": table.column("roi").take([0] * n), "place": pa.array(np.arange(n)), "y": pa.array(place // width + top), "x": pa.array(place % width + left), "corner": pa.array(corners)})
+
+
+def largest_part(runs: DataFrame) -> DataFrame:
+    """The runs of each mask's largest component, of equal ones the first in raster order."""
+    parts = components_of(runs)
+    best = largest(part_sizes(parts)).select("frame", "roi", "component")
+    return parts.join(best, ["frame", "roi", "component"], "left_semi").drop("component")
+
+
+def contour(runs: DataFrame) -> DataFrame:
+    """frame, roi, place, y, x, corner: the outer border of each mask's largest component, as a closed chain.
+
+    It begins at the component's first pixel in raster order and runs against the clock, with 8 neighbours; a pixel of a thin
+    part is passed on both ways. Holes have no part in it. A corner is a pixel at which the chain changes its direction; a
+    single pixel is one. A mask is walked by itself, in one Arrow group, as its image bounds it.
+    """
+    rows = largest_part(runs).select("frame", "roi", "y", "x0", "x1")
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("frame", "roi").applyInArrow(_outline, f"frame {kinds['frame']}, roi {kinds['roi']}, place long, y long, x long, corner boolean")
 
 
 def closest(points: DataFrame, x: float, y: float) -> DataFrame:
-    """The point of each mask that is closest to (x, y); of equally close ones the first in raster order."""
+    """The corner of each contour that is closest to (x, y); of equally close ones the first in the chain. Contours of one
+    pixel have none."""
     d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
-    return points.groupBy("frame", "roi").agg(F.min(F.struct(d2.alias("d2"), "y", "x")).alias("at")).select("frame", "roi", "at.y", "at.x", "at.d2")
+    found = points.where("corner").groupBy("frame", "roi").agg(F.min(F.struct(d2.alias("d2"), "place", "y", "x")).alias("at"), F.count("*").alias("n"))
+    return found.where("n > 1").select("frame", "roi", "at.y", "at.x", "at.d2")
 
 
 def blocks(pixels: DataFrame, side: int) -> DataFrame:

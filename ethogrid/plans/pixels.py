@@ -9,37 +9,50 @@ from ethogrid import functions as E
 from ethogrid.operators import masks
 
 from .embeddings import GOOD, vectors_of
-from .masks import HEIGHT, PIXELS, RLE, WIDTH, pixels_of, runs_of
+from .masks import HEIGHT, PARTS, PIXELS, RLE, WIDTH, pixels_of, runs_of
 from .registry import Tables, query
 
-EDGE = PIXELS + """, calls AS (SELECT frame, roi, y + s.dy AS y, x + s.dx AS x, s.dy = 0 AND s.dx = 0 AS own FROM px,
-    (SELECT unnest([{'dy': 0, 'dx': 0}, {'dy': 0, 'dx': 1}, {'dy': 0, 'dx': -1}, {'dy': 1, 'dx': 0}, {'dy': -1, 'dx': 0}]) AS s)),
-    edge AS (SELECT frame, roi, y, x FROM calls GROUP BY ALL HAVING bool_or(own) AND count(*) < 5)
-"""
-
-
-def edge_of(t: Tables) -> DataFrame:
-    return masks.contour(pixels_of(t))
-
-
-@query(EDGE + "SELECT frame, roi, y, x FROM edge")
+#: The chain's walk: from a state (pixel, where it came from) to the next one, until the first comes again.
+CHAIN = PARTS + """, sizes AS (SELECT frame, roi, component, sum(x1 - x0) AS area FROM num JOIN lab USING (frame, roi, n) GROUP BY ALL),
+    big AS (SELECT frame, roi, arg_max(component, (area, -component)) AS component FROM sizes GROUP BY ALL),
+    own AS MATERIALIZED (SELECT frame, roi, y, unnest(range(x0, x1)) AS x FROM num JOIN lab USING (frame, roi, n) JOIN big USING (frame, roi, component)),
+    around AS (SELECT unnest(range(0, 8)) AS k, unnest([0, -1, -1, -1, 0, 1, 1, 1]) AS dy, unnest([1, 1, 0, -1, -1, -1, 0, 1]) AS dx),
+    ways AS MATERIALIZED (SELECT a.frame, a.roi, a.y, a.x, list(k ORDER BY k) AS ways FROM own a, around JOIN own b ON b.frame = a.frame AND b.roi = a.roi AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL),
+    firsts AS (SELECT frame, roi, min((y, x)) AS at FROM own GROUP BY ALL),
+    starts AS (SELECT f.frame, f.roi, f.at[1] AS y, f.at[2] AS x, list_filter([3, 2, 1, 0, 7, 6, 5], lambda k: list_contains(ways, k))[1] AS back
+        FROM firsts f LEFT JOIN ways w ON w.frame = f.frame AND w.roi = f.roi AND w.y = f.at[1] AND w.x = f.at[2]),
+    walk AS (
+        SELECT frame, roi, y, x, y AS ny, x AS nx, back, back AS shuts, y AS ey, x AS ex, 0::BIGINT AS place, back IS NULL AS corner, back IS NULL AS shut FROM starts
+        UNION ALL
+        SELECT frame, roi, ny, nx, ny + dy, nx + dx, (k + 4) %% 8, shuts, ey, ex, place + 1, k <> (back + 4) %% 8, ny + dy = ey AND nx + dx = ex AND (k + 4) %% 8 = shuts FROM (
+        SELECT walk.*, list_filter([(back + i) %% 8 for i in range(1, 9)], lambda k: list_contains(ways, k))[1] AS way FROM walk JOIN ways ON ways.frame = walk.frame AND ways.roi = walk.roi AND ways.y = ny AND ways.x = nx
+        WHERE NOT shut) JOIN around ON k = way),
+    chain AS (SELECT frame, roi, y, x, CASE WHEN back IS NULL THEN 0 ELSE place - 1 END AS place, corner FROM walk WHERE place > 0 OR back IS NULL),
+    near AS (SELECT frame, roi, y, x, CAST((x - %d) * (x - %d) + (y - %d) * (y - %d) AS BIGINT) AS d2, count(*) OVER (PARTITION BY frame, roi) AS n, place FROM chain WHERE corner
+        QUALIFY n > 1 AND row_number() OVER (PARTITION BY frame, roi ORDER BY d2, place) = 1)
+""" % (WIDTH // 2, WIDTH // 2, HEIGHT // 2, HEIGHT // 2)
+
+
+def chain_of(t: Tables) -> DataFrame:
+    return masks.contour(runs_of(t))
+
+
+@query(CHAIN + "SELECT frame, roi, place, y, x, corner FROM chain")
 def outer_contour(t: Tables) -> DataFrame:
-    """The pixels of each mask that have a free side."""
-    return edge_of(t)
+    """The outer border of each mask's largest part, as a chain."""
+    return chain_of(t)
 
 
-@query(EDGE + f"""SELECT frame, roi, y, x, CAST((x - {WIDTH // 2}) * (x - {WIDTH // 2}) + (y - {HEIGHT // 2}) * (y - {HEIGHT // 2}) AS BIGINT) AS d2 FROM edge
-    QUALIFY row_number() OVER (PARTITION BY frame, roi ORDER BY (x - {WIDTH // 2}) * (x - {WIDTH // 2}) + (y - {HEIGHT // 2}) * (y - {HEIGHT // 2}), y, x) = 1""")
+@query(CHAIN + "SELECT frame, roi, y, x, d2 FROM near")
 def closest_contour_point(t: Tables) -> DataFrame:
-    """The contour's point closest to the middle."""
-    return masks.closest(edge_of(t), WIDTH // 2, HEIGHT // 2).withColumn("d2", F.col("d2").cast("long"))
+    """The contour's corner closest to the middle."""
+    return masks.closest(chain_of(t), WIDTH // 2, HEIGHT // 2).withColumn("d2", F.col("d2").cast("long"))
 
 
-@query(EDGE + f""", c AS (SELECT frame, roi, y, x FROM edge WHERE roi = 2 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY (x - {WIDTH // 2}) * (x - {WIDTH // 2}) + (y - {HEIGHT // 2}) * (y - {HEIGHT // 2}), y, x) = 1)
-    SELECT frame, round(degrees(atan2(y - {HEIGHT // 2}, x - {WIDTH // 2})) - 90, 6) AS angle FROM c""")
+@query(CHAIN + f"SELECT frame, round(degrees(atan2(y - {HEIGHT // 2}, x - {WIDTH // 2})) - 90, 6) AS angle FROM near WHERE roi = 2")
 def contour_turn(t: Tables) -> DataFrame:
-    """Degrees by which a frame is turned so that the closest point of the second ROI's contour is above the middle."""
-    near = masks.closest(edge_of(t).where("roi = 2"), WIDTH // 2, HEIGHT // 2)
+    """Degrees by which a frame is turned so that the closest corner of the second ROI's contour is above the middle."""
+    near = masks.closest(masks.contour(runs_of(t).where("roi = 2")), WIDTH // 2, HEIGHT // 2)
     return near.select("frame", F.round(E.turn_angle(F.lit(WIDTH // 2), F.lit(HEIGHT // 2), F.col("x"), F.col("y")), 6).alias("angle"))
 
 
