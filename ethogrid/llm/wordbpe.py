@@ -234,17 +234,30 @@ def merger(raw: bytes) -> Merger:
     return Merger(raw)
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def _restored(data: bytes | memoryview) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of 32-bit numbers, byte by byte: high bytes are mostly equal, so they take little."""
+    """Arrays of 32-bit numbers: small ones take a byte, the others' bytes go apart, as the high ones are mostly equal."""
+    x = np.concatenate([np.asarray(a).astype(np.uint32) for a in arrays])
+    small = x < 255
+    rest = np.ascontiguousarray(x[~small])
     head = np.array([len(arrays), *map(len, arrays)], np.uint32).tobytes()
-    return head + zlib.compress(np.concatenate([np.ascontiguousarray(a, np.uint32) for a in arrays]).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return head + _squeezed(np.where(small, x, 255).astype(np.uint8).tobytes() + rest.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     sizes = np.frombuffer(data, np.uint32, n, 4).astype(np.int64)
-    flat = np.frombuffer(zlib.decompress(memoryview(data)[4 + 4 * n :]), np.uint8).reshape(4, -1).T
-    return np.split(np.ascontiguousarray(flat).view(np.uint32).ravel(), np.cumsum(sizes)[:-1])
+    flat = np.frombuffer(_restored(memoryview(data)[4 + 4 * n :]), np.uint8)
+    x = flat[: sizes.sum()].astype(np.uint32)
+    x[x == 255] = np.ascontiguousarray(flat[sizes.sum() :].reshape(4, -1).T).view(np.uint32).ravel()
+    return np.split(x, np.cumsum(sizes)[:-1])
 
 
 def _row(chunk: int, part: int, docs: list, n: int, data: bytes) -> pa.RecordBatch:
@@ -273,10 +286,10 @@ def _coded(raw: bytes, p: Params):
                 yield _row(base | chunk, part, docs[low:high], len(codes), _packed(counts, codes))
                 held, part, low = held + int(size[low:high].sum()), part + 1, high
                 if held >= p.chunk or len(known) >= p.words:
-                    yield _row(base | chunk, -1, [], len(known), zlib.compress("\n".join(known).encode("utf-8", "surrogatepass"), 1))
+                    yield _row(base | chunk, -1, [], len(known), _squeezed("\n".join(known).encode("utf-8", "surrogatepass")))
                     chunk, held, part, known = chunk + 1, 0, 0, {}
         if part:
-            yield _row(base | chunk, -1, [], len(known), zlib.compress("\n".join(known).encode("utf-8", "surrogatepass"), 1))
+            yield _row(base | chunk, -1, [], len(known), _squeezed("\n".join(known).encode("utf-8", "surrogatepass")))
 
     return run
 
@@ -287,7 +300,7 @@ def _dealt(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, n, data in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                words = zlib.decompress(data).split(b"\n") if n else []
+                words = _restored(data).split(b"\n") if n else []
                 bucket = np.array([zlib.crc32(w) for w in words], np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
@@ -297,7 +310,7 @@ def _dealt(buckets: int):
                         pa.array([b for b, _ in rows], pa.int64()),
                         pa.array([chunk] * len(rows), pa.int64()),
                         pa.array([_packed(np.sort(x)) for _, x in rows], pa.binary()),
-                        pa.array([zlib.compress(b"\n".join([words[k] for k in np.sort(x).tolist()]), 1) for _, x in rows], pa.binary()),
+                        pa.array([_squeezed(b"\n".join([words[k] for k in np.sort(x).tolist()])) for _, x in rows], pa.binary()),
                     ],
                     ["bucket", "chunk", "codes", "words"],
                 )
@@ -312,7 +325,7 @@ def _encoded(raw: bytes):
         encode, known, datas = merger(raw).encode, {}, []
         for codes, words in zip(table.column("codes").to_pylist(), table.column("words").to_pylist(), strict=True):
             ids = []
-            for w in zlib.decompress(words).decode("utf-8", "surrogatepass").split("\n"):
+            for w in _restored(words).decode("utf-8", "surrogatepass").split("\n"):
                 if w not in known:
                     known[w] = np.array(encode(w), np.uint32)
                 ids.append(known[w])
