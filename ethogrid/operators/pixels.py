@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,52 @@ def rendered(rows: DataFrame, paint: Callable[[np.ndarray, np.ndarray], np.ndarr
     return rows.mapInPandas(run, "video string, frame long, height int, width int, channels int, pixels binary")
 
 
+def rasterised(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """video, frame, height, width, mask of labelled pixels (video, frame, roi, y, x): dense masks. A frame is one Arrow group,
+    which its size bounds; of several labels of a pixel the highest shows."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        mask = np.zeros((height, width), np.uint8)
+        at = (table.column("y").to_numpy(), table.column("x").to_numpy())
+        np.maximum.at(mask, at, table.column("roi").to_numpy().astype(np.uint8))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        values = (key[0].as_py(), key[1].as_py(), height, width, mask.tobytes())
+        return pa.table({c: pa.array([v], k) for c, v, k in zip(("video", "frame", "height", "width", "mask"), values, kinds, strict=True)})
+
+    inside = pixels.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    rows = inside.select(F.col("video").cast("string").alias("video"), F.col("frame").cast("long").alias("frame"), "roi", "y", "x")
+    return rows.groupBy("video", "frame").applyInArrow(run, "video string, frame long, height int, width int, mask binary")
+
+
+def page(p: Preprocess) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For rendered(): the frame after preprocessing, or a white page of its size where the ROI isn't in the mask."""
+
+    def paint(frame: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        try:
+            return prepared(frame, mask, p)[0]
+        except ValueError:
+            h, w = frame.shape[:2]
+            if p.centre and p.crop:
+                h, w = min(p.crop[1] // 2, h // 2) + min(p.crop[1] // 2, h - h // 2), min(p.crop[0] // 2, w // 2) + min(p.crop[0] // 2, w - w // 2)
+            return np.full((h, w, frame.shape[2]), 255, np.uint8)
+
+    return paint
+
+
+def channel_sums(frames: DataFrame) -> DataFrame:
+    """video, frame, height, width, red, green, blue: sums over each frame's pixels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                sums = np.frombuffer(r.pixels, np.uint8).reshape(-1, r.channels)[:, :3].sum(axis=0, dtype=np.int64)
+                out.append((r.video, r.frame, r.height, r.width, *sums.tolist()))
+            yield pd.DataFrame(out, columns=["video", "frame", "height", "width", "red", "green", "blue"])
+
+    return frames.mapInPandas(run, "video string, frame long, height int, width int, red long, green long, blue long")
+
+
 class PatchMeans:
     """A stand-in for a feature model: masked mean colour and the mask's share of the frame."""
 

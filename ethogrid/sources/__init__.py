@@ -17,11 +17,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ethogrid import functions as E
 
+from .stacks import FrameStacks, read_stacks, write_stacks
+
+__all__ = ["FrameStacks", "read_stacks", "write_stacks"]  # and the functions below
 CONFIG = "project_name string, source array<string>, observer_dim int, latent map<string,string>"
 LATENT_NAME = r"^(.*)_ROI_(\d+)_(rotation_)?latent\.npz$"
 
@@ -230,50 +231,6 @@ def write_annotations(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-class FrameStacks(DataSource):
-    """`.npy` stacks of frames (frame, height, width, channel) as rows; a partition is a range of frames.
-
-    Options: path (a folder that the driver and the executors see), frames (a partition's frames, 256),
-    first and last (a range of frames to read). The file is mapped, so only the pages read are loaded.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "frame_stacks"
-
-    def schema(self) -> str:
-        return "video string, frame long, height int, width int, channels int, pixels binary"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _StackReader(self.options)
-
-
-class _StackReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.size = options["path"], int(options.get("frames", 256))
-        self.first, self.last = int(options.get("first", 0)), int(options.get("last", 1 << 60))
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-
-        out = []
-        for file in sorted(glob.glob(f"{self.path}/*.npy")):
-            n = np.load(file, mmap_mode="r").shape[0]
-            low, high = self.first, min(n, self.last + 1)
-            out += [InputPartition((file, a, min(a + self.size, high))) for a in range(low, high, self.size)]
-        return out or [InputPartition(None)]
-
-    def read(self, partition: InputPartition):
-        if partition.value is None:
-            return
-        file, low, high = partition.value
-        stack, video = np.load(file, mmap_mode="r"), file.rpartition("/")[2].removesuffix(".npy")
-        for frame in range(low, high):
-            pixels = np.ascontiguousarray(stack[frame])
-            h, w, c = pixels.shape
-            yield video, frame, h, w, c, pixels.tobytes()
-
-
 def parse_steps(text: str) -> list[dict]:
     """A pipeline configuration: a JSON object or a list of objects; anything else raises ValueError."""
     said = json.loads(text)
