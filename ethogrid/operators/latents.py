@@ -175,17 +175,26 @@ def cleared(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("cluster", F.when(F.col("cluster") == -1, -1).otherwise(0))
 
 
-def split(current: DataFrame, local: DataFrame, focus: int) -> DataFrame:
-    """bin, cluster after a cluster is split: local clusters get the next free numbers, in their order; noise keeps the parent.
+def split(current: DataFrame, local: DataFrame, focus: int, meta: DataFrame, colors: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(bin, cluster; cluster, name, color) after a cluster is split into its local clusters, in the order of their numbers.
 
-    current and local have bin and cluster; only bins of the focus count in local.
+    current and local have bin and cluster; only bins of the focus count in local, and its noise (-1) keeps the parent. meta has
+    cluster, name and color of every cluster that was ever named: numbers go on from there, not from those still in use, so
+    that none is given twice. A new cluster is called C and its number; its color is that of its local number among
+    the colors that meta doesn't use (among all of them, if it uses all).
     """
-    top = current.agg(F.max("cluster").alias("top"))
-    parts = local.where("cluster >= 0").select("cluster").distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")))
-    fresh = parts.join(top.hint("broadcast")).select("cluster", (F.col("top") + F.col("place")).alias("new"))  # one row
-    named = local.join(fresh, "cluster").select("bin", "new")
-    joined = current.join(named, "bin", "left")
-    return joined.select("bin", F.when(F.col("cluster") == focus, F.coalesce("new", "cluster")).otherwise(F.col("cluster")).cast("int").alias("cluster"))
+    inside = local.join(current.where(F.col("cluster") == focus).select("bin"), "bin", "left_semi")
+    parts = inside.where("cluster >= 0").select("cluster").distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")))  # a row a cluster
+    known = meta.agg(F.max("cluster").alias("top"), F.collect_set("color").alias("used"))  # one row
+    free = F.array_except(F.array(*map(F.lit, colors)), "used")
+    free = F.when(F.size(free) > 0, free).otherwise(F.array(*map(F.lit, colors)))
+    fresh = parts.join(known.hint("broadcast")).select(
+        "cluster", (F.coalesce("top", F.lit(-1)) + F.col("place")).cast("int").alias("new"), F.element_at(free, (F.col("cluster") % F.size(free) + 1).cast("int")).alias("color")
+    )
+    named = inside.join(fresh, "cluster").select("bin", "new")
+    bins = current.join(named, "bin", "left").select("bin", F.coalesce("new", "cluster").cast("int").alias("cluster"))
+    added = fresh.select(F.col("new").alias("cluster"), F.concat(F.lit("C"), "new").alias("name"), "color")
+    return bins, meta.select("cluster", "name", "color").unionByName(added)
 
 
 def renamed(meta: DataFrame, cluster: int, name: str) -> DataFrame:

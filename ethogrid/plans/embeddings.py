@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethogrid import functions as E
-from ethogrid.operators import graph, latents, metrics, timeline
+from ethogrid.operators import graph, latents, manifold, metrics, timeline
+from ethogrid.session import checkpointing
 
 from .registry import Tables, query
 
@@ -175,27 +176,31 @@ def pca_embedding(t: Tables) -> DataFrame:
 LANDMARKS = 2_000
 
 
-def _landmark_layout(t: Tables) -> tuple[DataFrame, pd.DataFrame]:
-    """(all usable vectors, the landmarks' id, v and embedding e). The start is the main axes of all vectors."""
-    rows = vectors_of(t).select(F.col("vec_id").alias("id"), "v").where(F.col("id").isNotNull() & E.usable_vector(F.col("v")))
-    marks = rows.orderBy(E.seeded(F.col("id") + 1, 1 << 30), "id").limit(LANDMARKS)
-    mean, axes = latents.principal_axes(rows, "v", 2)
-    edges = latents.fuzzy_weights(graph.knn(marks, 15)).toPandas()
-    found = marks.toPandas()
-    place = {i: k for k, i in enumerate(found["id"])}
-    edges["a"], edges["b"] = edges["a"].map(place), edges["b"].map(place)
-    y = (np.stack(found["v"].to_numpy()) - mean) @ axes.T
-    done = latents.layout(edges, y / max(np.abs(y).max(), 1e-9) * 10, epochs=100)
-    return rows, found.assign(e=list(done))
+def usable_of(t: Tables) -> DataFrame:
+    """id, v of all usable vectors."""
+    return vectors_of(t).select(F.col("vec_id").alias("id"), "v").where(F.col("id").isNotNull() & E.usable_vector(F.col("v")))
+
+
+def _folder(t: Tables) -> str:
+    return f"{checkpointing(t.spark).sparkContext._jsc.sc().getCheckpointDir().get()}/chain-{uuid.uuid4().hex}"
 
 
 @query()
 def umap_embedding(t: Tables) -> DataFrame:
-    """A layout of the landmarks' fuzzy neighbour graph, and all other vectors placed by their nearest landmarks."""
-    return latents.transformed(*_landmark_layout(t), 16, fixed=True)
+    """A layout of the landmarks' fuzzy neighbour graph from its spectral start, and all other vectors placed by their nearest landmarks."""
+    return manifold.fit_chain(usable_of(t), [manifold.Stage(landmarks=LANDMARKS)], _folder(t))
+
+
+@query()
+def embedding_chain(t: Tables) -> DataFrame:
+    """Two stages: five axes first, then two from these."""
+    stages = [manifold.Stage(n_components=5, n_epochs=100, start="pca", landmarks=LANDMARKS), manifold.Stage(min_dist=0.0, landmarks=LANDMARKS)]
+    return manifold.fit_chain(usable_of(t), stages, _folder(t))
 
 
 @query()
 def embedding_transform(t: Tables) -> DataFrame:
-    """Every vector placed by its nearest landmarks."""
-    return latents.transformed(*_landmark_layout(t), 16)
+    """Vectors of odd numbers by a chain that was fitted on the even ones, and read back."""
+    rows, path = usable_of(t), _folder(t)
+    manifold.fit_chain(rows.where("id % 2 = 0"), [manifold.Stage(landmarks=LANDMARKS)], path)
+    return manifold.transform_chain(t.spark, rows.where("id % 2 <> 0"), path)

@@ -88,13 +88,32 @@ def clear_labels(t: Tables) -> DataFrame:
     return latents.cleared(clusters_of(t).select("bin", "cluster"))
 
 
-@query(CLUSTERS + """, l AS (SELECT bin, CASE WHEN label % 4 = 0 THEN -1 ELSE label % 4 END AS part FROM c WHERE cluster = 1), p AS (SELECT part, dense_rank() OVER (ORDER BY part) AS place FROM (SELECT DISTINCT part FROM l WHERE part >= 0))
-    SELECT c.bin, CAST(CASE WHEN c.cluster = 1 THEN coalesce((SELECT max(cluster) FROM c) + p.place, c.cluster) ELSE c.cluster END AS INTEGER) AS cluster FROM c LEFT JOIN l USING (bin) LEFT JOIN p USING (part)""")
-def cluster_split(t: Tables) -> DataFrame:
-    """A cluster split into numbered parts; noise keeps the parent."""
+SHADES = ["#1b9e77", "#d95f02", "#7570b3", "#e7298a", "#66a61e", "#e6ab02"]
+#: Ten clusters have had names, of which three are left; two colors are in use.
+SPLIT = CLUSTERS + f""", meta AS (SELECT DISTINCT CAST(label AS INTEGER) AS cluster, 'C' || label AS name, CASE WHEN label % 2 = 0 THEN '#d95f02' ELSE '#e7298a' END AS color FROM embeddings),
+    l AS (SELECT bin, CASE WHEN label % 4 = 0 THEN -1 ELSE label % 4 END AS part FROM c WHERE cluster = 1), p AS (SELECT part, dense_rank() OVER (ORDER BY part) AS place FROM (SELECT DISTINCT part FROM l WHERE part >= 0)),
+    fresh AS (SELECT part, CAST((SELECT max(cluster) FROM meta) + place AS INTEGER) AS cluster, ['{SHADES[0]}', '{SHADES[2]}', '{SHADES[4]}', '{SHADES[5]}'][part % 4 + 1] AS color FROM p)
+"""
+
+
+def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
     current = clusters_of(t)
     local = current.where("cluster = 1").select("bin", F.when(F.col("label") % 4 == 0, -1).otherwise(F.col("label") % 4).alias("cluster"))
-    return latents.split(current.select("bin", "cluster"), local, 1)
+    color = F.when(F.col("label") % 2 == 0, SHADES[1]).otherwise(SHADES[3])
+    meta = t.embeddings.select("label").distinct().select(F.col("label").cast("int").alias("cluster"), F.concat(F.lit("C"), "label").alias("name"), color.alias("color"))
+    return latents.split(current.select("bin", "cluster"), local, 1, meta, SHADES)
+
+
+@query(SPLIT + "SELECT c.bin, CAST(CASE WHEN c.cluster = 1 THEN coalesce(fresh.cluster, c.cluster) ELSE c.cluster END AS INTEGER) AS cluster FROM c LEFT JOIN l USING (bin) LEFT JOIN fresh USING (part)")
+def cluster_split(t: Tables) -> DataFrame:
+    """A cluster split into numbered parts; noise keeps the parent."""
+    return _split(t)[0]
+
+
+@query(SPLIT + "SELECT cluster, name, color FROM meta UNION ALL SELECT cluster, 'C' || cluster, color FROM fresh")
+def cluster_split_meta(t: Tables) -> DataFrame:
+    """Names and colors after the split."""
+    return _split(t)[1]
 
 
 @query("SELECT DISTINCT label AS cluster, CASE WHEN label = 3 THEN 'rear' ELSE 'C' || label END AS name FROM embeddings")
