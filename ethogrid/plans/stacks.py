@@ -47,12 +47,12 @@ def images_of(t: Tables) -> DataFrame:
     return masks.mapInPandas(draw, "video string, frame long, height int, width int, channels int, pixels binary, mask binary")
 
 
-def stacked(t: Tables, frames: DataFrame, segment: int = 16) -> DataFrame:
-    """The frames after they were written as stacks to the shared folder."""
+def stacked(t: Tables, frames: DataFrame, where: str | None = None, segment: int = 16) -> DataFrame:
+    """The frames, or some of them, after they were written as stacks to the shared folder."""
     base = checkpointing(t.spark).sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base}/stacks-{uuid.uuid4().hex}"
     sources.write_stacks(frames, path, segment)
-    return sources.read_stacks(t.spark, path)
+    return sources.read_stacks(t.spark, path, where)
 
 
 SUMS = "CAST(sum({0}) AS BIGINT) AS red, CAST(sum({1}) AS BIGINT) AS green, CAST(sum({2}) AS BIGINT) AS blue"
@@ -61,8 +61,7 @@ SUMS = "CAST(sum({0}) AS BIGINT) AS red, CAST(sum({1}) AS BIGINT) AS green, CAST
 @query(GRID + f"SELECT video, number AS frame, {HEIGHT} AS height, {WIDTH} AS width, CAST(sum(r) AS BIGINT) AS red, CAST(sum(g) AS BIGINT) AS green, CAST(sum(b) AS BIGINT) AS blue FROM grid WHERE video IN ('1', '3') AND number >= 10 AND number < 40 GROUP BY ALL")
 def video_scan(t: Tables) -> DataFrame:
     """Frames 10 to 39 of two videos of written stacks; other files aren't opened."""
-    found = stacked(t, images_of(t)).where("video in ('1', '3') and frame >= 10 and frame < 40")
-    return pixels.channel_sums(found)
+    return pixels.channel_sums(stacked(t, images_of(t), "video in ('1', '3') and frame >= 10 and frame < 40"))
 
 
 @query(GRID + f"SELECT video, number AS frame, {HEIGHT} AS height, {WIDTH} AS width, " + SUMS.format(*(color("roi", k) for k in range(3))) + " FROM grid GROUP BY ALL")

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -40,11 +40,12 @@ END = 1 << 60
 
 
 class FrameStacks(DataSource):
-    """Options: path, frames (a partition's frames, 256), first and last (a range of frames to read), segment (a file's frames when
-    written, 4096). A file is mapped, so only the pages read are loaded.
+    """Options: path, frames (a partition's frames, 256), first and last (a range of frames to read), push (whether filters are
+    taken), segment (a file's frames when written, 4096). A file is mapped, so only the pages read are loaded.
 
-    Filters on video and frame reach the source where spark.sql.python.filterPushdown.enabled is set: files of other
-    videos aren't opened, and partitions outside the frames aren't planned.
+    With push, and spark.sql.python.filterPushdown.enabled set, filters on video and frame reach the source: files of other
+    videos aren't opened, and partitions outside the frames aren't planned. Spark keeps what it has pushed with the data frame, and would
+    go by it when the same frame is used again with other filters; so push is for a frame that is used once.
     """
 
     @classmethod
@@ -55,7 +56,7 @@ class FrameStacks(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return StackReader(self.options)
+        return (FilteredReader if str(self.options.get("push", "false")).lower() == "true" else StackReader)(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return StackWriter(self.options, [f.name for f in schema.fields], overwrite)
@@ -73,22 +74,6 @@ class StackReader(DataSourceReader):
         self.first, self.last = int(options.get("first", 0)), int(options.get("last", END))
         self.videos: set[str] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes equality and lists of videos, and bounds of frames; the others are left to Spark."""
-        for f in filters:
-            video, frame = getattr(f, "attribute", None) == ("video",), getattr(f, "attribute", None) == ("frame",)
-            if video and isinstance(f, (EqualTo, In)):
-                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.videos = named if self.videos is None else self.videos & named
-            elif frame and isinstance(f, EqualTo) and f.value is not None:
-                self.first, self.last = max(self.first, f.value), min(self.last, f.value)
-            elif frame and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.first = max(self.first, f.value + isinstance(f, GreaterThan))
-            elif frame and isinstance(f, (LessThan, LessThanOrEqual)):
-                self.last = min(self.last, f.value - isinstance(f, LessThan))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         out = []
         for file in sorted(glob.glob(f"{glob.escape(self.path)}/*.npy")):
@@ -111,6 +96,24 @@ class StackReader(DataSourceReader):
             yield video, frame, h, w, c, pixels.tobytes()
 
 
+class FilteredReader(StackReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes equality and lists of videos, and bounds of frames; the others are left to Spark."""
+        for f in filters:
+            video, frame = getattr(f, "attribute", None) == ("video",), getattr(f, "attribute", None) == ("frame",)
+            if video and isinstance(f, (EqualTo, In)):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.videos = named if self.videos is None else self.videos & named
+            elif frame and isinstance(f, EqualTo) and f.value is not None:
+                self.first, self.last = max(self.first, f.value), min(self.last, f.value)
+            elif frame and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+            elif frame and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.last = min(self.last, f.value - isinstance(f, LessThan))
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The files of a task: where each lies until the commit, and its name."""
@@ -189,8 +192,12 @@ def write_stacks(rows: DataFrame, path: str, segment: int = 4096) -> None:
     ordered.write.format("frame_stacks").option("path", path).option("segment", segment).mode("overwrite").save()
 
 
-def read_stacks(spark, path: str) -> DataFrame:
-    """All frames of a folder's stacks; filters on video and frame reach the source."""
+def read_stacks(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
+    """All frames of a folder's stacks, or those of a condition, whose bounds on video and frame then reach the source (such a
+    frame is for one use). Files that are replaced later have to be read anew: Spark plans a frame's partitions once."""
     spark.dataSource.register(FrameStacks)
+    rows = spark.read.format("frame_stacks").option("path", path)
+    if where is None:
+        return rows.load()
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("frame_stacks").option("path", path).load()
+    return rows.option("push", "true").load().where(where)
