@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ethogrid import functions as E
 from ethogrid.operators.boxes import suppress
 from ethogrid.operators.graph import trees
 from ethogrid.session import cut
@@ -255,6 +256,56 @@ def moved_back(runs: DataFrame, left: F.Column, top: F.Column) -> DataFrame:
     return shifted(runs, left, top)
 
 
-def painted(clicks: DataFrame) -> DataFrame:
-    """frame, y, x, roi: pixels of the ROIs of a session, in which a later ROI paints over earlier ones."""
-    return clicks.groupBy("frame", "y", "x").agg(F.max("roi").alias("roi"))
+def _summed(height: int, width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A mask's summed-area table, a row for each y from 0 to height: labelled pixels above y and to the left of each x."""
+        edge = np.zeros((height + 1, width + 2), np.int64)
+        y, x0, x1 = (np.clip(table.column(c).to_numpy().astype(np.int64), 0, high) for c, high in (("y", height - 1), ("x0", width), ("x1", width)))
+        np.add.at(edge, (y + 1, x0 + 1), 1)
+        np.add.at(edge, (y + 1, x1 + 1), -1)
+        sums = edge.cumsum(axis=1).cumsum(axis=1)[:, : width + 1].cumsum(axis=0)
+        n = height + 1
+        return pa.table({"frame": table.column("frame").take([0] * n), "roi": table.column("roi").take([0] * n), "y": pa.array(np.arange(n)), "sums": pa.array(sums.tolist(), pa.list_(pa.int64()))})
+
+    return run
+
+
+def summed_areas(runs: DataFrame, height: int, width: int) -> DataFrame:
+    """frame, roi, y, sums: sums[x] is how many pixels of the mask lie above y and left of x, so any window's count comes from four
+    of them. A mask is one Arrow group, as its image bounds it."""
+    kinds = dict(runs.dtypes)
+    inside = runs.where(F.col("y").between(0, height - 1)).select("frame", "roi", "y", "x0", "x1")
+    return inside.groupBy("frame", "roi").applyInArrow(_summed(height, width), f"frame {kinds['frame']}, roi {kinds['roi']}, y long, sums array<long>")
+
+
+def window_areas(areas: DataFrame, windows: DataFrame) -> DataFrame:
+    """windows with roi and area, for every mask of the window's frame. windows has frame, top, left, height, width, inside the image."""
+    above, below = (areas.select("frame", F.col("roi").alias(f"{name}_roi"), F.col("y").alias(f"{name}_y"), F.col("sums").alias(name)) for name in ("above", "below"))
+    met = windows.join(above.withColumnRenamed("above_y", "top"), ["frame", "top"]).withColumn("below_y", F.col("top") + F.col("height")).withColumnRenamed("above_roi", "below_roi")
+    met = met.join(below, ["frame", "below_y", "below_roi"])
+    at = lambda sums, x: F.element_at(sums, (x + 1).cast("int"))
+    right = F.col("left") + F.col("width")
+    count = at("below", right) - at("below", F.col("left")) - at("above", right) + at("above", F.col("left"))
+    return met.select(*windows.columns, F.col("below_roi").alias("roi"), count.alias("area"))
+
+
+def balanced_crops(runs: DataFrame, height: int, width: int, new_height: int, new_width: int, least: int = 100, most: int = 5, tries: int = 5) -> DataFrame:
+    """frame, turn, top, left, good, objects: a window of each frame, drawn up to `tries` times until a mask has more than `least` pixels in
+    it, else the last one; objects are the masks that do, `most` of them by a hash, in their order: they are labelled anew from 1."""
+    new_height, new_width = min(new_height, height), min(new_width, width)
+    areas = cut(summed_areas(runs, height, width))
+    frames = areas.select("frame").distinct()
+    seed = F.col("frame") * 31 + F.col("turn") + 1
+    windows = frames.select("frame", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("turn")).select(
+        "frame",
+        "turn",
+        E.seeded(seed, height - new_height + 1, 17).cast("long").alias("top"),
+        E.seeded(seed, width - new_width + 1, 23).cast("long").alias("left"),
+        F.lit(new_height).cast("long").alias("height"),
+        F.lit(new_width).cast("long").alias("width"),
+    )
+    large = F.collect_list(F.when(F.col("area") > least, F.struct(E.seeded(F.col("frame") * 31 + F.col("roi") + 1, 1 << 30, 5).alias("key"), "roi")))
+    tried = window_areas(areas, windows).groupBy("frame", "turn", "top", "left").agg(F.array_sort(F.slice(F.array_sort(large), 1, most)["roi"]).alias("objects"))
+    good = F.size("objects") > 0
+    best = F.min_by(F.struct("turn", "top", "left", good.alias("good"), "objects"), F.struct(~good, F.when(good, F.col("turn")).otherwise(-F.col("turn"))))
+    return tried.groupBy("frame").agg(best.alias("best")).select("frame", "best.*")

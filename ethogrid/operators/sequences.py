@@ -76,14 +76,6 @@ def reference_frame(frames: DataFrame, least: int) -> DataFrame:
     return frames.groupBy("sequence").agg(best.alias("at")).select("sequence", "at.frame", "at.good")
 
 
-def samples(clips: DataFrame, seen: DataFrame) -> DataFrame:
-    """sequence, objects, obj_num, complete of each clip: its objects, the largest object number, and whether the first
-    step's frame (the reference) shows all of them. clips has sequence, step, index; seen has sequence, frame, object."""
-    found = clips.join(seen, (clips["sequence"] == seen["sequence"]) & (clips["index"] == seen["frame"])).select(clips["sequence"], "step", "object")
-    by = found.groupBy("sequence").agg(F.collect_set("object").alias("all"), F.collect_set(F.when(F.col("step") == 0, F.col("object"))).alias("reference"))
-    return by.select("sequence", F.size("all").alias("objects"), F.array_max("all").alias("obj_num"), contained(F.col("all"), F.col("reference")).alias("complete"))
-
-
 def repeated(sequences: DataFrame, times: int) -> DataFrame:
     """sequences with `item`: each stands `times` times, at item numbers that agree modulo their number. sequences has number."""
     n = F.count("*").over(Window.partitionBy(F.lit(0)))  # the catalogue of sequences, not their frames
@@ -141,3 +133,46 @@ def as_of(frames: DataFrame, references: DataFrame, block: int = 4096) -> DataFr
     found = marked.join(carried, ["sequence", "block"], "left").withColumn("found", F.coalesce("own", "before"))
     asked = frames.select(*[F.col(c) for c in ("sequence", "frame")])
     return asked.join(found.select("sequence", "frame", F.col("found.reference").alias("reference"), F.col("found.objects").alias("objects")), ["sequence", "frame"])
+
+
+def drawn_references(asked: DataFrame, frames: DataFrame, least: int, tries: int = 20) -> DataFrame:
+    """asked with `frame`: of up to `tries` drawn frames of a sequence, the first that shows more than `least` pixels, else the last.
+
+    asked has sequence, draw and room (frames to draw from; the first frame where that is 1 or less); frames has sequence, frame, pixels.
+    """
+    keys = ["sequence", "draw"]
+    turn = asked.select(*keys, "room", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("turn"))
+    drawn = E.seeded(F.col("sequence") * 7_919 + F.col("draw") * 101 + F.col("turn") + 1, F.greatest("room", F.lit(1)), 11)
+    seen = turn.withColumn("frame", drawn.cast("long")).join(frames.select("sequence", "frame", "pixels"), ["sequence", "frame"], "left")
+    good = F.coalesce(F.col("pixels") > least, F.lit(False))
+    return seen.groupBy(*keys).agg(F.min_by("frame", F.struct(~good, F.when(good, F.col("turn")).otherwise(-F.col("turn")))).alias("frame"))
+
+
+def assembled(sequences: DataFrame, frames: DataFrame, seen: DataFrame, length: int, most_gap: int, least: int, tries: int = 5) -> DataFrame:
+    """sequence, turn, reference, clip, obj_num, complete: a clip and its reference frame, drawn until the reference shows all of the
+    clip's objects, `tries` times at most; else the last draw, with complete false.
+
+    A draw has a clip of `length` frames after a previous one (clip_indices) and a reference, which is drawn again, up to `tries` times,
+    while it lies within the clip. obj_num is the highest object of the reference (0 without any). sequences has sequence
+    and n_frames; frames sequence, frame, pixels; seen sequence, frame, object.
+    """
+    turns = sequences.select("sequence", "n_frames", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("turn"))
+    clips = clip_indices(turns.select((F.col("sequence") * 64 + F.col("turn")).alias("sequence"), "n_frames"), length, most_gap)
+    clips = clips.select(F.floor(F.col("sequence") / 64).alias("sequence"), (F.col("sequence") % 64).cast("int").alias("turn"), "step", "index")
+    spans = clips.groupBy("sequence", "turn").agg(
+        F.array_sort(F.collect_list(F.struct("step", "index")))["index"].alias("clip"), F.max(F.when(F.col("step") == 0, F.col("index"))).alias("begin"), F.max(F.when(F.col("step") > 0, F.col("index"))).alias("end")
+    )
+    again = turns.select("sequence", "turn", F.col("n_frames").alias("room"), F.explode(F.sequence(F.lit(0), F.lit(tries))).alias("again"))
+    drawn = drawn_references(again.select("sequence", (F.col("turn") * 64 + F.col("again")).alias("draw"), "room"), frames, least)
+    drawn = drawn.select("sequence", F.expr("draw div 64").cast("int").alias("turn"), (F.col("draw") % 64).alias("again"), F.col("frame").alias("reference"))
+    inside = (F.col("reference") > F.col("begin")) & (F.col("reference") <= F.col("end"))
+    order = F.struct(inside, F.when(inside, -F.col("again")).otherwise(F.col("again")))
+    chosen = drawn.join(spans, ["sequence", "turn"]).groupBy("sequence", "turn", "clip").agg(F.min_by("reference", order).alias("reference"))
+    shown = seen.where("object <> 0").groupBy("sequence", "frame").agg(F.collect_set("object").alias("objects"))
+    none = F.array().cast(dict(shown.dtypes)["objects"])
+    of_clip = clips.select("sequence", "turn", F.col("index").alias("frame")).join(shown, ["sequence", "frame"]).groupBy("sequence", "turn").agg(F.flatten(F.collect_set("objects")).alias("all"))
+    whole = chosen.join(of_clip, ["sequence", "turn"], "left").join(shown.withColumnRenamed("frame", "reference"), ["sequence", "reference"], "left")
+    objects = F.coalesce("objects", none)
+    judged = whole.select("sequence", "turn", "reference", "clip", F.coalesce(F.array_max(objects), F.lit(0)).alias("obj_num"), contained(F.coalesce("all", none), objects).alias("complete"))
+    best = F.min_by(F.struct("turn", "reference", "clip", "obj_num", "complete"), F.struct(~F.col("complete"), F.when(F.col("complete"), F.col("turn")).otherwise(-F.col("turn"))))
+    return judged.groupBy("sequence").agg(best.alias("best")).select("sequence", "best.*")

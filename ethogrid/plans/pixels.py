@@ -11,6 +11,7 @@ from ethogrid.operators import masks
 from .embeddings import GOOD, vectors_of
 from .masks import HEIGHT, PARTS, PIXELS, RLE, WIDTH, pixels_of, runs_of
 from .registry import Tables, query
+from .training import seeded
 
 #: The chain's walk: from a state (pixel, where it came from) to the next one, until the first comes again.
 CHAIN = PARTS + """, sizes AS (SELECT frame, roi, component, sum(x1 - x0) AS area FROM num JOIN lab USING (frame, roi, n) GROUP BY ALL),
@@ -81,11 +82,16 @@ def uncrop_masks(t: Tables) -> DataFrame:
     return masks.moved_back(runs_of(t), F.col("frame") % 5, F.col("frame") % 7)
 
 
-@query("SELECT l_orderkey % 200 AS frame, l_suppkey % 32 AS y, l_partkey % 48 AS x, max(l_linenumber) AS roi FROM lineitem GROUP BY ALL")
-def click_session(t: Tables) -> DataFrame:
-    """The ROIs of a session of clicks; later ones paint over earlier ones."""
-    clicks = t.lineitem.select((F.col("l_orderkey") % 200).alias("frame"), (F.col("l_suppkey") % 32).alias("y"), (F.col("l_partkey") % 48).alias("x"), F.col("l_linenumber").alias("roi"))
-    return masks.painted(clicks)
+@query(PIXELS + f""", tries AS (SELECT frame, turn, {seeded('frame * 31 + turn + 1', HEIGHT - 16 + 1, 17)} AS top, {seeded('frame * 31 + turn + 1', WIDTH - 24 + 1, 23)} AS "left"
+        FROM (SELECT DISTINCT frame, unnest(range(0, 5)) AS turn FROM px)),
+    inside AS (SELECT t.frame, turn, top, "left", roi, count(*) AS n FROM tries t JOIN px ON px.frame = t.frame AND y >= top AND y < top + 16 AND x >= "left" AND x < "left" + 24 GROUP BY ALL HAVING count(*) > 100),
+    large AS (SELECT frame, turn, list(roi ORDER BY roi) AS objects FROM (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY frame, turn ORDER BY {seeded('frame * 31 + roi + 1', 1 << 30, 5)}, roi) <= 1) GROUP BY ALL)
+    SELECT frame, CAST(turn AS INTEGER) AS turn, top, "left", objects IS NOT NULL AS good, coalesce(array_to_string(objects, ','), '') AS objects FROM tries LEFT JOIN large USING (frame, turn)
+    QUALIFY row_number() OVER (PARTITION BY frame ORDER BY objects IS NULL, CASE WHEN objects IS NULL THEN -turn ELSE turn END) = 1""")
+def object_crops(t: Tables) -> DataFrame:
+    """A window of each frame that holds more than 100 pixels of an object, one object kept."""
+    found = masks.balanced_crops(runs_of(t), HEIGHT, WIDTH, 16, 24, least=100, most=1)
+    return found.withColumn("objects", F.array_join("objects", ","))
 
 
 @query()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethogrid import streaming
+from ethogrid import sources, streaming
 from ethogrid.operators import sequences
-from ethogrid.streaming import tracking
+from ethogrid.streaming import clicks, tracking
 
+from .masks import HEIGHT, WIDTH
 from .registry import Tables, query
 
 #: Small enough for all of them to matter within a few frames.
@@ -129,3 +130,26 @@ def track_new_objects(t: Tables) -> DataFrame:
 def track_incremental(t: Tables) -> DataFrame:
     """The same, but a frame becomes a reference only if it shows more objects than are known."""
     return told(tracking.numbered(_labelled(t, "grow")))
+
+
+@query(f"""WITH e AS (SELECT l_orderkey // 50 AS session, row_number() OVER w - 1 AS place, CASE WHEN l_linenumber = 7 THEN 'next' WHEN l_returnflag = 'R' THEN 'remove' ELSE 'add' END AS kind,
+        l_partkey % 48 AS cx, l_suppkey % 32 AS cy, count(*) FILTER (l_linenumber = 7) OVER w AS part FROM lineitem WINDOW w AS (PARTITION BY l_orderkey // 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+    c AS (SELECT *, dense_rank() OVER (PARTITION BY session ORDER BY part) AS roi FROM e WHERE kind <> 'next'),
+    px AS (SELECT DISTINCT session, roi, kind, unnest(range(cy - 2, cy + 3)) AS y, cx FROM c), all_ AS (SELECT DISTINCT session, roi, kind, y, unnest(range(cx - 2, cx + 3)) AS x FROM px),
+    kept AS (SELECT session, roi, y, x FROM all_ WHERE y BETWEEN 0 AND {HEIGHT - 1} AND x BETWEEN 0 AND {WIDTH - 1} GROUP BY ALL HAVING bool_and(kind = 'add'))
+    SELECT CAST(session AS VARCHAR) AS frame, CAST(max(roi) AS BIGINT) AS roi, y, x FROM kept GROUP BY session, y, x""")
+def click_session(t: Tables) -> DataFrame:
+    """The ROIs of sessions of clicks: each from all its clicks, later ones over earlier ones."""
+    rows = t.lineitem.select(
+        F.expr("l_orderkey div 50").cast("string").alias("video"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"),
+        (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("after"),
+        F.when(F.col("l_linenumber") == 7, "next").when(F.col("l_returnflag") == "R", "remove").otherwise("add").alias("kind"),
+        (F.col("l_partkey") % 48).cast("int").alias("x"),
+        (F.col("l_suppkey") % 32).cast("int").alias("y"),
+    )
+    events = tracking.streamed(tracking.numbered(rows, 1 << 16).withColumnRenamed("video", "session"))
+    masks = streaming.drain(clicks.click_masks(events, "boxes", HEIGHT, WIDTH, latest=True))
+    last = masks.groupBy("session").agg(F.max_by("mask", "place").alias("mask"))
+    dense = last.select(F.col("session").alias("video"), F.lit(0).cast("long").alias("frame"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "mask")
+    return sources.mask_pixels(dense).select(F.col("video").alias("frame"), "roi", "y", "x")

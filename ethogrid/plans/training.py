@@ -42,17 +42,37 @@ def reference_index(t: Tables) -> DataFrame:
     return sequences.reference_frame(frames_of(t), 60)
 
 
-@query(SEEN + f""", c AS (SELECT sequence, step, frame AS idx FROM (SELECT sequence, frame, row_number() OVER (PARTITION BY sequence ORDER BY frame) - 1 AS step FROM (SELECT DISTINCT sequence, frame FROM seen)) WHERE step < 4),
-    f AS (SELECT c.sequence, c.step, s.object FROM c JOIN seen s ON c.sequence = s.sequence AND c.idx = s.frame),
-    o AS (SELECT sequence, object, min(step) AS first FROM f GROUP BY ALL)
-    SELECT sequence, CAST(count(*) AS INTEGER) AS objects, max(object) AS obj_num, coalesce(count(*) FILTER (first > 0 AND object <> 0), 0) = 0 AS complete FROM o GROUP BY sequence""")
+_TRY = "coalesce(pixels > 40, false)"
+_INSIDE = "rf.frame > sp.first AND rf.frame <= sp.last"
+ASSEMBLED = f"""WITH raw AS (SELECT l_suppkey AS sequence, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1 AS frame, 1 + l_partkey % 6 AS object, l_quantity FROM lineitem),
+    seen AS (SELECT DISTINCT sequence, frame, object FROM raw), fr AS (SELECT sequence, frame, CAST(sum(l_quantity) AS BIGINT) AS pixels FROM raw GROUP BY ALL),
+    t AS (SELECT sequence, n, unnest(range(0, 5)) AS turn FROM (SELECT sequence, count(*) AS n FROM fr GROUP BY sequence)), k AS (SELECT *, sequence * 64 + turn AS key FROM t),
+    g AS (SELECT *, {seeded('key + 1', 5, 1)} + 1 AS g1, {seeded('key + 1', 5, 2)} + 1 AS g2, {seeded('key + 1', 5, 3)} + 1 AS g3 FROM k),
+    b AS (SELECT *, CASE WHEN n - g1 - g2 - g3 > 0 THEN {seeded('key + 1', 'greatest(n - g1 - g2 - g3, 1)', 99)} ELSE 0 END AS start FROM g),
+    e AS (SELECT sequence, turn, n, unnest([0, 1, 2, 3]) AS step, unnest([start, start + g1, start + g1 + g2, start + g1 + g2 + g3]) AS i FROM b),
+    c AS (SELECT sequence, turn, step, CASE WHEN n <= 1 THEN 0 WHEN i % (2 * (n - 1)) < n THEN i % (2 * (n - 1)) ELSE 2 * (n - 1) - i % (2 * (n - 1)) END AS idx FROM e),
+    sp AS (SELECT sequence, turn, list(idx ORDER BY step) AS clip, max(idx) FILTER (step = 0) AS first, max(idx) FILTER (step > 0) AS last FROM c GROUP BY ALL),
+    dr AS (SELECT *, turn * 64 + again AS draw, unnest(range(0, 20)) AS try FROM (SELECT *, unnest(range(0, 6)) AS again FROM t)),
+    d2 AS (SELECT *, {seeded('sequence * 7919 + draw * 101 + try + 1', 'greatest(n, 1)', 11)} AS frame FROM dr),
+    rf AS (SELECT sequence, turn, again, frame FROM d2 LEFT JOIN fr USING (sequence, frame) QUALIFY row_number() OVER (PARTITION BY sequence, turn, again ORDER BY NOT {_TRY}, CASE WHEN {_TRY} THEN try ELSE -try END) = 1),
+    ch AS (SELECT sequence, turn, clip, rf.frame FROM rf JOIN sp USING (sequence, turn) QUALIFY row_number() OVER (PARTITION BY sequence, turn ORDER BY {_INSIDE}, CASE WHEN {_INSIDE} THEN -again ELSE again END) = 1),
+    ob AS (SELECT sequence, frame, list(DISTINCT object) AS objects FROM seen GROUP BY ALL),
+    al AS (SELECT c.sequence, c.turn, list(DISTINCT object) AS shown FROM c JOIN seen s ON s.sequence = c.sequence AND s.frame = c.idx GROUP BY ALL),
+    ju AS (SELECT ch.*, objects, len(list_filter(coalesce(shown, []), lambda o: NOT list_contains(coalesce(objects, []), o))) = 0 AS complete FROM ch LEFT JOIN al USING (sequence, turn) LEFT JOIN ob USING (sequence, frame))
+    SELECT sequence, CAST(turn AS INTEGER) AS turn, frame AS reference, array_to_string(clip, ',') AS clip, CAST(coalesce(list_max(objects), 0) AS BIGINT) AS obj_num, complete FROM ju
+    QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY NOT complete, CASE WHEN complete THEN turn ELSE -turn END) = 1"""
+
+
+@query(ASSEMBLED)
 def sample_assembly(t: Tables) -> DataFrame:
-    """Clips of the first four frames: their objects, and whether the reference shows all."""
+    """Clips with reference frames that show all of their objects, drawn five times at most."""
     from pyspark.sql import Window
 
-    seen = seen_of(t)
-    clips = seen.select("sequence", "frame").distinct().withColumn("step", F.row_number().over(Window.partitionBy("sequence").orderBy("frame")) - 1).where("step < 4")
-    return sequences.samples(clips.select("sequence", "step", F.col("frame").alias("index")), seen)
+    place = F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey")).cast("long") - 1
+    rows = t.lineitem.select(F.col("l_suppkey").alias("sequence"), place.alias("frame"), (1 + F.col("l_partkey") % 6).alias("object"), "l_quantity")
+    frames = rows.groupBy("sequence", "frame").agg(F.sum("l_quantity").cast("long").alias("pixels"))
+    found = sequences.assembled(frames.groupBy("sequence").agg(F.count("*").alias("n_frames")), frames, rows.select("sequence", "frame", "object").distinct(), 3, 5, 40)
+    return found.select("sequence", "turn", "reference", F.array_join("clip", ",").alias("clip"), "obj_num", "complete")
 
 
 @query("""WITH n AS (SELECT n_name AS sequence, row_number() OVER (ORDER BY n_nationkey) - 1 AS number, count(*) OVER () AS n FROM nation)

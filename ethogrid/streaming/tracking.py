@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,7 +35,6 @@ COLUMNS = ["place", "kind", "frame", "height", "width", "channels", "pixels", "m
 EVENT = "place long, kind string, frame long, height int, width int, channels int, pixels binary, mask binary"
 FOUND = "video string, place long, frame long, height int, width int, mask binary"
 MEMORY = "features binary, mask binary"
-Event = namedtuple("Event", COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -62,26 +61,83 @@ class NearestColour:
 TRACKERS: dict[str, Callable[[], object]] = {"nearest_colour": NearestColour}
 
 
-class Fold(StatefulProcessor):
+class Ordered(StatefulProcessor):
+    """A fold of a key's events in the order of their places, whatever order they come in; those that come early wait in the state."""
+
+    #: Columns of an event, the first of them its place, and their kinds; columns of what is found.
+    event: list[str]
+    schema: str
+    found: list[str]
+    #: Only the last of what a batch of a key gives.
+    latest = False
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        """Name the states of the fold."""
+
+    def load(self) -> None:
+        """Take the states of a key; sets place."""
+
+    def save(self) -> None:
+        """Keep them."""
+
+    def take(self, e) -> tuple | None:
+        """An event's effect, and what it gives besides the key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "place long", self.schema)
+        self.row = namedtuple("Event", self.event)
+        self.start(handle)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.load()
+        last: list[tuple] = []
+        for batch in rows:
+            out = []
+            for e in batch.sort_values("place").itertuples(index=False):
+                if e.place > self.place:
+                    self.waiting.updateValue((e.place,), tuple(getattr(e, c) for c in self.event))
+                elif e.place == self.place:
+                    out.append(self._next(e))
+                    while self.waiting.exists() and self.waiting.containsKey((self.place,)):
+                        at = self.place
+                        held = self.row(*self.waiting.getValue((at,)))
+                        self.waiting.removeKey((at,))
+                        out.append(self._next(held))
+            given = [(key[0], *r) for r in out if r is not None]
+            if not self.latest:
+                yield pd.DataFrame(given, columns=self.found)
+            last = given[-1:] or last
+        if self.latest:
+            yield pd.DataFrame(last, columns=self.found)
+        self.save()
+
+    def _next(self, e) -> tuple | None:
+        self.place += 1
+        return self.take(e)
+
+
+class Fold(Ordered):
+    event, schema = COLUMNS, EVENT
+    found = ["video", "place", "frame", "height", "width", "mask"]
+
     def __init__(self, build: Callable[[], object], memory: Memory):
         self.build, self.memory = build, memory
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.tracker = self.build()
         self.kept = handle.getListState("kept", MEMORY)
         self.recent = handle.getListState("recent", MEMORY)
         self.clock = handle.getValueState("clock", "place long, step long, noted long, objects long")
-        self.waiting = handle.getMapState("waiting", "place long", EVENT)
-
-    def close(self) -> None:
-        pass
 
-    def _load(self) -> None:
+    def load(self) -> None:
         read = lambda state: [(np.frombuffer(f), m) for f, m in state.get()] if state.exists() else []
         self.long, self.short = read(self.kept), read(self.recent)
         self.place, self.step, self.noted, self.objects = self.clock.get() if self.clock.exists() else (0, 0, 0, 0)
 
-    def _save(self) -> None:
+    def save(self) -> None:
         for state, held in ((self.kept, self.long), (self.recent, self.short)):
             if held:
                 state.put([(f.tobytes(), m) for f, m in held])
@@ -103,9 +159,7 @@ class Fold(StatefulProcessor):
         if self.step - self.noted >= self.memory.gap:
             self._note((features, mask))
 
-    def _take(self, e) -> bytes | None:
-        """One event's effect; the mask that it gives, if it is of a tracked frame."""
-        self.place += 1
+    def take(self, e) -> tuple | None:
         if e.kind == "restart":
             self.long, self.short, self.step, self.noted, self.objects = [], [], 0, 0, 0
             return None
@@ -125,33 +179,20 @@ class Fold(StatefulProcessor):
             self._refer(features, found)
         else:
             self._remember(features, found)
-        return found
+        return e.place, e.frame, e.height, e.width, found
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._load()
+        self.load()
         for r in initialState.itertuples(index=False):
             for label in r.labels:
                 image = np.frombuffer(label["pixels"], np.uint8).reshape(label["height"], label["width"], label["channels"])
                 self._refer(np.asarray(self.tracker.encode(image), float), bytes(label["mask"]))
-        self._save()
+        self.save()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self._load()
-        for batch in rows:
-            out = []
-            for e in batch.sort_values("place").itertuples(index=False):
-                if e.place > self.place:
-                    self.waiting.updateValue((e.place,), tuple(getattr(e, c) for c in COLUMNS))
-                elif e.place == self.place:
-                    out.append((e, self._take(e)))
-                    while self.waiting.exists() and self.waiting.containsKey((self.place,)):
-                        at = self.place
-                        held = Event(*self.waiting.getValue((at,)))
-                        self.waiting.removeKey((at,))
-                        out.append((held, self._take(held)))
-            found = [(key[0], e.place, e.frame, e.height, e.width, m) for e, m in out if m is not None]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
-        self._save()
+
+def _stored(spark: SparkSession) -> None:
+    """The state store that these states need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def track(events: DataFrame, tracker: str, memory: Memory = Memory(), labels: DataFrame | None = None) -> DataFrame:
@@ -160,8 +201,7 @@ def track(events: DataFrame, tracker: str, memory: Memory = Memory(), labels: Da
     labels (video, frame, height, width, channels, pixels, mask) are known before the first event, as
     references in the order of their frames; of more than memory.blocks a video, the last ones.
     """
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _stored(events.sparkSession)
     start = None
     if labels is not None:
         newest = Window.partitionBy("video").orderBy(F.desc("frame"))
@@ -192,7 +232,7 @@ def numbered(rows: DataFrame, block: int = 4096) -> DataFrame:
     return spread.withColumn("inside", inside).join(starts, ["video", "block"]).withColumn("place", F.col("start") + F.col("inside")).drop("block", "inside", "start", "at", "after")
 
 
-def streamed(events: DataFrame, batches: int = 8) -> DataFrame:
+def streamed(events: DataFrame, batches: int = 4) -> DataFrame:
     """The events as a stream of files, by place: each micro-batch reads one, whatever a video's length."""
     spark = checkpointing(events.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/events-{uuid.uuid4().hex}"
