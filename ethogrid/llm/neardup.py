@@ -179,7 +179,7 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return value[order], row[order]
 
 
-def overlaps(one: list[np.ndarray], two: list[np.ndarray], least: int = 64, part: int = 1 << 22) -> np.ndarray:
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], least: int = 64, part: int = 1 << 20) -> np.ndarray:
     """How many values each set of `one` has in common with each of `two`, from inverted lists of both.
 
     Lists with `least` pairs or more are counted by products of 0/1 matrices, the others pair by pair, in parts.
