@@ -113,3 +113,36 @@ def latent_extraction(t: Tables) -> DataFrame:
     sources.write_latents(found, path)
     rows = t.spark.read.schema("frame long, latent array<float>, video string, roi int, kind string").parquet(path)
     return rows.select("video", "frame", F.posexplode_outer("latent").alias("place", "value")).withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+def _shared(t: Tables, what: str) -> str:
+    return f"{checkpointing(t.spark).sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+
+
+@query(GRID + "SELECT 'v' || video AS video, number AS frame, roi, y, x FROM grid WHERE number % 7 = 2 AND roi > 0")
+def label_promotion(t: Tables) -> DataFrame:
+    """Tracked masks of some frames as label files, read back; their labelled pixels."""
+    images = images_of(t).withColumn("video", F.concat(F.lit("v"), "video"))
+    path = _shared(t, "labels")
+    sources.write_labels(sources.promoted(images.select("video", "frame", "mask"), images.drop("mask"), images.where("frame % 7 = 2")), path)
+    return sources.mask_pixels(sources.read_labels(t.spark, path)).select("video", "frame", "roi", "y", "x")
+
+
+@query(GRID + "SELECT video, number AS frame, CASE WHEN roi = 0 THEN 0 ELSE 10 * roi + CAST(video AS BIGINT) END AS object, CAST(count(*) AS BIGINT) AS n FROM grid GROUP BY ALL")
+def palette_files(t: Tables) -> DataFrame:
+    """Masks as indexed images with their objects' own numbers, read back; pixels of each."""
+    path = _shared(t, "palette")
+    images = images_of(t)
+    ids = images.select("video").distinct().select("video", F.explode(F.array(F.lit(1), F.lit(2))).alias("local")).withColumn("object", 10 * F.col("local") + F.col("video").cast("int"))
+    sources.write_palette_masks(images, path, np.arange(768).reshape(256, 3) % 256, ids)
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                video, frame = r.path.removesuffix(".png").split("/")[-2:]
+                found, n = np.unique(sources.palette_mask(r.content), return_counts=True)
+                out += [(video, int(frame), int(o), int(k)) for o, k in zip(found, n, strict=True)]
+            yield pd.DataFrame(out, columns=["video", "frame", "object", "n"])
+
+    return sources.binary_files(t.spark, path, "*.png").select("path", "content").mapInPandas(count, "video string, frame long, object long, n long")

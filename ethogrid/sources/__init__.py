@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from ethogrid import functions as E
 
+from .files import Blobs, promoted, write_blobs, write_labels, write_palette_masks
 from .stacks import FrameStacks, read_stacks, write_stacks
 
-__all__ = ["FrameStacks", "read_stacks", "write_stacks"]  # and the functions below
+__all__ = ["Blobs", "FrameStacks", "promoted", "read_stacks", "write_blobs", "write_labels", "write_palette_masks", "write_stacks"]  # and the functions below
 CONFIG = "project_name string, source array<string>, observer_dim int, latent map<string,string>"
 LATENT_NAME = r"^(.*)_ROI_(\d+)_(rotation_)?latent\.npz$"
 
@@ -47,6 +48,13 @@ def latent_catalog(configs: DataFrame) -> DataFrame:
     return rows.select("project_name", "ordinal", F.col("entry.value").alias("video"), part(2).cast("int").alias("roi"), kind.alias("kind"), F.col("entry.key").alias("file"))
 
 
+def latents_of(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """video, roi, kind, file: every video (with its extension) and the latent files named after it; files of another form belong to none."""
+    part = lambda i: F.regexp_extract("file", LATENT_NAME, i)
+    named = files.where(part(1) != "").select(part(1).alias("base"), part(2).cast("int").alias("roi"), F.when(part(3) == "", "plain").otherwise("rotation").alias("kind"), "file")
+    return videos.withColumn("base", E.base_name(F.col("video"))).join(named, "base", "left").select("video", "roi", "kind", "file")
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
@@ -179,21 +187,49 @@ def palette_png(mask: np.ndarray, palette: np.ndarray) -> bytes:
 
 
 def palette_mask(png: bytes) -> np.ndarray:
-    """The numbers of an indexed PNG as palette_png writes it: eight bits, lines without a filter."""
-    at, data, shape = 8, b"", (0, 0)
+    """The numbers of an indexed PNG of one to eight bits, whatever the filters of its lines."""
+    at, data, shape, depth = 8, b"", (0, 0), 8
     while at < len(png):
         size, kind = struct.unpack(">I4s", png[at : at + 8])
         body = png[at + 8 : at + 8 + size]
         if kind == b"IHDR":
-            shape = struct.unpack(">II", body[:8])[::-1]
-            if body[8:13] != bytes([8, 3, 0, 0, 0]):
-                raise ValueError("not an indexed image of eight bits")
+            w, h, depth, color, _, _, laced = struct.unpack(">IIBBBBB", body)
+            if color != 3 or laced:
+                raise ValueError("not an indexed image, or an interlaced one")
+            shape = (h, w)
         data += body if kind == b"IDAT" else b""
         at += size + 12
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape[0], shape[1] + 1)
-    if lines[:, 0].any():
-        raise ValueError("lines are filtered")
-    return lines[:, 1:]
+    across = -(-shape[1] * depth // 8)  # bytes of a line
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape[0], across + 1)
+    out = np.zeros((shape[0], across), np.uint8)
+    above = np.zeros(across, np.uint8)
+    for k, line in enumerate(lines):
+        above = out[k] = _unfiltered(int(line[0]), line[1:], above)
+    if depth < 8:  # several numbers a byte, the first in its high bits
+        parts = out[:, :, None] >> np.arange(8 - depth, -1, -depth, dtype=np.uint8) & ((1 << depth) - 1)
+        out = parts.reshape(shape[0], -1)[:, : shape[1]]
+    return out
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A line of bytes from its differences to the byte before, above, to the mean of both, or to what both foretell."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line, dtype=np.uint8)
+    if kind == 2:
+        return line + above
+    if kind not in (3, 4):
+        raise ValueError(f"no such filter: {kind}")
+    out, left, corner = [], 0, 0
+    for x, up in zip(line.tolist(), above.tolist(), strict=True):
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            guess = min((abs(up - corner), 0, left), (abs(left - corner), 1, up), (abs(left + up - 2 * corner), 2, corner))[2]
+        left, corner = (x + guess) & 255, up
+        out.append(left)
+    return np.array(out, np.uint8)
 
 
 def without(rows: DataFrame, shown: DataFrame) -> DataFrame:

@@ -191,6 +191,20 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path, sf_dir):
         stacks.StackReader({"path": "s3://x/y"})
 
 
+def test_files_are_written_all_or_none(spark, tmp_path, sf_dir):
+    table(spark, sf_dir, "nation")
+    folder = str(tmp_path / "f")
+    write = lambda rows: sources.write_blobs(spark.createDataFrame(rows, "name string, content binary").repartition(3), folder)
+    write([("a/1", b"x"), ("a/2", b"y"), ("b", b"")])
+    write([("a/1", b"z")])
+    held = lambda: {os.path.relpath(f, folder): open(f, "rb").read() for f in glob.glob(f"{folder}/**", recursive=True, include_hidden=True) if os.path.isfile(f)}  # noqa: E731, SIM115
+    assert held() == {"a/1": b"z", "a/2": b"y", "b": b""}
+    for bad in ([("c", b"1"), ("../d", b"2")], [("c", b"1"), ("", b"2")], [("c", b"1"), ("d", None)], [("c", b"1"), ("c", b"2")]):
+        with pytest.raises(Exception, match="not a file|one name"):
+            write(bad)
+        assert held() == {"a/1": b"z", "a/2": b"y", "b": b""}
+
+
 def test_leading_vectors_equal_a_dense_solver(spark):
     rng = np.random.default_rng(0)
     w = np.zeros((40, 40))
