@@ -227,7 +227,6 @@ def partner(key: Column, n: Column | int, salt: int = 0) -> Column:
 
 
 def shuffled_id(group: Column, object_id: Column, most: int) -> Column:
-    """The object's id after a rotation and reflection of 1 .. most that its group's key picks; the background stays 0."""
-    turn, mirror = seeded(group, most, 1), seeded(group, 2, 2)
-    moved = F.pmod(F.when(mirror == 0, object_id - 1).otherwise(most - object_id) + turn, F.lit(most)) + 1
-    return F.when(object_id == 0, F.lit(0)).otherwise(moved)
+    """The object's id after a permutation of 1 .. most that its group's key picks, from all of them; the background stays 0."""
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.struct(seeded(group * 1_009 + i, 1 << 30, 1).alias("key"), i.alias("id")))
+    return F.when(object_id == 0, F.lit(0)).otherwise(F.element_at(F.array_sort(drawn), object_id.cast("int"))["id"])

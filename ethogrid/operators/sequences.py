@@ -93,8 +93,8 @@ def with_truth(predicted: DataFrame, percent: int = 20) -> DataFrame:
 
 
 def some_objects(objects: DataFrame, most: int) -> DataFrame:
-    """At most `most` objects of each sequence, those whose hash comes first."""
-    order = Window.partitionBy("sequence").orderBy(E.seeded(F.col("object") + 1, 1 << 30, 9), "object")
+    """At most `most` objects of each sequence, those whose hash with the sequence's number comes first."""
+    order = Window.partitionBy("sequence").orderBy(E.seeded(F.col("sequence") * 1_009 + F.col("object") + 1, 1 << 30, 9), "object")
     return objects.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 

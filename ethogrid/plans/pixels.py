@@ -113,18 +113,6 @@ def rle_string(t: Tables) -> DataFrame:
     return masks.encode(pixels_of(t), HEIGHT, WIDTH).select("frame", "roi", E.compressed_counts(F.col("counts")).alias("counts"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_discount * 100 - 5 > 0")
-def mask_threshold(t: Tables) -> DataFrame:
-    """Pixels whose logit is above the threshold."""
-    return t.lineitem.where(F.col("l_discount") * 100 - 5 > 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-
-
-@query("SELECT l_orderkey, l_partkey, l_linenumber AS candidate, l_extendedprice AS score FROM lineitem WHERE l_linenumber > 1")
-def multimask_slice(t: Tables) -> DataFrame:
-    """The candidates of a prompt but for the first."""
-    return t.lineitem.where("l_linenumber > 1").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("candidate"), F.col("l_extendedprice").alias("score"))
-
-
 @query(GOOD + "SELECT vec_id, CAST(i AS INTEGER) AS identity, CASE WHEN i > label THEN -1e10 ELSE round(v[i], 6) END AS logit FROM (SELECT vec_id, label, v, unnest(range(1, 11)) AS i FROM good)")
 def unused_identities(t: Tables) -> DataFrame:
     """Logits of ten identities; those beyond the number of objects never win."""

@@ -67,12 +67,15 @@ def scalar_config(t: Tables) -> DataFrame:
     return sources.scalars(old.unionByName(new)).select("key", "video", "value")
 
 
-@query("""WITH v AS (SELECT user_id AS video, count(*) AS frames FROM events GROUP BY user_id)
-    SELECT v.video, v.frames, CAST(count(vec_id) AS BIGINT) AS latents FROM v LEFT JOIN embeddings ON vec_id % 200 = v.video GROUP BY ALL""")
+@query("""WITH v AS (SELECT DISTINCT 'v' || user_id || '.mp4' AS video FROM events), f AS (SELECT DISTINCT 'v' || vec_id % 300 || '_ROI_' || (label % 3 + 1) || CASE WHEN label % 2 = 0 THEN '_rotation' ELSE '' END || '_latent.npz' AS file FROM embeddings),
+    p AS (SELECT file, regexp_extract(file, '^(.*)_ROI_', 1) AS base, CAST(regexp_extract(file, '_ROI_([0-9]+)_', 1) AS INTEGER) AS roi, CASE WHEN contains(file, '_rotation_') THEN 'rotation' ELSE 'plain' END AS kind FROM f)
+    SELECT v.video, p.roi, p.kind, p.file FROM v LEFT JOIN p ON p.base || '.mp4' = v.video""")
 def video_latents(t: Tables) -> DataFrame:
-    """Videos with how many latents they have."""
-    videos = t.events.groupBy(F.col("user_id").alias("video")).agg(F.count("*").alias("frames"))
-    return videos.join(t.embeddings.select((F.col("vec_id") % 200).alias("video"), "vec_id"), "video", "left").groupBy("video", "frames").agg(F.count("vec_id").alias("latents"))
+    """Videos with the latents whose file names bear theirs; those without any are there once."""
+    videos = t.events.select(F.concat(F.lit("v"), "user_id", F.lit(".mp4")).alias("video")).distinct()
+    kind = F.when(F.col("label") % 2 == 0, "_rotation").otherwise("")
+    files = t.embeddings.select(F.concat(F.lit("v"), F.col("vec_id") % 300, F.lit("_ROI_"), F.col("label") % 3 + 1, kind, F.lit("_latent.npz")).alias("file")).distinct()
+    return sources.latents_of(videos, files)
 
 
 CLUSTERS = "WITH c AS (SELECT vec_id AS bin, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE vec_id % 3 END AS cluster, label FROM embeddings)\n"

@@ -219,11 +219,11 @@ def _suppressed(rows: DataFrame) -> DataFrame:
     return boxes.suppress(rows, "grp", order).select("grp", "x0", "y0", "x1", "y1")
 
 
-@query("SELECT 8 AS n, CAST(i AS INTEGER) AS i, round((i % 8 + 0.5) / 8, 6) AS x, round((i // 8 + 0.5) / 8, 6) AS y FROM (SELECT unnest(range(0, 64)) AS i)")
+@query("SELECT p_partkey AS image, CAST(i AS INTEGER) AS i, round((i % 4 + 0.5::DOUBLE) / 4 * (320 + p_partkey % 900), 4) AS x, round((i // 4 + 0.5::DOUBLE) / 4 * (240 + p_size * 37), 4) AS y FROM part, (SELECT unnest(range(0, 16)) AS i)")
 def grid_points(t: Tables) -> DataFrame:
-    """Centres of an 8 by 8 grid."""
-    points = t.spark.range(1).select(F.lit(8).alias("n"), F.posexplode(boxes.grid_points(8)).alias("i", "p"))
-    return points.select("n", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    """Centres of a 4 by 4 grid in the pixels of each image."""
+    points = t.part.select(F.col("p_partkey").alias("image"), (320 + F.col("p_partkey") % 900).alias("w"), (240 + F.col("p_size") * 37).alias("h"), F.posexplode(boxes.grid_points(4)).alias("i", "p"))
+    return points.select("image", "i", F.round(F.col("p.x") * F.col("w"), 4).alias("x"), F.round(F.col("p.y") * F.col("h"), 4).alias("y"))
 
 
 @query("""WITH im AS (SELECT r_regionkey AS image, 640 + 100 * r_regionkey AS width, 480 + 50 * r_regionkey AS height FROM region), l AS (SELECT *, unnest([1, 2]) AS layer FROM im),

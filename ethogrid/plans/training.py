@@ -97,7 +97,7 @@ def truth_mixing(t: Tables) -> DataFrame:
 
 
 @query(SEEN + f""", o AS (SELECT DISTINCT sequence, object FROM seen)
-    SELECT sequence, object, CAST(row_number() OVER (PARTITION BY sequence ORDER BY {seeded('object + 1', 1 << 30, 9)}, object) AS INTEGER) AS place FROM o QUALIFY place <= 3""")
+    SELECT sequence, object, CAST(row_number() OVER (PARTITION BY sequence ORDER BY {seeded('sequence * 1009 + object + 1', 1 << 30, 9)}, object) AS INTEGER) AS place FROM o QUALIFY place <= 3""")
 def object_subset(t: Tables) -> DataFrame:
     """Three objects of each sequence, picked by a hash."""
     return sequences.some_objects(seen_of(t).select("sequence", "object").distinct(), 3)
@@ -141,8 +141,9 @@ def union_datasets(t: Tables) -> DataFrame:
     return a.unionByName(t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("source")), allowMissingColumns=True)
 
 
-@query(f"""WITH o AS (SELECT DISTINCT l_suppkey AS sample, l_partkey % 11 AS object FROM lineitem)
-    SELECT sample, object, CAST(CASE WHEN object = 0 THEN 0 ELSE (CASE WHEN {seeded('sample + 1', 2, 2)} = 0 THEN object - 1 ELSE 10 - object END + {seeded('sample + 1', 10, 1)}) % 10 + 1 END AS BIGINT) AS shuffled FROM o""")
+@query(f"""WITH o AS (SELECT DISTINCT l_suppkey AS sample, l_partkey % 11 AS object FROM lineitem), k AS (SELECT sample, i, row_number() OVER (PARTITION BY sample ORDER BY {seeded('(sample + 1) * 1009 + i', 1 << 30, 1)}, i) AS place
+        FROM (SELECT DISTINCT sample, unnest(range(1, 11)) AS i FROM o))
+    SELECT o.sample, object, CAST(coalesce(i, 0) AS BIGINT) AS shuffled FROM o LEFT JOIN k ON k.sample = o.sample AND k.place = o.object""")
 def shuffled_ids(t: Tables) -> DataFrame:
     """Object ids permuted within each sample; the background stays."""
     rows = t.lineitem.select(F.col("l_suppkey").alias("sample"), (F.col("l_partkey") % 11).alias("object")).distinct()

@@ -162,3 +162,44 @@ def test_palette_images_round_trip():
     palette = np.arange(30).reshape(10, 3)
     png = sources.palette_png(mask, palette)
     assert png.startswith(b"\x89PNG") and (sources.palette_mask(png) == mask).all()
+
+
+def test_palette_images_with_any_filter_and_depth():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(6)
+
+    def png(rows, w, depth, kinds):
+        """Lines of bytes, each written by one of the filters."""
+        out, above = b"", np.zeros(rows.shape[1], int)
+        for line, kind in zip(rows.astype(int), kinds, strict=True):
+            left, corner = np.append([0], line[:-1]), np.append([0], above[:-1])
+            nearest = [min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] for a, b, c in zip(left.tolist(), above.tolist(), corner.tolist(), strict=True)]
+            guess = [np.zeros_like(line), left, above, (left + above) // 2, np.array(nearest)][kind]
+            out += bytes([kind]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+            above = line
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        packed = zlib.compress(out)
+        parts = [chunk(b"IDAT", packed[:7]), chunk(b"IDAT", packed[7:])]
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, len(rows), depth, 3, 0, 0, 0)) + b"".join(parts) + chunk(b"IEND", b"")
+
+    rows = rng.integers(0, 256, (10, 13))
+    assert (sources.palette_mask(png(rows, 13, 8, [k % 5 for k in range(10)])) == rows).all()
+    for depth in (1, 2, 4):
+        mask = rng.integers(0, 1 << depth, (6, 11))
+        across = -(-11 * depth // 8)
+        bits = np.zeros((6, across * 8), int)
+        for k in range(depth):
+            bits[:, k : 11 * depth : depth] = mask >> (depth - 1 - k) & 1
+        packed = np.packbits(bits.astype(np.uint8), axis=1)
+        assert (sources.palette_mask(png(packed, 11, depth, [4, 3, 2, 1, 0, 4])) == mask).all()
+    with pytest.raises(ValueError):
+        sources.palette_mask(png(rows, 13, 8, [0] * 10).replace(struct.pack(">BB", 8, 3), struct.pack(">BB", 8, 2), 1))
+
+
+def test_latents_belong_to_the_video_that_they_are_named_after(spark):
+    videos = spark.createDataFrame([("a.mp4",), ("b.mp4",)], "video string")
+    files = spark.createDataFrame([("a_ROI_1_latent.npz",), ("a_ROI_12_rotation_latent.npz",), ("c_ROI_1_latent.npz",), ("a_ROI_1.npz",)], "file string")
+    got = {tuple(r) for r in sources.latents_of(videos, files).collect()}
+    assert got == {("a.mp4", 1, "plain", "a_ROI_1_latent.npz"), ("a.mp4", 12, "rotation", "a_ROI_12_rotation_latent.npz"), ("b.mp4", None, None, None)}
