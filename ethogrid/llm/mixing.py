@@ -110,20 +110,22 @@ def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:
 ROUNDS, STEPS = 3, 64
 
 
-def _drawn(x: Column, k: int, p: Params) -> Column:
-    """A number below 2 ** 28 that looks random, for the k-th half of a round; x stands in it once, as expressions nest."""
+def _drawn(x: Column, k: Column, p: Params) -> Column:
+    """A number below 2 ** 28 that looks random, for the k-th half of a round."""
     prime = F.lit(p.prime)
     once = F.pmod(F.pmod(x * 31 + F.col("_key") * 7_919 + k * 104_729, prime) * 48_271, prime)
     return F.shiftright(F.pmod(F.shiftright(once, 7) * 69_621 + 977, prime), 3)
 
 
 def _shuffled(i: Column, p: Params) -> Column:
-    """One pass of a Feistel network with the key `_key` over a grid of `_a` * `_b` cells."""
-    left, right = F.pmod(i, F.col("_a")), F.floor(i / F.col("_a"))
-    for k in range(ROUNDS):
-        left = F.pmod(left + _drawn(right, 2 * k + 1, p), F.col("_a"))
-        right = F.pmod(right + _drawn(left, 2 * k + 2, p), F.col("_b"))
-    return right * F.col("_a") + left
+    """One pass of a Feistel network with the key `_key` over a grid of `_a` * `_b` cells.
+
+    Halves of rounds are folded over a pair (the coordinate to change, the other one), so that the expression has each of them
+    once, however many rounds there are.
+    """
+    start = F.struct(F.pmod(i, F.col("_a")).alias("x"), F.floor(i / F.col("_a")).alias("y"))
+    half = lambda s, k: F.struct(s["y"].alias("x"), F.pmod(s["x"] + _drawn(s["y"], k, p), F.when(k % 2 == 1, F.col("_a")).otherwise(F.col("_b"))).alias("y"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(2 * ROUNDS).cast("long")), start, half, lambda s: s["y"] * F.col("_a") + s["x"])
 
 
 def permuted(rows: DataFrame, name: str, i: Column, n: Column, key: Column, p: Params) -> DataFrame:
