@@ -88,6 +88,12 @@ def checked(schema, path: str = "$") -> None:
     kinds = schema.get("type", [])
     if any(k not in TYPES for k in ([kinds] if isinstance(kinds, str) else kinds)):
         raise ValueError(f"{path}: unknown type {kinds}")
+    for name in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties"):
+        bound = schema.get(name, 1)
+        if not TYPES["number"](bound) or not math.isfinite(bound) or name == "multipleOf" and bound <= 0:
+            raise ValueError(f"{path}: {name} can't be {bound!r}")
+    if not isinstance(schema.get("pattern", ""), str):
+        raise ValueError(f"{path}: not a pattern")
     re.compile(schema.get("pattern", ""))
     for name, under in schema.get("properties", {}).items():
         checked(under, f"{path}.{name}")

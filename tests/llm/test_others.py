@@ -287,3 +287,9 @@ def test_ranks_equal_brute_force(spark):
     # beyond the bound for copies, pages join their hosts' scores, with the same result
     again = urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), urlfilter.Params(small=0))
     assert {r.host: (r.trust, r.distrust, r.verdict) for r in again.where("rule is null").collect()} == got
+
+
+@pytest.mark.parametrize("schema", [{"multipleOf": 0}, {"multipleOf": -2}, {"minimum": "1"}, {"maximum": None}, {"maxLength": True}, {"exclusiveMinimum": float("nan")}, {"pattern": 3}, {"items": {"multipleOf": 0}}])
+def test_schemas_with_odd_bounds_are_refused(schema):
+    with pytest.raises(ValueError):
+        chat.checked(schema)
