@@ -10,7 +10,8 @@ are reranked by the exact cosine of the original vectors in double precision.
 Equal vectors are indexed once, with the `near` + 1 smallest of their ids: no others of them can be
 among a query's nearest, as ties go to the smaller id. So a vector with a third of all rows is one
 entry. Codes are scanned in packed blocks, each against packed blocks of queries; every pair of
-blocks meets once, in as many tasks as there are pairs, and sends `shortlist` entries a query.
+blocks meets once, dealt by the pair, so tasks are as many as pairs up to Params.tasks, and sends `shortlist` entries a
+query. With a shortlist of as many entries as there are vectors the search is exact.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id take
 no part. Vectors of different lengths have no cosine: each length is searched by itself, with codebooks of
@@ -47,8 +48,10 @@ class Params:
     shortlist: int = 384
     near: int = 5
     query_block: int = 64
-    code_block: int = 16_384
+    code_block: int = 65_536
     every: int = 50
+    #: Tasks of the scan at most.
+    tasks: int = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -101,32 +104,25 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def _coder(books: np.ndarray, p: Params):
-    """Packed blocks of codes: ids, codes, norms."""
+    """vec_id, code and norm of every vector."""
 
     def run(batches):
-        ids, codes, norms, held = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            parts = [np.concatenate(x).tobytes() for x in (ids, codes, norms)]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["ids", "codes", "norms"])
-
         for batch in batches:
             for low in range(0, len(batch), 1024):
                 part = batch.slice(low, 1024)
                 code, norm = encode(_matrix(part.column("v")), books, p.beam)
-                ids.append(part.column("vec_id").to_numpy())
-                codes.append(code)
-                norms.append(norm)
-                held += len(part)
-                if held >= p.code_block:
-                    yield flush()
-                    ids, codes, norms, held = [], [], [], 0
-        if held:
-            yield flush()
+                rows = pa.array([c.tobytes() for c in np.ascontiguousarray(code)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), rows, pa.array(norm.astype(np.float32))], ["vec_id", "code", "norm"])
 
     return run
 
 
+def _pack_codes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A block of codes: ids, codes, norms."""
+    data = [table.column("vec_id").to_numpy().tobytes(), b"".join(table.column("code").to_pylist()), table.column("norm").to_numpy().astype(np.float32).tobytes()]
+    return pa.table({"share": pa.array([key[0].as_py()], pa.int64())} | {c: pa.array([x], pa.binary()) for c, x in zip(("ids", "codes", "norms"), data, strict=True)})
+
+
 def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """A block of queries: ids and unit vectors."""
     data = [table.column("vec_id").to_numpy().tobytes(), _matrix(table.column("v").combine_chunks()).tobytes()]
@@ -181,13 +177,19 @@ def _nearest(rows: DataFrame, p: Params) -> DataFrame:
     classes = cut(copies.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
     picked = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(p.sample).select("v").toArrow()
     books = train(_matrix(picked.column("v").combine_chunks()), p)
-    codes = classes.select(F.col("class_id").alias("vec_id"), "v").mapInArrow(freed(_coder(books, p)), "ids binary, codes binary, norms binary")
+    shares = max(1, -(-classes.count() // p.code_block))
+    coded = classes.select(F.col("class_id").alias("vec_id"), "v").mapInArrow(freed(_coder(books, p)), "vec_id long, code binary, norm float")
+    coded = coded.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(shares)))
+    codes = coded.groupBy("share").applyInArrow(_pack_codes, "share long, ids binary, codes binary, norms binary")
     queries = rows.where(F.col("vec_id") % p.every == 0)
     n_blocks = max(1, -(-queries.count() // p.query_block))
     packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).groupBy("block").applyInArrow(_pack, "block long, queries binary, vectors binary")
-    # packed blocks meet by number: a block of codes is sent once to each block of queries
-    dealt = codes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    found = dealt.join(packed.hint("merge"), "block").mapInArrow(freed(_scanner(books, p)), "query_id long, class_id long, guess float")
+    # packed blocks meet by number and share: a block of codes is sent once to each block of queries, whose copies wait in every share
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    tasks, keys = min(n_blocks * shares, p.tasks), ["block", "share"]
+    dealt = codes.withColumn("block", every(n_blocks)).repartition(tasks, *keys)
+    asking = packed.withColumn("share", every(shares)).repartition(tasks, *keys)
+    found = dealt.join(asking.hint("merge"), keys).mapInArrow(freed(_scanner(books, p)), "query_id long, class_id long, guess float")
     best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "class_id")
     short = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= p.shortlist).select("query_id", "class_id")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
