@@ -15,6 +15,8 @@ from .registry import Tables, query
 #: Small enough for all of them to matter within a few frames.
 MEMORY = tracking.Memory(gap=7, blocks=5, skip=2)
 END = 1 << 40
+#: Frames of one pixel that make a row of the stream.
+CLIP = 1_024
 
 SHOTS = """WITH RECURSIVE shots AS (
     SELECT CAST(l_orderkey % 200 AS VARCHAR) AS video, row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS frame,
@@ -57,7 +59,7 @@ def shots_of(t: Tables) -> DataFrame:
 
 
 def told(events: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    found = streaming.drain(tracking.track(tracking.streamed(events), "nearest_colour", MEMORY, labels))
+    found = streaming.drain(tracking.track(tracking.streamed(events, clip=CLIP), "nearest_colour", MEMORY, labels))
     return found.select("video", "frame", "place", F.conv(F.hex("mask"), 16, 10).cast("long").alias("found"))
 
 
@@ -148,7 +150,7 @@ def click_session(t: Tables) -> DataFrame:
         (F.col("l_partkey") % 48).cast("int").alias("x"),
         (F.col("l_suppkey") % 32).cast("int").alias("y"),
     )
-    events = tracking.streamed(tracking.numbered(rows, 1 << 16).withColumnRenamed("video", "session"))
+    events = tracking.streamed(tracking.numbered(rows, 1 << 16).withColumnRenamed("video", "session"), clip=CLIP)
     masks = streaming.drain(clicks.click_masks(events, "boxes", HEIGHT, WIDTH, latest=True))
     last = masks.groupBy("session").agg(F.max_by("mask", "place").alias("mask"))
     dense = last.select(F.col("session").alias("video"), F.lit(0).cast("long").alias("frame"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "mask")

@@ -45,34 +45,42 @@ class Session(Ordered):
 
     def start(self, handle: StatefulProcessorHandle) -> None:
         self.segmenter = self.build()
-        self.image = handle.getValueState("image", "before binary, now binary")
-        self.clicked = handle.getListState("clicked", "x int, y int, adds boolean")
-        self.clock = handle.getValueState("clock", "place long, roi int, fresh boolean")
+        self.kept = handle.getValueState("kept", "place long, early long, roi int, fresh boolean, before binary, now binary, xs array<int>, ys array<int>, adds array<boolean>")
 
     def load(self) -> None:
         blank = bytes(self.shape[0] * self.shape[1])
-        self.before, self.now = map(bytes, self.image.get()) if self.image.exists() else (blank, blank)
-        self.clicks = [tuple(c) for c in self.clicked.get()] if self.clicked.exists() else []
-        self.place, self.roi, self.fresh = self.clock.get() if self.clock.exists() else (0, 0, True)
+        self.place, self.early, self.roi, self.fresh, before, now, *clicks = self.kept.get() or (0, 0, 0, True, blank, blank, [], [], [])
+        self.before, self.now, self.clicks, self.drawn = bytes(before), bytes(now), list(zip(*clicks, strict=True)), True
 
     def save(self) -> None:
-        self.image.update((self.before, self.now))
-        if self.clicks:
-            self.clicked.put(self.clicks)
-        else:
-            self.clicked.clear()
-        self.clock.update((self.place, self.roi, self.fresh))
-
-    def take(self, e) -> tuple | None:
+        self._draw()
+        xs, ys, adds = map(list, zip(*self.clicks, strict=True)) if self.clicks else ([], [], [])
+        self.kept.update((self.place, self.early, self.roi, self.fresh, self.before, self.now, xs, ys, adds))
+
+    def _draw(self) -> None:
+        """The mask after the clicks so far."""
+        if not self.drawn:
+            hit = np.asarray(self.segmenter.segment(self.shape, self.clicks), bool)
+            self.now = np.where(hit, self.roi, np.frombuffer(self.before, np.uint8).reshape(self.shape)).astype(np.uint8).tobytes()
+            self.drawn = True
+
+    def take(self, e, ready=None) -> tuple | None:
         if e.kind == "next":
+            self._draw()
             self.before, self.clicks, self.fresh = self.now, [], True
             return None
         self.roi, self.fresh = self.roi + self.fresh, False
         self.clicks.append((int(e.x), int(e.y), e.kind == "add"))
-        hit = np.asarray(self.segmenter.segment(self.shape, self.clicks), bool)
-        self.now = np.where(hit, self.roi, np.frombuffer(self.before, np.uint8).reshape(self.shape)).astype(np.uint8).tobytes()
+        self.drawn = False
+        if self.latest:  # only the last click of a ROI and of a micro-batch is drawn
+            return e.place, self.roi
+        self._draw()
         return e.place, self.roi, self.now
 
+    def told(self, last: tuple) -> tuple:
+        self._draw()
+        return *last, self.now
+
 
 def click_masks(events: DataFrame, segmenter: str, height: int, width: int, latest: bool = False) -> DataFrame:
     """session, place, roi, mask after every click of a stream of events, or (latest) after the clicks of each micro-batch; a

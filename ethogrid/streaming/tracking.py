@@ -18,10 +18,12 @@ with its length. A tracker that finds no memory gives an empty mask.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import batched, groupby
 
 import numpy as np
 import pandas as pd
@@ -47,14 +49,20 @@ class Memory:
 
 
 class NearestColour:
-    """A stand-in for a tracker: the mask of the memory whose mean colour is nearest; of equally near ones the first."""
+    """A stand-in for a tracker: the mask of the memory whose mean colour is nearest; of equally near ones the first.
+
+    encode_all is optional in a tracker: the features of several frames of one shape, a row each, as encode gives them.
+    """
 
     def encode(self, pixels: np.ndarray) -> np.ndarray:
         return pixels.reshape(-1, pixels.shape[-1]).mean(axis=0)
 
+    def encode_all(self, frames: np.ndarray) -> np.ndarray:
+        return frames.reshape(len(frames), -1, frames.shape[-1]).mean(axis=1)
+
     def match(self, features: np.ndarray, memories: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        far = [float(((features - f) ** 2).sum()) for f, _ in memories]
-        return memories[far.index(min(far))][1]
+        apart = np.array([f for f, _ in memories]) - features
+        return memories[(apart * apart).sum(axis=1).argmin()][1]
 
 
 #: Trackers by name; a task builds its own.
@@ -62,7 +70,11 @@ TRACKERS: dict[str, Callable[[], object]] = {"nearest_colour": NearestColour}
 
 
 class Ordered(StatefulProcessor):
-    """A fold of a key's events in the order of their places, whatever order they come in; those that come early wait in the state."""
+    """A fold of a key's events in the order of their places, whatever order they come in.
+
+    Those that come early wait: while a micro-batch lasts in the task, up to `room` bytes of them, else in the state. Each access to
+    the state is a call to the JVM, so there are a few a key and micro-batch, and more only for events that wait in it.
+    """
 
     #: Columns of an event, the first of them its place, and their kinds; columns of what is found.
     event: list[str]
@@ -70,19 +82,28 @@ class Ordered(StatefulProcessor):
     found: list[str]
     #: Only the last of what a batch of a key gives.
     latest = False
+    room = 64 << 20
 
     def start(self, handle: StatefulProcessorHandle) -> None:
         """Name the states of the fold."""
 
     def load(self) -> None:
-        """Take the states of a key; sets place."""
+        """Take the states of a key; sets place and early, how many events wait in the state."""
 
     def save(self) -> None:
         """Keep them."""
 
-    def take(self, e) -> tuple | None:
+    def ready(self, events: list) -> list:
+        """What can be told of each event before its turn, of all together."""
+        return [None] * len(events)
+
+    def take(self, e, ready=None) -> tuple | None:
         """An event's effect, and what it gives besides the key."""
 
+    def told(self, last: tuple) -> tuple:
+        """The last of what a batch of a key gives, made whole."""
+        return last
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getMapState("waiting", "place long", self.schema)
         self.row = namedtuple("Event", self.event)
@@ -93,30 +114,58 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self.load()
-        last: list[tuple] = []
+        parked = {k[0] for k in self.waiting.keys()} if self.early else set()
+        held: dict[int, tuple] = {}
+        size, last = 0, []
         for batch in rows:
             out = []
-            for e in batch.sort_values("place").itertuples(index=False):
-                if e.place > self.place:
-                    self.waiting.updateValue((e.place,), tuple(getattr(e, c) for c in self.event))
-                elif e.place == self.place:
-                    out.append(self._next(e))
-                    while self.waiting.exists() and self.waiting.containsKey((self.place,)):
+            events = self._events(batch)
+            for e, ready in zip(events, self.ready(events), strict=True):
+                if e[0] > self.place:
+                    size += sum(len(x) for x in e if isinstance(x, (bytes, bytearray))) + 512 if e[0] not in held else 0
+                    held[e[0]] = e, ready
+                elif e[0] == self.place:
+                    out.append(self._next(e, ready))
+                    while self.place in held or self.place in parked:
                         at = self.place
-                        held = self.row(*self.waiting.getValue((at,)))
-                        self.waiting.removeKey((at,))
-                        out.append(self._next(held))
+                        if at in parked:  # the same event may have come twice
+                            found = self.row(*self.waiting.getValue((at,))), None
+                            self.waiting.removeKey((at,))
+                            parked.remove(at)
+                        found = held.pop(at, None) or found
+                        out.append(self._next(*found))
+            if not held:
+                size = 0
+            elif size > self.room:
+                self._park(held, parked)
+                held, size = {}, 0
             given = [(key[0], *r) for r in out if r is not None]
             if not self.latest:
                 yield pd.DataFrame(given, columns=self.found)
             last = given[-1:] or last
         if self.latest:
-            yield pd.DataFrame(last, columns=self.found)
+            yield pd.DataFrame([self.told(r) for r in last], columns=self.found)
+        self._park(held, parked)
+        self.early = len(parked)
         self.save()
 
-    def _next(self, e) -> tuple | None:
+    def _events(self, batch: pd.DataFrame) -> list:
+        """Events in the order of their places; rows may hold a clip of events each, as an array a column."""
+        columns = [batch[c].to_numpy() for c in self.event]
+        if len(batch) and isinstance(columns[0][0], np.ndarray):
+            columns = [np.concatenate(c) for c in columns]
+        order = np.argsort(columns[0], kind="stable")
+        return list(map(self.row._make, zip(*(c[order].tolist() for c in columns), strict=True)))
+
+    def _park(self, held: dict, parked: set) -> None:
+        """Early events go to the state."""
+        for at, (e, _) in held.items():
+            self.waiting.updateValue((at,), tuple(e))
+            parked.add(at)
+
+    def _next(self, e, ready=None) -> tuple | None:
         self.place += 1
-        return self.take(e)
+        return self.take(e, ready)
 
 
 class Fold(Ordered):
@@ -130,61 +179,83 @@ class Fold(Ordered):
         self.tracker = self.build()
         self.kept = handle.getListState("kept", MEMORY)
         self.recent = handle.getListState("recent", MEMORY)
-        self.clock = handle.getValueState("clock", "place long, step long, noted long, objects long")
+        self.clock = handle.getValueState("clock", "place long, early long, step long, noted long, objects long")
 
     def load(self) -> None:
-        read = lambda state: [(np.frombuffer(f), m) for f, m in state.get()] if state.exists() else []
-        self.long, self.short = read(self.kept), read(self.recent)
-        self.place, self.step, self.noted, self.objects = self.clock.get() if self.clock.exists() else (0, 0, 0, 0)
+        clock = self.clock.get()
+        self.place, self.early, self.step, self.noted, self.objects = clock or (0, 0, 0, 0, 0)
+        read = lambda state: [(np.frombuffer(f), np.frombuffer(m, np.uint8)) for f, m in state.get()] if clock else []
+        self.long, self.short, self.shape = read(self.kept), read(self.recent), (0, 0)
 
     def save(self) -> None:
         for state, held in ((self.kept, self.long), (self.recent, self.short)):
             if held:
-                state.put([(f.tobytes(), m) for f, m in held])
+                state.put([(f.tobytes(), m.tobytes()) for f, m in held])
             else:
                 state.clear()
-        self.clock.update((self.place, self.step, self.noted, self.objects))
-
-    def _note(self, entry: tuple[np.ndarray, bytes]) -> None:
+        self.clock.update((self.place, self.early, self.step, self.noted, self.objects))
+
+    def ready(self, events: list) -> list:
+        """Features of frames of one shape, about 16 MB of them at a time, if the tracker has a way for several."""
+        if not hasattr(self.tracker, "encode_all"):
+            return [None] * len(events)
+        out: list = []
+        for shape, run in groupby(events, key=lambda e: None if e.kind == "restart" else (e.height, e.width, e.channels)):
+            if shape is None:
+                out += [None for _ in run]
+                continue
+            shape = tuple(map(int, shape))
+            for part in batched(run, max(1, (16 << 20) // max(1, math.prod(shape)))):
+                out += list(np.asarray(self.tracker.encode_all(np.frombuffer(b"".join(e.pixels for e in part), np.uint8).reshape(len(part), *shape)), float))
+        return out
+
+    def _note(self, entry: tuple[np.ndarray, np.ndarray]) -> None:
         self.long = [entry, *self.long[: self.memory.blocks - 1]]
         self.noted = self.step
 
     def _refer(self, features: np.ndarray, mask: bytes) -> None:
-        self._note((features, mask))
-        self.short = [(features, mask)]
-        self.objects = int(np.frombuffer(mask, np.uint8).max(initial=0))
+        entry = features, np.frombuffer(mask, np.uint8).reshape(self.shape)
+        self._note(entry)
+        self.short = [entry]
+        self.objects = int(entry[1].max(initial=0))
 
     def _remember(self, features: np.ndarray, mask: bytes) -> None:
-        self.short = [*self.short, (features, mask)][-self.memory.skip :]
+        entry = features, np.frombuffer(mask, np.uint8).reshape(self.shape)
+        self.short = [*self.short, entry][-self.memory.skip :]
         if self.step - self.noted >= self.memory.gap:
-            self._note((features, mask))
+            self._note(entry)
 
-    def take(self, e) -> tuple | None:
+    def take(self, e, ready=None) -> tuple | None:
         if e.kind == "restart":
             self.long, self.short, self.step, self.noted, self.objects = [], [], 0, 0, 0
             return None
-        shape = (e.height, e.width)
-        features = np.asarray(self.tracker.encode(np.frombuffer(e.pixels, np.uint8).reshape(*shape, e.channels)), float)
+        if e.height != self.shape[0] or e.width != self.shape[1]:
+            self.shape = (int(e.height), int(e.width))
+            self.long, self.short = ([(f, m.reshape(self.shape)) for f, m in held] for held in (self.long, self.short))
+        shape = self.shape
+        if ready is None:
+            ready = np.asarray(self.tracker.encode(np.frombuffer(e.pixels, np.uint8).reshape(*shape, int(e.channels))), float)
         if e.kind == "refer":
-            self._refer(features, bytes(e.mask))
+            self._refer(ready, bytes(e.mask))
             return None
         self.step += 1
-        memories = [(f, np.frombuffer(m, np.uint8).reshape(shape)) for f, m in [*self.long, *self.short[:1]]]
-        mask = np.asarray(self.tracker.match(features, memories) if memories else np.zeros(shape), np.uint8)
+        memories = [*self.long, *self.short[:1]]
+        mask = np.asarray(self.tracker.match(ready, memories) if memories else np.zeros(shape), np.uint8)
         if e.kind in ("label", "grow"):
             given = np.frombuffer(e.mask, np.uint8).reshape(shape)
             mask = np.where(given > 0, given, mask)
         found = mask.tobytes()
         if e.kind == "label" or e.kind == "grow" and int(mask.max(initial=0)) > self.objects:
-            self._refer(features, found)
+            self._refer(ready, found)
         else:
-            self._remember(features, found)
-        return e.place, e.frame, e.height, e.width, found
+            self._remember(ready, found)
+        return e.place, e.frame, *shape, found
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.load()
         for r in initialState.itertuples(index=False):
             for label in r.labels:
+                self.shape = label["height"], label["width"]
                 image = np.frombuffer(label["pixels"], np.uint8).reshape(label["height"], label["width"], label["channels"])
                 self._refer(np.asarray(self.tracker.encode(image), float), bytes(label["mask"]))
         self.save()
@@ -232,16 +303,33 @@ def numbered(rows: DataFrame, block: int = 4096) -> DataFrame:
     return spread.withColumn("inside", inside).join(starts, ["video", "block"]).withColumn("place", F.col("start") + F.col("inside")).drop("block", "inside", "start", "at", "after")
 
 
-def streamed(events: DataFrame, batches: int = 4) -> DataFrame:
-    """The events as a stream of files, by place: each micro-batch reads one, whatever a video's length."""
+def streamed(events: DataFrame, span: int = 32_768, files: int = 8, clip: int = 1) -> DataFrame:
+    """The events as a stream of files: each holds `span` places of a share of the videos, in order, and a micro-batch reads
+    `files` of them, those of lower places first. So events hardly ever wait, and no micro-batch grows with a video's length.
+
+    With clip, a row holds the events of so many places, as an array a column: for small frames, as each row on its way
+    to a fold costs more than they do. A clip should be a few MB at most.
+    """
     spark = checkpointing(events.sparkSession)
+    key = "video" if "video" in events.columns else "session"
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/events-{uuid.uuid4().hex}"
-    events.repartitionByRange(batches, "place").write.parquet(path)
+    rows = events.withColumn("part", F.floor(F.col("place") / span))
+    if clip > 1:
+        of = [c for c in events.columns if c != key]
+        packed = rows.groupBy(key, "part", F.floor(F.col("place") / clip).alias("clip")).agg(F.collect_list(F.struct(*of)).alias("all"))
+        rows = packed.select(key, *[F.col(f"all.{c}").alias(c) for c in of], "part", "clip")
+    dealt = rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(files)))
+    dealt = dealt.sortWithinPartitions("part", key, "clip" if clip > 1 else "place").drop("clip")
+    dealt.write.partitionBy("part").parquet(path)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted((s.getPath().getName(), s.getModificationTime()) for s in files.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    begin = max((at for _, at in found), default=0)
-    for k, (name, _) in enumerate(found):  # a stream takes older files first; where a store keeps its own times, events wait in the state
-        files.setTimes(jvm.org.apache.hadoop.fs.Path(folder, name), begin + k, -1)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files_of = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for below in files_of.listStatus(folder):
+        if below.getPath().getName().startswith("part="):
+            found += [(int(below.getPath().getName()[5:]), s.getModificationTime(), s.getPath()) for s in files_of.listStatus(below.getPath()) if s.getPath().getName().startswith("part-")]
+    begin = max((at for _, at, _ in found), default=0)
+    for part, _, file in found:  # a stream takes older files first; where a store keeps its own times, events wait in the state
+        files_of.setTimes(file, begin + part, -1)
+    schema = dealt.schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).drop("part")

@@ -266,3 +266,64 @@ def test_split_goes_on_from_the_metadata(spark):
     bins, named = latents.split(current, local, 0, meta, ["red", "green", "blue", "pink"])
     assert {r.bin: r.cluster for r in bins.collect()} == {0: 3, 1: 4, 2: 0, 3: 1, 4: -1, 5: 3}
     assert sorted(map(tuple, named.where(F.col("cluster") > 2).collect())) == [(3, "C3", "green"), (4, "C4", "pink")]
+
+
+class Calls:
+    """Stands for the states of one key, and counts the calls to them."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def run(*args):
+            self.calls += 1
+            if name == "updateValue":
+                self.values[args[0]] = args[1]
+            elif name == "update":
+                self.values["one"] = args[0]
+            elif name == "put":
+                self.values["list"] = list(args[0])
+            elif name in ("removeKey", "getValue"):
+                return self.values.pop(args[0]) if name == "removeKey" else self.values[args[0]]
+            elif name == "keys":
+                return list(self.values)
+            elif name == "exists":
+                return bool(self.values)
+            elif name == "containsKey":
+                return args[0] in self.values
+            elif name == "get":
+                return self.values.get("one") if self is not None and "list" not in self.values else self.values["list"]
+            return None
+
+        return run
+
+
+def test_events_in_disorder_within_a_batch_call_no_state_each():
+    import pandas as pd
+
+    rng, memory = random.Random(5), tracking.Memory(gap=3, blocks=4, skip=2)
+    rows = [("a", p, "refer" if p == 0 else "track", p, 1, 1, 3, bytes(rng.randrange(256) for _ in range(3)), bytes([rng.randrange(4)])) for p in range(600)]
+    wanted = brute_fold([(p, k, px, m) for _, p, k, _, _, _, _, px, m in rows], memory)
+    for room in (tracking.Ordered.room, 2_000):  # all wait in the task; some in the state
+        mixed = rows[:]
+        rng.shuffle(mixed)
+        fold, states = tracking.Fold(tracking.NearestColour, memory), [Calls() for _ in range(4)]
+        fold.tracker, fold.room, fold.row = fold.build(), room, tracking.namedtuple("Event", fold.event)
+        fold.waiting, fold.kept, fold.recent, fold.clock = states
+        frames = pd.DataFrame(mixed, columns=["video", *tracking.COLUMNS])
+        got = []
+        for half in (frames[:300], frames[300:]):  # micro-batches, of Arrow batches of 100 rows
+            got += list(fold.handleInputRows(("a",), (half[k : k + 100] for k in range(0, 300, 100)), None))
+        assert {p: bytes(m) for p, m in pd.concat(got)[["place", "mask"]].itertuples(index=False)} == wanted
+        if room == tracking.Ordered.room:
+            first = int((frames[:300]["place"] > min(set(range(600)) - set(frames[:300]["place"]))).sum())
+            assert sum(s.calls for s in states) <= 3 * first + 20  # those that wait from one micro-batch to the next, and a few a batch
+
+
+def test_clips_of_events_fold_like_single_ones(spark, sf_dir):
+    table(spark, sf_dir, "nation")
+    shots = spark.createDataFrame([(v, f, 1, 1, 3, bytes([f * 37 % 256, f % 5, 7])) for v in ("a", "b") for f in range(50)], "video string, frame long, height int, width int, channels int, pixels binary")
+    labels = shots.where("frame in (0, 20)").withColumn("mask", F.unhex(F.format_string("%02x", F.col("frame").cast("int") + 1)))
+    memory = tracking.Memory(gap=3, blocks=4, skip=2)
+    run = lambda **how: {(r.video, r.frame): bytes(r.mask) for r in streaming.drain(tracking.track(tracking.streamed(tracking.scheduled(shots, 0, 99), **how), "nearest_colour", memory, labels)).collect()}
+    assert run(clip=8, span=16) == run(span=10) and len(run(clip=100)) == 100
