@@ -239,3 +239,49 @@ def test_counts_before_the_first_bad_frame(spark):
     rows = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("a", 2, True), ("b", 0, True), ("b", 1, True)], "video string, frame long, ok boolean")
     assert {r.video: r.n for r in sources.frame_counts(rows).collect()} == {"a": 1, "b": 2}
     assert sources.constant_frames(spark, 2, 3, 7).count() == 6
+
+
+def test_candidates_of_many_images_equal_those_of_each(spark):
+    import numpy as np
+    import pyarrow as pa
+    from ethogrid.operators import generation
+
+    rng, s = np.random.default_rng(3), generation.Settings(side=3, quality=0.2, stability=0.5, offset=4.0)
+    images = rng.integers(0, 256, (7, 9, 11, 1), dtype=np.uint8)
+    model = generation.Bands()
+    found = pa.Table.from_batches(generation._found(model, s, images, pa.RecordBatch.from_pydict({"image": list(range(7))}))).to_pylist()
+    wanted = []
+    for n, image in enumerate(images):
+        for p in range(9):
+            for k, (logits, quality) in enumerate(model.candidates(image, (p % 3 + 0.5) / 3 * 11, (p // 3 + 0.5) / 3 * 9)):
+                mask, loose = logits > 0, (logits > -4).sum()
+                if quality > 0.2 and loose and (logits > 4).sum() / loose >= 0.5:
+                    wanted.append((n, p, k, quality, int(mask.sum()), generation.run_lengths(mask)))
+    assert len(wanted) > 10 and [(r["image"], r["point"], r["candidate"], r["quality"], r["area"], r["counts"]) for r in found] == wanted
+
+
+def test_suppression_of_groups_side_by_side(spark):
+    import numpy as np
+    from ethogrid.operators import boxes
+
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 5, 8, 9, 16, 17, 40, 64, 65, 130, 1, 3]
+    starts = np.cumsum([0, *sizes[:-1]])
+    x0, y0 = rng.integers(0, 12, (2, sum(sizes)))
+    sides = [x0, y0, x0 + rng.integers(1, 9, len(x0)), y0 + rng.integers(1, 9, len(x0))]
+    wanted = np.concatenate([boxes._kept(*(c[a : a + n] for c in sides), 3, 10) for a, n in zip(starts, sizes, strict=True)])
+    assert (boxes._kept_of_groups(starts, sides, 3, 10) == wanted).all() and 0 < wanted.sum() < len(wanted)
+
+
+def test_suppression_of_groups_across_arrow_batches(spark):
+    from ethogrid.operators import boxes
+
+    rows = [(g, x, 0, x + 4, 4, x) for g in range(40) for x in range(1 + g % 9)]
+    frame = spark.createDataFrame(rows, "g long, x0 long, y0 long, x1 long, y1 long, s long")
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "3")
+    try:
+        got = sorted((r.g, r.x0) for r in boxes.suppress(frame, "g", [F.col("s")]).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(g, x) for g in range(40) for x in range(0, 1 + g % 9, 3)]
