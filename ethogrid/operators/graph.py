@@ -103,21 +103,79 @@ def within(points: DataFrame, axes: list[str], radius: float, key: str = "id") -
     return pairs.select("a", "b", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
+def _touch(eps: float, chunk: int = 1 << 16):
+    """Which pairs of cells hold points within eps of each other; nearest to the other cell first, so most are settled by a few."""
+
+    def close(own: np.ndarray, other: np.ndarray) -> bool:
+        gap = lambda p, q: (np.maximum(np.maximum(q.min(axis=0) - p, p - q.max(axis=0)), 0) ** 2).sum(axis=1)
+        bound = eps * eps * (1 + 1e-9)
+        near, far = gap(own, other), gap(other, own)
+        own, other = own[near <= bound][np.argsort(near[near <= bound])], other[far <= bound][np.argsort(far[far <= bound])]
+        step = max(1, chunk // max(1, len(other)))
+        for low in range(0, len(own), step):
+            d = [(own[low : low + step, None, k] - other[:, k]) for k in range(own.shape[1])]
+            if (sum(x * x for x in d) <= eps * eps).any():
+                return True
+        return False
+
+    def run(batches):
+        for batch in batches:
+            points = [[np.array([list(p.values()) for p in row], float) for row in batch.column(c).to_pylist()] for c in ("points", "others")]
+            keep = [close(own, other) for own, other in zip(*points, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def dbscan(points: DataFrame, axes: list[str], eps: float, least: int = 5, key: str = "id") -> DataFrame:
     """key and cluster: density clusters numbered by their smallest core point; a border point joins the lowest
-    neighbouring cluster and -1 is noise. A point counts itself."""
-    pairs = within(points, axes, eps, key)
-    pairs = cut(pairs.select("a", "b").union(pairs.select("b", "a")))
-    core = cut(points.select(F.col(key).alias("a")).join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select("a"))
-    other = core.select(F.col("a").alias("b"))
-    links = pairs.join(core, "a").join(other, "b")
-    roots = core.join(components(links.where("a < b")), F.col("a") == F.col("node"), "left").select("a", F.coalesce("label", "a").alias("root"))
-    roots = cut(roots)
+    neighbouring cluster and -1 is noise. A point counts itself.
+
+    For few axes, as a cell has 5 to the power of their number (3 at most) neighbours. Points are dealt to cells so small that all points of one are neighbours: of a cell with `least` points all are core, and only
+    the few points of other cells are counted one by one. Core points of a cell are one node of the links, and two cells are
+    linked by any pair of theirs; so work and memory follow the number of points, not that of their pairs.
+    """
+    side, cells = eps / len(axes) ** 0.5 * (1 - 1e-6), [f"cell{i}" for i in range(len(axes))]
+    finite = reduce(lambda s, t: s & t, [F.abs(F.col(c)) < float("inf") for c in axes])
+    own = points.where(finite).select(F.col(key).alias("a"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(axes)])
+    place = [f"p{i}" for i in range(len(axes))]
+    own = own.select("*", *[F.floor(F.col(p) / side).cast("long").alias(c) for p, c in zip(place, cells, strict=True)])
+    sizes = own.groupBy(*cells).agg(F.count("*").alias("n"))
+    own = cut(own.join(sizes, cells))
+    reach = int(eps / side) + 1
+    steps = list(product(range(-reach, reach + 1), repeat=len(axes)))
+
+    def moved(rows: DataFrame, columns: list[str], by: list) -> DataFrame:
+        """The rows beside each cell at one of the steps."""
+        step = F.explode(F.array(*[F.struct(*[F.lit(s).alias(c) for s, c in zip(x, cells, strict=True)]) for x in by]))
+        return rows.select(*columns, *cells, step.alias("step")).select(*columns, *[(F.col(c) + F.col(f"step.{c}")).alias(c) for c in cells])
+
+    def met(few: DataFrame, many: DataFrame, carry: list[str]) -> DataFrame:
+        """b and what it carries of many, within eps of a of few; few has fewer than `least` points a cell."""
+        spread = moved(few, ["a", *place], steps)
+        other = many.select(F.col("a").alias("b"), *[F.col(p).alias(f"b_{p}") for p in place], *cells, *carry)
+        d2 = squared_distance([F.col(p) for p in place], [F.col(f"b_{p}") for p in place])
+        return spread.join(other, cells).where((F.col("a") != F.col("b")) & (d2 <= eps * eps)).select("a", "b", *carry)
+
+    few = own.where(F.col("n") < least)
+    counted = met(few, own, []).groupBy("a").agg(F.count("*").alias("near")).where(F.col("near") + 1 >= least).select("a")
+    columns = ["a", *place, *cells]
+    core = cut(own.where(F.col("n") >= least).select(*columns).unionByName(few.join(counted, "a", "left_semi").select(*columns)))
+    packed = cut(core.groupBy(*cells).agg(F.min("a").alias("node"), F.collect_set(F.struct(*place)).alias("points")))
+    half = [x for x in steps if x > (0,) * len(axes)]
+    ahead = moved(packed.select(F.col("node").alias("a"), "points", *cells), ["a", "points"], half)
+    pairs = ahead.join(packed.select(F.col("node").alias("b"), F.col("points").alias("others"), *cells), cells)
+    links = pairs.select("a", "b", "points", "others").mapInArrow(_touch(eps), f"a {dict(core.dtypes)['a']}, b {dict(core.dtypes)['a']}")
+    nodes = packed.select(*cells, "node")
+    roots = cut(replaced(nodes.withColumn("root", F.col("node")), "root", components(links)).select(*cells, "root"))
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("root")) - 1
-    numbered = roots.join(roots.select("root").distinct().withColumn("cluster", number), "root").select("a", "cluster")
-    border = pairs.join(numbered.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
-    found = points.select(F.col(key).alias("a")).join(numbered, "a", "left").join(border, "a", "left")
-    return found.select(F.col("a").alias(key), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
+    clusters = cut(roots.join(roots.select("root").distinct().withColumn("cluster", number), "root").select(*cells, "cluster"))
+    inside = cut(core.join(clusters, cells).select("a", *place, *cells, "cluster"))
+    edge = few.join(core.select("a"), "a", "left_anti")
+    border = met(edge, inside, ["cluster"]).groupBy("a").agg(F.min("cluster").alias("cluster"))
+    named = inside.select("a", "cluster").unionByName(border)
+    found = points.select(F.col(key).alias("a")).join(named, "a", "left")
+    return found.select(F.col("a").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def _packed(key: str, vector: str):

@@ -285,3 +285,34 @@ def test_suppression_of_groups_across_arrow_batches(spark):
     finally:
         spark.conf.set(key, before)
     assert got == [(g, x) for g in range(40) for x in range(0, 1 + g % 9, 3)]
+
+
+def test_dbscan_of_dense_cells_links_no_pairs_of_points(spark, monkeypatch):
+    import random
+
+    from ethogrid.operators import graph
+
+    rng = random.Random(6)
+    spots = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(150)] + [(3.0, 3.0)] * 120 + [(3.0, 3.3)] * 4 + [(3.0, 3.6)] + [(float("nan"), 0.0)] * 6
+    close = lambda p, q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 0.3 * 0.3
+    near = [[j for j, q in enumerate(spots) if j != i and close(p, q)] for i, p in enumerate(spots)]
+    core = {i for i, n in enumerate(near) if len(n) + 1 >= 5}
+    root, wanted = {}, {}
+    for i in sorted(core):
+        if i not in root:
+            root[i], todo = i, [i]
+            while todo:
+                for j in near[todo.pop()]:
+                    if j in core and j not in root:
+                        root[j] = i
+                        todo.append(j)
+    numbers = {r: k for k, r in enumerate(sorted(set(root.values())))}
+    for i in range(len(spots)):
+        own = [numbers[root[j]] for j in ([i] if i in core else near[i]) if j in core]
+        wanted[i] = min(own, default=-1)
+    seen, whole = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda links: seen.append(links.count()) or whole(links))
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id long, x double, y double")
+    assert {r.id: r.cluster for r in graph.dbscan(points, ["x", "y"], 0.3, 5).collect()} == wanted
+    assert seen[0] < 12 * len(spots)  # 120 copies alone have 7140 pairs
+    assert len(set(wanted.values())) > 2
