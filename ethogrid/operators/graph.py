@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
@@ -189,32 +190,57 @@ def _packed(key: str, vector: str):
     return run
 
 
-def _nearest_of(k: int, chunk: int = 256):
-    """The k nearest of each point of one block within another; sums run in the order of the elements."""
+def _nearest_of(k: int, chunk: int = 512):
+    """The k nearest of each point of one block within another; sums run in the order of the elements.
+
+    A matrix product gives distances that may be wrong in their last digits; those that could be among the k nearest, with a
+    margin for its error, are then summed exactly.
+    """
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 own, other = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["others"], np.int64)
-                x, y = np.frombuffer(row["data"]).reshape(len(own), -1), np.frombuffer(row["other_data"]).reshape(len(other), -1).T.copy()
+                x, y = np.frombuffer(row["data"]).reshape(len(own), -1), np.frombuffer(row["other_data"]).reshape(len(other), -1)
                 width = min(k + 1, len(other))
+                squares = (y * y).sum(axis=1)
                 for low in range(0, len(own), chunk):
                     part, names = x[low : low + chunk], own[low : low + chunk]
-                    d2 = np.zeros((len(part), len(other)))
-                    for j in range(y.shape[0]):
-                        step = part[:, j, None] - y[j]
-                        d2 += step * step
-                    d2[names[:, None] == other] = np.inf
-                    edge = np.partition(d2, width - 1, axis=1)[:, width - 1 : width]
-                    i, j = np.nonzero((d2 <= edge) & np.isfinite(d2))
-                    i, j = (v[np.lexsort((other[j], d2[i, j], i))] for v in (i, j))
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j = i[rank < k], j[rank < k]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(other[j]), pa.array(d2[i, j])], ["a", "b", "d2"])
+                    length = (part * part).sum(axis=1)[:, None]
+                    # a sum of n products is off by at most n roundings of the sum of their sizes
+                    margin = 8 * (y.shape[1] + 4) * np.finfo(float).eps * (length + squares.max())
+                    rough = length + squares - 2 * (part @ y.T)
+                    edge = np.partition(rough, width - 1, axis=1)[:, width - 1 : width]
+                    i, j = np.nonzero(~(rough > edge + margin) & (names[:, None] != other))
+                    for first, last in _pieces(i):
+                        yield _exact(part, names, y, other, i[first:last], j[first:last], k)
 
     return run
 
 
+def _pieces(i: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Where pieces of about `most` of the ascending numbers begin and end; equal ones stay together."""
+    low = 0
+    while low < len(i):
+        high = len(i) if low + most >= len(i) else int(np.searchsorted(i, i[low + most], "right"))
+        yield low, high
+        low = high
+
+
+def _exact(part: np.ndarray, names: np.ndarray, y: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest of the pairs i, j of a point, by exact sums."""
+    d2 = np.zeros(len(i))
+    for c in range(y.shape[1]):
+        step = part[i, c] - y[j, c]
+        d2 += step * step
+    fine = np.isfinite(d2)
+    i, j, d2 = i[fine], j[fine], d2[fine]
+    by = np.lexsort((other[j], d2, i))
+    i, j, d2 = i[by], j[by], d2[by]
+    nearest = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return pa.RecordBatch.from_arrays([pa.array(names[i[nearest]]), pa.array(other[j[nearest]]), pa.array(d2[nearest])], ["a", "b", "d2"])
+
+
 def knn(points: DataFrame, k: int, vector: str = "v", key: str = "id", block: int = 2_048) -> DataFrame:
     """key, rank, neighbour, d2: the k nearest of every point, exactly, itself left out; ties go to the smaller key.
 

@@ -316,3 +316,25 @@ def test_dbscan_of_dense_cells_links_no_pairs_of_points(spark, monkeypatch):
     assert {r.id: r.cluster for r in graph.dbscan(points, ["x", "y"], 0.3, 5).collect()} == wanted
     assert seen[0] < 12 * len(spots)  # 120 copies alone have 7140 pairs
     assert len(set(wanted.values())) > 2
+
+
+def test_nearest_by_products_equal_exact_sums(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from ethogrid.operators import graph
+
+    rng, sizes, whole = np.random.default_rng(7), [], graph._exact
+    x = np.concatenate([rng.normal(size=(300, 16)), 1e6 + rng.normal(size=(100, 16)) * 1e-3])
+    x = np.concatenate([x, x[:40], x[350:360]])  # equal ones, and near ones far from the origin
+    keys = rng.permutation(len(x)).astype(np.int64)
+    d2 = np.zeros((len(x), len(x)))
+    for c in range(16):
+        d2 += (x[:, c, None] - x[:, c]) ** 2
+    wanted = {(int(keys[i]), int(keys[j])) for i in range(len(x)) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (d2[i, j], keys[j]))[:5]}
+    monkeypatch.setattr(graph, "_exact", lambda part, names, y, other, i, j, k: sizes.append(len(i)) or whole(part, names, y, other, i, j, k))
+    row = pa.RecordBatch.from_pylist([{"keys": keys.tobytes(), "data": x.tobytes(), "others": keys.tobytes(), "other_data": x.tobytes()}])
+    got = pa.Table.from_batches(graph._nearest_of(5)([row])).to_pylist()
+    assert {(r["a"], r["b"]) for r in got} == wanted
+    at = {int(k): n for n, k in enumerate(keys)}
+    assert all(r["d2"] == d2[at[r["a"]], at[r["b"]]] for r in got)
+    assert sum(sizes) < len(x) * len(x) / 4  # most pairs aren't summed
