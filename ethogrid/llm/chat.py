@@ -324,7 +324,9 @@ def link_tools(messages: DataFrame, tools: dict | None = None, bucket: int = 65_
     one, other = F.xxhash64(*KEYS).alias("a"), F.xxhash64("conv_id", "wait.for_id", "wait.for_kind").alias("b")
     links = nodes.select(*KEYS, F.explode("waits").alias("wait")).select(one, other)
     buckets = max(1, -(-nodes.count() // bucket))
-    dealt = replaced(nodes.select(F.xxhash64(*KEYS).alias("part"), *KEYS, "own", "waits"), "part", components(links))
+    dealt = nodes.select(F.xxhash64(*KEYS).alias("part"), *KEYS, "own", "waits")
+    if buckets > 1:  # one bucket holds all components, whatever they are
+        dealt = replaced(dealt, "part", components(links))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(buckets)))
     places = dealt.groupBy("part").applyInArrow(_placer, "conv_id long, call_id string, kind string, at string, depth int")
     # of those that have no place, some ask for what isn't there, and the others wait for them or go round

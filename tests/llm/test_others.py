@@ -293,3 +293,13 @@ def test_ranks_equal_brute_force(spark):
 def test_schemas_with_odd_bounds_are_refused(schema):
     with pytest.raises(ValueError):
         chat.checked(schema)
+
+
+def test_one_bucket_of_calls_needs_no_components(spark, monkeypatch):
+    call = json.dumps({"tool_calls": [{"id": "c", "name": "search", "arguments": {"query": "x"}}]})
+    rows = [(1, 0, "tool", json.dumps({"tool_call_id": "c", "content": "y"})), (1, 1, "assistant", call), (1, 2, "user", "hello")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = lambda bucket: sorted(map(tuple, chat.link_tools(frame, bucket=bucket).collect()), key=repr)
+    several = told(1)
+    monkeypatch.setattr(chat, "components", lambda links: pytest.fail("components of one bucket"))
+    assert told(100) == several and "linked" in {r[5] for r in several}
