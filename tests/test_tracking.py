@@ -327,3 +327,22 @@ def test_clips_of_events_fold_like_single_ones(spark, sf_dir):
     memory = tracking.Memory(gap=3, blocks=4, skip=2)
     run = lambda **how: {(r.video, r.frame): bytes(r.mask) for r in streaming.drain(tracking.track(tracking.streamed(tracking.scheduled(shots, 0, 99), **how), "nearest_colour", memory, labels)).collect()}
     assert run(clip=8, span=16) == run(span=10) and len(run(clip=100)) == 100
+
+
+def test_click_sessions_draw_a_roi_once_and_keep_one_state():
+    import pandas as pd
+
+    from ethogrid.streaming import clicks
+
+    kinds = ["next" if p % 9 == 8 else "remove" if p % 4 == 3 else "add" for p in range(60)]
+    events = pd.DataFrame([("s", p, k, p * 7 % 48, p * 5 % 32) for p, k in enumerate(kinds)], columns=["session", "place", "kind", "x", "y"])
+    told, drawn = {}, {}
+    for latest in (False, True):
+        fold, kept = clicks.Session(clicks.Boxes, 32, 48, latest), Calls()
+        fold.segmenter, fold.row, fold.kept, fold.waiting = fold.build(), tracking.namedtuple("Event", fold.event), kept, Calls()
+        count, whole = [], fold.segmenter.segment
+        fold.segmenter.segment = lambda *a, count=count, whole=whole: count.append(1) or whole(*a)
+        got = [r for half in (events[:31], events[31:]) for r in pd.concat(list(fold.handleInputRows(("s",), iter([half]), None))).itertuples(index=False)]
+        told[latest], drawn[latest] = {r.place: (r.roi, r.mask) for r in got}, len(count)
+        assert kept.calls + fold.waiting.calls == 4  # one get and one update a micro-batch
+    assert told[True] == {p: told[False][p] for p in (30, 59)} and drawn[True] < drawn[False] / 4
