@@ -338,3 +338,17 @@ def test_nearest_by_products_equal_exact_sums(spark, monkeypatch):
     at = {int(k): n for n, k in enumerate(keys)}
     assert all(r["d2"] == d2[at[r["a"]], at[r["b"]]] for r in got)
     assert sum(sizes) < len(x) * len(x) / 4  # most pairs aren't summed
+
+
+def test_cut_leaves_no_stage_behind(spark):
+    """An empty side of a join must not end the query while stages of the other side still read its shuffle files."""
+    from ethogrid.session import cut
+
+    slow = F.udf(lambda x: __import__("time").sleep(0.5) or x, "long")
+    rows = spark.range(0, 16, 1, 4).groupBy("id").agg(F.count("*").alias("n")).withColumn("n", slow("n")).groupBy("n", "id").count()
+    empty = spark.range(0, 8, 1, 2).where("id < rand() - 1").groupBy("id").agg(F.count("*").alias("m"))
+    keys = "spark.sql.adaptive.optimizer.excludedRules", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = [spark.conf.get(k, None) for k in keys]
+    assert cut(empty.join(rows, "id")).count() == 0
+    assert not spark.sparkContext.statusTracker().getActiveStageIds()
+    assert [spark.conf.get(k, None) for k in keys] == before
