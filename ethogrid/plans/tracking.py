@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethogrid import sources, streaming
 from ethogrid.operators import sequences
+from ethogrid.session import checkpointing
 from ethogrid.streaming import clicks, tracking
 
 from .masks import HEIGHT, WIDTH
@@ -44,7 +47,7 @@ TOLD = " SELECT video, frame, place, CAST(found AS BIGINT) AS found FROM walk WH
 
 
 def shots_of(t: Tables) -> DataFrame:
-    """video, frame, height, width, channels, pixels, mask of frames of one pixel."""
+    """video, frame, height, width, channels, pixels, mask of frames of one pixel, numbered once and kept as a table, as each query reads them several times."""
     rows = t.lineitem.select(
         (F.col("l_orderkey") % 200).cast("string").alias("video"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"),
@@ -52,10 +55,13 @@ def shots_of(t: Tables) -> DataFrame:
         F.lit(1).alias("height"),
         F.lit(1).alias("width"),
         F.lit(3).alias("channels"),
-        F.unhex(F.format_string("%02x%02x%02x", F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_quantity").cast("long"))).alias("pixels"),
-        F.unhex(F.format_string("%02x", 1 + F.col("l_suppkey") % 4)).alias("mask"),
+        F.unhex(F.lpad(F.hex((F.col("l_partkey") % 256 * 256 + F.col("l_suppkey") % 256) * 256 + F.col("l_quantity").cast("long")), 6, "0")).alias("pixels"),
+        F.unhex(F.lpad(F.hex(1 + F.col("l_suppkey") % 4), 2, "0")).alias("mask"),
     )
-    return tracking.numbered(rows, 1 << 16).withColumnRenamed("place", "frame")
+    frames = tracking.numbered(rows, 1 << 16).withColumnRenamed("place", "frame")
+    path = f"{checkpointing(t.spark).sparkContext._jsc.sc().getCheckpointDir().get()}/shots-{uuid.uuid4().hex}"
+    frames.write.parquet(path)
+    return t.spark.read.schema(frames.schema).parquet(path)
 
 
 def told(events: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -113,7 +119,7 @@ def _labelled(t: Tables, kind: str) -> DataFrame:
     marks = sequences.reference_frames(seen_of(shots)).select(F.col("sequence").alias("video"), "frame", F.array_max("fresh").alias("top"))
     rows = shots.drop("mask").join(marks, ["video", "frame"], "left")
     kinds = F.when(F.col("frame") == 0, "refer").when(F.col("top").isNotNull(), kind).otherwise("track")
-    mask = F.unhex(F.format_string("%02x", F.coalesce("top", F.lit(0))))
+    mask = F.unhex(F.lpad(F.hex(F.coalesce("top", F.lit(0))), 2, "0"))
     return rows.select("video", "frame", F.col("frame").alias("at"), F.lit(0).alias("after"), kinds.alias("kind"), "height", "width", "channels", "pixels", mask.alias("mask"))
 
 

@@ -23,13 +23,16 @@ import uuid
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import batched, groupby
+from itertools import batched, chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ethogrid.session import checkpointing
 
@@ -51,7 +54,9 @@ class Memory:
 class NearestColour:
     """A stand-in for a tracker: the mask of the memory whose mean colour is nearest; of equally near ones the first.
 
-    encode_all is optional in a tracker: the features of several frames of one shape, a row each, as encode gives them.
+    encode_all is optional in a tracker: the features of several frames of one shape, a row each, as encode gives them. So is
+    choose, for trackers whose match gives the mask of one memory: which one, for each of several frames at once, from the features of each
+    frame's memories in their order, padded to one number; there tells memories from padding.
     """
 
     def encode(self, pixels: np.ndarray) -> np.ndarray:
@@ -64,6 +69,10 @@ class NearestColour:
         apart = np.array([f for f, _ in memories]) - features
         return memories[(apart * apart).sum(axis=1).argmin()][1]
 
+    def choose(self, features: np.ndarray, memories: np.ndarray, there: np.ndarray) -> np.ndarray:
+        apart = memories - features[:, None]
+        return np.where(there, (apart * apart).sum(axis=2), np.inf).argmin(axis=1)
+
 
 #: Trackers by name; a task builds its own.
 TRACKERS: dict[str, Callable[[], object]] = {"nearest_colour": NearestColour}
@@ -100,6 +109,10 @@ class Ordered(StatefulProcessor):
     def take(self, e, ready=None) -> tuple | None:
         """An event's effect, and what it gives besides the key."""
 
+    def take_all(self, due: list[tuple]) -> list[tuple | None]:
+        """The same for events and what is ready of them, in their order."""
+        return [self.take(e, ready) for e, ready in due]
+
     def told(self, last: tuple) -> tuple:
         """The last of what a batch of a key gives, made whole."""
         return last
@@ -118,14 +131,15 @@ class Ordered(StatefulProcessor):
         held: dict[int, tuple] = {}
         size, last = 0, []
         for batch in rows:
-            out = []
+            due = []
             events = self._events(batch)
             for e, ready in zip(events, self.ready(events), strict=True):
                 if e[0] > self.place:
                     size += sum(len(x) for x in e if isinstance(x, (bytes, bytearray))) + 512 if e[0] not in held else 0
                     held[e[0]] = e, ready
                 elif e[0] == self.place:
-                    out.append(self._next(e, ready))
+                    due.append((e, ready))
+                    self.place += 1
                     while self.place in held or self.place in parked:
                         at = self.place
                         if at in parked:  # the same event may have come twice
@@ -133,13 +147,14 @@ class Ordered(StatefulProcessor):
                             self.waiting.removeKey((at,))
                             parked.remove(at)
                         found = held.pop(at, None) or found
-                        out.append(self._next(*found))
+                        due.append(found)
+                        self.place += 1
             if not held:
                 size = 0
             elif size > self.room:
                 self._park(held, parked)
                 held, size = {}, 0
-            given = [(key[0], *r) for r in out if r is not None]
+            given = [(key[0], *r) for r in self.take_all(due) if r is not None]
             if not self.latest:
                 yield pd.DataFrame(given, columns=self.found)
             last = given[-1:] or last
@@ -163,10 +178,6 @@ class Ordered(StatefulProcessor):
             self.waiting.updateValue((at,), tuple(e))
             parked.add(at)
 
-    def _next(self, e, ready=None) -> tuple | None:
-        self.place += 1
-        return self.take(e, ready)
-
 
 class Fold(Ordered):
     event, schema = COLUMNS, EVENT
@@ -225,14 +236,79 @@ class Fold(Ordered):
         if self.step - self.noted >= self.memory.gap:
             self._note(entry)
 
+    def _shaped(self, e) -> tuple[int, int]:
+        """The event's shape, which the masks of all memories take."""
+        if e.height != self.shape[0] or e.width != self.shape[1]:
+            self.shape = (int(e.height), int(e.width))
+            self.long, self.short = ([(f, m.reshape(self.shape)) for f, m in held] for held in (self.long, self.short))
+        return self.shape
+
+    def take_all(self, due: list[tuple]) -> list[tuple | None]:
+        """Runs of events of one shape together, if the tracker can choose: which frames are memories when doesn't depend on masks, but for grow."""
+        if not hasattr(self.tracker, "choose"):
+            return super().take_all(due)
+        out: list = []
+        for shape, run in groupby(due, key=lambda x: None if x[1] is None or x[0].kind in ("grow", "restart") else (x[0].height, x[0].width, x[0].channels)):
+            out += super().take_all(run) if shape is None else self._together(list(run))
+        return out
+
+    def _together(self, run: list[tuple]) -> list[tuple | None]:
+        shape = self._shaped(run[0][0])
+        start = [*self.long, *self.short]
+        long, short = tuple(range(len(self.long))), tuple(range(len(self.long), len(start)))
+        blocks, skip, gap = self.memory.blocks, self.memory.skip, self.memory.gap
+        memories, refers = [], None  # those of each event, as numbers of entries: start's, then the run's
+        for at, (e, _) in enumerate(run, len(start)):
+            if e.kind == "refer":
+                memories.append(())
+            else:
+                self.step += 1
+                memories.append(long + short[:1])
+            if e.kind in ("refer", "label"):
+                long, short, refers, self.noted = (at, *long[: blocks - 1]), (at,), at, self.step
+                continue
+            short = (*short, at)[-skip:]
+            if self.step - self.noted >= gap:
+                long, self.noted = (at, *long[: blocks - 1]), self.step
+        features = np.array([*(f for f, _ in start), *(f for _, f in run)])
+        chosen = self._chosen(features, len(start), memories)
+        masks, blank, out = [m.tobytes() for _, m in start], bytes(math.prod(shape)), []
+        for (e, _), of, k in zip(run, memories, chosen, strict=True):
+            if e.kind == "refer":
+                masks.append(bytes(e.mask))
+                out.append(None)
+                continue
+            mask = masks[of[k]] if of else blank
+            if e.kind == "label":
+                given = np.frombuffer(e.mask, np.uint8)
+                mask = np.where(given > 0, given, np.frombuffer(mask, np.uint8)).tobytes()
+            masks.append(mask)
+            out.append((e.place, e.frame, *shape, mask))
+        # copies, so that a few memories don't hold the features of the whole run
+        self.long, self.short = ([(features[i].copy(), np.frombuffer(masks[i], np.uint8).reshape(shape)) for i in held] for held in (long, short))
+        if refers is not None:
+            self.objects = max(masks[refers], default=0)
+        return out
+
+    def _chosen(self, features: np.ndarray, start: int, memories: list[tuple]) -> list[int]:
+        """Which of its memories each event takes, about 16 MB of their features at a time."""
+        most = max(map(len, memories))
+        if not most:
+            return [0] * len(memories)
+        some, out, row = max(1, (16 << 20) // max(1, most * features[0].nbytes)), [], start
+        for part in batched(memories, some):
+            there = np.arange(most) < np.fromiter(map(len, part), np.int64, len(part))[:, None]
+            which = np.zeros(there.shape, np.int64)
+            which[there] = np.fromiter(chain.from_iterable(part), np.int64)
+            out += self.tracker.choose(features[row : row + len(part)], features[which], there).tolist()
+            row += len(part)
+        return out
+
     def take(self, e, ready=None) -> tuple | None:
         if e.kind == "restart":
             self.long, self.short, self.step, self.noted, self.objects = [], [], 0, 0, 0
             return None
-        if e.height != self.shape[0] or e.width != self.shape[1]:
-            self.shape = (int(e.height), int(e.width))
-            self.long, self.short = ([(f, m.reshape(self.shape)) for f, m in held] for held in (self.long, self.short))
-        shape = self.shape
+        shape = self._shaped(e)
         if ready is None:
             ready = np.asarray(self.tracker.encode(np.frombuffer(e.pixels, np.uint8).reshape(*shape, int(e.channels))), float)
         if e.kind == "refer":
@@ -303,23 +379,43 @@ def numbered(rows: DataFrame, block: int = 4096) -> DataFrame:
     return spread.withColumn("inside", inside).join(starts, ["video", "block"]).withColumn("place", F.col("start") + F.col("inside")).drop("block", "inside", "start", "at", "after")
 
 
+def _packer(key: str, clip: int):
+    """Sorted rows as clips: rows that follow each other, of one key and part, with places of one multiple of clip."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            at = batch.column("place").to_numpy() // clip
+            new[1:] = at[1:] != at[:-1]
+            for c in (key, "part"):
+                of = batch.column(c)
+                new[1:] |= pc.fill_null(pc.not_equal(of[1:], of[:-1]), True).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            offsets = pa.array(np.append(first, batch.num_rows), pa.int32())
+            columns = [batch.column(c).take(pa.array(first)) if c in (key, "part") else pa.ListArray.from_arrays(offsets, batch.column(c)) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return run
+
+
 def streamed(events: DataFrame, span: int = 32_768, files: int = 8, clip: int = 1) -> DataFrame:
     """The events as a stream of files: each holds `span` places of a share of the videos, in order, and a micro-batch reads
     `files` of them, those of lower places first. So events hardly ever wait, and no micro-batch grows with a video's length.
 
-    With clip, a row holds the events of so many places, as an array a column: for small frames, as each row on its way
+    With clip, a row holds the events of so many places at most, as an array a column: for small frames, as each row on its way
     to a fold costs more than they do. A clip should be a few MB at most.
     """
     spark = checkpointing(events.sparkSession)
     key = "video" if "video" in events.columns else "session"
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/events-{uuid.uuid4().hex}"
     rows = events.withColumn("part", F.floor(F.col("place") / span))
+    dealt = rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(files))).sortWithinPartitions("part", key, "place")
     if clip > 1:
-        of = [c for c in events.columns if c != key]
-        packed = rows.groupBy(key, "part", F.floor(F.col("place") / clip).alias("clip")).agg(F.collect_list(F.struct(*of)).alias("all"))
-        rows = packed.select(key, *[F.col(f"all.{c}").alias(c) for c in of], "part", "clip")
-    dealt = rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(files)))
-    dealt = dealt.sortWithinPartitions("part", key, "clip" if clip > 1 else "place").drop("clip")
+        of = [f for f in events.schema if f.name != key]
+        schema = StructType([StructField(key, events.schema[key].dataType), *(StructField(f.name, ArrayType(f.dataType)) for f in of), StructField("part", LongType())])
+        dealt = dealt.select(*schema.names).mapInArrow(_packer(key, clip), schema)
     dealt.write.partitionBy("part").parquet(path)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)

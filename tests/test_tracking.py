@@ -346,3 +346,39 @@ def test_click_sessions_draw_a_roi_once_and_keep_one_state():
         told[latest], drawn[latest] = {r.place: (r.roi, r.mask) for r in got}, len(count)
         assert kept.calls + fold.waiting.calls == 4  # one get and one update a micro-batch
     assert told[True] == {p: told[False][p] for p in (30, 59)} and drawn[True] < drawn[False] / 4
+
+
+def test_runs_of_events_are_chosen_together():
+    import pandas as pd
+
+    rng, memory = random.Random(7), tracking.Memory(gap=3, blocks=4, skip=2)
+    kinds = ["refer" if p == 0 else rng.choice(["track"] * 12 + ["label", "label", "grow", "restart", "refer"]) for p in range(900)]
+    color = lambda: bytes(rng.randrange(8) for _ in range(6))  # noqa: E731  few colours, so that ties are frequent
+    rows = [(p, k, p, 1, 2, 3, color(), bytes([rng.randrange(5), rng.randrange(5)])) for p, k in enumerate(kinds)]
+    wanted = brute_fold([(p, k, px, m) for p, k, _, _, _, _, px, m in rows], memory)
+    alone = type("Alone", (), {"encode": tracking.NearestColour.encode, "match": tracking.NearestColour.match})
+    for build in (tracking.NearestColour, alone):
+        fold = tracking.Fold(build, memory)
+        fold.tracker, fold.row = fold.build(), tracking.namedtuple("Event", fold.event)
+        fold.waiting, fold.kept, fold.recent, fold.clock = (Calls() for _ in range(4))
+        matched, match = [], fold.tracker.match
+        fold.tracker.match = lambda *a, matched=matched, match=match: matched.append(1) or match(*a)
+        frames = pd.DataFrame(rows, columns=tracking.COLUMNS)
+        got = pd.concat([x for half in (frames[:400], frames[400:]) for x in fold.handleInputRows(("a",), iter([half[:150], half[150:]]), None)])
+        assert {p: bytes(m) for p, m in got[["place", "mask"]].itertuples(index=False)} == wanted
+        assert len(matched) <= kinds.count("grow") if build is tracking.NearestColour else len(matched) > 600
+
+
+def test_clips_hold_all_events_over_ends_of_batches(spark, sf_dir):
+    table(spark, sf_dir, "nation")
+    rows = [(v, p, f"{v}{p}") for v in ("a", "b", None) for p in range(70)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 7)  # clips end where an Arrow batch does
+    try:
+        events = spark.createDataFrame(rows, "video string, place long, kind string").repartition(5)
+        clips = streaming.drain(tracking.streamed(events, span=32, files=2, clip=10)).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert sorted(((c.video, p, k) for c in clips for p, k in zip(c.place, c.kind, strict=True)), key=repr) == sorted(rows, key=repr)
+    assert all(c.place == list(range(c.place[0], c.place[-1] + 1)) and c.place[0] // 10 == c.place[-1] // 10 for c in clips)
