@@ -216,7 +216,8 @@ class Fold(Ordered):
                 out += [None for _ in run]
                 continue
             shape = tuple(map(int, shape))
-            for part in batched(run, max(1, (16 << 20) // max(1, math.prod(shape)))):
+            run = list(run)
+            for part in batched(run, min(len(run), max(1, (16 << 20) // max(1, math.prod(shape))))):  # batched takes room for all of a part at once
                 out += list(np.asarray(self.tracker.encode_all(np.frombuffer(b"".join(e.pixels for e in part), np.uint8).reshape(len(part), *shape)), float))
         return out
 
@@ -295,7 +296,7 @@ class Fold(Ordered):
         most = max(map(len, memories))
         if not most:
             return [0] * len(memories)
-        some, out, row = max(1, (16 << 20) // max(1, most * features[0].nbytes)), [], start
+        some, out, row = min(len(memories), max(1, (16 << 20) // max(1, most * features[0].nbytes))), [], start
         for part in batched(memories, some):
             there = np.arange(most) < np.fromiter(map(len, part), np.int64, len(part))[:, None]
             which = np.zeros(there.shape, np.int64)

@@ -382,3 +382,17 @@ def test_clips_hold_all_events_over_ends_of_batches(spark, sf_dir):
         spark.conf.set(batch, before)
     assert sorted(((c.video, p, k) for c in clips for p, k in zip(c.place, c.kind, strict=True)), key=repr) == sorted(rows, key=repr)
     assert all(c.place == list(range(c.place[0], c.place[-1] + 1)) and c.place[0] // 10 == c.place[-1] // 10 for c in clips)
+
+
+def test_short_runs_take_little_room():
+    import tracemalloc
+
+    fold = tracking.Fold(tracking.NearestColour, tracking.Memory())
+    fold.tracker, row = fold.build(), tracking.namedtuple("Event", fold.event)
+    events = [row(p, "restart" if p % 5 == 4 else "track", p, 1, 1, 3, bytes([p, 1, 2]), None) for p in range(50)]
+    tracemalloc.start()
+    try:
+        assert [None if x is None else x.tolist() for x in fold.ready(events)] == [None if p % 5 == 4 else [p, 1, 2] for p in range(50)]
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
