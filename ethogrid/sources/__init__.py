@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +100,26 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def mask_pixels(masks: DataFrame) -> DataFrame:
     """video, frame, roi, y, x of the labelled pixels of dense masks; the background is left out."""
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        of, roi, y, x = (pa.array(np.concatenate(c)) for c in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column("video").take(of), batch.column("frame").take(of), roi, y, x], ["video", "frame", "roi", "y", "x"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for video, frame, h, w, mask in batch.itertuples(index=False):
-                grid = np.frombuffer(mask, np.uint8).reshape(h, w)
+            held, size = [], 0
+            for k, (h, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("height", "width")), strict=True)):
+                grid = np.frombuffer(batch.column("mask")[k].as_buffer(), np.uint8).reshape(h, w)
                 y, x = np.nonzero(grid)
-                yield pd.DataFrame({"video": video, "frame": frame, "roi": grid[y, x].astype("int64"), "y": y, "x": x})
-
-    return masks.select("video", "frame", "height", "width", "mask").mapInPandas(spread, "video string, frame long, roi long, y long, x long")
+                held.append((np.full(len(y), k), grid[y, x].astype(np.int64), y, x))
+                size += len(y)
+                if size >= 1 << 18:  # many small masks a batch, or one large mask
+                    yield told(batch, held)
+                    held, size = [], 0
+            if held:
+                yield told(batch, held)
+
+    rows = masks.select("video", F.col("frame").cast("long").alias("frame"), "height", "width", "mask")
+    return rows.mapInArrow(spread, "video string, frame long, roi long, y long, x long")
 
 
 def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:

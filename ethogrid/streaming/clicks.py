@@ -9,6 +9,7 @@ ROIs cover earlier ones. The state is an image, the clicks of one ROI and three
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -72,11 +73,24 @@ class Session(Ordered):
         self.roi, self.fresh = self.roi + self.fresh, False
         self.clicks.append((int(e.x), int(e.y), e.kind == "add"))
         self.drawn = False
-        if self.latest:  # only the last click of a ROI and of a micro-batch is drawn
-            return e.place, self.roi
         self._draw()
         return e.place, self.roi, self.now
 
+    def take_all(self, due: list[tuple]) -> list[tuple | None]:
+        """The clicks of a ROI together, if latest: only the last of them, and of a micro-batch, is drawn."""
+        if not self.latest:
+            return super().take_all(due)
+        out: list = []
+        for ends, run in groupby((e for e, _ in due), key=lambda e: e.kind == "next"):
+            if ends:
+                out += [self.take(e) for e in run]
+                continue
+            run = list(run)
+            self.roi, self.fresh, self.drawn = self.roi + self.fresh, False, False
+            self.clicks += [(int(e.x), int(e.y), e.kind == "add") for e in run]
+            out.append((run[-1].place, self.roi))
+        return out
+
     def told(self, last: tuple) -> tuple:
         self._draw()
         return *last, self.now

@@ -396,3 +396,31 @@ def test_short_runs_take_little_room():
         assert tracemalloc.get_traced_memory()[1] < 1 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_clicks_of_a_roi_are_taken_together():
+    from ethogrid.streaming import clicks
+
+    kinds = ["next" if p % 9 == 8 else "remove" if p % 4 == 3 else "add" for p in range(60)]
+    told = {}
+    for latest in (False, True):
+        fold, taken = clicks.Session(clicks.Boxes, 32, 48, latest), []
+        fold.segmenter, row, fold.kept = fold.build(), tracking.namedtuple("Event", fold.event), Calls()
+        fold.load()
+        take = fold.take
+        fold.take = lambda e, *a, take=take, taken=taken: taken.append(e) or take(e, *a)
+        fold.take_all([(row(p, k, p * 7 % 48, p * 5 % 32), None) for p, k in enumerate(kinds)])
+        fold._draw()
+        told[latest] = fold.roi, fold.now, fold.clicks
+        assert len(taken) == (kinds.count("next") if latest else 60)
+    assert told[True] == told[False]
+
+
+def test_pixels_of_masks_of_many_shapes(spark):
+    from ethogrid import sources
+
+    rng = random.Random(3)
+    masks = [(f"v{k % 3}", k, k % 4, k % 5, bytes(rng.randrange(3) for _ in range((k % 4) * (k % 5)))) for k in range(40)] + [("big", 99, 600, 900, b"\2" * 540_000)]
+    found = sources.mask_pixels(spark.createDataFrame(masks, "video string, frame int, height int, width int, mask binary").coalesce(1)).collect()
+    wanted = [(v, f, m[i], i // w, i % w) for v, f, h, w, m in masks for i in range(len(m)) if m[i]]
+    assert sorted(map(tuple, found)) == sorted(wanted)
