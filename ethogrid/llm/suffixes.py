@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,9 @@ from . import _bytes as B
 from . import _shared as shared_values
 from ._memory import freed, released
 
+#: Bytes of text whose anchors are sought, or which are cut, at a time: some 20 arrays of numbers a byte lie beside them.
+SLICE = 1 << 18
+
 
 @dataclass(frozen=True)
 class Params:
@@ -100,22 +104,34 @@ def _ids(column) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ~column.is_null().to_numpy(zero_copy_only=False)
 
 
+def _runs(buckets: np.ndarray, size: np.ndarray, part: int) -> list[np.ndarray]:
+    """Rows of whole buckets, about `part` bytes of text at a time."""
+    order = np.argsort(buckets, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], np.diff(buckets[order]) != 0])) if len(order) else order
+    return [order[new[i] : new[j] if j < len(new) else None] for i, j in _parts(np.add.reduceat(size[order], new) if len(new) else new, part)]
+
+
 def _seeds(shards: int, p: Params):
-    """Step 1, on texts: (shard, bucket, values); a value is 31 bits of a seed and whether several documents hold it."""
+    """Step 1, on texts: (shard, bucket, values); a value is 31 bits of a seed and whether several documents hold it.
+
+    A batch may hold many MB of text, so its buckets are worked on a few at a time.
+    """
+
+    def packed(texts: pa.RecordBatch) -> pa.RecordBatch:
+        ids, there = _ids(texts.column("doc_id"))
+        buckets = texts.column("bucket").to_numpy()
+        parts = []
+        for low, high, buf, offsets in B.slices(texts.column("text"), SLICE):
+            a = anchors(buf, offsets, p)
+            ok = there[low:high][a.text]
+            parts.append((buckets[low:high][a.text[ok]], a.seed[ok], ids[low:high][a.text[ok]]))
+        return shared_values.pack(*(np.concatenate(x) for x in zip(*parts, strict=True)), shards)
 
     def run(batches):
         for batch in batches:
-            ids, there = _ids(batch.column("doc_id"))
-            buckets = batch.column("bucket").to_numpy()
-            parts = []
-            for low, high, buf, offsets in B.slices(batch.column("text")):
-                a = anchors(buf, offsets, p)
-                ok = there[low:high][a.text]
-                parts.append((buckets[low:high][a.text[ok]], a.seed[ok], ids[low:high][a.text[ok]]))
-            if not parts:
-                continue
-            bucket, seed, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield shared_values.pack(bucket, seed, doc, shards)
+            size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for rows in _runs(batch.column("bucket").to_numpy(), size, p.batch):
+                yield packed(batch.take(pa.array(rows)))
 
     return run
 
@@ -124,77 +140,68 @@ def _seeds(shards: int, p: Params):
 class Surroundings:
     """The shared anchors of a bucket's texts, and their distinct surroundings.
 
-    For each anchor: its slice of the texts, first and last window, text and entry; for each entry,
-    in the order in which shards get them: shard, smallest document and an anchor that has both.
+    For each anchor, in the order of the texts: its first window, how many windows, text and entry; for each
+    entry, in the order in which shards get them: shard, smallest document and an anchor that has both.
     """
 
-    slices: list
-    part: np.ndarray
+    buf: np.ndarray
+    offsets: np.ndarray
     first: np.ndarray
-    last: np.ndarray
-    doc: np.ndarray
+    windows: np.ndarray
+    text: np.ndarray
     entry: np.ndarray
     shard: np.ndarray
     smallest: np.ndarray
     sample: np.ndarray
 
 
-def surroundings(texts: pa.Table, shared: pa.Table, shards: int, p: Params) -> Surroundings:
-    ids, there = _ids(texts.column("doc_id"))
-    known = shared_values.unpack(shared)
-    slices, rows = [], []
-    for low, high, buf, offsets in B.slices(texts.column("text")):
+def surroundings(texts: pa.Table, ids: np.ndarray, there: np.ndarray, known: np.ndarray, shards: int, p: Params) -> Surroundings:
+    """ids, there: the texts' doc_id and whether they have one; known: the bucket's shared anchors, unpacked."""
+    whole, bounds = B.utf8(texts.column("text"))
+    rows = [tuple(np.zeros(0, t) for t in (np.int64, np.uint8, np.int32, np.int32, np.uint64))]
+    for low, high, buf, offsets in B.cuts(whole, bounds, SLICE) if len(known) else ():
         a = anchors(buf, offsets, p)
-        slices.append((low, high, buf, offsets))
-        if not len(known) or not len(a.place):
-            continue
-        shard = shared_values.shard_of(a.seed, shards)
-        ok = there[low:high][a.text] & shared_values.among(known, a.seed, shards)
-        first, last = a.first[ok], a.last[ok]
-        content = B.pair(B.fingerprint(a.sums, first, last + p.length), a.seed[ok] + (a.place[ok] - first).astype(np.uint64))
-        rows.append((np.full(len(first), len(slices) - 1), first, last, ids[low:high][a.text[ok]], shard[ok], content))
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return Surroundings(slices, none, none, none, none, none, none, none, none)
-    part, first, last, doc, shard, content = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.lexsort((doc, content, shard))
-    new = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (shard[order][1:] != shard[order][:-1])]) if len(order) else np.zeros(0, bool)
-    entry = np.zeros(len(order), np.int64)
-    entry[order] = np.cumsum(new) - 1
+        ok = np.flatnonzero(there[low:high][a.text] & shared_values.among(known, a.seed, shards))
+        first, seed = a.first[ok], a.seed[ok]
+        content = B.pair(B.fingerprint(a.sums, first, a.last[ok] + p.length), seed + (a.place[ok] - first).astype(np.uint64))
+        shard = shared_values.shard_of(seed, shards).astype(np.int32)
+        rows.append((first + bounds[low], (a.last[ok] - first + 1).astype(np.uint8), (a.text[ok] + low).astype(np.int32), shard, content))
+    first, windows, text, shard, content = (np.concatenate(x) for x in zip(*rows, strict=True))
+    del rows
+    order = np.lexsort((ids[text], content, shard))
+    new = np.ones(len(order), bool)
+    shard, content = shard[order], content[order]
+    new[1:] = (content[1:] != content[:-1]) | (shard[1:] != shard[:-1])
+    entry = np.zeros(len(order), np.int32)
+    entry[order] = np.cumsum(new, dtype=np.int32) - 1
     sample = order[new]
-    return Surroundings(slices, part, first, last, doc, entry, shard[sample], doc[sample], sample)
+    return Surroundings(whole, bounds, first, windows, text, entry, shard[new], ids[text[sample]], sample)
 
 
-def _pieces(s: Surroundings, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, sizes) of the entries' surroundings."""
-    size = s.last[s.sample] - s.first[s.sample] + p.length
-    out = np.zeros(int(size.sum()), np.uint8)
-    at = np.cumsum(size) - size
-    for k, (_, _, buf, _) in enumerate(s.slices):
-        mine = np.flatnonzero(s.part[s.sample] == k)
-        n = size[mine]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(at[mine], n) + inner] = buf[np.repeat(s.first[s.sample][mine], n) + inner]
-    return out, size
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array | pa.ChunkedArray:
+    """Values that lie one after another in the data, of which no copy is made."""
+    if ends[-1] >= 1 << 31:
+        return pa.array([data[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def _sender(shards: int, p: Params):
     """Step 2, on buckets: (shard, bucket, docs, sizes, data) of the distinct surroundings."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, shared: pa.Table) -> pa.Table:
-        s = surroundings(texts, shared, shards, p)
-        out, size = _pieces(s, p)
-        at = np.flatnonzero(np.concatenate([[True], s.shard[1:] != s.shard[:-1]])) if len(s.shard) else np.zeros(0, np.int64)
-        stop = np.append(at[1:], len(s.shard)) if len(at) else at
+        s = surroundings(texts, *_ids(texts.column("doc_id")), shared_values.unpack(shared), shards, p)
+        size = s.windows[s.sample].astype(np.int64) + p.length - 1
+        out, _ = _gathered(s.buf, s.first[s.sample], size)
         ends = np.concatenate([[0], np.cumsum(size)])
-        blocks = list(zip(at.tolist(), stop.tolist(), strict=True))
+        at = np.flatnonzero(np.concatenate([[True], s.shard[1:] != s.shard[:-1]])) if len(s.shard) else np.zeros(0, np.int64)
+        bounds = np.append(at, len(s.shard))
         return pa.table(
             {
                 "shard": pa.array(s.shard[at], pa.int64()),
-                "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int64()),
-                "docs": pa.array([s.smallest[i:j].tobytes() for i, j in blocks], pa.binary()),
-                "sizes": pa.array([size[i:j].astype(np.uint8).tobytes() for i, j in blocks], pa.binary()),
-                "data": pa.array([out[ends[i] : ends[j]].tobytes() for i, j in blocks], pa.binary()),
+                "bucket": pa.array([key[0].as_py()] * len(at), pa.int64()),
+                "docs": _binary(s.smallest.view(np.uint8), bounds * 8),
+                "sizes": _binary(size.astype(np.uint8), bounds),
+                "data": _binary(out, ends[bounds]),
             }
         )
 
@@ -267,8 +274,12 @@ class Levels:
 
 def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the pieces of the data one after another, where each begins there)."""
-    start = np.cumsum(size) - size
-    return data[np.repeat(begin - start, size) + np.arange(int(size.sum()))], start
+    ends = np.cumsum(size)
+    start, out = ends - size, np.empty(int(size.sum()), data.dtype)
+    for i, j in _parts(size, SLICE):  # the bytes' places are eight times as large as the bytes
+        low, high = start[i], ends[j - 1]
+        out[low:high] = data[np.repeat(begin[i:j] - start[i:j], size[i:j]) + np.arange(low, high)]
+    return out, start
 
 
 def _parts(size: np.ndarray, part: int) -> list[tuple[int, int]]:
@@ -317,7 +328,7 @@ def _matcher(p: Params):
         data = _flat(table.column("data"), np.uint8)[0]
         begin = np.cumsum(size) - size
         masks = np.zeros(len(doc), np.uint32)
-        twin = _twins(data, begin, size, doc, p.batch)
+        twin = _twins(data, begin, size, doc, min(p.batch, SLICE))
         masks[doc > doc[twin]] = 0xFFFFFFFF  # a smaller document has all of the piece
         own = np.flatnonzero(twin == np.arange(len(doc)))
         own = own[np.argsort(doc[own], kind="stable")]
@@ -348,23 +359,25 @@ def _matcher(p: Params):
 
 
 def _cutter(shards: int, p: Params, carry: tuple[str, ...], with_text: bool):
-    """Step 3, on buckets."""
+    """Step 3, on buckets. The rows leave in chunks of about SLICE bytes of text, so that no side holds a bucket's results at once."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
         kind = answers.column("kind").to_numpy() if len(answers) else np.zeros(0)
-        s = surroundings(texts, answers.filter(pa.array(kind == 1)), shards, p)
+        ids, there = _ids(texts.column("doc_id"))
+        s = surroundings(texts, ids, there, shared_values.unpack(answers.filter(pa.array(kind == 1))), shards, p)
         got = answers.filter(pa.array(kind == 2))
         got = got.take(np.argsort(got.column("shard").to_numpy(), kind="stable")) if len(got) else got
-        masks = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in got.column("data").to_pylist())])
-        mask = np.where(s.doc == s.smallest[s.entry], masks[s.entry], np.uint32(0xFFFFFFFF)) if len(s.entry) else masks
-        columns: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for k, (_, _, buf, offsets) in enumerate(s.slices):
-            mine = np.flatnonzero(s.part == k)
-            windows = s.last[mine] - s.first[mine] + 1
+        masks = np.concatenate([np.zeros(0, np.uint32), *(_flat(x, np.uint32)[0] for x in [got.column("data")] if len(got))])
+        mask = np.where(ids[s.text] == s.smallest[s.entry], masks[s.entry], np.uint32(0xFFFFFFFF)) if len(s.entry) else masks
+        columns: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "text": []}
+        for low, high, buf, offsets in B.cuts(s.buf, s.offsets, SLICE):
+            base = s.offsets[low]
+            i, j = np.searchsorted(s.first, [base, s.offsets[high]])
+            windows = s.windows[i:j].astype(np.int64)
             step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-            hit = (np.repeat(mask[mine], windows) >> step.astype(np.uint32)) & np.uint32(1) == 1
+            hit = (np.repeat(mask[i:j], windows) >> step.astype(np.uint32)) & np.uint32(1) == 1
             gone = np.zeros(len(buf) + 1, np.int64)
-            gone[1:][(np.repeat(s.first[mine], windows) + step)[hit]] = 1
+            gone[1:][(np.repeat(s.first[i:j] - base, windows) + step)[hit]] = 1
             gone = np.cumsum(gone)
             covered = gone[1:].copy()
             covered[p.length :] -= gone[1 : len(covered) - p.length + 1] if len(covered) > p.length else 0
@@ -375,15 +388,17 @@ def _cutter(shards: int, p: Params, carry: tuple[str, ...], with_text: bool):
             begins[inner] = covered[inner]
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])  # noqa: B023,E731
             removed = total(covered)
-            kept, ends = buf[~covered].tobytes(), np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).tolist()
-            columns["n_bytes"].append(np.diff(offsets))
-            columns["n_removed"].append(removed)
-            columns["n_spans"].append(total(begins))
-            columns["kept"] += [kept[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        numbers = {c: pa.array(np.concatenate([np.zeros(0, np.int64), *columns[c]]), pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}
-        out = {"doc_id": texts.column("doc_id"), **numbers, "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in columns["kept"]], pa.string())}
+            left, ends = buf[~covered].tobytes(), np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).tolist()
+            kept = [left[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            for c, x in (("n_bytes", np.diff(offsets)), ("n_removed", removed), ("n_spans", total(begins))):
+                columns[c].append(pa.array(x, pa.int64()))
+            columns["kept_sha256"].append(pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
+            if with_text:
+                columns["text"].append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
+        numbers = {c: pa.chunked_array(columns[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}
+        out = {"doc_id": texts.column("doc_id"), **numbers, "kept_sha256": pa.chunked_array(columns["kept_sha256"], pa.string())}
         if with_text:
-            out["text"] = pa.array([x.decode("utf-8", "ignore") for x in columns["kept"]], pa.string())
+            out["text"] = pa.chunked_array(columns["text"], pa.string())
         return pa.table(out | {c: texts.column(c) for c in carry})
 
     return run

@@ -7,6 +7,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest import AZ
 
@@ -122,6 +124,36 @@ def test_substrings_of_odd_rows(odd, none, spark):
     assert sorted(map(tuple, suffixes.substring_dedup(df).collect()), key=repr) == brute_spans(rows)
 
 
+def test_substrings_take_room_for_little_text_at_a_time():
+    import tracemalloc
+
+    def peak(f):
+        tracemalloc.start()
+        got = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    rng, p, shards = np.random.default_rng(0), suffixes.Params(batch=1 << 19), 4
+    some = [bytes(rng.integers(97, 123, 8192, np.uint8)).decode() for _ in range(512)]
+    texts = pa.table({"doc_id": np.arange(1024), "text": some * 2, "bucket": np.arange(1024) % 16})  # 8 MB, and every anchor in two documents
+    rows, most = peak(lambda: list(suffixes._seeds(shards, p)(texts.to_batches())))
+    assert most < 50e6
+    assert all(len(set(zip(r.column("shard").to_pylist(), r.column("bucket").to_pylist()))) == len(r) for r in rows)
+    packed = pa.Table.from_batches(rows)
+    assert len(packed) == 16 * shards
+    known = pa.concat_tables(suffixes.shared_values._answer((pa.scalar(k),), packed.filter(pc.equal(packed["shard"], k))) for k in range(shards))
+    sent, most = peak(lambda: suffixes._sender(shards, p)((pa.scalar(0),), texts, known))  # all texts as one bucket's
+    assert most < 80e6
+    answers = known.append_column("kind", pa.array([1] * len(known)))
+    back = [suffixes._matcher(p)((pa.scalar(k),), sent.filter(pc.equal(sent["shard"], k))) for k in range(shards)]
+    answers = pa.concat_tables([answers, pa.concat_tables(back).append_column("kind", pa.array([2] * sum(map(len, back)))).select(answers.column_names)])
+    out, most = peak(lambda: suffixes._cutter(shards, p, (), True)((pa.scalar(0),), texts, answers))
+    assert most < 60e6
+    assert max(b.nbytes for b in out.to_batches()) < 1 << 20  # the result leaves in chunks
+    assert out["n_removed"].to_pylist() == [0] * 512 + [8192] * 512
+
+
 def test_suffix_order_is_that_of_the_bytes():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
