@@ -135,26 +135,31 @@ def as_of(frames: DataFrame, references: DataFrame, block: int = 4096) -> DataFr
     return asked.join(found.select("sequence", "frame", F.col("found.reference").alias("reference"), F.col("found.objects").alias("objects")), ["sequence", "frame"])
 
 
-def drawn_references(asked: DataFrame, frames: DataFrame, least: int, tries: int = 20) -> DataFrame:
+def drawn_references(asked: DataFrame, frames: DataFrame, least: int, tries: int = 20, parts: int | None = None) -> DataFrame:
     """asked with `frame`: of up to `tries` drawn frames of a sequence, the first that shows more than `least` pixels, else the last.
 
     asked has sequence, draw and room (frames to draw from; the first frame where that is 1 or less); frames has sequence, frame, pixels.
+    Drawn frames meet only those that show enough, in `parts` partitions if given; the turn that is found tells the frame by its hash.
     """
     keys = ["sequence", "draw"]
-    turn = asked.select(*keys, "room", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("turn"))
-    drawn = E.seeded(F.col("sequence") * 7_919 + F.col("draw") * 101 + F.col("turn") + 1, F.greatest("room", F.lit(1)), 11)
-    seen = turn.withColumn("frame", drawn.cast("long")).join(frames.select("sequence", "frame", "pixels"), ["sequence", "frame"], "left")
-    good = F.coalesce(F.col("pixels") > least, F.lit(False))
-    return seen.groupBy(*keys).agg(F.min_by("frame", F.struct(~good, F.when(good, F.col("turn")).otherwise(-F.col("turn")))).alias("frame"))
+    asked = asked.groupBy(*keys).agg(F.max("room").alias("room"))
+    drawn = lambda turn: E.seeded(F.col("sequence") * 7_919 + F.col("draw") * 101 + turn + 1, F.greatest("room", F.lit(1)), 11).cast("long")
+    turns = asked.select(*keys, "room", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("turn")).select(*keys, "turn", drawn(F.col("turn")).alias("frame"))
+    good = frames.where(F.col("pixels") > least).select("sequence", "frame")
+    if parts:
+        turns, good = (x.repartition(parts, "sequence", "frame") for x in (turns, good))
+    found = turns.join(good, ["sequence", "frame"], "left_semi").groupBy(*keys).agg(F.min("turn").alias("turn"))
+    return asked.join(found, keys, "left").select(*keys, drawn(F.coalesce("turn", F.lit(tries - 1))).alias("frame"))
 
 
-def assembled(sequences: DataFrame, frames: DataFrame, seen: DataFrame, length: int, most_gap: int, least: int, tries: int = 5) -> DataFrame:
+def assembled(sequences: DataFrame, frames: DataFrame, seen: DataFrame, length: int, most_gap: int, least: int, tries: int = 5, parts: int | None = None) -> DataFrame:
     """sequence, turn, reference, clip, obj_num, complete: a clip and its reference frame, drawn until the reference shows all of the
     clip's objects, `tries` times at most; else the last draw, with complete false.
 
     A draw has a clip of `length` frames after a previous one (clip_indices) and a reference, which is drawn again, up to `tries` times,
     while it lies within the clip. obj_num is the highest object of the reference (0 without any). sequences has sequence
-    and n_frames; frames sequence, frame, pixels; seen sequence, frame, object.
+    and n_frames; frames sequence, frame, pixels; seen sequence, frame, object. With `parts`, what is as large as the frames meets
+    in so many partitions, so that one holds as much whatever the size of the tables.
     """
     turns = sequences.select("sequence", "n_frames", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("turn"))
     clips = clip_indices(turns.select((F.col("sequence") * 64 + F.col("turn")).alias("sequence"), "n_frames"), length, most_gap)
@@ -163,14 +168,19 @@ def assembled(sequences: DataFrame, frames: DataFrame, seen: DataFrame, length:
         F.array_sort(F.collect_list(F.struct("step", "index")))["index"].alias("clip"), F.max(F.when(F.col("step") == 0, F.col("index"))).alias("begin"), F.max(F.when(F.col("step") > 0, F.col("index"))).alias("end")
     )
     again = turns.select("sequence", "turn", F.col("n_frames").alias("room"), F.explode(F.sequence(F.lit(0), F.lit(tries))).alias("again"))
-    drawn = drawn_references(again.select("sequence", (F.col("turn") * 64 + F.col("again")).alias("draw"), "room"), frames, least)
+    drawn = drawn_references(again.select("sequence", (F.col("turn") * 64 + F.col("again")).alias("draw"), "room"), frames, least, parts=parts)
     drawn = drawn.select("sequence", F.expr("draw div 64").cast("int").alias("turn"), (F.col("draw") % 64).alias("again"), F.col("frame").alias("reference"))
     inside = (F.col("reference") > F.col("begin")) & (F.col("reference") <= F.col("end"))
     order = F.struct(inside, F.when(inside, -F.col("again")).otherwise(F.col("again")))
     chosen = drawn.join(spans, ["sequence", "turn"]).groupBy("sequence", "turn", "clip").agg(F.min_by("reference", order).alias("reference"))
-    shown = seen.where("object <> 0").groupBy("sequence", "frame").agg(F.collect_set("object").alias("objects"))
+    in_clip = clips.select("sequence", "turn", F.col("index").alias("frame"))
+    needed = in_clip.select("sequence", "frame").union(chosen.select("sequence", "reference")).distinct()
+    some = seen.where("object <> 0")
+    if parts:
+        some, needed = (x.repartition(parts, "sequence", "frame") for x in (some, needed))
+    shown = some.join(needed, ["sequence", "frame"], "left_semi").groupBy("sequence", "frame").agg(F.collect_set("object").alias("objects"))
     none = F.array().cast(dict(shown.dtypes)["objects"])
-    of_clip = clips.select("sequence", "turn", F.col("index").alias("frame")).join(shown, ["sequence", "frame"]).groupBy("sequence", "turn").agg(F.flatten(F.collect_set("objects")).alias("all"))
+    of_clip = in_clip.join(shown, ["sequence", "frame"]).groupBy("sequence", "turn").agg(F.flatten(F.collect_set("objects")).alias("all"))
     whole = chosen.join(of_clip, ["sequence", "turn"], "left").join(shown.withColumnRenamed("frame", "reference"), ["sequence", "reference"], "left")
     objects = F.coalesce("objects", none)
     judged = whole.select("sequence", "turn", "reference", "clip", F.coalesce(F.array_max(objects), F.lit(0)).alias("obj_num"), contained(F.coalesce("all", none), objects).alias("complete"))

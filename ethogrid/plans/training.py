@@ -62,16 +62,21 @@ ASSEMBLED = f"""WITH raw AS (SELECT l_suppkey AS sequence, dense_rank() OVER (PA
     SELECT sequence, CAST(turn AS INTEGER) AS turn, frame AS reference, array_to_string(clip, ',') AS clip, CAST(coalesce(list_max(objects), 0) AS BIGINT) AS obj_num, complete FROM ju
     QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY NOT complete, CASE WHEN complete THEN turn ELSE -turn END) = 1"""
 
+#: Rows of a partition, whatever their number in all.
+ROWS = 1 << 18
+
 
 @query(ASSEMBLED)
 def sample_assembly(t: Tables) -> DataFrame:
     """Clips with reference frames that show all of their objects, drawn five times at most."""
     from pyspark.sql import Window
 
-    place = F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey")).cast("long") - 1
-    rows = t.lineitem.select(F.col("l_suppkey").alias("sequence"), place.alias("frame"), (1 + F.col("l_partkey") % 6).alias("object"), "l_quantity")
+    parts = max(t.lineitem.sparkSession.sparkContext.defaultParallelism, -(-t.lineitem.count() // ROWS))
+    lines = t.lineitem.select(F.col("l_suppkey").alias("sequence"), "l_orderkey", (1 + F.col("l_partkey") % 6).alias("object"), "l_quantity").repartition(parts, "sequence")
+    place = F.dense_rank().over(Window.partitionBy("sequence").orderBy("l_orderkey")).cast("long") - 1
+    rows = lines.select("sequence", place.alias("frame"), "object", "l_quantity")
     frames = rows.groupBy("sequence", "frame").agg(F.sum("l_quantity").cast("long").alias("pixels"))
-    found = sequences.assembled(frames.groupBy("sequence").agg(F.count("*").alias("n_frames")), frames, rows.select("sequence", "frame", "object").distinct(), 3, 5, 40)
+    found = sequences.assembled(frames.groupBy("sequence").agg(F.count("*").alias("n_frames")), frames, rows.select("sequence", "frame", "object").distinct(), 3, 5, 40, parts=parts)
     return found.select("sequence", "turn", "reference", F.array_join("clip", ",").alias("clip"), "obj_num", "complete")
 
 

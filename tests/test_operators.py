@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -352,3 +354,34 @@ def test_cut_leaves_no_stage_behind(spark):
     assert cut(empty.join(rows, "id")).count() == 0
     assert not spark.sparkContext.statusTracker().getActiveStageIds()
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_drawn_references_are_the_first_good_draws(spark):
+    frames = {(s, f): (s * 31 + f * 17) % 50 for s in range(20) for f in range(s)}
+    asked = [(s, d, s) for s in range(20) for d in range(7)] + [(None, 1, 5)]
+
+    def expected(s, d, room):
+        at = [((s * 7919 + d * 101 + k + 1) % 4294967291 * 265443576 + 11 * 40503 + 12345) % 4294967291 % max(room, 1) for k in range(20)]
+        return next((f for f in at if frames.get((s, f), 0) > 40), at[-1])
+
+    rows = spark.createDataFrame([(*k, v) for k, v in frames.items()], "sequence long, frame long, pixels long")
+    wanted = {(s, d): expected(s, d, n) if s is not None else None for s, d, n in asked}
+    for parts in (None, 3):
+        got = sequences.drawn_references(spark.createDataFrame(asked, "sequence long, draw long, room long"), rows, 40, parts=parts).collect()
+        assert {(r.sequence, r.draw): r.frame for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_sample_assembly_has_as_many_rows_a_partition_whatever_the_size(spark, sf_dir, monkeypatch):
+    from ethogrid.plans import catalogue, training
+
+    def made():
+        found = catalogue.QUERIES["sample_assembly"](spark, sf_dir)
+        return sorted(map(tuple, found.collect())), found._jdf.queryExecution().executedPlan().toString()
+
+    few, _ = made()
+    monkeypatch.setattr(training, "ROWS", 250)  # of some 6000
+    many, plan = made()
+    n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 250)
+    assert n > 20 and few == many
+    by = re.findall(r"hashpartitioning\((sequence#\d+L(?:, frame#\d+L)?), (\d+)\), REPARTITION_BY_NUM", plan)
+    assert {("frame" in keys, int(k)) for keys, k in by} == {(False, n), (True, n)}
