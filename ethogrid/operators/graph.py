@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import product
+from itertools import pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -179,43 +179,98 @@ def dbscan(points: DataFrame, axes: list[str], eps: float, least: int = 5, key:
     return found.select(F.col("a").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
+PACKED, FOUND = "block long, keys binary, data binary, narrow boolean", "block long, a binary, b binary, d2 binary"
+
+
 def _packed(key: str, vector: str):
-    """A block of points in one row: keys and vectors, in the order of the keys."""
+    """A block of points in one row: keys and vectors, in the order of the keys; in single precision where that loses nothing."""
 
     def run(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
         keys, rows = table.column(key).to_numpy().astype(np.int64), table.column(vector).combine_chunks()
-        return pa.table({"block": pa.array([group[0].as_py()], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "data": pa.array([rows.values.to_numpy(zero_copy_only=False).astype(float).tobytes()], pa.binary())})
+        data = rows.values.to_numpy(zero_copy_only=False).astype(float)
+        with np.errstate(over="ignore"):
+            brief = data.astype(np.float32)
+        narrow = np.array_equal(brief, data, equal_nan=True)
+        columns = [pa.array([group[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys, brief if narrow else data)), pa.array([narrow])]
+        return pa.table(columns, ["block", "keys", "data", "narrow"])
 
     return run
 
 
-def _nearest_of(k: int, chunk: int = 512):
-    """The k nearest of each point of one block within another; sums run in the order of the elements.
+class _Nearest:
+    """The k nearest of each point of a block, among the blocks that it has met; sums run in the order of the elements.
 
     A matrix product gives distances that may be wrong in their last digits; those that could be among the k nearest, with a
-    margin for its error, are then summed exactly.
+    margin for its error, are then summed exactly. What is not nearer than the k-th met so far, or known from elsewhere, is left out.
     """
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                own, other = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["others"], np.int64)
-                x, y = np.frombuffer(row["data"]).reshape(len(own), -1), np.frombuffer(row["other_data"]).reshape(len(other), -1)
-                width = min(k + 1, len(other))
-                squares = (y * y).sum(axis=1)
-                for low in range(0, len(own), chunk):
-                    part, names = x[low : low + chunk], own[low : low + chunk]
-                    length = (part * part).sum(axis=1)[:, None]
-                    # a sum of n products is off by at most n roundings of the sum of their sizes
-                    margin = 8 * (y.shape[1] + 4) * np.finfo(float).eps * (length + squares.max())
-                    rough = length + squares - 2 * (part @ y.T)
-                    edge = np.partition(rough, width - 1, axis=1)[:, width - 1 : width]
-                    i, j = np.nonzero(~(rough > edge + margin) & (names[:, None] != other))
-                    for first, last in _pieces(i):
-                        yield _exact(part, names, y, other, i[first:last], j[first:last], k)
-
-    return run
+    def __init__(self, names: np.ndarray, x: np.ndarray, k: int, known: tuple[np.ndarray, ...] | None):
+        self.names, self.x, self.k = names, np.ascontiguousarray(x.T), k
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.length = (x * x).sum(axis=1)
+        self.wide = {}
+        self.d2, self.b = np.full((len(names), k), np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
+        self.edge, self.last = self.d2[:, -1].copy(), self.b[:, -1].copy()
+        if known:
+            a, b, d2 = known
+            low, high = np.searchsorted(a, names), np.searchsorted(a, names, "right")
+            full = high - low >= k
+            self.edge[full], self.last[full] = d2[low[full] + k - 1], b[low[full] + k - 1]
+
+    def meet(self, other: np.ndarray, y: np.ndarray, chunk: int = 512) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = (y * y).sum(axis=1)
+            top = squares.max()
+            kind = np.float32 if 1e-24 < top < 1e24 and self.length.max() < 1e24 else np.float64
+            if kind not in self.wide:
+                self.wide[kind] = np.concatenate([self.x.T, np.ones((len(self.names), 1))], axis=1).astype(kind)
+            columns = np.concatenate([y.T, squares[None] / -2]).astype(kind)
+            # a sum of n products is off by at most n roundings of the sum of their sizes
+            margin = 2 * (len(columns) + 4) * np.finfo(kind).eps * (self.length + top)
+            y = np.ascontiguousarray(y.T)
+            room, marks = np.empty((chunk, len(other)), kind), np.empty((chunk, len(other)), bool)
+            for low in range(0, len(self.names), chunk):
+                part = slice(low, low + chunk)
+                own = self.wide[kind][part]
+                near = np.matmul(own, columns, out=room[: len(own)])  # half of how much shorter than the point's own squares d2 is
+                floor = (self.length[part] - self.edge[part]) / 2
+                if len(new := np.flatnonzero(np.isinf(self.edge[part]))):
+                    width = min(self.k + 1, len(other))
+                    floor[new] = np.partition(near[new], len(other) - width, axis=1)[:, len(other) - width]
+                floor = np.nextafter((floor - margin[part]).astype(kind), -np.inf, dtype=kind)
+                far = np.less(near, floor[:, None], out=marks[: len(own)])
+                hits = np.flatnonzero(np.logical_not(far, out=far))
+                i, j = hits // len(other) + low, hits % len(other)
+                for first, end in _pieces(i):
+                    self._sum(other, y, i[first:end], j[first:end])
+
+    def _sum(self, other: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """Exact sums of the pairs i, j, and what comes nearer by them."""
+        d2 = np.zeros(len(i))
+        for own, its in zip(self.x, y, strict=True):
+            step = own[i] - its[j]
+            d2 += step * step
+        b = other[j]
+        keep = np.isfinite(d2) & (self.names[i] != b) & ((d2 < self.edge[i]) | ((d2 == self.edge[i]) & (b < self.last[i])))
+        rows = np.unique(i[keep])
+        i = np.concatenate([np.repeat(rows, self.k), i[keep]])
+        i, b, d2 = _first(i, np.concatenate([self.b[rows].ravel(), b[keep]]), np.concatenate([self.d2[rows].ravel(), d2[keep]]), self.k)
+        self.b[rows], self.d2[rows] = b.reshape(-1, self.k), d2.reshape(-1, self.k)
+        full = rows[np.isfinite(self.d2[rows, -1])]
+        self.edge[full], self.last[full] = self.d2[full, -1], self.b[full, -1]
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        i, rank = np.nonzero(np.isfinite(self.d2))
+        return self.names[i], self.b[i, rank], self.d2[i, rank]
+
+
+def _first(a: np.ndarray, b: np.ndarray, d2: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k smallest d2 of each a, in their order; ties go to the smaller b."""
+    by = np.lexsort((b, d2, a))
+    a, b, d2 = a[by], b[by], d2[by]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], d2[keep]
 
 
 def _pieces(i: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
@@ -227,33 +282,86 @@ def _pieces(i: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def _exact(part: np.ndarray, names: np.ndarray, y: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest of the pairs i, j of a point, by exact sums."""
-    d2 = np.zeros(len(i))
-    for c in range(y.shape[1]):
-        step = part[i, c] - y[j, c]
-        d2 += step * step
-    fine = np.isfinite(d2)
-    i, j, d2 = i[fine], j[fine], d2[fine]
-    by = np.lexsort((other[j], d2, i))
-    i, j, d2 = i[by], j[by], d2[by]
-    nearest = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return pa.RecordBatch.from_arrays([pa.array(names[i[nearest]]), pa.array(other[j[nearest]]), pa.array(d2[nearest])], ["a", "b", "d2"])
+def _row(block: int, found: tuple[np.ndarray, ...]) -> list[pa.Array]:
+    return [pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in found)]
 
 
-def knn(points: DataFrame, k: int, vector: str = "v", key: str = "id", block: int = 2_048) -> DataFrame:
+def _nearest_of(k: int):
+    """Pairs of blocks to a row of those found for each run of pairs with the same block."""
+
+    def arrays(batch: pa.RecordBatch, at: int, keys: str, data: str, narrow: str) -> tuple[np.ndarray, np.ndarray]:
+        names = np.frombuffer(batch.column(keys)[at].as_buffer(), np.int64)
+        kind = np.float32 if batch.column(narrow)[at].as_py() else np.float64
+        return names, np.frombuffer(batch.column(data)[at].as_buffer(), kind).reshape(len(names), -1).astype(float)
+
+    def run(batches):
+        now = held = None
+
+        def settled():
+            if held and len((found := held.found())[0]):
+                yield pa.RecordBatch.from_arrays(_row(now, found), ["block", "a", "b", "d2"])
+
+        for batch in batches:
+            for at, block in enumerate(batch.column("block").to_pylist()):
+                if block != now:
+                    yield from settled()
+                    known = [batch.column(c)[at] for c in ("a", "b", "d2")] if "a" in batch.schema.names else []
+                    known = [np.frombuffer(x.as_buffer(), kind).copy() for x, kind in zip(known, (np.int64, np.int64, float), strict=False) if x.is_valid]
+                    now, held = block, _Nearest(*map(np.copy, arrays(batch, at, "keys", "data", "narrow")), k, tuple(known))
+                held.meet(*arrays(batch, at, "others", "other_data", "other_narrow"))
+        yield from settled()
+
+    return run
+
+
+def _merged(k: int, ranked: bool):
+    """What several tasks found for a block as one row of the same kind, or as rows with their rank."""
+
+    def run(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("a", np.int64), ("b", np.int64), ("d2", float)))
+        a, b, d2 = _first(*parts, k)
+        if not ranked:
+            return pa.table(_row(group[0].as_py(), (a, b, d2)), ["block", "a", "b", "d2"])
+        rank = np.arange(len(a)) - np.searchsorted(a, a) + 1
+        return pa.table({"a": a, "rank": rank.astype(np.int32), "b": b, "d2": d2})
+
+    return run
+
+
+def knn(points: DataFrame, k: int, vector: str = "v", key: str = "id", block: int = 2_048, held: int = 64 << 20) -> DataFrame:
     """key, rank, neighbour, d2: the k nearest of every point, exactly, itself left out; ties go to the smaller key.
 
-    Points are packed in blocks of about `block`, and every pair of blocks meets in a task; it sends k rows a point.
+    Points are packed in blocks of about `block`, dealt by hash. A task holds `held` bytes of blocks and those of its partition on the
+    other side meet them all; the partitions are read where they were written, so no copies of blocks are shuffled, and a task sends k rows a point.
+    The blocks are met in rounds, each of up to eight times what came before it: those known by then bound what a task of a later round
+    sends, so a round sends about 8 k rows a point, whatever the number of tasks.
     Exact neighbours cost the square of the number of points; `within` and the additive search are the ways beyond it.
     Vectors are of one length, with whole-number keys.
     """
-    blocks = max(1, -(-points.count() // block))
+    count, length = points.agg(F.count("*"), F.max(F.size(vector))).first()
+    blocks = max(1, -(-count // block))
+    together = max(1, held // (8 * block * max(1, length or 0)))
+    tasks = -(-blocks // max(1, min(8, together, blocks // 64)))
     dealt = points.select(F.col(key).cast("long").alias(key), vector, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    packed = cut(dealt.groupBy("block").applyInArrow(_packed(key, vector), "block long, keys binary, data binary"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    others = packed.select(F.col("block").alias("other"), F.col("keys").alias("others"), F.col("data").alias("other_data"))
-    pairs = packed.select("keys", "data", every.alias("other")).join(others.hint("merge"), "other")
-    found = pairs.mapInArrow(_nearest_of(k), "a long, b long, d2 double")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias(key), "rank", F.col("b").alias("neighbour"), "d2")
+
+    def packed(low: int, high: int) -> DataFrame:
+        parts = max(1, (high - low) * tasks // blocks)
+        rows = dealt.where(F.col("block").between(low, high - 1)).repartitionByRange(parts, "block")
+        return cut(rows.groupBy("block").applyInArrow(_packed(key, vector), PACKED)).coalesce(parts)
+
+    ends = [0]
+    while ends[-1] < blocks:
+        ends.append(min(blocks, 8 * max(together, ends[-1])))
+    rounds = [packed(low, high) for low, high in pairwise(ends)]
+    own, best = reduce(DataFrame.union, rounds), None
+    for met, size in zip(rounds, (high - low for low, high in pairwise(ends)), strict=True):
+        others = met.select(F.col("keys").alias("others"), F.col("data").alias("other_data"), F.col("narrow").alias("other_narrow")).coalesce(-(-size // together))
+        left = own
+        if best is not None:
+            left = cut(own.join(best, "block", "left").repartitionByRange(tasks, "block")).coalesce(tasks)
+        found = left.crossJoin(others.hint("shuffle_replicate_nl")).mapInArrow(_nearest_of(k), FOUND)
+        every = (found if best is None else found.unionByName(best)).groupBy("block")
+        if met is not rounds[-1]:
+            best = cut(every.applyInArrow(_merged(k, False), FOUND))
+    ranked = every.applyInArrow(_merged(k, True), "a long, rank int, b long, d2 double")
+    return ranked.select(F.col("a").alias(key), "rank", F.col("b").alias("neighbour"), "d2")

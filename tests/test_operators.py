@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -103,6 +104,33 @@ def test_knn_equals_brute_force(spark):
         assert [got[i, k + 1] for k in range(4)] == np.lexsort((np.arange(60), d))[:4].tolist()
 
 
+def test_knn_in_rounds_with_copies_and_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 2, size=(40, 3)), rng.normal(size=(10, 3)), 1e200 * rng.normal(size=(6, 3)), [[np.nan, 0, 0], [0, np.inf, 0]], 1e-30 * rng.normal(size=(2, 3))])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    got = {(r.id, r["rank"]): (r.neighbour, r.d2) for r in graph.knn(df, 4, block=6, held=1).collect()}
+    want = {}
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(len(x)):
+            step = x - x[i]
+            d = step[:, 0] * step[:, 0] + step[:, 1] * step[:, 1] + step[:, 2] * step[:, 2]
+            near = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i and np.isfinite(d[j])][:4]
+            want |= {(i, rank + 1): (j, d[j]) for rank, j in enumerate(near)}
+    assert got == want
+
+
+def test_knn_shuffles_no_copies_of_blocks(spark):
+    def written():
+        time.sleep(1)  # the figures are kept by a listener
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    x = np.random.default_rng(4).normal(size=(640, 64))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    before = written()
+    assert graph.knn(df, 2, block=20).count() == 1280
+    assert written() - before < 4 * x.nbytes
+
+
 def test_principal_axes_span_the_variance(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 3)) * [5, 1, 0.1]
