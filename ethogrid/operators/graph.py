@@ -242,6 +242,9 @@ class _Nearest:
                 far = np.less(near, floor[:, None], out=marks[: len(own)])
                 hits = np.flatnonzero(np.logical_not(far, out=far))
                 i, j = hits // len(other) + low, hits % len(other)
+                if (self.edge[part] == 0).any():  # nothing is nearer than a copy, and of copies the smaller key counts
+                    counts = (self.edge[i] > 0) | (other[j] < self.last[i])
+                    i, j = i[counts], j[counts]
                 for first, end in _pieces(i):
                     self._sum(other, y, i[first:end], j[first:end])
 
