@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import pairwise, product
+from itertools import groupby, pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -206,10 +206,10 @@ class _Nearest:
     """
 
     def __init__(self, names: np.ndarray, x: np.ndarray, k: int, known: tuple[np.ndarray, ...] | None):
-        self.names, self.x, self.k = names, np.ascontiguousarray(x.T), k
-        with np.errstate(over="ignore", invalid="ignore"):
+        self.names, self.x, self.k = names, np.asfortranarray(x), k
+        with np.errstate(over="ignore"):
             self.length = (x * x).sum(axis=1)
-        self.wide = {}
+        self.wide, self.brief = {}, True
         self.d2, self.b = np.full((len(names), k), np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
         self.edge, self.last = self.d2[:, -1].copy(), self.b[:, -1].copy()
         if known:
@@ -219,43 +219,54 @@ class _Nearest:
             self.edge[full], self.last[full] = d2[low[full] + k - 1], b[low[full] + k - 1]
 
     def meet(self, other: np.ndarray, y: np.ndarray, chunk: int = 512) -> None:
+        if not len(other) or not len(self.names):
+            return
         with np.errstate(over="ignore", invalid="ignore"):
             squares = (y * y).sum(axis=1)
-            top = squares.max()
-            kind = np.float32 if 1e-24 < top < 1e24 and self.length.max() < 1e24 else np.float64
-            if kind not in self.wide:
-                self.wide[kind] = np.concatenate([self.x.T, np.ones((len(self.names), 1))], axis=1).astype(kind)
-            columns = np.concatenate([y.T, squares[None] / -2]).astype(kind)
-            # a sum of n products is off by at most n roundings of the sum of their sizes
-            margin = 2 * (len(columns) + 4) * np.finfo(kind).eps * (self.length + top)
-            y = np.ascontiguousarray(y.T)
-            room, marks = np.empty((chunk, len(other)), kind), np.empty((chunk, len(other)), bool)
+            top, longest, rooms = squares.max(), self.length.max(), {}
+            y, marks = np.asfortranarray(y), np.empty((chunk, len(other)), bool)
             for low in range(0, len(self.names), chunk):
                 part = slice(low, low + chunk)
-                own = self.wide[kind][part]
-                near = np.matmul(own, columns, out=room[: len(own)])  # half of how much shorter than the point's own squares d2 is
-                floor = (self.length[part] - self.edge[part]) / 2
-                if len(new := np.flatnonzero(np.isinf(self.edge[part]))):
-                    width = min(self.k + 1, len(other))
-                    floor[new] = np.partition(near[new], len(other) - width, axis=1)[:, len(other) - width]
-                floor = np.nextafter((floor - margin[part]).astype(kind), -np.inf, dtype=kind)
-                far = np.less(near, floor[:, None], out=marks[: len(own)])
-                hits = np.flatnonzero(np.logical_not(far, out=far))
+                # single precision first, unless its margin lets too many pass
+                for kind in (np.float32, np.float64) if self.brief and 1e-24 < top < 1e24 and longest < 1e24 else (np.float64,):
+                    # a sum of n products is off by at most n roundings of the sum of their sizes
+                    slack = 2 * (y.shape[1] + 5) * np.finfo(kind).eps
+                    if kind not in rooms:
+                        rooms[kind] = np.concatenate([y.T, squares[None] * (slack - 1) / 2]).astype(kind), np.empty((chunk, len(other)), kind)
+                    if kind not in self.wide:
+                        self.wide[kind] = np.concatenate([self.x, np.ones((len(self.names), 1))], axis=1).astype(kind)
+                    own, (columns, room) = self.wide[kind][part], rooms[kind]
+                    near = np.matmul(own, columns, out=room[: len(own)])  # half of how much shorter than the point's own squares d2 is
+                    self._bound(other, y, near, low)
+                    floor = (self.length[part] * (1 - slack) - self.edge[part]) / 2
+                    if not np.isfinite(top + longest):
+                        floor[:] = -np.inf
+                    floor = np.nextafter(floor.astype(kind), -np.inf, dtype=kind)
+                    far = np.less(near, floor[:, None], out=marks[: len(own)])
+                    hits = np.flatnonzero(np.logical_not(far, out=far))
+                    if len(hits) <= near.size // 16:
+                        break
+                    self.brief = False
                 i, j = hits // len(other) + low, hits % len(other)
                 if (self.edge[part] == 0).any():  # nothing is nearer than a copy, and of copies the smaller key counts
                     counts = (self.edge[i] > 0) | (other[j] < self.last[i])
                     i, j = i[counts], j[counts]
                 for first, end in _pieces(i):
-                    self._sum(other, y, i[first:end], j[first:end])
-
-    def _sum(self, other: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-        """Exact sums of the pairs i, j, and what comes nearer by them."""
-        d2 = np.zeros(len(i))
-        for own, its in zip(self.x, y, strict=True):
-            step = own[i] - its[j]
-            d2 += step * step
-        b = other[j]
-        keep = np.isfinite(d2) & (self.names[i] != b) & ((d2 < self.edge[i]) | ((d2 == self.edge[i]) & (b < self.last[i])))
+                    self._take(*_exact(self.x, self.names, y, other, i[first:end], j[first:end], self.k))
+
+    def _bound(self, other: np.ndarray, y: np.ndarray, near: np.ndarray, low: int) -> None:
+        """The k-th of the roughly nearest k + 1, one of which may be the point itself, bounds points that nothing bounds yet."""
+        new = np.flatnonzero(np.isinf(self.edge[low : low + len(near)]))
+        if len(new):
+            width = min(self.k + 1, len(other))
+            j = np.argpartition(near[new], len(other) - width, axis=1)[:, len(other) - width :]
+            i, _, d2 = _exact(self.x, self.names, y, other, np.repeat(new + low, width), j.ravel(), self.k)
+            full = np.arange(len(i)) - np.searchsorted(i, i) == self.k - 1
+            self.edge[i[full]] = d2[full]
+
+    def _take(self, i: np.ndarray, b: np.ndarray, d2: np.ndarray) -> None:
+        """What comes nearer than those known."""
+        keep = (d2 < self.edge[i]) | ((d2 == self.edge[i]) & (b < self.last[i]))
         rows = np.unique(i[keep])
         i = np.concatenate([np.repeat(rows, self.k), i[keep]])
         i, b, d2 = _first(i, np.concatenate([self.b[rows].ravel(), b[keep]]), np.concatenate([self.d2[rows].ravel(), d2[keep]]), self.k)
@@ -268,6 +279,16 @@ class _Nearest:
         return self.names[i], self.b[i, rank], self.d2[i, rank]
 
 
+def _exact(part: np.ndarray, names: np.ndarray, y: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """i, the other's name and d2 of the k nearest of the pairs i, j of a point, by exact sums."""
+    d2 = np.zeros(len(i))
+    for c in range(y.shape[1]):
+        step = part[:, c][i] - y[:, c][j]
+        d2 += step * step
+    fine = np.isfinite(d2) & (names[i] != other[j])
+    return _first(i[fine], other[j[fine]], d2[fine], k)
+
+
 def _first(a: np.ndarray, b: np.ndarray, d2: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k smallest d2 of each a, in their order; ties go to the smaller b."""
     by = np.lexsort((b, d2, a))
@@ -290,29 +311,42 @@ def _row(block: int, found: tuple[np.ndarray, ...]) -> list[pa.Array]:
 
 
 def _nearest_of(k: int):
-    """Pairs of blocks to a row of those found for each run of pairs with the same block."""
+    """The k nearest of each point of one block, within the blocks that it is paired with."""
+
+    def of(batch: pa.RecordBatch, at: int, column: str, kind: type) -> np.ndarray | None:
+        value = batch.column(column)[at] if column in batch.schema.names else None
+        return np.frombuffer(value.as_buffer(), kind) if value is not None and value.is_valid else None
 
-    def arrays(batch: pa.RecordBatch, at: int, keys: str, data: str, narrow: str) -> tuple[np.ndarray, np.ndarray]:
-        names = np.frombuffer(batch.column(keys)[at].as_buffer(), np.int64)
-        kind = np.float32 if batch.column(narrow)[at].as_py() else np.float64
-        return names, np.frombuffer(batch.column(data)[at].as_buffer(), kind).reshape(len(names), -1).astype(float)
+    def points(batch: pa.RecordBatch, at: int, keys: str, data: str, narrow: str) -> tuple[np.ndarray, np.ndarray]:
+        """Those whose elements are finite; others are near to none."""
+        names, brief = of(batch, at, keys, np.int64), narrow in batch.schema.names and batch.column(narrow)[at].as_py()
+        rows = of(batch, at, data, np.float32 if brief else np.float64).reshape(len(names), -1).astype(float)
+        finite = np.isfinite(rows).all(axis=1)
+        return names[finite], rows[finite]
 
     def run(batches):
-        now = held = None
+        held = None
+        for batch in batches:
+            for at in range(len(batch)):
+                if held is None:
+                    known = tuple(of(batch, at, c, kind) for c, kind in (("a", np.int64), ("b", np.int64), ("d2", float)))
+                    held = _Nearest(*points(batch, at, "keys", "data", "narrow"), k, None if known[0] is None else known)
+                held.meet(*points(batch, at, "others", "other_data", "other_narrow"))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.found()], ["a", "b", "d2"])
 
-        def settled():
-            if held and len((found := held.found())[0]):
-                yield pa.RecordBatch.from_arrays(_row(now, found), ["block", "a", "b", "d2"])
+    return run
 
-        for batch in batches:
-            for at, block in enumerate(batch.column("block").to_pylist()):
-                if block != now:
-                    yield from settled()
-                    known = [batch.column(c)[at] for c in ("a", "b", "d2")] if "a" in batch.schema.names else []
-                    known = [np.frombuffer(x.as_buffer(), kind).copy() for x, kind in zip(known, (np.int64, np.int64, float), strict=False) if x.is_valid]
-                    now, held = block, _Nearest(*map(np.copy, arrays(batch, at, "keys", "data", "narrow")), k, tuple(known))
-                held.meet(*arrays(batch, at, "others", "other_data", "other_narrow"))
-        yield from settled()
+
+def _nearest_by_block(k: int):
+    """Pairs of blocks to a row of what is found for each run of pairs with the same block."""
+
+    def run(batches):
+        pairs = (batch.slice(at, 1) for batch in batches for at in range(len(batch)))
+        for block, same in groupby(pairs, lambda row: row.column("block")[0].as_py()):
+            for found in _nearest_of(k)(same):
+                if len(found):
+                    yield pa.RecordBatch.from_arrays(_row(block, [c.to_numpy() for c in found.columns]), ["block", "a", "b", "d2"])
 
     return run
 
@@ -362,7 +396,7 @@ def knn(points: DataFrame, k: int, vector: str = "v", key: str = "id", block: in
         left = own
         if best is not None:
             left = cut(own.join(best, "block", "left").repartitionByRange(tasks, "block")).coalesce(tasks)
-        found = left.crossJoin(others.hint("shuffle_replicate_nl")).mapInArrow(_nearest_of(k), FOUND)
+        found = left.crossJoin(others.hint("shuffle_replicate_nl")).mapInArrow(_nearest_by_block(k), FOUND)
         every = (found if best is None else found.unionByName(best)).groupBy("block")
         if met is not rounds[-1]:
             best = cut(every.applyInArrow(_merged(k, False), FOUND))
